@@ -21,6 +21,12 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
+def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    return judge(read_table(spark, sf_dir, "documents")).drop("source")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -33,8 +39,17 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .simhash import near_duplicates
+
+    out = near_duplicates(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op5_best_fit_packing, op6_mix_sources)}
+    return {f.__name__: f for f in (op1_token_files, op3_line_frequency, op5_best_fit_packing, op6_mix_sources, op9_simhash_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
