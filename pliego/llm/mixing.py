@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import WORD, materialize, prepare
+from ._common import WORD, materialize, prepare, shuffle_partitions
 
 ROUNDS = 8
 
@@ -81,6 +81,8 @@ def slots(sources: DataFrame, block: int, cap: int, shard_slots: int, most_shard
     counts = counts.join(s.select("sidx", "blocks"), "sidx")
     end = F.least(F.col("first") + F.col("n"), F.col("blocks") * cap)
     counts = counts.withColumn("end", end).where(F.col("first") < F.col("end"))
+    # A few rows become all slots: they are dealt out first, or one task would make them all.
+    counts = counts.repartition(shuffle_partitions(sources.sparkSession), "sidx", "shard")
     return counts.select("sidx", "blocks", F.explode(F.sequence(F.col("first"), F.col("end") - 1)).alias("slot"))
 
 
