@@ -21,6 +21,12 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
+def op2_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
@@ -61,7 +67,7 @@ def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op3_line_frequency, op5_best_fit_packing, op6_mix_sources, op7_noisy_channel_toxicity, op8_warc, op9_simhash_trie)}
+    return {f.__name__: f for f in (op1_token_files, op2_spherical_caps, op3_line_frequency, op5_best_fit_packing, op6_mix_sources, op7_noisy_channel_toxicity, op8_warc, op9_simhash_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
