@@ -15,7 +15,8 @@ from array import array
 
 import numpy as np
 
-_UNSAFE = re.compile(r"\s (?:\s|\Z)|\A (?:\s|\Z)")
+#: A space after white space is no sure cut.
+_AFTER_SPACE = [c + " " for c in map(chr, range(0x3001)) if c.isspace()]
 _CUT = re.compile(r" (?=\S)(?<=\S )")
 #: Letters up to U+024F, all of them, and a mark that the vocabularies' patterns always cut off.
 _LETTERS = re.compile("([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,]?)")
@@ -31,7 +32,7 @@ def _byte_symbols() -> dict[int, str]:
 class SegmentEncoder:
     """keep_space: whether a segment keeps the space before it (byte-level vocabularies) or a space makes no token."""
 
-    def __init__(self, path: str, keep_space: bool, max_entries: int = 400_000, max_chars: int = 8_000_000):
+    def __init__(self, path: str, keep_space: bool, max_entries: int = 800_000, max_chars: int = 12_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -40,6 +41,7 @@ class SegmentEncoder:
         self.dtype, self.code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
         self.max_entries, self.max_chars = max_entries, max_chars
         self.symbols = _byte_symbols()
+        self.head = self.space.translate(self.symbols)
         self.cache: dict[str, bytes] = {}
         self.chars = 0
         self.marks = {m: self._whole(m) for m in ".,"}
@@ -51,7 +53,7 @@ class SegmentEncoder:
         """Ids of a segment of Latin letters, which is one pre-token; None where lower-casing makes it more than that."""
         if not self.keep_space and not (s := s.lower()).isalpha():
             return None
-        symbols = (self.space + s).encode().decode("latin-1").translate(self.symbols)
+        symbols = self.head + s if s.isascii() else (self.space + s).encode().decode("latin-1").translate(self.symbols)
         return array(self.code, [t.id for t in self.tokenizer.model.tokenize(symbols)]).tobytes()
 
     def _learn(self, segments: set[str]) -> None:
@@ -72,10 +74,21 @@ class SegmentEncoder:
             cache[s] = array(self.code, e.ids).tobytes()
         self.chars += sum(map(len, segments))
 
+    def _cut(self, text: str) -> list[str]:
+        if not self.keep_space:  # these vocabularies lower-case; doing it here makes fewer segments, and differs for no Latin-1 text
+            try:
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+        if text[:1] == " " or any(x in text for x in _AFTER_SPACE):
+            return _CUT.split(text)
+        return text.split(" ")
+
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.cache) > self.max_entries or self.chars > self.max_chars:
             self.cache, self.chars = {}, 0
-        cut, found = [_CUT.split(t) if _UNSAFE.search(t) else t.split(" ") for t in texts], []
+        cut, found = [self._cut(t) for t in texts], []
         get, new = self.cache.get, set()
         for segments in cut:
             ids = list(map(get, segments))
@@ -95,3 +108,13 @@ class SegmentEncoder:
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_batch([text])[0]
+
+
+_encoders: dict[tuple[str, bool], SegmentEncoder] = {}
+
+
+def shared_encoder(path: str, keep_space: bool) -> SegmentEncoder:
+    """This process's encoder: a worker's later tasks go on with its cache."""
+    if (path, keep_space) not in _encoders:
+        _encoders[path, keep_space] = SegmentEncoder(path, keep_space)
+    return _encoders[path, keep_space]

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._common import doc_columns, materialize, prepare, shuffle_partitions
-from .encoding import SegmentEncoder
+from .encoding import shared_encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, keep_spa
     def cut(batches):
         encoder = None
         for batch in batches:
-            encoder = encoder or SegmentEncoder(tokenizer, keep_space)
+            encoder = encoder or shared_encoder(tokenizer, keep_space)
             rows = []
             for i, tokens in zip(batch.column(0).to_pylist(), encoder.encode_batch([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 ids = np.append(tokens.astype("<u4"), np.uint32(end_id)).astype("<u4")

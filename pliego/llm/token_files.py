@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import NO_ID, doc_columns, id_column, prepare, shuffle_partitions, task_number, workdir
-from .encoding import SegmentEncoder
+from .encoding import shared_encoder
 from .files import committed, make_dir, numbers
 
 
@@ -39,7 +39,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int, ke
                 if not batch.num_rows:
                     continue
                 if encoder is None:
-                    encoder = SegmentEncoder(tokenizer, keep_space)
+                    encoder = shared_encoder(tokenizer, keep_space)
                     end = np.array([end_id], encoder.dtype).tobytes()
                     closer = committed(f"{out}/{part}.tokens")
                     stream = closer.__enter__()
