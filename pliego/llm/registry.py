@@ -66,8 +66,14 @@ def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ctw import score
+
+    return score(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_spherical_caps, op3_line_frequency, op5_best_fit_packing, op6_mix_sources, op7_noisy_channel_toxicity, op8_warc, op9_simhash_trie)}
+    return {f.__name__: f for f in (op1_token_files, op2_spherical_caps, op3_line_frequency, op5_best_fit_packing, op6_mix_sources, op7_noisy_channel_toxicity, op8_warc, op9_simhash_trie, op10_context_tree_weighting)}
 
 
 def oracle_sql() -> dict[str, str]:
