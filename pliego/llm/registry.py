@@ -33,6 +33,12 @@ def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op4_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import remove_repeats
+
+    return remove_repeats(read_table(spark, sf_dir, "documents"), length=50)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -73,7 +79,7 @@ def op10_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_spherical_caps, op3_line_frequency, op5_best_fit_packing, op6_mix_sources, op7_noisy_channel_toxicity, op8_warc, op9_simhash_trie, op10_context_tree_weighting)}
+    return {f.__name__: f for f in (op1_token_files, op2_spherical_caps, op3_line_frequency, op4_prefix_free_parsing, op5_best_fit_packing, op6_mix_sources, op7_noisy_channel_toxicity, op8_warc, op9_simhash_trie, op10_context_tree_weighting)}
 
 
 def oracle_sql() -> dict[str, str]:
