@@ -91,7 +91,7 @@ def doc_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
-CHUNKS = "chunk_id long, doc_ids binary, lengths binary, body binary"
+CHUNKS = "chunk_id long, doc_ids binary, lengths binary, body binary, rest binary"
 
 
 def task_number() -> int:
@@ -101,18 +101,19 @@ def task_number() -> int:
     return c.partitionId() if c else 0
 
 
-def pack_chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+def pack_chunks(docs: DataFrame, chunk_bytes: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """Documents packed into chunks of about chunk_bytes of UTF-8: ids and lengths as int64, the texts joined and compressed.
 
     A chunk holds whole documents, so one longer than chunk_bytes makes a larger chunk. A null text counts as empty; a
-    null id is stored as NO_ID. Nothing is shuffled: each task packs what it reads.
+    null id is stored as NO_ID. rest holds the columns in carry, as an Arrow stream. Nothing is shuffled: each task packs what it
+    reads.
     """
 
     def pack(batches):
         import zstandard
 
         press = zstandard.ZstdCompressor(level=1)
-        ids, texts, size, made = [], [], 0, 0
+        ids, texts, rest, size, made = [], [], [], 0, 0
         base = task_number() << 32
 
         def out():
@@ -122,26 +123,45 @@ def pack_chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
                     pa.array([np.array(ids, "<i8").tobytes()], pa.binary()),
                     pa.array([np.array([len(t) for t in texts], "<i8").tobytes()], pa.binary()),
                     pa.array([press.compress(b"".join(texts))], pa.binary()),
+                    pa.array([_stream(rest) if carry else None], pa.binary()),
                 ],
-                ["chunk_id", "doc_ids", "lengths", "body"],
+                ["chunk_id", "doc_ids", "lengths", "body", "rest"],
             )
 
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            start, others = 0, batch.select(list(range(2, batch.num_columns)))
+            for at, (i, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 t = (t or "").encode("utf-8", "surrogatepass")
                 ids.append(NO_ID if i is None else i)
                 texts.append(t)
                 size += len(t)
                 if size >= chunk_bytes:
+                    rest.append(others.slice(start, at + 1 - start))
                     yield out()
-                    ids, texts, size, made = [], [], 0, made + 1
+                    ids, texts, rest, size, made, start = [], [], [], 0, made + 1, at + 1
+            if start < batch.num_rows:
+                rest.append(others.slice(start))
         if ids:
             yield out()
 
-    return doc_columns(docs).mapInArrow(pack, CHUNKS)
+    chosen = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *[docs[c] for c in carry])
+    return chosen.mapInArrow(pack, CHUNKS)
 
 
-def unpack_chunk(doc_ids: bytes, lengths: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+def _stream(batches: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        for b in batches:
+            w.write_batch(b)
+    return sink.getvalue().to_pybytes()
+
+
+def carried(rest: bytes) -> pa.Table:
+    """The columns that a chunk carries, in its documents' order."""
+    return pa.ipc.open_stream(rest).read_all()
+
+
+def unpack_chunk(doc_ids: bytes, lengths: bytes, body: bytes, rest: bytes | None = None) -> tuple[np.ndarray, np.ndarray, bytes]:
     """Ids, offsets (one more than documents) and the joined texts of a chunk."""
     import zstandard
 

@@ -368,8 +368,8 @@ def score(docs: DataFrame, depth: int = 5, chunk_bytes: int = 16 << 20) -> DataF
     n = shuffle_partitions(spark)
     met = given.unionByName(asked).repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part", "chunk_id")
     answers = met.mapInArrow(answer, "chunk_id long, bucket int, values binary")
-    bodies = chunks.select("chunk_id", F.lit(1 << 30).alias("bucket"), F.lit(None).cast("binary").alias("values"), "doc_ids", "lengths", "body")
-    empty = [F.lit(None).cast("binary").alias(c) for c in ("doc_ids", "lengths", "body")]
+    bodies = chunks.select("chunk_id", F.lit(1 << 30).alias("bucket"), F.lit(None).cast("binary").alias("values"), "doc_ids", "lengths", "body", "rest")
+    empty = [F.lit(None).cast("binary").alias(c) for c in ("doc_ids", "lengths", "body", "rest")]
     joined = answers.select("chunk_id", "bucket", "values", *empty).unionByName(bodies).repartition(n, "chunk_id").sortWithinPartitions("chunk_id", "bucket")
 
     def finish(batches):

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._common import doc_columns, materialize, prepare, shuffle_partitions
 from .components import components
@@ -190,10 +191,40 @@ def links(distinct: DataFrame, k: int = 3, most: int = 20_000) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, k: int = 3) -> DataFrame:
-    """One row per document row: doc_id, fp (long), component_id (the least doc_id that links reach)."""
+    """One row per document row: doc_id, fp (long), component_id (the least doc_id that links reach), root (the least fingerprint)."""
     made, _ = materialize(fingerprints(docs, shingle, seed), "simhash")
     distinct, _ = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = components(links(distinct, k), "a", "b").select(F.col("node").alias("fp"), "root")
     joined = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return made.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "root")
+    return made.join(named, "fp").select("doc_id", "fp", "component_id", "root")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, seed: int = 42, k: int = 3) -> DataFrame:
+    """docs with one row of each group of near-duplicates, that of the least doc_id; all columns stay.
+
+    Where several rows could be it, as rows repeat an id or have none, the first by text stays.
+    """
+    found, _ = materialize(near_duplicates(docs, shingle, seed, k), "simhash-groups")
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    sole = first.groupBy("root").agg(F.count("*").alias("n"), F.min("doc_id").alias("_id"))
+    out = docs.join(sole.where("n = 1 AND _id IS NOT NULL"), docs["doc_id"] == F.col("_id"), "left_semi")
+    several = sole.where("n > 1 OR _id IS NULL")
+    if several.isEmpty():
+        return out
+    held = first.join(several.select("root"), "root")
+    ids = held.select(F.col("doc_id").alias("_id")).distinct()
+    rows = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    columns, at = docs.columns, docs.columns.index("text")
+
+    def marked(batches):
+        spread = _spread()
+        for batch in batches:
+            fps = np.array([fingerprint(shingle_hashes(t, shingle, seed), spread) for t in batch.column(at).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], [*columns, "_fp"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _fp long"
+    groups = held.select(F.col("fp").alias("_fp"), "root").distinct().withColumnRenamed("root", "_root")
+    again = rows.mapInArrow(marked, schema).join(groups, "_fp")
+    again = again.withColumn("_nth", F.row_number().over(Window.partitionBy("_root").orderBy("doc_id", "text"))).where("_nth = 1")
+    return out.unionByName(again.select(*columns))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import id_column, materialize, pack_chunks, prepare, release_shuffles, shuffle_partitions, unpack_chunk
+from ._common import carried, id_column, materialize, pack_chunks, prepare, release_shuffles, shuffle_partitions, unpack_chunk
 
 LENGTH, K = 50, 18
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -230,17 +230,17 @@ def whole_characters(gone: np.ndarray, raw: np.ndarray) -> np.ndarray:
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, chunk_bytes: int = 8 << 20, with_spans: bool = False, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, chunk_bytes: int = 8 << 20, with_spans: bool = False, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     with_spans adds span_starts and span_ends (byte offsets); with_text adds text, what is kept, where a character stays unless
-    all its bytes go.
+    all its bytes go; carry adds other columns of docs.
     """
     spark = docs.sparkSession
     prepare(spark)
     n = shuffle_partitions(spark)
     buckets = 2 * n
-    chunks, _ = materialize(pack_chunks(docs, chunk_bytes), "repeat-chunks")
+    chunks, _ = materialize(pack_chunks(docs, chunk_bytes, carry), "repeat-chunks")
 
     def send(batches):
         for batch in batches:
@@ -293,19 +293,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, chunk_byte
 
     def with_bodies(*answers: tuple[int, DataFrame]) -> DataFrame:
         """Each chunk's rows in order: answers of each kind by bucket, then its body."""
-        none = [F.lit(None).cast("binary").alias(c) for c in ("doc_ids", "lengths", "body")]
-        out = chunks.select("chunk_id", F.lit(9).alias("kind"), F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("data"), "doc_ids", "lengths", "body")
+        none = [F.lit(None).cast("binary").alias(c) for c in ("doc_ids", "lengths", "body", "rest")]
+        out = chunks.select("chunk_id", F.lit(9).alias("kind"), F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("data"), "doc_ids", "lengths", "body", "rest")
         for kind, df in answers:
             out = out.unionByName(df.select("chunk_id", F.lit(kind).alias("kind"), "bucket", "data", *none))
         return out.repartition(n, "chunk_id").sortWithinPartitions("chunk_id", "kind", "bucket")
 
     def bodies(batches):
-        """(chunk, ids, offsets, text, {kind: {bucket: data}})"""
+        """(chunk, ids, offsets, text, {kind: {bucket: data}, "rest": the columns carried})"""
         held: dict = {}
         for batch in batches:
             for chunk, kind, bucket, data, *body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == 9:
-                    yield chunk, *unpack_chunk(*body), held
+                    yield chunk, *unpack_chunk(*body), held | {"rest": body[3]}
                     held = {}
                 else:
                     held.setdefault(kind, {})[bucket] = data
@@ -347,8 +347,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, chunk_byte
     masks, _ = materialize(dealt.mapInArrow(combine, "chunk_id long, bucket int, data binary"), "repeat-masks")
     release_shuffles(spark)
 
+    extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[docs[c] for c in carry]).schema)
     names = [x.split()[0] for x in RESULT.split(", ")] + ["span_starts", "span_ends"] * with_spans + ["text"] * with_text
-    schema = RESULT + ", span_starts array<long>, span_ends array<long>" * with_spans + ", text string" * with_text
+    schema = RESULT + ", span_starts array<long>, span_ends array<long>" * with_spans + ", text string" * with_text + extra
 
     def finish(batches):
         for _, ids, offsets, text, held in bodies(batches):
@@ -356,6 +357,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, chunk_byte
             masks = [unpacked(x, "<u8") for _, x in sorted(held.get(1, {}).items())]
             gone = removed_spans(t, p, np.concatenate(masks) if masks else np.empty(0, np.uint64), ids, len(text), length)
             raw, rows = np.frombuffer(text, np.uint8), []
+            rest = carried(held["rest"]).combine_chunks() if carry else None
             for i, a, b in zip(ids.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 g = gone[a:b]
                 turns = np.flatnonzero(np.diff(np.r_[False, g, False].astype(np.int8)))
@@ -369,6 +371,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, chunk_byte
             for a in range(0, len(rows), 500):
                 columns = list(zip(*rows[a : a + 500], strict=True))
                 kinds = [None, pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.list_(pa.int64())] * 2 * with_spans + [pa.string()] * with_text
-                yield pa.RecordBatch.from_arrays([id_column(np.array(columns[0], np.int64)), *[pa.array(c, t) for c, t in zip(columns[1:], kinds[1:], strict=True)]], names)
+                yield pa.RecordBatch.from_arrays([id_column(np.array(columns[0], np.int64)), *[pa.array(c, t) for c, t in zip(columns[1:], kinds[1:], strict=True)], *([x.combine_chunks() for x in rest.slice(a, 500).columns] if carry else [])], names + list(carry))
 
     return with_bodies((0, repeated), (1, masks)).mapInArrow(finish, schema)
