@@ -1,7 +1,8 @@
 """SimHash near-duplicates: fingerprints of word shingles, linked by a binary trie joined with itself.
 
 Fingerprints are made distinct first, so copies cost nothing more. Two fingerprints within k bits agree on one of k + 1
-blocks of bits at least; each block's value roots a trie over the bits turned so that the block comes first. A task walks
+blocks of bits at least (or on two of k + 2, and so on); the values of blocks root tries over the bits turned so that these
+blocks come first. A task walks
 pairs of nodes at equal depth together: a node with itself, then with its sibling at one differing bit, adding up
 differing bits and leaving a pair once they exceed k. Small pairs of nodes are compared at once. A task returns a
 spanning forest of the links that it finds, never all pairs of a group; the forests' components are the links' components.
@@ -14,6 +15,8 @@ ignored.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -129,17 +132,40 @@ def trie_links(values: np.ndarray, depth: int, k: int, block: int = 1 << 16, sma
     return labels
 
 
-def links(distinct: DataFrame, k: int = 3, most: int = 20_000) -> DataFrame:
-    """Edges (a, b) between the distinct fingerprints fp that span all links of at most k differing bits."""
-    spark = distinct.sparkSession
-    prepare(spark)
-    blocks = k + 1
+def tables(k: int, blocks: int) -> list[list[tuple[int, int]]]:
+    """For each choice of blocks - k of the blocks of bits, their (start, end), then those of the others."""
     cuts = [64 * i // blocks for i in range(blocks + 1)]
+    spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+    return [[*chosen, *(x for x in spans if x not in chosen)] for chosen in map(list, combinations(spans, blocks - k))]
+
+
+def turned(fps: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+    """The fingerprints with their bits in the order of the spans; bit 0 is the highest."""
+    out = np.zeros(len(fps), np.uint64)
+    for a, b in spans:
+        out = (out << np.uint64(b - a)) | ((fps >> np.uint64(64 - b)) & np.uint64((1 << (b - a)) - 1))
+    return out
+
 
-    def value(start: int, end: int):
-        return F.shiftrightunsigned(F.col("fp"), 64 - end).bitwiseAND(F.lit((1 << (end - start)) - 1))
+def links(distinct: DataFrame, k: int = 3, blocks: int | None = None, most: int = 20_000) -> DataFrame:
+    """Edges (a, b) between the distinct fingerprints fp that span all links of at most k differing bits.
+
+    With `blocks` blocks of bits (k + 1 by default), two linked fingerprints agree on blocks - k of them: a trie is rooted for
+    each choice of so many, so more blocks mean more copies of each fingerprint and fewer to a root.
+    """
+    spark = distinct.sparkSession
+    prepare(spark)
+    blocks = blocks or k + 1
+    orders = tables(k, blocks)
+    chosen = blocks - k
+
+    def value(spans):
+        out = F.lit(0).cast("long")
+        for a, b in spans:
+            out = F.shiftleft(out, b - a).bitwiseOR(F.shiftrightunsigned(F.col("fp"), 64 - b).bitwiseAND(F.lit((1 << (b - a)) - 1)))
+        return out
 
-    rooted = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("turn"), value(a, b).alias("root")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])).alias("x")).select("fp", "x.turn", "x.root")
+    rooted = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("turn"), value(spans[:chosen]).alias("root")) for i, spans in enumerate(orders)])).alias("x")).select("fp", "x.turn", "x.root")
     large = rooted.groupBy("turn", "root").agg(F.count("*").alias("n")).where(F.col("n") > most).select("turn", "root", F.ceil(F.col("n") / most).alias("parts"))
     rooted = rooted.join(large, ["turn", "root"], "left").withColumn("part", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1), lambda j: F.struct(F.least(j, F.col("part")).alias("p"), F.greatest(j, F.col("part")).alias("q")))
@@ -147,13 +173,12 @@ def links(distinct: DataFrame, k: int = 3, most: int = 20_000) -> DataFrame:
     dealt = dealt.repartition(shuffle_partitions(spark), "turn", "root", "p", "q").sortWithinPartitions("turn", "root", "p", "q")
 
     def spanning(turn: int, fps: np.ndarray):
-        start, end = cuts[turn], cuts[turn + 1]
-        shift = np.uint64(start)
-        turned = np.unique((fps << shift) | (fps >> np.uint64(64 - start)) if start else fps)
-        labels = trie_links(turned, end - start, k)
+        fps = np.unique(fps)
+        values = turned(fps, orders[turn])
+        order = np.argsort(values)
+        labels = trie_links(values[order], sum(e - s for s, e in orders[turn][:chosen]), k)
         other = np.flatnonzero(labels != np.arange(len(labels)))
-        back = lambda x: (x >> shift) | (x << np.uint64(64 - start)) if start else x
-        return back(turned[other]).view(np.int64), back(turned[labels[other]]).view(np.int64)
+        return fps[order[other]].view(np.int64), fps[order[labels[other]]].view(np.int64)
 
     def join(batches):
         held, rows, last = [], 0, None
@@ -190,22 +215,22 @@ def links(distinct: DataFrame, k: int = 3, most: int = 20_000) -> DataFrame:
     return dealt.mapInArrow(join, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, k: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, k: int = 3, blocks: int | None = None) -> DataFrame:
     """One row per document row: doc_id, fp (long), component_id (the least doc_id that links reach), root (the least fingerprint)."""
     made, _ = materialize(fingerprints(docs, shingle, seed), "simhash")
     distinct, _ = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = components(links(distinct, k), "a", "b").select(F.col("node").alias("fp"), "root")
+    roots = components(links(distinct, k, blocks), "a", "b").select(F.col("node").alias("fp"), "root")
     joined = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "root")
     return made.join(named, "fp").select("doc_id", "fp", "component_id", "root")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 3, seed: int = 42, k: int = 3) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 3, seed: int = 42, k: int = 3, blocks: int | None = None) -> DataFrame:
     """docs with one row of each group of near-duplicates, that of the least doc_id; all columns stay.
 
     Where several rows could be it, as rows repeat an id or have none, the first by text stays.
     """
-    found, _ = materialize(near_duplicates(docs, shingle, seed, k), "simhash-groups")
+    found, _ = materialize(near_duplicates(docs, shingle, seed, k, blocks), "simhash-groups")
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     sole = first.groupBy("root").agg(F.count("*").alias("n"), F.min("doc_id").alias("_id"))
     out = docs.join(sole.where("n = 1 AND _id IS NOT NULL"), docs["doc_id"] == F.col("_id"), "left_semi")
