@@ -134,6 +134,8 @@ def unpacked(data: bytes, kind) -> np.ndarray:
 
 
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
+    """A bucket for each hash. Triggers have low hashes, so they are mixed once more."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
@@ -209,14 +211,13 @@ def earlier(rows: np.ndarray, least: np.ndarray, length: int, k: int) -> np.ndar
 
 def removed_spans(t: Triggers, p: Phrases, masks: np.ndarray, keys: np.ndarray, size: int, length: int) -> np.ndarray:
     """Which bytes of a chunk's text are covered by strings to remove."""
-    edge = np.zeros(size + 1, np.int32)
-    mask, own = masks[p.of], keys[t.doc] > p.least[p.of]
+    mask, own, begins = masks[p.of], keys[t.doc] > p.least[p.of], np.zeros(size, bool)
     for j in range(int(t.jmax.max()) + 1 if len(t.jmax) else 0):
         hit = (t.jmin <= j) & (j <= t.jmax) & (own | ((mask >> np.uint64(j)) & np.uint64(1)).astype(bool))
-        start = t.place[hit] - j
-        edge += np.bincount(start, minlength=size + 1).astype(np.int32)
-        edge -= np.bincount(start + length, minlength=size + 1).astype(np.int32)
-    return np.cumsum(edge[:size]) > 0
+        begins[t.place[hit] - j] = True
+    begun = np.cumsum(begins, dtype=np.int32)  # strings never leave their document
+    begun[length:] -= begun[:-length].copy()
+    return begun > 0
 
 
 def whole_characters(gone: np.ndarray, raw: np.ndarray) -> np.ndarray:
