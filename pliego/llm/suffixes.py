@@ -145,7 +145,7 @@ def _cut(sorted_buckets: np.ndarray):
     yield from zip(sorted_buckets[heads].tolist(), heads.tolist(), np.r_[heads[1:], len(sorted_buckets)].tolist() if len(heads) else [], strict=True)
 
 
-def distinct_hashes(t: Triggers, keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def distinct_hashes(t: Triggers, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The chunk's distinct trigger hashes in order, and whether two documents of different ids hold each."""
     order = np.argsort(t.hash, kind="stable")
     h, key = t.hash[order], keys[t.doc[order]]
@@ -247,7 +247,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, chunk_byte
         for batch in batches:
             for chunk, *body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids, offsets, text = unpack_chunk(*body)
-                h, many = distinct_hashes(all_triggers(text, offsets, length, k), ids, buckets)
+                h, many = distinct_hashes(all_triggers(text, offsets, length, k), ids)
+                order = np.argsort(bucket_of(h, buckets), kind="stable")
+                h, many = h[order], many[order]
                 rows = [(b, chunk, packed((h[s:e] & np.uint64(0xFFFFFFFF)).astype("<u4")), packed(many[s:e])) for b, s, e in _cut(bucket_of(h, buckets))]
                 for a in range(0, len(rows), 64):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 64], strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "chunk_id", "hashes", "many"])
