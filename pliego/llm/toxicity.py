@@ -179,22 +179,34 @@ def fit_logistic(rows: list[list[int]], y: np.ndarray, size: int, l2: float = 1e
     return w[:size], float(w[size])
 
 
-def select_features(sets: list[set], y: np.ndarray, most: int) -> list[str]:
-    """The features of the largest likelihood-ratio statistic for the class, out of those in three rows of class 1 at least."""
-    n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    in1 = Counter(f for s, c in zip(sets, y, strict=True) if c for f in s)
-    in1 = {f: n for f, n in in1.items() if n >= 3}
-    in0 = Counter(f for s, c in zip(sets, y, strict=True) if not c for f in s if f in in1)
-    scored = []
-    for f, a in in1.items():
-        b = in0[f]
-        g = 0.0
-        for k, n, k2, n2 in ((a, n1, b, n0), (n1 - a, n1, n0 - b, n0)):
-            p = (k + k2) / (n1 + n0)
-            g += sum(o * np.log(o / (m * p)) for o, m in ((k, n), (k2, n2)) if o)
-        if a / n1 > b / max(1, n0):
-            scored.append((-g, f))
-    return [f for g, f in sorted(scored)[:most] if g < -4]
+def select_features(chosen: DataFrame, costs: np.ndarray, most: int) -> list[str]:
+    """The features of the largest likelihood-ratio statistic for class 1, of those that three of its rows hold at least. Counted in parallel."""
+
+    def tally(batches):
+        f, n = Features(costs), (Counter(), Counter())
+        for batch in batches:
+            for text, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                n[c].update(f(text))
+                n[c][""] += 1  # the rows themselves
+        names = list(n[0].keys() | n[1].keys())
+        for a in range(0, len(names), 10_000):
+            part = names[a : a + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([n[1][x] for x in part]), pa.array([n[0][x] for x in part])], ["feature", "n1", "n0"])
+
+    counts = chosen.mapInArrow(tally, "feature string, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where("n1 >= 3").persist()
+    rows = counts.where("feature = ''").first()
+    if rows is None or not rows.n0:
+        return []
+    in1, in0, all1, all0 = F.col("n1").cast("double"), F.col("n0").cast("double"), float(rows.n1), float(rows.n0)
+    g = F.lit(0.0)
+    for k1, k0 in ((in1, in0), (all1 - in1, all0 - in0)):
+        share = (k1 + k0) / (all1 + all0)
+        for seen, total in ((k1, all1), (k0, all0)):
+            g = g + F.when(seen > 0, seen * F.log(seen / (share * total))).otherwise(0.0)
+    best = counts.where("feature <> ''").where(in1 / all1 > in0 / all0).withColumn("g", g).where("g > 4").orderBy(F.desc("g"), "feature").limit(most)
+    out = [r.feature for r in best.select("feature").collect()]
+    counts.unpersist()
+    return out
 
 
 def held_out(doc_id) -> "F.Column":
@@ -209,27 +221,19 @@ def fit(docs: DataFrame, labels: DataFrame, costs: np.ndarray, rows: int, most_f
     # 2 * rows rows of two numbers at most: the documented bound of the sample.
     chosen = docs.join(F.broadcast(sample), "doc_id").select("text", "toxic")
 
-    def describe(batches):
-        f = Features(costs)
-        for batch in batches:
-            sets = ["\n".join(sorted(f(t))) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.string()), batch.column(1)], ["features", "toxic"])
-
-    got = chosen.mapInArrow(describe, "features string, toxic int").toArrow()
-    y = got["toxic"].to_numpy().astype(np.int64)
-    if not len(y) or y.min() == y.max():
+    names = {f: i for i, f in enumerate(select_features(chosen, costs, most_features))}
+    if not names:
         return {}, np.empty(0), -np.inf
-    order = np.argsort(np.array([hash_text(x) for x in got["features"].to_pylist()], np.uint64), kind="stable")
-    sets = [set(x.split("\n")) - {""} for x in got["features"].take(order).to_pylist()]
-    y = y[order]
-    names = {f: i for i, f in enumerate(select_features(sets, y, most_features))}
-    return names, *fit_logistic([[names[f] for f in sorted(s) if f in names] for s in sets], y, len(names))
-
 
-def hash_text(text: str) -> int:
-    from xxhash import xxh64_intdigest
+    def describe(batches):
+        f = Features(costs, names)
+        for batch in batches:
+            sets = [sorted(f(t)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.int32())), batch.column(1)], ["features", "toxic"])
 
-    return xxh64_intdigest(text)
+    got = chosen.mapInArrow(describe, "features array<int>, toxic int").toArrow().to_pylist()
+    rows_ = sorted((r["features"], r["toxic"]) for r in got)  # in one order, whichever way they came
+    return names, *fit_logistic([f for f, _ in rows_], np.array([y for _, y in rows_], np.int64), len(names))
 
 
 def scorer(docs: DataFrame, labels: DataFrame, rows: int = 4000, most_features: int = 2000):
