@@ -86,7 +86,7 @@ def slots(sources: DataFrame, block: int, cap: int, shard_slots: int, most_shard
     return counts.select("sidx", "blocks", F.explode(F.sequence(F.col("first"), F.col("end") - 1)).alias("slot"))
 
 
-def laid_out(rows: DataFrame, buckets: int, *payload: str) -> DataFrame:
+def laid_out(rows: DataFrame, buckets: int) -> DataFrame:
     """rows (sidx, doc_id, size, tie and payload) with at, the first word's place in the source's stream, and row, unique with sidx and bucket."""
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
     sums = rows.groupBy("sidx", "bucket").agg(F.sum("size").alias("n"))
@@ -94,7 +94,7 @@ def laid_out(rows: DataFrame, buckets: int, *payload: str) -> DataFrame:
     base = sums.select("sidx", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("sidx", "bucket").orderBy("doc_id", "size", "tie")
     rows = rows.withColumn("row", F.row_number().over(within)).withColumn("before", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    return rows.join(base, ["sidx", "bucket"]).select("sidx", "bucket", "row", "doc_id", "size", (F.col("base") + F.col("before")).alias("at"), *payload)
+    return rows.join(base, ["sidx", "bucket"]).select("sidx", "bucket", "row", "doc_id", "size", (F.col("base") + F.col("before")).alias("at"), "payload")
 
 
 class Mix:
@@ -102,12 +102,12 @@ class Mix:
 
     def __init__(self, docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float = 1.5, cap: int = 2, block: int = 32, shard_slots: int = 1024, most_shards: int = 256, buckets: int = 1024, seed: int = 7, payload: tuple[str, ...] = ()):
         prepare(docs.sparkSession)
-        rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].alias("source"), word_count(docs["text"]).alias("size"), F.xxhash64(docs["text"], docs["source"]).alias("tie"), *[docs[c] for c in payload])
+        rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].alias("source"), word_count(docs["text"]).alias("size"), F.xxhash64(docs["text"], docs["source"]).alias("tie"), F.struct(*[docs[c] for c in payload] or [F.lit(0)]).alias("payload"))
         rows, _ = materialize(rows, "mix-sizes")
         sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
         self.sources, _ = materialize(targets(sizes, weights, budget, cap), "mix-sources")
         numbered = rows.join(self.sources.select(F.col("source").alias("_s"), "sidx"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-        self.rows = laid_out(numbered, buckets, *payload)
+        self.rows = laid_out(numbered, buckets)
         drawn = slots(self.sources, block, cap, shard_slots, most_shards, seed)
         drawn = drawn.withColumn("epoch", F.floor(F.col("slot") / F.col("blocks")).cast("long"))
         drawn = drawn.withColumn("block", permuted(F.pmod("slot", "blocks"), F.col("blocks"), ["sidx", "epoch"], seed))
@@ -140,7 +140,9 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     copies = m.drawn.select("sidx", "bucket", "row", "skip", "words", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy"))
     copies = copies.groupBy("sidx", "bucket", "row", "copy").agg(F.sort_array(F.collect_list(F.struct("skip", "words"))).alias("parts"), F.sum("words").alias("got"))
     out = copies.join(m.rows, ["sidx", "bucket", "row"]).join(m.sources.select("sidx", "source"), "sidx")
-    words = F.regexp_extract_all(F.col("text"), F.lit(f"({WORD})"), F.lit(1))
+    text = F.col("payload").getField("text")
+    words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
     some = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(F.col("_words"), (p["skip"] + 1).cast("int"), p["words"].cast("int")))), " ")
-    out = out.withColumn("_words", F.when(F.col("got") < F.col("size"), words)).withColumn("text", F.when(F.col("got") == F.col("size"), F.col("text")).otherwise(some))
-    return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    out = out.withColumn("_words", F.when(F.col("got") < F.col("size"), words)).withColumn("_text", F.when(F.col("got") == F.col("size"), text).otherwise(some))
+    own = {"doc_id": F.col("doc_id"), "source": F.col("source"), "text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return out.select(*[own[c].alias(c) if c in own else F.col("payload").getField(c).alias(c) for c in docs.columns])

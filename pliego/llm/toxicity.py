@@ -251,7 +251,7 @@ def scorer(docs: DataFrame, labels: DataFrame, rows: int = 4000, most_features:
         if not held:
             held.append(Features(costs, names))
         z = np.array([bias + weights[list(held[0](t))].sum() for t in texts], np.float64)
-        return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+        return np.where(np.isneginf(z), 0.0, 1 / (1 + np.exp(-np.clip(z, -700, 700))))
 
     return rate
 
