@@ -208,6 +208,36 @@ def _blocks(ids: np.ndarray, offsets: np.ndarray, most: int = 2 << 20):
         a = b
 
 
+class Lookup:
+    """Places of keys in an array of distinct ones, by open addressing: one or two random reads a key, where a search takes twenty."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.bits = keys, max(4, int(2 * len(keys)).bit_length())
+        self.table = np.full(1 << self.bits, -1, np.int32)
+        left, at = np.arange(len(keys), dtype=np.int32), self._home(keys)
+        while len(left):
+            free = self.table[at] < 0
+            self.table[at[free]] = left[free]
+            lost = self.table[at] != left
+            left, at = left[lost], (at[lost] + 1) & (len(self.table) - 1)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """All keys must be there."""
+        at = self._home(keys)
+        out = self.table[at]
+        bad = np.flatnonzero(self.keys[out] != keys)
+        at = at[bad]
+        while len(bad):
+            at = (at + 1) & (len(self.table) - 1)
+            out[bad] = self.table[at]
+            wrong = self.keys[out[bad]] != keys[bad]
+            bad, at = bad[wrong], at[wrong]
+        return out
+
+
 class Buckets:
     """Buckets 0 to n - 1 hold n-grams by their two most recent context bytes, n to 2n - 1 words by hash."""
 
@@ -230,10 +260,15 @@ class Buckets:
             yield int(b[h]), order[h:e]
 
 
-def chunk_words(ids, offsets, text) -> tuple[dict[bytes, int], list[np.ndarray]]:
-    """The distinct words of a chunk, numbered as they come, and each document's words as numbers."""
+def chunk_words(offsets, text) -> tuple[dict[bytes, int], list[np.ndarray], list[bytes]]:
+    """The distinct words of a chunk, numbered as they come, each document's words as numbers, and its normal form."""
     names: dict[bytes, int] = {}
-    return names, [np.array([names.setdefault(w, len(names)) for w in text[offsets[i] : offsets[i + 1]].lower().split()], np.int64) for i in range(len(ids))]
+    numbers, forms = [], []
+    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+        words, form = normal_bytes(text[a:b])
+        numbers.append(np.array([names.setdefault(w, len(names)) for w in words], np.int32))
+        forms.append(form)
+    return names, numbers, forms
 
 
 def counted(chunks: DataFrame, buckets: Buckets) -> DataFrame:
@@ -246,15 +281,15 @@ def counted(chunks: DataFrame, buckets: Buckets) -> DataFrame:
                 ids, offsets, text = unpack_chunk(*packed)
                 train = training(ids)
                 found, times = [], []
+                names, docs, forms = chunk_words(offsets, text)
                 for a, b in _blocks(ids, offsets):
-                    parts = [normal_bytes(text[offsets[i] : offsets[i + 1]])[1] for i in range(a, b)]
+                    parts = forms[a:b]
                     for use in (True, False):
                         keys = np.sort(gram_keys([t for t, y in zip(parts, train[a:b], strict=True) if y == use], depth))
                         heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
                         found.append(keys[heads])
                         times.append(np.diff(np.r_[heads, len(keys)]) * use)
                 grams = merged(found, times)
-                names, docs = chunk_words(ids, offsets, text)
                 n = np.zeros(len(names), np.int64)
                 for numbers, y in zip(docs, train, strict=True):
                     if y:
@@ -356,57 +391,53 @@ def score(docs: DataFrame, depth: int = 5, chunk_bytes: int = 16 << 20) -> DataF
         for batch in batches:
             out = []
             for b, _, chunk, keys, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys = restored(keys, True)
+                asked, keys = keys, restored(keys, True)
                 if chunk < 0:
                     own, vals = keys, restored(values) if b >= buckets.n else np.frombuffer(values, "<f4")
                     continue
-                found = vals[np.searchsorted(own, keys)]  # in the order of its keys, which the chunk knows
-                out.append((chunk, b, squeezed(found) if b >= buckets.n else found.tobytes()))
+                found = vals[np.searchsorted(own, keys)]  # words come back in the order of their keys, which the chunk knows
+                out.append((chunk, b, None, squeezed(found)) if b >= buckets.n else (chunk, b, asked, found.tobytes()))
             for a in range(0, len(out), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[a : a + 64], strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["chunk_id", "bucket", "values"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[a : a + 64], strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["chunk_id", "bucket", "keys", "values"])
 
     n = shuffle_partitions(spark)
     met = given.unionByName(asked).repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part", "chunk_id")
-    answers = met.mapInArrow(answer, "chunk_id long, bucket int, values binary")
-    bodies = chunks.select("chunk_id", F.lit(1 << 30).alias("bucket"), F.lit(None).cast("binary").alias("values"), "doc_ids", "lengths", "body", "rest")
+    answers = met.mapInArrow(answer, "chunk_id long, bucket int, keys binary, values binary")
+    bodies = chunks.select("chunk_id", F.lit(1 << 30).alias("bucket"), F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("values"), "doc_ids", "lengths", "body", "rest")
     empty = [F.lit(None).cast("binary").alias(c) for c in ("doc_ids", "lengths", "body", "rest")]
-    joined = answers.select("chunk_id", "bucket", "values", *empty).unionByName(bodies).repartition(n, "chunk_id").sortWithinPartitions("chunk_id", "bucket")
+    joined = answers.select("chunk_id", "bucket", "keys", "values", *empty).unionByName(bodies).repartition(n, "chunk_id").sortWithinPartitions("chunk_id", "bucket")
 
     def finish(batches):
-        values: dict[int, np.ndarray] = {}
+        keys, logs, words = [], [], {}
         for batch in batches:
-            for _, bucket, v, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for _, bucket, k, v, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if packed[2] is None:
-                    values[bucket] = restored(v) if bucket >= buckets.n else np.frombuffer(v, "<f4")
+                    if k is None:
+                        words[bucket] = restored(v)
+                    else:
+                        keys.append(restored(k, True))
+                        logs.append(np.frombuffer(v, "<f4"))
                 else:
-                    yield from rate(*unpack_chunk(*packed), values)
-                    values = {}
+                    yield from rate(*unpack_chunk(*packed), np.concatenate(keys), np.concatenate(logs), words)
+                    keys, logs, words = [], [], {}
 
-    def valued(keys, bucket, values, kind):
-        out = np.zeros(len(keys), kind)
-        for b, at in buckets.deal(keys, bucket):
-            out[at] = values[b]
-        return out
-
-    def rate(ids, offsets, text, values):
-        keys = np.empty(0, np.uint64)
-        for a, b in _blocks(ids, offsets):
-            more = np.sort(gram_keys([normal_bytes(text[offsets[i] : offsets[i + 1]])[1] for i in range(a, b)], depth))
-            keys = np.union1d(keys, more[np.r_[True, more[1:] != more[:-1]]] if len(more) else more)
-        logs = valued(keys, buckets.of_grams(keys), values, np.float64)
-        names, numbers = chunk_words(ids, offsets, text)
+    def rate(ids, offsets, text, keys, logs, words):
+        find = Lookup(keys)
+        names, numbers, forms = chunk_words(offsets, text)
         own = np.r_[np.fromiter(map(_word_key, names), np.uint64, len(names)), np.array([_word_key(b"")], np.uint64)]
         distinct, back = np.unique(own, return_inverse=True)
-        count = valued(distinct, buckets.of_words(distinct), values, np.int64)[back.reshape(-1)]
-        value = np.log10(count + 1.0)
+        count = np.zeros(len(distinct), np.int64)
+        for b, at in buckets.deal(distinct, buckets.of_words(distinct)):
+            count[at] = words[b]
+        value = np.log10(count[back.reshape(-1)] + 1.0)
         end = value[-1]
         size, total = np.zeros(len(ids), np.int64), np.zeros(len(ids))
         for a, b in _blocks(ids, offsets):
-            parts = [normal_bytes(text[offsets[i] : offsets[i + 1]])[1] for i in range(a, b)]
-            at = np.searchsorted(keys, gram_keys(parts, depth))
+            parts = forms[a:b]
+            at = find(gram_keys(parts, depth))
             lengths = np.array([len(t) for t in parts])
             size[a:b] = lengths
-            total[a:b] = np.add.reduceat(logs[at], np.cumsum(lengths) - lengths)
+            total[a:b] = np.add.reduceat(logs[at].astype(np.float64), np.cumsum(lengths) - lengths)
         n = np.array([len(x) + 1 for x in numbers])
         base = np.array([value[x].sum() + end for x in numbers]) - n * log_base
         known = np.array([int((value[x] > 0).sum() + (end > 0)) for x in numbers])
