@@ -116,7 +116,8 @@ class Mix:
         parts = filled.select("*", F.explode(F.sequence(F.floor(F.col("at") / block).cast("long"), F.floor((F.col("at") + F.col("size") - 1) / block).cast("long"))).alias("block"))
         first, last = F.greatest(F.col("at"), F.col("block") * block), F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block)
         parts = parts.select("sidx", "bucket", "row", "block", (first - F.col("at")).alias("skip"), (last - first).alias("words"))
-        self.drawn = parts.join(drawn, ["sidx", "block"])
+        # Slots come from a few exploded rows, so the planner takes them for few and would broadcast them all.
+        self.drawn = parts.join(drawn.hint("merge"), ["sidx", "block"])
 
     def taken(self) -> DataFrame:
         got = self.drawn.groupBy("sidx", "bucket", "row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
