@@ -101,7 +101,7 @@ def task_number() -> int:
     return c.partitionId() if c else 0
 
 
-def pack_chunks(docs: DataFrame, chunk_bytes: int, carry: tuple[str, ...] = ()) -> DataFrame:
+def pack_chunks(docs: DataFrame, chunk_bytes: int, carry: tuple[str, ...] = (), level: int = 1) -> DataFrame:
     """Documents packed into chunks of about chunk_bytes of UTF-8: ids and lengths as int64, the texts joined and compressed.
 
     A chunk holds whole documents, so one longer than chunk_bytes makes a larger chunk. A null text counts as empty; a
@@ -112,7 +112,7 @@ def pack_chunks(docs: DataFrame, chunk_bytes: int, carry: tuple[str, ...] = ())
     def pack(batches):
         import zstandard
 
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=level)
         ids, texts, rest, size, made = [], [], [], 0, 0
         base = task_number() << 32
 

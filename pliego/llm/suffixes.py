@@ -121,10 +121,10 @@ def all_triggers(text: bytes, offsets: np.ndarray, length: int, k: int, keep=lam
     return out
 
 
-def packed(numbers: np.ndarray) -> bytes:
+def packed(numbers: np.ndarray, level: int = 1) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers).tobytes())
+    return zstandard.ZstdCompressor(level=level).compress(np.ascontiguousarray(numbers).tobytes())
 
 
 def unpacked(data: bytes, kind) -> np.ndarray:
@@ -241,7 +241,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, chunk_byte
     prepare(spark)
     n = shuffle_partitions(spark)
     buckets = 2 * n
-    chunks, _ = materialize(pack_chunks(docs, chunk_bytes, carry), "repeat-chunks")
+    chunks, _ = materialize(pack_chunks(docs, chunk_bytes, carry, level=5), "repeat-chunks")
 
     def send(batches):
         for batch in batches:
@@ -292,6 +292,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, chunk_byte
 
     hashes = chunks.mapInArrow(send, "bucket int, chunk_id long, hashes binary, many binary").repartition(n, "bucket").sortWithinPartitions("bucket")
     repeated, _ = materialize(hashes.mapInArrow(compare, "chunk_id long, bucket int, data binary"), "repeat-triggers")
+    del hashes
     release_shuffles(spark)
 
     def with_bodies(*answers: tuple[int, DataFrame]) -> DataFrame:
@@ -329,7 +330,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, chunk_byte
     def phrases(batches):
         for chunk, ids, offsets, text, held in bodies(batches):
             _, p = parsed(ids, offsets, text, held.get(0, {}))
-            rows = [(b, chunk, packed(p.rows[s:e]), packed(p.least[s:e])) for b, s, e in _cut(p.buckets)]
+            rows = [(b, chunk, packed(p.rows[s:e], 5), packed(p.least[s:e])) for b, s, e in _cut(p.buckets)]
             for a in range(0, len(rows), 16):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 16], strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "chunk_id", "rows", "least"])
 
@@ -348,6 +349,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, chunk_byte
 
     dealt = with_bodies((0, repeated)).mapInArrow(phrases, "bucket int, chunk_id long, rows binary, least binary").repartition(n, "bucket").sortWithinPartitions("bucket")
     masks, _ = materialize(dealt.mapInArrow(combine, "chunk_id long, bucket int, data binary"), "repeat-masks")
+    del dealt
     release_shuffles(spark)
 
     extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[docs[c] for c in carry]).schema)
