@@ -18,8 +18,8 @@ import numpy as np
 #: A space after white space is no sure cut.
 _AFTER_SPACE = [c + " " for c in map(chr, range(0x3001)) if c.isspace()]
 _CUT = re.compile(r" (?=\S)(?<=\S )")
-#: Letters up to U+024F, all of them, and a mark that the vocabularies' patterns always cut off.
-_LETTERS = re.compile("([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,]?)")
+#: Letters up to U+024F, of which all are letters to every version of Unicode.
+_LETTERS = re.compile("([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)")
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -32,7 +32,7 @@ def _byte_symbols() -> dict[int, str]:
 class SegmentEncoder:
     """keep_space: whether a segment keeps the space before it (byte-level vocabularies) or a space makes no token."""
 
-    def __init__(self, path: str, keep_space: bool, max_entries: int = 800_000, max_chars: int = 12_000_000):
+    def __init__(self, path: str, keep_space: bool, max_entries: int = 1_500_000, max_chars: int = 24_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -57,19 +57,19 @@ class SegmentEncoder:
         return array(self.code, [t.id for t in self.tokenizer.model.tokenize(symbols)]).tobytes()
 
     def _learn(self, segments: set[str]) -> None:
-        rest, cache, match = [], self.cache, _LETTERS.fullmatch
+        rest, cache, match, letters = [], self.cache, _LETTERS.fullmatch, self._letters
         for s in segments:
+            stem, mark = (s[:-1], s[-1]) if s[-1:] in self.marks else (s, "")
             ids = None
-            if m := match(s):
-                stem, mark = m.groups()
-                ids = cache.get(stem) or self._letters(stem)
+            if stem.isalpha() and (stem.isascii() or match(stem)):
+                ids = cache.get(stem) or letters(stem)
                 if ids and mark:
                     cache[stem] = ids
                     ids += self.marks[mark]
-            if ids is None:
-                rest.append(s)
-            else:
+            if ids:
                 cache[s] = ids
+            else:
+                rest.append(s)
         for s, e in zip(rest, self.tokenizer.encode_batch_fast([self.space + s for s in rest], add_special_tokens=False), strict=True):
             cache[s] = array(self.code, e.ids).tobytes()
         self.chars += sum(map(len, segments))
@@ -88,19 +88,21 @@ class SegmentEncoder:
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.cache) > self.max_entries or self.chars > self.max_chars:
             self.cache, self.chars = {}, 0
-        cut, found = [self._cut(t) for t in texts], []
+        cut, found, gaps = [self._cut(t) for t in texts], [], []
         get, new = self.cache.get, set()
         for segments in cut:
             ids = list(map(get, segments))
-            if None in ids:
-                new.update(s for s, x in zip(segments, ids, strict=True) if x is None)
+            # all() is much cheaper than looking for None, and most texts have few segments that are new.
+            missing = [] if all(ids) else [k for k, x in enumerate(ids) if x is None]
+            new.update([segments[k] for k in missing])
             found.append(ids)
+            gaps.append(missing)
         if new:
             self._learn(new)
-        out = []
-        for segments, ids in zip(cut, found, strict=True):
-            if None in ids:
-                ids = [self.cache[s] if x is None else x for s, x in zip(segments, ids, strict=True)]
+        cache, out = self.cache, []
+        for segments, ids, missing in zip(cut, found, gaps, strict=True):
+            for k in missing:
+                ids[k] = cache[segments[k]]
             if self.keep_space or not segments[0]:  # the first has no space before it
                 ids[0] = self._whole(segments[0]) if segments[0] else b""
             out.append(np.frombuffer(b"".join(ids), self.dtype))
