@@ -17,6 +17,9 @@ import numpy as np
 
 #: A space after white space is no sure cut.
 _AFTER_SPACE = [c + " " for c in map(chr, range(0x3001)) if c.isspace()]
+_AFTER_ASCII_SPACE = [x for x in _AFTER_SPACE if x.isascii()]
+#: What Python takes for white space and the tokenizers don't.
+_SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 _CUT = re.compile(r" (?=\S)(?<=\S )")
 #: Letters up to U+024F, of which all are letters to every version of Unicode.
 _LETTERS = re.compile("([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)")
@@ -43,29 +46,25 @@ class SegmentEncoder:
         self.symbols = _byte_symbols()
         self.head = self.space.translate(self.symbols)
         self.cache: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}  # of segments without a space before them
         self.chars = 0
         self.marks = {m: self._whole(m) for m in ".,"}
+        self.line_end = self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _letters(self, s: str) -> bytes | None:
+    def _letters(self, s: str, space: bool = True) -> bytes | None:
         """Ids of a segment of Latin letters, which is one pre-token; None where lower-casing makes it more than that."""
         if not self.keep_space and not (s := s.lower()).isalpha():
             return None
-        symbols = self.head + s if s.isascii() else (self.space + s).encode().decode("latin-1").translate(self.symbols)
+        symbols = (self.head if space else "") + (s if s.isascii() else s.encode().decode("latin-1").translate(self.symbols))
         return array(self.code, [t.id for t in self.tokenizer.model.tokenize(symbols)]).tobytes()
 
     def _learn(self, segments: set[str]) -> None:
-        rest, cache, match, letters = [], self.cache, _LETTERS.fullmatch, self._letters
+        rest, cache = [], self.cache
         for s in segments:
-            stem, mark = (s[:-1], s[-1]) if s[-1:] in self.marks else (s, "")
-            ids = None
-            if stem.isalpha() and (stem.isascii() or match(stem)):
-                ids = cache.get(stem) or letters(stem)
-                if ids and mark:
-                    cache[stem] = ids
-                    ids += self.marks[mark]
+            ids = self._lines(s) if "\n" in s else self._word(s, cache, True)
             if ids:
                 cache[s] = ids
             else:
@@ -74,20 +73,46 @@ class SegmentEncoder:
             cache[s] = array(self.code, e.ids).tobytes()
         self.chars += sum(map(len, segments))
 
+    def _word(self, s: str, cache: dict[str, bytes], space: bool) -> bytes | None:
+        """Ids of Latin letters and perhaps a mark; None for any other segment."""
+        stem, mark = (s[:-1], s[-1]) if s[-1:] in self.marks else (s, "")
+        if not (stem.isalpha() and (stem.isascii() or _LETTERS.fullmatch(stem))):
+            return None
+        ids = cache.get(stem) or self._letters(stem, space)
+        if ids and mark:
+            cache[stem] = ids
+            ids += self.marks[mark]
+        return ids
+
+    def _lines(self, s: str) -> bytes | None:
+        """Ids of a segment that goes over line ends, each between two characters that aren't white space: these are pre-tokens of their own."""
+        parts = s.split("\n")
+        if not self.keep_space or parts != s.split():
+            return None
+        out = [self.cache.get(parts[0]) or self._word(parts[0], self.cache, True)]
+        for p in parts[1:]:
+            ids = self.bare.get(p) or self._word(p, self.bare, False) or self._whole(p)
+            self.bare[p] = ids
+            out += [self.line_end, ids]
+        return b"".join(out) if out[0] else None
+
     def _cut(self, text: str) -> list[str]:
-        if not self.keep_space:  # these vocabularies lower-case; doing it here makes fewer segments, and differs for no Latin-1 text
+        if not self.keep_space:  # no token of these vocabularies holds white space, and all are lower-case
+            if any(x in text for x in _SEPARATORS):
+                return _CUT.split(text)
             try:
                 text.encode("latin-1")
                 text = text.lower()
             except UnicodeEncodeError:
                 pass
-        if text[:1] == " " or any(x in text for x in _AFTER_SPACE):
+            return text.split() or [""]
+        if text[:1] == " " or any(x in text for x in (_AFTER_ASCII_SPACE if text.isascii() else _AFTER_SPACE)):
             return _CUT.split(text)
         return text.split(" ")
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.cache) > self.max_entries or self.chars > self.max_chars:
-            self.cache, self.chars = {}, 0
+            self.cache, self.bare, self.chars = {}, {}, 0
         cut, found, gaps = [self._cut(t) for t in texts], [], []
         get, new = self.cache.get, set()
         for segments in cut:
