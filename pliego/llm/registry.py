@@ -83,4 +83,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import oracles
+
+    return {"op2_spherical_caps": oracles.OP2, "op3_line_frequency": oracles.OP3, "op8_warc": oracles.OP8}
