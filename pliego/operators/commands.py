@@ -207,3 +207,35 @@ def write_snapshot(root: str, name: str, **frames: DataFrame) -> str:
 def read_snapshot(spark, root: str, table: str) -> DataFrame:
     name = spark.read.schema("snapshot string").json(f"{root}/current").first().snapshot
     return spark.read.parquet(f"{root}/{name}/{table}")
+
+
+def split_book(docs: DataFrame, pages: DataFrame, page_id, left: DataFrame, right: DataFrame, now: int) -> Store:
+    """A page that shows an open book becomes two: left takes its place, right follows it; neither keeps marks, read text or rotation."""
+    doc_id = pages.where(F.col("id") == F.lit(page_id)).select("doc_id").first()
+    if doc_id is None:
+        return docs, pages
+    fresh = lambda p: p.withColumns({c: F.lit(v).cast(pages.schema[c].dataType) for c, v in (("marcas", None), ("ocr", None), ("rotacion", 0)) if c in pages.columns})
+    left = fresh(left).withColumn("id", F.lit(page_id).cast(pages.schema["id"].dataType)).withColumn("doc_id", F.lit(doc_id[0]))
+    return insert_page_after(docs, upsert(pages, left), doc_id[0], fresh(right), page_id, now)
+
+
+def save_cover(docs: DataFrame, pages: DataFrame, doc_id, cover: DataFrame, now: int) -> Store:
+    """A document's cover page: new content under the old id, time and marks where there is one, else a new first page."""
+    old = pages.where((F.col("doc_id") == F.lit(doc_id)) & (F.col("modo") == "portada") & F.col("papelera").isNull()).select("id").first()
+    if old is None:
+        return insert_page_at(docs, pages, doc_id, cover, 0, now)
+    kept = pages.where(F.col("id") == F.lit(old.id)).select(*[F.col(c).alias(f"_{c}") for c in ("id", "doc_id", "creada", "marcas") if c in pages.columns])
+    names = [c[1:] for c in kept.columns]
+    new = cover.drop(*names).crossJoin(kept).withColumnsRenamed({f"_{c}": c for c in names})  # one row by one row
+    return _change(docs, doc_id, modificado=F.lit(now)), upsert(pages, new)
+
+
+def lock_settings(settings: F.Column, pin: str | None = None, wait_ms: int | None = None, without_fingerprint: bool = False, removed: bool = False) -> F.Column:
+    """A settings map after a change to its lock: a new PIN keeps wait and fingerprint and forgets failures; removing the lock removes all of it."""
+    lock = ("pin", "espera", "huella", "fallos", "hasta")
+    if removed:
+        return F.map_filter(settings, lambda k, v: ~k.isin(*lock))
+    new = {k: v for k, v in (("pin", pin), ("espera", None if wait_ms is None else str(wait_ms))) if v is not None}
+    gone = [*new, *(("fallos", "hasta") if pin is not None else ()), *(("huella",) if without_fingerprint else ())]
+    kept = F.map_filter(settings, lambda k, v: ~k.isin(*gone)) if gone else settings
+    return F.map_concat(kept, F.create_map(*[F.lit(x) for kv in new.items() for x in kv]).cast("map<string,string>")) if new else kept

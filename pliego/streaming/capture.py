@@ -215,3 +215,55 @@ def over_stream(rows: DataFrame, key: str, machine: Callable[..., object], order
 
 def accepted_codes_batch(scans: DataFrame, quiet_ms: int = 3000) -> DataFrame:
     return over_batch(scans, "code", CodeFilter, quiet_ms=quiet_ms)
+
+
+class Latest:
+    """The last record of a key, as each arrives: diagnostics of the last capture."""
+
+    schema = "key string, at long, record string"
+
+    def __init__(self, state: dict | None = None):
+        self.record = (state or {}).get("record")
+
+    def state(self) -> dict:
+        return {"record": self.record}
+
+    def step(self, row: dict) -> dict:
+        self.record = row["record"]
+        return {"key": row["key"], "at": row["at"], "record": row["record"]}
+
+
+class InactivityLock:
+    """Locks once the library was hidden for as long as the wait. Rows: hidden or shown, at."""
+
+    schema = "user string, at long, locked boolean"
+
+    def __init__(self, wait_ms: int = 60_000, state: dict | None = None):
+        self.wait, self.hidden = wait_ms, (state or {}).get("hidden")
+
+    def state(self) -> dict:
+        return {"hidden": self.hidden}
+
+    def step(self, row: dict) -> dict | None:
+        if row["hidden"]:
+            self.hidden = row["at"] if self.hidden is None else self.hidden
+            return None
+        away, self.hidden = self.hidden, None
+        return {"user": row["user"], "at": row["at"], "locked": away is not None and row["at"] - away >= self.wait}
+
+
+class Retake:
+    """A blurry photo is taken again, twice at most; after that it is kept as it is."""
+
+    schema = "page string, at long, action string"
+
+    def __init__(self, most: int = 2, state: dict | None = None):
+        self.most, self.tried = most, (state or {}).get("tried", 0)
+
+    def state(self) -> dict:
+        return {"tried": self.tried}
+
+    def step(self, row: dict) -> dict:
+        again = row["blurry"] and self.tried < self.most
+        self.tried = self.tried + 1 if again else 0
+        return {"page": row["page"], "at": row["at"], "action": "again" if again else "keep"}

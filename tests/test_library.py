@@ -325,3 +325,36 @@ def test_registered_queries_have_sql():
     found, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(found) and len(found) >= 50
     assert pd.Series(list(found)).is_unique and zlib.crc32(b"") == 0
+
+
+def test_books_covers_and_locks(spark):
+    docs, pages, _ = store(spark)
+    pages = pages.withColumns({"modo": F.lit(None).cast("string"), "creada": F.lit(1).cast("long"), "rotacion": F.lit(2)})
+    half = lambda i: spark.createDataFrame([(i, None, f"half {i}", None, None, 5, 3)], pages.schema)
+    d, p = commands.split_book(docs, pages, "p1", half("a"), half("b"), 9)
+    assert shape(d, p)[0]["d1"] == ["p1", "b", "px", "p2"] and {r.id: r.rotacion for r in p.collect()}["p1"] == 0
+    cover = spark.createDataFrame([("c", None, "cover", None, "portada", 7, 0)], pages.schema)
+    d, p = commands.save_cover(docs, pages, "d1", cover, 9)
+    assert shape(d, p)[0]["d1"][0] == "c"
+    again = cover.withColumn("id", F.lit("c2")).withColumn("creada", F.lit(99).cast("long")).withColumn("texto", F.lit("new"))
+    d, p = commands.save_cover(d, p, "d1", again, 10)
+    row = p.where("id = 'c'").first()
+    assert shape(d, p)[0]["d1"].count("c") == 1 and (row.creada, row.texto, row.doc_id) == (7, "new", "d1") and p.where("id = 'c2'").isEmpty()
+    have = F.create_map(*map(F.lit, ("pin", "1", "espera", "5", "fallos", "3", "tema", "x")))
+    assert one(spark, commands.lock_settings(have, pin="2")) == {"pin": "2", "espera": "5", "tema": "x"} and one(spark, commands.lock_settings(have, removed=True)) == {"tema": "x"}
+
+
+def test_profiles():
+    y = np.arange(400)
+    profile = np.maximum(0, np.cos(2 * np.pi * y / 25))
+    assert images.row_pitch(profile, 10, 60) == 25 and images.row_pitch(np.ones(50), 5, 20) is None
+    assert np.diff(images.peaks(profile, 6, 0.5))[:14].tolist() == [25] * 14
+    tracks = images.row_tracks([np.array([10, 35]), np.array([11, 36]), np.array([12, 37, 60])], 25)
+    assert sorted(len(t) for t in tracks) == [1, 3, 3]
+    assert images.straight_stroke(np.array([0, 5, 10, 5.2, 20, 5.1]), 2)[:, 1] == pytest.approx([5.1, 5.1]) and images.straight_stroke(np.array([0, 0, 5, 50, 10, 0]), 2) is None
+    size, cards = images.cards_on_sheet((215.9, 279.4), 2)
+    assert size == (2550, 3300) and cards[0][2:] == (1011, 638)
+    m = capture.Retake()
+    assert [m.step({"page": "p", "at": k, "blurry": True})["action"] for k in range(4)] == ["again", "again", "keep", "again"]
+    m = capture.InactivityLock(100)
+    assert [m.step({"user": "u", "at": t, "hidden": h}) for t, h in ((0, True), (50, False), (60, True), (200, False))][1::2] == [{"user": "u", "at": 50, "locked": False}, {"user": "u", "at": 200, "locked": True}]
