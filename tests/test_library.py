@@ -358,3 +358,20 @@ def test_profiles():
     assert [m.step({"page": "p", "at": k, "blurry": True})["action"] for k in range(4)] == ["again", "again", "keep", "again"]
     m = capture.InactivityLock(100)
     assert [m.step({"user": "u", "at": t, "hidden": h}) for t, h in ((0, True), (50, False), (60, True), (200, False))][1::2] == [{"user": "u", "at": 50, "locked": False}, {"user": "u", "at": 200, "locked": True}]
+
+
+def test_encrypted_pdf(spark):
+    from pliego.sources.encryption import Lock, _hash, cbc
+
+    key, plain = bytes.fromhex("000102030405060708090a0b0c0d0e0f"), bytes.fromhex("00112233445566778899aabbccddeeff")
+    assert cbc(key, bytes(16), plain).hex() == "69c4e0d86a7b0430d8cdb78070b4c55a"
+    assert cbc(key + bytes.fromhex("101112131415161718191a1b1c1d1e1f"), bytes(16), plain).hex() == "8ea2b7ca516745bfeafc49904b496089"
+    lock = Lock("clave")
+    opened = spark.createDataFrame([(lock(b"page one"), lock.key)], "data binary, key binary").select(F.aes_decrypt("data", "key", F.lit("CBC"))).first()[0]
+    assert bytes(opened) == b"page one"
+    field = lambda name: bytes.fromhex(lock.dictionary.split(f"/{name} <")[1].split(">")[0])
+    assert _hash(b"clave", field("U")[32:40]) == field("U")[:32] and _hash(b"clave", field("O")[32:40], field("U")) == field("O")[:32]
+    assert _hash(b"other", field("U")[32:40]) != field("U")[:32]
+    bits = {"kind": "bits", "bytes": bytes(2), "width": 8, "height": 2}
+    pdf = sinks.pdf_bytes("Secreto", [bits], password="clave")
+    assert b"/Encrypt" in pdf and b"/V 5 /R 6" in pdf and "Secreto".encode("utf-16-be").hex().upper().encode() not in pdf
