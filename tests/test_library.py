@@ -375,3 +375,41 @@ def test_encrypted_pdf(spark):
     bits = {"kind": "bits", "bytes": bytes(2), "width": 8, "height": 2}
     pdf = sinks.pdf_bytes("Secreto", [bits], password="clave")
     assert b"/Encrypt" in pdf and b"/V 5 /R 6" in pdf and "Secreto".encode("utf-16-be").hex().upper().encode() not in pdf
+
+
+def test_images_over_rows(spark):
+    rows = [(k, {"width": 360, "height": 480, "data": page(k).tobytes()}) for k in (1, 2)]
+    df = spark.createDataFrame(rows, "id int, image struct<width:int,height:int,data:binary>")
+    turned = images.on_images(df, lambda img, row: images.turn(img, 1) if row["id"] == 1 else None).collect()
+    assert [(r.id, r.image.width, r.image.height) for r in turned] == [(1, 480, 360)]
+    got = images.measured(df, "id int, sharp double", lambda img, row: {"sharp": images.sharpness(img)}).collect()
+    assert all(r.sharp > 0.28 for r in got)
+    assert images.process(page(1), {"filtro": "bn", "rotacion": 1})[0].shape == (360, 480, 4)
+
+
+def test_pages_from_pieces_and_files_per_document(spark, tmp_path):
+    pieces = [(k, t, x, y, 20.0, 60.0) for k in (1, 2) for t, x, y in (("mundo", 160.0, 100.0), ("Hola ", 100.0, 101.0), ("Fin", 100.0, 160.0))]
+    df = spark.createDataFrame(pieces, "page_id int, str string, x double, y double, h double, w double")
+    read = layout.read_chunks(df).orderBy("page_id").collect()
+    assert [r.texto for r in read] == ["Hola mundo\n\nFin"] * 2 and len(read[0].lineas) == 2
+    pages = spark.createDataFrame([("d", 1, "dos"), ("d", 0, "uno"), ("e", 0, "tres")], "doc string, pos int, texto string")
+    made = sinks.files_per_document(pages, "doc", lambda rows: (f"{rows[0]['doc']}.docx", sinks.docx_bytes(rows[0]["doc"], [r["texto"] for r in rows])))
+    body = {r.name: zipfile.ZipFile(io.BytesIO(r.content)).read("word/document.xml").decode() for r in made.collect()}
+    assert body["d.docx"].index("uno") < body["d.docx"].index("dos") and "tres" in body["e.docx"]
+    (tmp_path / "a.zip").write_bytes(sinks.zip_bytes([("x", b"1")]))
+    assert [(r.name, bytes(r.content)) for r in files.entries(files.files(spark, str(tmp_path))).collect()] == [("x", b"1")]
+
+
+def test_filters_of_pages(spark):
+    schema = "id string, filtro string, nitidez double, papelera long, modo string, no_repetida boolean, repetida string, marcas array<struct<tipo:string>>"
+    p = spark.createDataFrame([("a", "mejorada", 0.2, None, None, None, "x", [("resaltador",)]), ("b", "dibujo", 0.2, None, "portada", None, None, None), ("c", "bn", None, 5, None, True, "gone", [("nota",)])], schema)
+    pick = lambda c: [r.id for r in p.where(c).orderBy("id").collect()]
+    assert pick(library.blurry(p)) == ["a"] and pick(library.comparable(p)) == ["a"] and pick(library.has_highlights(p["marcas"])) == ["a"]
+    assert pick(library.still_repeated(p["repetida"], F.array(F.lit("x"), F.lit("y")))) == ["a"]
+    square = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (1, 0), (1, 1), (0, 1))])
+    assert one(spark, library.convex(square)) and one(spark, highlights.nearest_corner(square, F.lit(0.9), F.lit(0.2))) == 1
+    sizes = spark.createDataFrame([("d", 10, 20), ("d", 20, 10), ("e", 20, 10)], "doc_id string, ancho int, alto int")
+    assert {r.doc_id: r.upright for r in library.sheet_orientation(sizes).collect()} == {"d": True, "e": False}
+    covers = spark.createDataFrame([("t", {"tema": "", "clase": "Mate"}, {"tema": "x", "clase": ""}, None)], "id string, clase struct<tema:string,clase:string>, perfil struct<tema:string,clase:string>, actual struct<tema:string,clase:string>")
+    assert tuple(library.cover_defaults(covers, ["tema", "clase"]).first().portada) == ("x", "Mate")
+    assert one(spark, highlights.normal_signature(F.array(F.array(*map(F.lit, (10.0, 10.0, 60.0, 30.0)))), F.lit(2.0))).aspect == pytest.approx(24 / 54)
