@@ -174,5 +174,24 @@ def id_column(ids: np.ndarray) -> pa.Array:
     return pa.array(ids, pa.int64(), mask=ids == NO_ID)
 
 
+#: Emptied when a worker turns to another operator's tasks.
+WORKER_CACHES: list[dict] = []
+
+
+def fresh_worker() -> None:
+    """Give back what earlier tasks of other operators left in this Python worker, which Spark uses again and again."""
+    import ctypes
+    import gc
+
+    if any(WORKER_CACHES):
+        for cache in WORKER_CACHES:
+            cache.clear()
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own ways
+        pass
+
+
 def unsigned_crc32(column) -> "F.Column":
     return F.crc32(column.cast("string").cast("binary"))

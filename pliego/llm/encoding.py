@@ -15,6 +15,8 @@ from array import array
 
 import numpy as np
 
+from ._common import WORKER_CACHES
+
 #: A space after white space is no sure cut.
 _AFTER_SPACE = [c + " " for c in map(chr, range(0x3001)) if c.isspace()]
 _AFTER_ASCII_SPACE = [x for x in _AFTER_SPACE if x.isascii()]
@@ -35,7 +37,7 @@ def _byte_symbols() -> dict[int, str]:
 class SegmentEncoder:
     """keep_space: whether a segment keeps the space before it (byte-level vocabularies) or a space makes no token."""
 
-    def __init__(self, path: str, keep_space: bool, max_entries: int = 1_500_000, max_chars: int = 24_000_000):
+    def __init__(self, path: str, keep_space: bool, max_entries: int = 800_000, max_chars: int = 14_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -138,6 +140,7 @@ class SegmentEncoder:
 
 
 _encoders: dict[tuple[str, bool], SegmentEncoder] = {}
+WORKER_CACHES.append(_encoders)
 
 
 def shared_encoder(path: str, keep_space: bool) -> SegmentEncoder:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import doc_columns, materialize, prepare, shuffle_partitions
+from ._common import doc_columns, fresh_worker, materialize, prepare, shuffle_partitions
 from .components import components
 
 
@@ -60,6 +60,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
     prepare(docs.sparkSession)
 
     def make(batches):
+        fresh_worker()
         spread = _spread()
         for batch in batches:
             fps = [fingerprint(shingle_hashes(t, shingle, seed), spread) for t in batch.column(1).to_pylist()]
@@ -181,6 +182,7 @@ def links(distinct: DataFrame, k: int = 3, blocks: int | None = None, most: int
         return fps[order[other]].view(np.int64), fps[order[labels[other]]].view(np.int64)
 
     def join(batches):
+        fresh_worker()
         held, rows, last = [], 0, None
 
         def out():

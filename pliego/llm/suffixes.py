@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import carried, id_column, materialize, pack_chunks, prepare, release_shuffles, shuffle_partitions, unpack_chunk
+from ._common import carried, fresh_worker, id_column, materialize, pack_chunks, prepare, release_shuffles, shuffle_partitions, unpack_chunk
 
 LENGTH, K = 50, 18
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -244,6 +244,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, chunk_byte
     chunks, _ = materialize(pack_chunks(docs, chunk_bytes, carry, level=5), "repeat-chunks")
 
     def send(batches):
+        fresh_worker()
         for batch in batches:
             for chunk, *body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids, offsets, text = unpack_chunk(*body)
@@ -256,6 +257,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, chunk_byte
 
     def grouped(batches, work):
         """Calls work(bucket, rows) for the rows of each bucket, which come in order."""
+        fresh_worker()
         held, now = [], None
         for batch in batches:
             for b, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -305,6 +307,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, chunk_byte
 
     def bodies(batches):
         """(chunk, ids, offsets, text, {kind: {bucket: data}, "rest": the columns carried})"""
+        fresh_worker()
         held: dict = {}
         for batch in batches:
             for chunk, kind, bucket, data, *body in zip(*(c.to_pylist() for c in batch.columns), strict=True):

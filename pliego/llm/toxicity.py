@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import doc_columns, prepare, unsigned_crc32
+from ._common import doc_columns, fresh_worker, prepare, unsigned_crc32
 
 GAP = 26
 #: What signs stand for, besides noise.
@@ -58,6 +58,7 @@ def character_model(docs: DataFrame) -> np.ndarray:
     """Costs (minus log probability) of a code after two, 27 x 27 x 27, from all documents' trigrams."""
 
     def count(batches):
+        fresh_worker()
         total = np.zeros(27**3, np.int64)
         for batch in batches:
             for t in batch.column(0).to_pylist():
@@ -249,6 +250,7 @@ def scorer(docs: DataFrame, labels: DataFrame, rows: int = 4000, most_features:
     def rate(texts: list[str | None]) -> np.ndarray:
         names, weights, bias, costs = model.value
         if not held:
+            fresh_worker()
             held.append(Features(costs, names))
         z = np.array([bias + weights[list(held[0](t))].sum() for t in texts], np.float64)
         return np.where(np.isneginf(z), 0.0, 1 / (1 + np.exp(-np.clip(z, -700, 700))))
