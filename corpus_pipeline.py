@@ -22,12 +22,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, by shingles of five words.
+    """One document of each group of near-duplicates: those that links of a Jaccard similarity of 0.8 join, by shingles of five words.
 
-    A similarity of 0.8 (Jaccard) is a cosine of 0.89, at which 64-bit fingerprints differ in 9.7 bits on average. Links are drawn
-    at 8: unrelated texts differ in that few with a probability of 3e-10. README has the recall by similarity.
+    Fingerprints only find the candidates; each link is verified by the shingles. README has the recall by similarity.
     """
-    return simhash.one_of_each(docs.select(*COLUMNS), shingle=5, k=8, blocks=10)
+    return simhash.one_of_each_similar(docs.select(*COLUMNS), shingle=5, least=0.8)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import doc_columns, fresh_worker, materialize, prepare, shuffle_partitions
+from ._common import doc_columns, fresh_worker, materialize, prepare, release_shuffles, shuffle_partitions
 from .components import components
 
 
@@ -87,9 +87,12 @@ def merge_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
     return labels
 
 
-def trie_links(values: np.ndarray, depth: int, k: int, block: int = 1 << 16, small: int = 64) -> np.ndarray:
-    """values: sorted distinct uint64. Labels of components under links of at most k differing bits between values that agree on the first depth bits."""
-    labels = np.arange(len(values))
+def trie_links(values: np.ndarray, depth: int, k: int, block: int = 1 << 16, small: int = 64, other: np.ndarray | None = None, total: int = 128) -> np.ndarray:
+    """values: sorted distinct uint64. Labels of components under links of at most k differing bits between values that agree on the first depth bits.
+
+    With a second fingerprint in `other`, values may repeat, equal ones are linked, and a link has at most `total` differing bits in both.
+    """
+    labels = np.arange(len(values)) if other is None else np.searchsorted(values, values)
     heads = np.flatnonzero(np.r_[True, (values[1:] >> np.uint64(64 - depth)) != (values[:-1] >> np.uint64(64 - depth))]) if len(values) else np.empty(0, int)
     tails = np.r_[heads[1:], len(values)]
     many = tails - heads > 1
@@ -112,7 +115,10 @@ def trie_links(values: np.ndarray, depth: int, k: int, block: int = 1 << 16, sma
             nth = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
             width = (b1 - b0)[which]
             i, j = a0[which] + nth // width, b0[which] + nth % width
-            near = (i < j) & (np.bitwise_count(values[i] ^ values[j]) <= k)
+            bits = np.bitwise_count(values[i] ^ values[j])
+            near = (i < j) & (bits <= k)
+            if other is not None:
+                near &= bits + np.bitwise_count(other[i] ^ other[j]) <= total
             labels = merge_labels(labels, i[near], j[near])
         go = ~done & ~now
         if not go.any():
@@ -148,17 +154,21 @@ def turned(fps: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
     return out
 
 
-def links(distinct: DataFrame, k: int = 3, blocks: int | None = None, most: int = 20_000) -> DataFrame:
+def links(distinct: DataFrame, k: int = 3, blocks: int | None = None, most: int = 20_000, total: int | None = None) -> DataFrame:
     """Edges (a, b) between the distinct fingerprints fp that span all links of at most k differing bits.
 
     With `blocks` blocks of bits (k + 1 by default), two linked fingerprints agree on blocks - k of them: a trie is rooted for
     each choice of so many, so more blocks mean more copies of each fingerprint and fewer to a root.
+
+    With `total`, distinct has a second fingerprint in `other` and a number in `node`, fp may repeat, and edges are between nodes:
+    they span the links of at most k differing bits in fp and `total` in both, of those that agree on blocks of fp as the roots have them.
     """
     spark = distinct.sparkSession
     prepare(spark)
     blocks = blocks or k + 1
-    orders = tables(k, blocks)
-    chosen = blocks - k
+    chosen = max(2, blocks - k) if total else blocks - k
+    orders = tables(blocks - chosen, blocks)
+    extra = ["other", "node"] if total else []
 
     def value(spans):
         out = F.lit(0).cast("long")
@@ -166,11 +176,11 @@ def links(distinct: DataFrame, k: int = 3, blocks: int | None = None, most: int
             out = F.shiftleft(out, b - a).bitwiseOR(F.shiftrightunsigned(F.col("fp"), 64 - b).bitwiseAND(F.lit((1 << (b - a)) - 1)))
         return out
 
-    rooted = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("turn"), value(spans[:chosen]).alias("root")) for i, spans in enumerate(orders)])).alias("x")).select("fp", "x.turn", "x.root")
+    rooted = distinct.select("fp", *extra, F.explode(F.array(*[F.struct(F.lit(i).alias("turn"), value(spans[:chosen]).alias("root")) for i, spans in enumerate(orders)])).alias("x")).select("fp", *extra, "x.turn", "x.root")
     large = rooted.groupBy("turn", "root").agg(F.count("*").alias("n")).where(F.col("n") > most).select("turn", "root", F.ceil(F.col("n") / most).alias("parts"))
     rooted = rooted.join(large, ["turn", "root"], "left").withColumn("part", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1), lambda j: F.struct(F.least(j, F.col("part")).alias("p"), F.greatest(j, F.col("part")).alias("q")))
-    dealt = rooted.select("turn", "root", "fp", F.explode(pairs).alias("x")).select("turn", "root", "fp", "x.p", "x.q")
+    dealt = rooted.select("turn", "root", "fp", *extra, F.explode(pairs).alias("x")).select("turn", "root", "fp", *extra, "x.p", "x.q")
     dealt = dealt.repartition(shuffle_partitions(spark), "turn", "root", "p", "q").sortWithinPartitions("turn", "root", "p", "q")
 
     def spanning(turn: int, fps: np.ndarray):
@@ -181,6 +191,13 @@ def links(distinct: DataFrame, k: int = 3, blocks: int | None = None, most: int
         other = np.flatnonzero(labels != np.arange(len(labels)))
         return fps[order[other]].view(np.int64), fps[order[labels[other]]].view(np.int64)
 
+    def both(turn: int, fps: np.ndarray, other: np.ndarray, node: np.ndarray):
+        values = turned(fps, orders[turn])
+        order = np.argsort(values, kind="stable")
+        labels = trie_links(values[order], sum(e - s for s, e in orders[turn][:chosen]), k, 1 << 12, 1 << 10, other[order], total)
+        found = np.flatnonzero(labels != np.arange(len(labels)))
+        return node[order[found]], node[order[labels[found]]]
+
     def join(batches):
         fresh_worker()
         held, rows, last = [], 0, None
@@ -191,7 +208,10 @@ def links(distinct: DataFrame, k: int = 3, blocks: int | None = None, most: int
             fps = table["fp"].to_numpy().view(np.uint64)
             # Groups of one turn and pair of parts share a forest, whose roots tell them apart.
             for at in np.split(np.arange(len(turn)), np.flatnonzero((turn[1:] != turn[:-1]) | (p[:, 1:] != p[:, :-1]).any(axis=0)) + 1):
-                a, b = spanning(int(turn[at[0]]), fps[at])
+                if total:
+                    a, b = both(int(turn[at[0]]), fps[at], table["other"].to_numpy().view(np.uint64)[at], table["node"].to_numpy()[at])
+                else:
+                    a, b = spanning(int(turn[at[0]]), fps[at])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
@@ -233,6 +253,18 @@ def one_of_each(docs: DataFrame, shingle: int = 3, seed: int = 42, k: int = 3, b
     Where several rows could be it, as rows repeat an id or have none, the first by text stays.
     """
     found, _ = materialize(near_duplicates(docs, shingle, seed, k, blocks), "simhash-groups")
+    spread = _spread()
+    return _first_of_each(docs, found, lambda t: fingerprint(shingle_hashes(t, shingle, seed), spread))
+
+
+def one_of_each_similar(docs: DataFrame, shingle: int = 5, seed: int = 42, least: float = 0.8, **options) -> DataFrame:
+    """docs with one row of each group of similar_groups, chosen as one_of_each does; all columns stay."""
+    found, _ = materialize(similar_groups(docs, shingle, seed, least, **options), "similar-groups")
+    return _first_of_each(docs, found, lambda t: set_number(np.unique(shingle_hashes(t, shingle, seed))))
+
+
+def _first_of_each(docs: DataFrame, found: DataFrame, number) -> DataFrame:
+    """found: doc_id, fp, component_id and root of each row of docs, fp being what number() gives for its text."""
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     sole = first.groupBy("root").agg(F.count("*").alias("n"), F.min("doc_id").alias("_id"))
     out = docs.join(sole.where("n = 1 AND _id IS NOT NULL"), docs["doc_id"] == F.col("_id"), "left_semi")
@@ -245,9 +277,8 @@ def one_of_each(docs: DataFrame, shingle: int = 3, seed: int = 42, k: int = 3, b
     columns, at = docs.columns, docs.columns.index("text")
 
     def marked(batches):
-        spread = _spread()
         for batch in batches:
-            fps = np.array([fingerprint(shingle_hashes(t, shingle, seed), spread) for t in batch.column(at).to_pylist()], np.uint64)
+            fps = np.array([number(t) for t in batch.column(at).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], [*columns, "_fp"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _fp long"
@@ -255,3 +286,131 @@ def one_of_each(docs: DataFrame, shingle: int = 3, seed: int = 42, k: int = 3, b
     again = rows.mapInArrow(marked, schema).join(groups, "_fp")
     again = again.withColumn("_nth", F.row_number().over(Window.partitionBy("_root").orderBy("doc_id", "text"))).where("_nth = 1")
     return out.unionByName(again.select(*columns))
+
+
+# Groups by the shingles themselves
+
+
+def set_number(shingles: np.ndarray) -> int:
+    """A number for a set of shingles, given as their sorted distinct hashes."""
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(shingles.tobytes())
+
+
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes made of these, for a second fingerprint (the finaliser of splitmix64)."""
+    x = hashes + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def two_fingerprints(shingles: np.ndarray, spread: np.ndarray) -> tuple[int, int]:
+    return fingerprint(shingles, spread), fingerprint(mixed(shingles), spread)
+
+
+def signatures(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """(doc_id, node, n, fp, other): the number and size of each text's set of shingles, and two fingerprints of the set."""
+    prepare(docs.sparkSession)
+
+    def make(batches):
+        fresh_worker()
+        spread = _spread()
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, shingle, seed)) for t in batch.column(1).to_pylist()]
+            prints = np.array([two_fingerprints(x, spread) for x in sets], np.uint64).reshape(-1, 2).view(np.int64)
+            nodes = np.array([set_number(x) for x in sets], np.uint64).view(np.int64)
+            columns = [batch.column(0), pa.array(nodes), pa.array([len(x) for x in sets], pa.int64()), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "fp", "other"])
+
+    return doc_columns(docs).mapInArrow(make, "doc_id long, node long, n long, fp long, other long")
+
+
+def similar_pairs(sets: list[np.ndarray], side: np.ndarray, least: float, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that span the pairs of sets with a Jaccard similarity of `least`; of sets on two sides, those between the sides."""
+    spread = _spread()
+    prints = np.array([two_fingerprints(x, spread) for x in sets], np.uint64).reshape(-1, 2)
+    sizes = np.array([len(x) for x in sets])
+    labels, a, b, two = np.arange(len(sets)), [], [], len(np.unique(side)) > 1
+    for i in range(1, len(sets)):
+        bits = np.bitwise_count(prints[:i] ^ prints[i]).sum(axis=1, dtype=np.int64)
+        near = (bits <= total) & (np.minimum(sizes[:i], sizes[i]) >= least * np.maximum(sizes[:i], sizes[i]) - 1e-9)
+        if two:
+            near &= side[:i] != side[i]
+        for j in np.flatnonzero(near)[np.argsort(bits[near], kind="stable")]:
+            if labels[i] == labels[j]:
+                continue
+            common = len(sets[i]) + len(sets[j]) - len(np.union1d(sets[i], sets[j]))
+            if common >= least * (len(sets[i]) + len(sets[j]) - common) - 1e-9:
+                a.append(j)
+                b.append(i)
+                labels[labels == labels[i]] = labels[j]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def verified(candidates: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, seed: int, least: float, most: int, total: int) -> DataFrame:
+    """Edges (a, b) that span the similar pairs within each group of candidates (node, root); texts are compared by their shingles in tasks.
+
+    A group of more than `most` nodes is cut into parts, and every two parts meet in a task of their own.
+    """
+    spark = docs.sparkSession
+    parts = candidates.groupBy("root").agg(F.ceil(F.count("*") / most).alias("parts"))
+    placed = candidates.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    wanted = placed.join(classes.select("node", "least"), "node")
+    ids = wanted.select(F.col("least").alias("_id")).distinct()
+
+    def number(batches):
+        seen: set = set()
+        for batch in batches:
+            nodes = [set_number(np.unique(shingle_hashes(t, shingle, seed))) for t in batch.column(0).to_pylist()]
+            fresh = [i for i, x in enumerate(nodes) if not (x in seen or seen.add(x))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, np.uint64).view(np.int64)), batch.column(0)], ["node", "text"]).take(pa.array(fresh, pa.int64()))
+
+    texts = doc_columns(docs).join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text").mapInArrow(number, "node long, text string")
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.struct(F.least(j, F.col("part")).alias("p"), F.greatest(j, F.col("part")).alias("q")))
+    dealt = placed.join(texts, "node").select("root", "part", "node", "text", F.explode(pairs).alias("x")).select("root", "x.p", "x.q", "part", "node", "text")
+    dealt = dealt.repartition(shuffle_partitions(spark), "root", "p", "q").sortWithinPartitions("root", "p", "q")
+
+    def compare(batches):
+        fresh_worker()
+        key, held = None, {}
+
+        def out():
+            nodes = np.array(list(held), np.int64)
+            a, b = similar_pairs([x for _, x in held.values()], np.array([p for p, _ in held.values()]), least, total)
+            return pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], ["a", "b"])
+
+        for batch in batches:
+            for root, p, q, part, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (root, p, q) != key:
+                    if len(held) > 1:
+                        yield out()
+                    key, held = (root, p, q), {}
+                held[node] = (part, np.unique(shingle_hashes(text, shingle, seed)))
+        if len(held) > 1:
+            yield out()
+
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, seed: int = 42, least: float = 0.8, k: int = 20, blocks: int = 10, total: int = 32, most: int = 512) -> DataFrame:
+    """One row per document row: doc_id, fp (the number of its set of shingles), component_id (the least doc_id that links reach), root.
+
+    A link joins two texts whose sets of shingles have a Jaccard similarity of `least`. Fingerprints only find candidates: tries over
+    each of two fingerprints, with `total` differing bits of the 128. Texts of equal sets are one node; one without words is alone with its like.
+    """
+    made, _ = materialize(signatures(docs, shingle, seed), "signatures")
+    classes, _ = materialize(made.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("other").alias("other"), F.min("doc_id").alias("least")), "shingle-sets")
+    found = []
+    for fp, other in (("fp", "other"), ("other", "fp")):
+        turned_ = classes.where("n > 0").select(F.col(fp).alias("fp"), F.col(other).alias("other"), "node")
+        found.append(materialize(links(turned_, k, blocks, total=total).distinct(), "candidates")[0])
+        release_shuffles(docs.sparkSession)
+    groups, _ = materialize(components(found[0].unionByName(found[1]), "a", "b"), "candidate-groups")
+    edges, _ = materialize(verified(groups, docs, classes, shingle, seed, least, most, 48), "similar")
+    release_shuffles(docs.sparkSession)
+    roots = components(edges, "a", "b").select("node", "root")
+    joined = classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id", "root")
+    return made.select("doc_id", "node").join(named, "node").select("doc_id", F.col("node").alias("fp"), "component_id", "root")

@@ -467,3 +467,48 @@ def test_pipeline(spark, tmp_path):
             assert out.columns == list(corpus_pipeline.COLUMNS), name
         docs = out
     assert docs.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 4096
+
+
+def near_copies():
+    """Groups of texts at similarities about 0.6 to 1, of 30 to 400 words, besides unrelated texts and texts without words."""
+    rng = np.random.default_rng(11)
+    make = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    out = [None, "", "  ", "one", "one two three four five six seven eight", "one two three four five six seven"]
+    for g in range(60):
+        base = make(int(rng.integers(30, 400)))
+        out.append(" ".join(base))
+        for _ in range(3):
+            words, changes = list(base), rng.random() * 0.06
+            for i in np.flatnonzero(rng.random(len(words)) < changes):
+                words[i] = f"x{rng.integers(0, 5000)}"
+            out.append(" ".join(words))
+    return out + [out[7], *(" ".join(make(80)) for _ in range(40))]
+
+
+@pytest.mark.parametrize("most", [512, 20])
+def test_similar_groups(spark, empty, most):
+    texts_ = near_copies()
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts_)], "doc_id long, text string, lang string").repartition(3)
+    sets = []
+    for t in texts_:
+        words = (t or "").split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    i, j = np.triu_indices(len(sets), 1)
+    same = np.array([len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] | sets[b] else 1.0 for a, b in zip(i, j, strict=True)])
+    near = same >= 0.8
+    want = simhash.merge_labels(np.arange(len(sets)), i[near], j[near])
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(df, most=most).collect()}
+    labels = np.array([got[x] for x in range(len(sets))])
+    # None is linked that a brute-force search doesn't link, and of its links nearly all are found.
+    assert (want[labels] == want).all()
+    assert (labels[i[near]] == labels[j[near]]).mean() > 0.98
+    assert near[(same > 0.8) & (same < 0.9)].sum() > 20 and ((same > 0.65) & (same < 0.8)).sum() > 20
+    kept = {r.doc_id for r in simhash.one_of_each_similar(df, most=most).collect()}
+    assert kept == set(labels.tolist())
+    assert simhash.similar_groups(empty).count() == 0
+
+
+def test_similar_groups_odd_ids(docs):
+    assert simhash.one_of_each_similar(docs).columns == docs.columns
+    groups = {(r.fp, r.root) for r in simhash.similar_groups(docs).collect()}
+    assert simhash.one_of_each_similar(docs).count() == len({r for _, r in groups})
