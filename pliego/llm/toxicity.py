@@ -1,8 +1,8 @@
 """Toxicity by noisy-channel deobfuscation.
 
 A character trigram model over a-z (accents folded) and a gap is counted over all documents. A token that may be disguised
-(signs or digits among its letters, a letter three times in a row, letters spaced out one by one) becomes a lattice:
-a sign may be the letters that it looks like, or noise; a run may be one letter or two. The Viterbi path under the
+(signs or digits among its letters or at their ends, a letter twice in a row, letters spaced out one by one) becomes a lattice:
+a sign may be the letters that it looks like, or noise; a run may be one letter or two; between spaced letters a word may end. The Viterbi path under the
 trigram model and the channel's costs is the restored token. A token that isn't disguised has one path, itself.
 
 Then a logistic model scores the restored text by the words and word beginnings that it holds. It is fitted on at most
@@ -32,7 +32,7 @@ GAP = 26
 #: What signs stand for, besides noise.
 LOOKS = {"@": "a", "4": "a", "8": "b", "(": "c", "3": "e", "6": "g", "9": "g", "1": "il", "!": "il", "|": "il", "0": "o", "5": "s", "$": "s", "7": "t", "+": "t", "2": "z", "*": "aeiou", "#": "aeiou"}
 NOISE = set("*#.-_~'^`,:;=/\\!|+")
-CHANNEL = {"sign": 0.7, "noise": 0.9, "gap": 8.0, "double": 0.9}
+CHANNEL = {"sign": 0.7, "noise": 0.9, "gap": 8.0, "double": 0.9, "word": 1.0}
 FOLDS = 5
 
 
@@ -77,8 +77,13 @@ def character_model(docs: DataFrame) -> np.ndarray:
 
 
 _RUN = re.compile(r"(.)\1*", re.S)
-_SUSPECT = re.compile(r"(\w)\1\1|\w[^\w\s]+\w|[^\W\d_]\d|\d[^\W\d_]|_")
-_TRIM = re.compile(r"^[^\w@$]+|[^\w@$]+$|([@$])\1+$")
+_SIGNS = re.escape("".join(x for x in LOOKS if not x.isalnum()))
+_SUSPECT = re.compile(rf"([^\W\d_])\1|(\w)\2\2|\w[^\w\s]+\w|[^\W\d_]\d|\d[^\W\d_]|_|^[{_SIGNS}]|[{_SIGNS}]$", re.I)
+_ENDS, _TWICE = re.compile(rf"^[{_SIGNS}]|[{_SIGNS}]$"), re.compile(r"(.)\1", re.I)
+#: Words of one letter, which may stand beside a word spaced out.
+_ONE = set("aeiouy")
+#: Signs at the ends that stand for no letter; noise there has nothing to restore.
+_TRIM = re.compile(rf"^[^\w{_SIGNS}]+|[^\w{_SIGNS}]+$")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -88,24 +93,41 @@ class Restorer:
     def __init__(self, costs: np.ndarray):
         self.costs = costs.tolist()
 
-    def options(self, sign: str, times: int) -> list[tuple[tuple[int, ...], float]]:
-        """The codes that a run of a sign may stand for, and their channel costs."""
+    def options(self, sign: str, times: int, full: bool = False) -> list[tuple[tuple[int, ...], float]]:
+        """The codes that a run of a sign may stand for, and their channel costs; where full, as many letters as signs, up to two."""
         code = int(codes(sign)[0]) if sign.isalpha() else GAP
         if code != GAP:
-            if times == 1:
-                return [((code,), 0.0)]
+            if times == 1 or full:
+                return [((code,) * min(times, 2), 0.0)]
             return [((code,), CHANNEL["double"] if times == 2 else 0.0), ((code, code), 0.0 if times == 2 else CHANNEL["double"])]
-        out = [((ord(c) - 97,) * n, CHANNEL["sign"] * n) for c in LOOKS.get(sign, "") for n in range(1, min(times, 2) + 1)]
+        out = [((ord(c) - 97,) * n, CHANNEL["sign"] * n) for c in LOOKS.get(sign, "") for n in range(min(times, 2) if full else 1, min(times, 2) + 1)]
+        if full and out:
+            return out
         if sign in NOISE:
             out.append(((), CHANNEL["noise"]))
         return out + [((GAP,), CHANNEL["gap"])]
 
-    def __call__(self, token: str) -> str:
+    def __call__(self, token: str, full: bool = False) -> str:
+        return self.path(self.options(m[1], len(m[0]), full) for m in _RUN.finditer(token.lower()))
+
+    def spaced(self, letters: str) -> str:
+        """As of a token, for letters that stand one by one: a word may end before any of them, and an equal letter may be the same one again."""
+        low, steps = letters.lower(), []
+        for i, sign in enumerate(low):
+            step = self.options(sign, 1)
+            if i:
+                step = step + [((GAP, *e), x + CHANNEL["word"]) for e, x in step if e and e != (GAP,)]
+                if sign == low[i - 1]:
+                    step.append(((), CHANNEL["double"]))
+            steps.append(step)
+        return self.path(steps)
+
+    def path(self, steps) -> str:
         best = {(GAP, GAP): (0.0, "")}
-        for m in _RUN.finditer(token.lower()):
+        for options in steps:
             now: dict = {}
             for (p, q), (cost, path) in best.items():
-                for emitted, extra in self.options(m[1], len(m[0])):
+                for emitted, extra in options:
                     a, b, c, s = p, q, cost + extra, path
                     for x in emitted:
                         c += self.costs[a][b][x]
@@ -130,8 +152,12 @@ class Features:
     def _of_token(self, token: str) -> tuple:
         bare = _TRIM.sub("", token)
         words = set(re.findall(r"[^\W\d_]+", bare.lower()))
-        if _SUSPECT.search(bare) and len(_LETTER.findall(bare)) > 1:
+        letters = len(_LETTER.findall(bare))
+        if _SUSPECT.search(bare) and (letters > 1 or letters and letters + sum(map(LOOKS.__contains__, bare)) > 2):
             words.update(self.restore(bare).split())
+            # A sign at an end may be punctuation or a letter, a doubled one a letter or two: both readings count.
+            if _ENDS.search(bare) or _TWICE.search(bare) and not bare.isalpha():
+                words.update(self.restore(bare, full=True).split())
         found = {f for w in words for f in self._of_word(w)}
         return tuple(found if self.keep is None else (self.keep[f] for f in found if f in self.keep))
 
@@ -147,9 +173,11 @@ class Features:
         # Letters spaced out one by one make a token of their own.
         ones = [i for i, t in enumerate(tokens) if len(t) == 1 and (t.isalpha() or t in LOOKS)]
         for a, b in _runs(ones):
-            if b - a >= 3:
-                joined = "".join(tokens[a : b + 1])
-                for w in {joined.lower(), *self.restore(joined).split()}:
+            if b - a >= 2:
+                joined = "".join(tokens[a : b + 1]).lower()
+                first, last = joined[0] in _ONE, joined[-1] in _ONE
+                readings = {joined, *([joined[1:]] if first else []), *([joined[:-1]] if last else []), *([joined[1:-1]] if first and last else [])}
+                for w in {w for x in readings for w in (x, *self.restore(x).split(), *self.restore(x, full=True).split(), *self.restore.spaced(x).split())}:
                     found = self._of_word(w)
                     out.update(found if self.keep is None else (self.keep[f] for f in found if f in self.keep))
         return out

@@ -512,3 +512,17 @@ def test_similar_groups_odd_ids(docs):
     assert simhash.one_of_each_similar(docs).columns == docs.columns
     groups = {(r.fp, r.root) for r in simhash.similar_groups(docs).collect()}
     assert simhash.one_of_each_similar(docs).count() == len({r for _, r in groups})
+
+
+def test_disguises_at_the_ends_and_doubled():
+    """Under a model of plain words, each disguise has the word among its features."""
+    plain, n = ("the idiot and a stupid ass or an asshole was a cunt then bad " * 50), np.full(27**3, 0.2)
+    c = np.concatenate([[26, 26], toxicity.codes(plain), [26]]).astype(int)
+    n += np.bincount((c[:-2] * 27 + c[1:-1]) * 27 + c[2:], minlength=27**3)
+    n = n.reshape(27, 27, 27)
+    found = toxicity.Features(-np.log(n / n.sum(axis=2, keepdims=True)))
+    for text, word in [("$tupid", "stupid"), ("@sshole", "asshole"), ("!diot", "idiot"), ("|diot", "idiot"), ("#diot", "idiot"), ("(unt", "cunt"), ("as$", "ass"), ("a$$", "ass"), ("stuupid", "stupid"), ("a s s", "ass"), ("b a d", "bad"), ("a s t u p i d", "stupid"), ("i d i o t a", "idiot")]:
+        assert f"={word}" in found(f"hello {text} there"), text
+        assert f"={word}" in found(f"{text} there"), text
+    for text, word in [("stupid.", "stupid"), ("(idiot)", "idiot"), ("idiot!", "idiot"), ("book,", "book")]:
+        assert f"={word}" in found(text), text
