@@ -3,12 +3,13 @@
 A text is cut only where the tokenizer's own pre-tokenizer cuts in any case: before a space that has a character other
 than white space on at least one side. Each segment is encoded by the library, once while it is in the cache, so the ids
 are those of encoding the whole text. A segment of Latin letters only is one pre-token, and goes straight to the
-library's BPE model. (array's codes H and I are the machine's byte order; the files are little-endian, as are all
+library's BPE model. Files with another pre-tokenizer or normalizer than these two kinds are encoded whole. (array's codes H and I are the machine's byte order; the files are little-endian, as are all
 machines that the library supports.)
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -27,6 +28,10 @@ _CUT = re.compile(r" (?=\S)(?<=\S )")
 _LETTERS = re.compile("([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)")
 
 
+#: The split of lower-case vocabularies without white space, as their file has it.
+WORDS_ONLY = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 def _byte_symbols() -> dict[int, str]:
     """The printable character that byte-level vocabularies write for each byte."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -34,6 +39,20 @@ def _byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def known_cuts(file: dict, keep_space: bool) -> bool:
+    """Whether a tokenizer's file says that texts may be cut as this module cuts them; others are encoded whole."""
+    cutter, norm = file.get("pre_tokenizer") or {}, file.get("normalizer") or {}
+    if file.get("truncation") or file.get("padding") or file["model"].get("type") != "BPE" or any(t["lstrip"] or t["rstrip"] or t["content"] != t["content"].strip() for t in file.get("added_tokens", [])):
+        return False
+    if keep_space:
+        return not norm and cutter.get("type") == "ByteLevel" and cutter.get("use_regex") is True and not cutter.get("add_prefix_space")
+    steps, parts = norm.get("normalizers") or [], cutter.get("pretokenizers") or []
+    return (
+        [x.get("type") for x in steps] == ["NFC", "Replace", "Lowercase"] and steps[1].get("pattern") == {"Regex": r"\s+"} and steps[1].get("content") == " "
+        and [x.get("type") for x in parts] == ["Split", "ByteLevel"] and parts[0].get("pattern") == {"Regex": WORDS_ONLY} and parts[1].get("use_regex") is False
+    )
+
+
 class SegmentEncoder:
     """keep_space: whether a segment keeps the space before it (byte-level vocabularies) or a space makes no token."""
 
@@ -42,6 +61,7 @@ class SegmentEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.cuts = known_cuts(json.loads(self.tokenizer.to_str()), keep_space)
         self.keep_space, self.space = keep_space, " " if keep_space else ""
         self.dtype, self.code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
         self.max_entries, self.max_chars = max_entries, max_chars
@@ -78,8 +98,8 @@ class SegmentEncoder:
     def _word(self, s: str, cache: dict[str, bytes], space: bool) -> bytes | None:
         """Ids of Latin letters and perhaps a mark; None for any other segment."""
         stem, mark = (s[:-1], s[-1]) if s[-1:] in self.marks else (s, "")
-        if not (stem.isalpha() and (stem.isascii() or _LETTERS.fullmatch(stem))):
-            return None
+        if not (stem.isalpha() and (stem.isascii() or _LETTERS.fullmatch(stem))) or not (self.keep_space or stem.isascii() or stem.lower().isalpha()):
+            return None  # what lower-casing makes more than letters is the library's, with its mark
         ids = cache.get(stem) or self._letters(stem, space)
         if ids and mark:
             cache[stem] = ids
@@ -113,6 +133,8 @@ class SegmentEncoder:
         return text.split(" ")
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.cuts:
+            return [np.frombuffer(self._whole(t), self.dtype) for t in texts]
         if len(self.cache) > self.max_entries or self.chars > self.max_chars:
             self.cache, self.bare, self.chars = {}, {}, 0
         cut, found, gaps = [self._cut(t) for t in texts], [], []

@@ -56,6 +56,36 @@ def test_segments_give_the_ids_of_whole_texts(name, space):
         assert encoder.encode(t).tolist() == plain.encode(t, add_special_tokens=False).ids, t
 
 
+@pytest.mark.parametrize(("name", "space"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_ids_do_not_depend_on_what_was_encoded_before(name, space):
+    """Random texts of letters that change in lower case, marks and white space of all kinds, in two orders, with a warm cache."""
+    rng = np.random.default_rng(9)
+    words = ["ANKARA", "İLİ", "BURSA", "bursa", "don't", "'S", "Straße", "İ", "I", "i\u0307", "ΑΣ", "ǅ", "ŉ", "a"]
+    odd = list("aAbiIİıßſñÑΣσς.,;:!'_ \n\t\r\x0b\x1c\x1d\x1e\x1f\x85\xa0\u2003\u3000\u200b\u0301\u0307129½日😀é")
+    made = [" ".join(w + m for w, m in zip(rng.choice(words, n), rng.choice(["", ".", ",", ".."], n), strict=True)) for n in rng.integers(1, 9, 2000)]
+    made += ["".join(rng.choice(odd, n)) for n in rng.integers(0, 40, 4000)]
+    plain, encoder = tokenizer(name), encoding.SegmentEncoder(registry.tokenizer_path(name), space)
+    assert encoder.cuts
+    want = [e.ids for e in plain.encode_batch(made, add_special_tokens=False)]
+    for _ in range(2):
+        order = rng.permutation(len(made))
+        for a in range(0, len(order), 40):
+            part = order[a : a + 40]
+            for i, ids in zip(part, encoder.encode_batch([made[i] for i in part]), strict=True):
+                assert ids.tolist() == want[i], made[i]
+
+
+def test_unknown_tokenizers_encode_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.WordLevel({"a": 0, "b": 1, "?": 2}, unk_token="?"))
+    t.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    t.save(str(tmp_path / "t.json"))
+    encoder = encoding.SegmentEncoder(str(tmp_path / "t.json"), True)
+    assert not encoder.cuts
+    assert [encoder.encode(x).tolist() for x in ("a b", "", " b  c a")] == [[0, 1], [], [1, 2, 0]]
+
+
 def test_token_files(spark, docs, empty, tmp_path):
     out = f"file://{tmp_path}/tokens"
     manifest = token_files.write_token_files(docs, out, registry.tokenizer_path("byte_bpe_50k.json"), 2, parts=3)
