@@ -2,7 +2,7 @@
 
 A character trigram model over a-z (accents folded) and a gap is counted over all documents. A token that may be disguised
 (signs or digits among its letters or at their ends, a letter twice in a row, letters spaced out one by one) becomes a lattice:
-a sign may be the letters that it looks like, or noise; a run may be one letter or two; between spaced letters a word may end. The Viterbi path under the
+a sign may be the letters that it looks like, or noise; letters of other alphabets and full-width forms are the Latin ones that they look like; a run may be one letter or two; between spaced letters a word may end. The Viterbi path under the
 trigram model and the channel's costs is the restored token. A token that isn't disguised has one path, itself.
 
 Then a logistic model scores the restored text by the words and word beginnings that it holds. It is fitted on at most
@@ -32,6 +32,9 @@ GAP = 26
 #: What signs stand for, besides noise.
 LOOKS = {"@": "a", "4": "a", "8": "b", "(": "c", "3": "e", "6": "g", "9": "g", "1": "il", "!": "il", "|": "il", "0": "o", "5": "s", "$": "s", "7": "t", "+": "t", "2": "z", "*": "aeiou", "#": "aeiou"}
 NOISE = set("*#.-_~'^`,:;=/\\!|+")
+#: Letters of other alphabets, by the Latin letter that they look like.
+ALIKE = {"a": "\u0430\u03b1", "b": "\u0432\u03b2", "c": "\u0441\u03f2", "d": "\u0501", "e": "\u0435\u03b5", "h": "\u043d\u04bb", "i": "\u0456\u03b9\u0131", "j": "\u0458", "k": "\u043a\u03ba", "m": "\u043c", "n": "\u03b7", "o": "\u043e\u03bf", "p": "\u0440\u03c1", "q": "\u051b", "s": "\u0455", "t": "\u0442\u03c4", "u": "\u03c5", "v": "\u03bd\u0475", "w": "\u051d\u03c9", "x": "\u0445\u03c7", "y": "\u0443\u03b3"}
+_ALIKE = str.maketrans({x: latin for latin, others in ALIKE.items() for x in others})
 CHANNEL = {"sign": 0.7, "noise": 0.9, "gap": 8.0, "double": 0.9, "word": 1.0}
 FOLDS = 5
 
@@ -50,6 +53,16 @@ def _fold_table() -> bytes:
 _FOLD = _fold_table()
 
 
+def latin(token: str) -> str:
+    """A token in lower case; where it isn't Latin-1, without full-width forms and loose accents, and with look-alikes of other alphabets as Latin letters."""
+    low = token.lower()
+    try:
+        low.encode("latin-1")
+    except UnicodeEncodeError:
+        low = "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c)).translate(_ALIKE).lower()
+    return low
+
+
 def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("latin-1", "replace").translate(_FOLD), np.uint8)
 
@@ -84,7 +97,7 @@ _ENDS, _TWICE = re.compile(rf"^[{_SIGNS}]|[{_SIGNS}]$"), re.compile(r"(.)\1", re
 _ONE = set("aeiouy")
 #: Signs at the ends that stand for no letter; noise there has nothing to restore.
 _TRIM = re.compile(rf"^[^\w{_SIGNS}]+|[^\w{_SIGNS}]+$")
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER, _WORDS = re.compile(r"[^\W\d_]"), re.compile(r"[^\W\d_]+")
 
 
 class Restorer:
@@ -139,27 +152,82 @@ class Restorer:
         return min((c + self.costs[p][q][GAP], s) for (p, q), (c, s) in best.items())[1]
 
 
+class Reach:
+    """Whether some path of a lattice may give a feature: a walk over the beginnings of features, where equal neighbours are one letter.
+
+    It only spares decoding; what it lets through is decoded as any other token.
+    """
+
+    def __init__(self, names):
+        words = {_RUN.sub(r"\1", f[1:]) for f in names if f[1:].isascii() and f[1:].isalpha()}
+        self.ends, self.ways = words, {w[:k] for w in words for k in range(1, len(w) + 1)}
+        self.kinds: dict[str, tuple[str, bool, bool]] = {}
+
+    def _kind(self, sign: str) -> tuple[str, bool, bool]:
+        """The letters that a sign may be, whether it may be noise, and whether a word may end at it."""
+        code = int(codes(sign)[0]) if sign.isalpha() else GAP
+        kind = (chr(97 + code), False, False) if code != GAP else (LOOKS.get(sign, ""), sign in NOISE, True)
+        if len(self.kinds) < 10_000:
+            self.kinds[sign] = kind
+        return kind
+
+    def __call__(self, token: str, anywhere: bool = False) -> bool:
+        """anywhere: a word may begin at every sign."""
+        states, last, solid, ways = {""}, "", token.isalpha() and token.isascii() and not anywhere, self.ways
+        for sign in token:
+            if sign == last:
+                continue
+            last = sign
+            letters, noise, gap = self.kinds.get(sign) or self._kind(sign)
+            now = set(states) if noise else set()
+            if gap or anywhere:
+                now.add("")
+            for x in letters:
+                for s in states:
+                    if s[-1:] == x:
+                        now.add(s)
+                    elif (t := s + x) in ways:
+                        if t in self.ends:
+                            return True
+                        now.add(t)
+            if solid and not now:
+                return False
+            states = now
+        return False
+
+
 class Features:
-    """The features of a text: words of its tokens as written and as restored, and beginnings of words."""
+    """The features of a text: words of its tokens as written and as restored, and beginnings of words. With keep, the numbers of those in it."""
 
     def __init__(self, costs: np.ndarray, keep=None, max_entries: int = 300_000):
         self.restore, self.keep, self.max_entries = Restorer(costs), keep, max_entries
+        self.reach = Reach(keep) if keep is not None else None
+        self.heads = {f[1:4] for f in keep} if keep is not None else None
         self.cache: dict[str, tuple] = {}
 
     def _of_word(self, word: str) -> list[str]:
-        return [f"={word}", *(f"^{word[:k]}" for k in (4, 5, 6) if len(word) >= k)] if len(word) > 2 else []
+        if len(word) < 3 or self.heads is not None and word[:3] not in self.heads:
+            return []
+        return [f"={word}", *(f"^{word[:k]}" for k in (4, 5, 6) if len(word) >= k)]
+
+    def _found(self, words) -> tuple:
+        found = {f for w in words for f in self._of_word(w)}
+        return tuple(found if self.keep is None else (self.keep[f] for f in found if f in self.keep))
 
     def _of_token(self, token: str) -> tuple:
-        bare = _TRIM.sub("", token)
-        words = set(re.findall(r"[^\W\d_]+", bare.lower()))
-        letters = len(_LETTER.findall(bare))
-        if _SUSPECT.search(bare) and (letters > 1 or letters and letters + sum(map(LOOKS.__contains__, bare)) > 2):
+        bare = latin(token)
+        if not bare.isalpha():
+            bare = _TRIM.sub("", bare)
+            letters = len(_LETTER.findall(bare))
+            words = set(_WORDS.findall(bare))
+        else:
+            letters, words = len(bare), {bare}
+        if letters and (letters > 1 or 1 + sum(map(LOOKS.__contains__, bare)) > 2) and _SUSPECT.search(bare) and (self.reach is None or self.reach(bare)):
             words.update(self.restore(bare).split())
             # A sign at an end may be punctuation or a letter, a doubled one a letter or two: both readings count.
             if _ENDS.search(bare) or _TWICE.search(bare) and not bare.isalpha():
                 words.update(self.restore(bare, full=True).split())
-        found = {f for w in words for f in self._of_word(w)}
-        return tuple(found if self.keep is None else (self.keep[f] for f in found if f in self.keep))
+        return self._found(words)
 
     def __call__(self, text: str | None) -> set:
         if len(self.cache) > self.max_entries:
@@ -174,12 +242,13 @@ class Features:
         ones = [i for i, t in enumerate(tokens) if len(t) == 1 and (t.isalpha() or t in LOOKS)]
         for a, b in _runs(ones):
             if b - a >= 2:
-                joined = "".join(tokens[a : b + 1]).lower()
+                joined = latin("".join(tokens[a : b + 1]))
                 first, last = joined[0] in _ONE, joined[-1] in _ONE
                 readings = {joined, *([joined[1:]] if first else []), *([joined[:-1]] if last else []), *([joined[1:-1]] if first and last else [])}
-                for w in {w for x in readings for w in (x, *self.restore(x).split(), *self.restore(x, full=True).split(), *self.restore.spaced(x).split())}:
-                    found = self._of_word(w)
-                    out.update(found if self.keep is None else (self.keep[f] for f in found if f in self.keep))
+                if self.reach is None or self.reach(joined, anywhere=True):
+                    out.update(self._found({w for x in readings for w in (x, *self.restore(x).split(), *self.restore(x, full=True).split(), *self.restore.spaced(x).split())}))
+                else:
+                    out.update(self._found(readings))
         return out
 
 

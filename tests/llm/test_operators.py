@@ -556,3 +556,18 @@ def test_disguises_at_the_ends_and_doubled():
         assert f"={word}" in found(f"{text} there"), text
     for text, word in [("stupid.", "stupid"), ("(idiot)", "idiot"), ("idiot!", "idiot"), ("book,", "book")]:
         assert f"={word}" in found(text), text
+
+
+def test_reach_spares_only_what_gives_no_feature():
+    """Features with a list to keep are those of all features that are in it, on disguises, letters of other alphabets and very long texts."""
+    rng = np.random.default_rng(4)
+    costs = -np.log(rng.dirichlet(np.ones(27), (27, 27)))
+    keep = {f: i for i, f in enumerate(["=stupid", "^stup", "^idio", "=idiot", "=loser", "^mora", "=aaa", "=été"])}
+    made = ["$tupid", "stupi|)", "1d10t", "s t u p i d", "a s t u p i d", "\u0455tup\u0456d", "\uff53\uff54\uff55\uff50\uff49\uff44", "stu\u0301pid", "s-t-u-p-i-d", "stuupid", "x_idiot_y", "l0ser!", "aa4a", "été", "", None, "\u0440\u0443\u0441 \u03b1\u03b2"]
+    signs = list("stupidlosermaé$!1|0@*#-_. ") + ["\u0455", "\uff53", "\u0301", "日"]
+    made += ["".join(rng.choice(signs, rng.integers(1, 30))) for _ in range(600)] + ["".join(rng.choice(signs, 20_000))]
+    every, some = toxicity.Features(costs), toxicity.Features(costs, keep)
+    for t in made:
+        assert some(t) == {keep[f] for f in every(t) if f in keep}, t
+    for t in ("\u0455tup\u0456d", "\uff53\uff54\uff55\uff50\uff49\uff44", "stu\u0301pid"):
+        assert keep["=stupid"] in some(t), t
