@@ -45,3 +45,16 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
         remove(spark, path)
         path = new
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def named(classes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """classes (key, least, ...) with root, the least key that edges (a, b) reach, and component_id, the smallest `least` there.
+
+    Names are written before they are joined back, one row for each component that edges make: both sides of that join are then plain
+    exchanges, which adaptive execution splits where one component holds very many classes.
+    """
+    roots, _ = materialize(components(edges, "a", "b").select(F.col("node").alias(key), "root"), "roots")
+    names, _ = materialize(roots.join(classes.select(key, "least"), key).groupBy("root").agg(F.min("least").alias("component_id")), "names")
+    out = classes.join(roots, key, "left").withColumn("root", F.coalesce("root", key)).join(names, "root", "left")
+    # A component whose ids are all null has no name, and its classes have no id either.
+    return out.withColumn("component_id", F.coalesce("component_id", "least"))

@@ -15,6 +15,7 @@ ignored.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._common import doc_columns, fresh_worker, materialize, prepare, release_shuffles, shuffle_partitions
-from .components import components
+from .components import components, named
 
 
 def _spread() -> np.ndarray:
@@ -90,7 +91,7 @@ def merge_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
 def trie_links(values: np.ndarray, depth: int, k: int, block: int = 1 << 16, small: int = 64, other: np.ndarray | None = None, total: int = 128) -> np.ndarray:
     """values: sorted distinct uint64. Labels of components under links of at most k differing bits between values that agree on the first depth bits.
 
-    With a second fingerprint in `other`, values may repeat, equal ones are linked, and a link has at most `total` differing bits in both.
+    With further fingerprints in the columns of `other`, values may repeat, equal ones are linked, and a link has at most `total` differing bits in all.
     """
     labels = np.arange(len(values)) if other is None else np.searchsorted(values, values)
     heads = np.flatnonzero(np.r_[True, (values[1:] >> np.uint64(64 - depth)) != (values[:-1] >> np.uint64(64 - depth))]) if len(values) else np.empty(0, int)
@@ -118,7 +119,7 @@ def trie_links(values: np.ndarray, depth: int, k: int, block: int = 1 << 16, sma
             bits = np.bitwise_count(values[i] ^ values[j])
             near = (i < j) & (bits <= k)
             if other is not None:
-                near &= bits + np.bitwise_count(other[i] ^ other[j]) <= total
+                near &= bits + np.bitwise_count(other[i] ^ other[j]).sum(axis=1, dtype=np.int64) <= total
             labels = merge_labels(labels, i[near], j[near])
         go = ~done & ~now
         if not go.any():
@@ -154,97 +155,99 @@ def turned(fps: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
     return out
 
 
-def links(distinct: DataFrame, k: int = 3, blocks: int | None = None, most: int = 20_000, total: int | None = None) -> DataFrame:
-    """Edges (a, b) between the distinct fingerprints fp that span all links of at most k differing bits.
+def blocks_for(n: int, k: int, per_root: int = 1024) -> int:
+    """The fewest blocks of bits for which n fingerprints make roots of about per_root: any number above k finds all links."""
+    blocks = k + 1
+    while blocks < 64 and n > per_root * 2.0 ** (64 * (blocks - k) // blocks):
+        blocks += 1
+    return blocks
 
-    With `blocks` blocks of bits (k + 1 by default), two linked fingerprints agree on blocks - k of them: a trie is rooted for
-    each choice of so many, so more blocks mean more copies of each fingerprint and fewer to a root.
 
-    With `total`, distinct has a second fingerprint in `other` and a number in `node`, fp may repeat, and edges are between nodes:
-    they span the links of at most k differing bits in fp and `total` in both, of those that agree on blocks of fp as the roots have them.
-    """
-    spark = distinct.sparkSession
-    prepare(spark)
-    blocks = blocks or k + 1
-    chosen = max(2, blocks - k) if total else blocks - k
-    orders = tables(blocks - chosen, blocks)
-    extra = ["other", "node"] if total else []
+def _dealt(rooted: DataFrame, key: str, most: int, with_part: bool = False) -> DataFrame:
+    """Rows with turn and root, dealt by pairs of parts (p, q) of a root: one part for up to `most` rows. A part goes by the hash of key."""
+    others = [c for c in rooted.columns if c not in ("turn", "root")]
+    large, _ = materialize(rooted.groupBy("turn", "root").agg(F.count("*").alias("n")).where(F.col("n") > most).select("turn", "root", F.ceil(F.col("n") / most).alias("parts")), "large-roots")
+    parts = F.coalesce("parts", F.lit(1)).cast("long")
+    rooted = rooted.join(large, ["turn", "root"], "left").withColumn("part", F.pmod(F.xxhash64(key), parts))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda j: F.struct(F.least(j, F.col("part")).alias("p"), F.greatest(j, F.col("part")).alias("q")))
+    dealt = rooted.select("turn", "root", *others, "part", F.explode(pairs).alias("x")).select("turn", "root", "x.p", "x.q", *others, *["part"] * with_part)
+    return dealt.repartition(shuffle_partitions(rooted.sparkSession), "turn", "root", "p", "q").sortWithinPartitions("turn", "root", "p", "q")
 
-    def value(spans):
-        out = F.lit(0).cast("long")
-        for a, b in spans:
-            out = F.shiftleft(out, b - a).bitwiseOR(F.shiftrightunsigned(F.col("fp"), 64 - b).bitwiseAND(F.lit((1 << (b - a)) - 1)))
-        return out
 
-    rooted = distinct.select("fp", *extra, F.explode(F.array(*[F.struct(F.lit(i).alias("turn"), value(spans[:chosen]).alias("root")) for i, spans in enumerate(orders)])).alias("x")).select("fp", *extra, "x.turn", "x.root")
-    large = rooted.groupBy("turn", "root").agg(F.count("*").alias("n")).where(F.col("n") > most).select("turn", "root", F.ceil(F.col("n") / most).alias("parts"))
-    rooted = rooted.join(large, ["turn", "root"], "left").withColumn("part", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1), lambda j: F.struct(F.least(j, F.col("part")).alias("p"), F.greatest(j, F.col("part")).alias("q")))
-    dealt = rooted.select("turn", "root", "fp", *extra, F.explode(pairs).alias("x")).select("turn", "root", "fp", *extra, "x.p", "x.q")
-    dealt = dealt.repartition(shuffle_partitions(spark), "turn", "root", "p", "q").sortWithinPartitions("turn", "root", "p", "q")
-
-    def spanning(turn: int, fps: np.ndarray):
-        fps = np.unique(fps)
-        values = turned(fps, orders[turn])
-        order = np.argsort(values)
-        labels = trie_links(values[order], sum(e - s for s, e in orders[turn][:chosen]), k)
-        other = np.flatnonzero(labels != np.arange(len(labels)))
-        return fps[order[other]].view(np.int64), fps[order[labels[other]]].view(np.int64)
-
-    def both(turn: int, fps: np.ndarray, other: np.ndarray, node: np.ndarray):
-        values = turned(fps, orders[turn])
-        order = np.argsort(values, kind="stable")
-        labels = trie_links(values[order], sum(e - s for s, e in orders[turn][:chosen]), k, 1 << 12, 1 << 10, other[order], total)
-        found = np.flatnonzero(labels != np.arange(len(labels)))
-        return node[order[found]], node[order[labels[found]]]
+def _joined(dealt: DataFrame, spanning, held_rows: int = 200_000) -> DataFrame:
+    """Edges (a, b) that spanning(turn, table) gives for the rows of each turn and pair of parts, which a task takes in runs of about held_rows."""
+    keys = ("turn", "root", "p", "q")
 
     def join(batches):
         fresh_worker()
         held, rows, last = [], 0, None
 
         def out():
-            table = pa.Table.from_batches(held)
+            table = pa.Table.from_batches(held).combine_chunks()
             turn, p = table["turn"].to_numpy(), np.stack([table["p"].to_numpy(), table["q"].to_numpy()])
-            fps = table["fp"].to_numpy().view(np.uint64)
             # Groups of one turn and pair of parts share a forest, whose roots tell them apart.
-            for at in np.split(np.arange(len(turn)), np.flatnonzero((turn[1:] != turn[:-1]) | (p[:, 1:] != p[:, :-1]).any(axis=0)) + 1):
-                if total:
-                    a, b = both(int(turn[at[0]]), fps[at], table["other"].to_numpy().view(np.uint64)[at], table["node"].to_numpy()[at])
-                else:
-                    a, b = spanning(int(turn[at[0]]), fps[at])
+            cuts = [0, *(np.flatnonzero((turn[1:] != turn[:-1]) | (p[:, 1:] != p[:, :-1]).any(axis=0)) + 1).tolist(), len(turn)]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                a, b = spanning(int(turn[x]), table.slice(x, y - x))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = tuple(batch[c][0].as_py() for c in ("turn", "root", "p", "q"))
-            if rows > 200_000 and key != last:
-                same = np.all([batch[c].to_numpy() == v for c, v in zip(("turn", "root", "p", "q"), last, strict=True)], axis=0)
-                n = int(same.sum())
-                if n:
-                    held.append(batch.slice(0, n))
+            if rows > held_rows and tuple(batch[c][0].as_py() for c in keys) != last:
                 yield from out()
                 held, rows = [], 0
-                batch = batch.slice(n)
-                if not batch.num_rows:
-                    continue
+            elif rows > held_rows:
+                # A batch may end a group that the rows held began.
+                same = np.all([batch[c].to_numpy() == v for c, v in zip(keys, last, strict=True)], axis=0)
+                if (n := int(same.sum())) < batch.num_rows:
+                    held.append(batch.slice(0, n))
+                    yield from out()
+                    held, rows, batch = [], 0, batch.slice(n)
             held.append(batch)
             rows += batch.num_rows
-            last = tuple(batch[c][batch.num_rows - 1].as_py() for c in ("turn", "root", "p", "q"))
+            last = tuple(batch[c][batch.num_rows - 1].as_py() for c in keys)
         if held:
             yield from out()
 
     return dealt.mapInArrow(join, "a long, b long")
 
 
+def links(distinct: DataFrame, k: int = 3, blocks: int | None = None, most: int = 20_000) -> DataFrame:
+    """Edges (a, b) between the distinct fingerprints fp that span all links of at most k differing bits.
+
+    With `blocks` blocks of bits (as many as the number of fingerprints wants by default), two linked fingerprints agree on blocks - k of
+    them: a trie is rooted for each choice of so many, so more blocks mean more copies of each fingerprint and fewer to a root.
+    """
+    prepare(distinct.sparkSession)
+    blocks = blocks or blocks_for(distinct.count(), k)
+    chosen, orders = blocks - k, tables(k, blocks)
+
+    def value(spans):
+        out = F.lit(0).cast("long")
+        for a, b in spans:
+            out = F.shiftleft(out, b - a).bitwiseOR(F.shiftrightunsigned(F.col("fp"), 64 - b).bitwiseAND(F.lit((1 << (b - a)) - 1)))
+        return out
+
+    rooted = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("turn"), value(spans[:chosen]).alias("root")) for i, spans in enumerate(orders)])).alias("x")).select("fp", "x.turn", "x.root")
+
+    def spanning(turn: int, table: pa.Table):
+        fps = np.unique(table["fp"].to_numpy().view(np.uint64))
+        values = turned(fps, orders[turn])
+        order = np.argsort(values)
+        labels = trie_links(values[order], sum(e - s for s, e in orders[turn][:chosen]), k)
+        other = np.flatnonzero(labels != np.arange(len(labels)))
+        return fps[order[other]].view(np.int64), fps[order[labels[other]]].view(np.int64)
+
+    return _joined(_dealt(rooted, "fp", most), spanning)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, k: int = 3, blocks: int | None = None) -> DataFrame:
     """One row per document row: doc_id, fp (long), component_id (the least doc_id that links reach), root (the least fingerprint)."""
     made, _ = materialize(fingerprints(docs, shingle, seed), "simhash")
     distinct, _ = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = components(links(distinct, k, blocks), "a", "b").select(F.col("node").alias("fp"), "root")
-    joined = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "root")
-    return made.join(named, "fp").select("doc_id", "fp", "component_id", "root")
+    names, _ = materialize(named(distinct, links(distinct, k, blocks), "fp").select("fp", "component_id", "root"), "simhash-names")
+    return made.join(names, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3, seed: int = 42, k: int = 3, blocks: int | None = None) -> DataFrame:
@@ -306,42 +309,106 @@ def mixed(hashes: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def two_fingerprints(shingles: np.ndarray, spread: np.ndarray) -> tuple[int, int]:
-    return fingerprint(shingles, spread), fingerprint(mixed(shingles), spread)
+def prints_of(shingles: np.ndarray, spread: np.ndarray, width: int) -> list[int]:
+    """`width` fingerprints of a set of shingles, each of other hashes."""
+    out = []
+    for i in range(width):
+        shingles = mixed(shingles) if i else shingles
+        out.append(fingerprint(shingles, spread))
+    return out
+
 
+class Bands:
+    """What candidate search takes for n sets of shingles: all of it follows from n and the least similarity.
 
-def signatures(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """(doc_id, node, n, fp, other): the number and size of each text's set of shingles, and two fingerprints of the set."""
+    Of two sets of equal size with similarity s, a share of arccos(2s / (1 + s)) / pi of their fingerprints' bits differ. `width` fingerprints
+    (two up to 1e8 sets, one more for each factor of 1e4) keep unrelated pairs under `total`, the mean plus three deviations. Tries are rooted at
+    `bits` bits so that a root holds about per_root unrelated sets, and in as many `tables`, of random bits each, as a pair at s needs to
+    share a root with a probability of 1 - miss.
+    """
+
+    def __init__(self, n: int, least: float, miss: float = 0.03, per_root: int = 32, seed: int = 5):
+        differ = math.acos(2 * least / (1 + least)) / math.pi
+        self.width = 2 + max(0, math.ceil(math.log(max(1, n) / 1e8, 1e4)))
+        within = lambda m: int(m * differ + 3 * math.sqrt(m * differ * (1 - differ)))
+        self.total, self.each = within(64 * self.width), within(64) + 3
+        self.bits = min(48, max(6, math.ceil(math.log2(max(1, n) / per_root))))
+        self.tables = math.ceil(math.log(1 / miss) / (1 - differ) ** self.bits)
+        rng = np.random.default_rng([seed, self.bits])
+        #: For each table its fingerprint's number and that fingerprint's bits in the table's order; 0 is the highest.
+        self.orders = [(t % self.width, rng.permutation(64).tolist()) for t in range(self.tables)]
+
+    def turned(self, turn: int, prints: np.ndarray) -> np.ndarray:
+        which, order = self.orders[turn]
+        return turned(prints[:, which], [(b, b + 1) for b in order])
+
+
+def signatures(docs: DataFrame, shingle: int, seed: int, width: int) -> DataFrame:
+    """(doc_id, node, n, p0, p1, ...): the number and size of each text's set of shingles, and the set's fingerprints."""
     prepare(docs.sparkSession)
+    names = [f"p{i}" for i in range(width)]
 
     def make(batches):
         fresh_worker()
         spread = _spread()
         for batch in batches:
             sets = [np.unique(shingle_hashes(t, shingle, seed)) for t in batch.column(1).to_pylist()]
-            prints = np.array([two_fingerprints(x, spread) for x in sets], np.uint64).reshape(-1, 2).view(np.int64)
+            prints = np.array([prints_of(x, spread, width) for x in sets], np.uint64).reshape(-1, width).view(np.int64)
             nodes = np.array([set_number(x) for x in sets], np.uint64).view(np.int64)
-            columns = [batch.column(0), pa.array(nodes), pa.array([len(x) for x in sets], pa.int64()), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "fp", "other"])
+            columns = [batch.column(0), pa.array(nodes), pa.array([len(x) for x in sets], pa.int64()), *[pa.array(prints[:, i].copy()) for i in range(width)]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", *names])
 
-    return doc_columns(docs).mapInArrow(make, "doc_id long, node long, n long, fp long, other long")
+    return doc_columns(docs).mapInArrow(make, "doc_id long, node long, n long" + "".join(f", {x} long" for x in names))
 
 
-def similar_pairs(sets: list[np.ndarray], side: np.ndarray, least: float, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that span the pairs of sets with a Jaccard similarity of `least`; of sets on two sides, those between the sides."""
+def candidates(classes: DataFrame, bands: Bands, most: int = 20_000) -> DataFrame:
+    """Edges (a, b) between nodes that span the pairs that share a root of some table and differ in at most bands.total bits, from (node, p0, p1, ...)."""
+    names = [f"p{i}" for i in range(bands.width)]
+
+    def root(batches):
+        high = 1 << np.arange(bands.bits - 1, -1, -1, dtype=np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            prints = np.stack([batch[x].to_numpy() for x in names], axis=1)
+            bits = np.unpackbits(prints.astype(">i8").view(np.uint8).reshape(batch.num_rows, -1), axis=1)
+            roots = [bits[:, [64 * which + b for b in order[: bands.bits]]].astype(np.int64) @ high for which, order in bands.orders]
+            again = pa.array(np.tile(np.arange(batch.num_rows), bands.tables))
+            turns = np.repeat(np.arange(bands.tables, dtype=np.int32), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(turns), pa.array(np.concatenate(roots)), *[batch[x].take(again) for x in ("node", *names)]], ["turn", "root", "node", *names])
+
+    def spanning(turn: int, table: pa.Table):
+        prints, node = np.stack([table[x].to_numpy() for x in names], axis=1).view(np.uint64), table["node"].to_numpy()
+        values = bands.turned(turn, prints)
+        order = np.argsort(values, kind="stable")
+        others = np.delete(prints, bands.orders[turn][0], axis=1)[order]
+        labels = trie_links(values[order], bands.bits, bands.each, 1 << 12, 1 << 10, others, bands.total)
+        found = np.flatnonzero(labels != np.arange(len(labels)))
+        return node[order[found]], node[order[labels[found]]]
+
+    rooted = classes.select("node", *names).mapInArrow(root, "turn int, root long, node long" + "".join(f", {x} long" for x in names))
+    return _joined(_dealt(rooted, "node", most), spanning)
+
+
+def similar_pairs(sets: list[np.ndarray], side: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that span the pairs of sets with a Jaccard similarity of `least`; of sets on two sides, those between the sides.
+
+    A pair whose ends are connected already is passed over; others are compared exactly, in order of how far their fingerprints are apart.
+    """
     spread = _spread()
-    prints = np.array([two_fingerprints(x, spread) for x in sets], np.uint64).reshape(-1, 2)
+    prints = np.array([prints_of(x, spread, 1) for x in sets], np.uint64).reshape(-1)
     sizes = np.array([len(x) for x in sets])
     labels, a, b, two = np.arange(len(sets)), [], [], len(np.unique(side)) > 1
     for i in range(1, len(sets)):
-        bits = np.bitwise_count(prints[:i] ^ prints[i]).sum(axis=1, dtype=np.int64)
-        near = (bits <= total) & (np.minimum(sizes[:i], sizes[i]) >= least * np.maximum(sizes[:i], sizes[i]) - 1e-9)
+        near = np.minimum(sizes[:i], sizes[i]) >= least * np.maximum(sizes[:i], sizes[i]) - 1e-9
         if two:
             near &= side[:i] != side[i]
-        for j in np.flatnonzero(near)[np.argsort(bits[near], kind="stable")]:
+        near &= labels[:i] != labels[i]
+        at = np.flatnonzero(near)
+        for j in at[np.argsort(np.bitwise_count(prints[at] ^ prints[i]), kind="stable")]:
             if labels[i] == labels[j]:
                 continue
-            common = len(sets[i]) + len(sets[j]) - len(np.union1d(sets[i], sets[j]))
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if common >= least * (len(sets[i]) + len(sets[j]) - common) - 1e-9:
                 a.append(j)
                 b.append(i)
@@ -349,68 +416,54 @@ def similar_pairs(sets: list[np.ndarray], side: np.ndarray, least: float, total:
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def verified(candidates: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, seed: int, least: float, most: int, total: int) -> DataFrame:
-    """Edges (a, b) that span the similar pairs within each group of candidates (node, root); texts are compared by their shingles in tasks.
+def verified(groups: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, seed: int, least: float, most: int) -> DataFrame:
+    """Edges (a, b) that span the similar pairs within each group of candidates (node, root), by the shingles themselves.
 
     A group of more than `most` nodes is cut into parts, and every two parts meet in a task of their own.
     """
-    spark = docs.sparkSession
-    parts = candidates.groupBy("root").agg(F.ceil(F.count("*") / most).alias("parts"))
-    placed = candidates.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    wanted = placed.join(classes.select("node", "least"), "node")
+    wanted, _ = materialize(groups.join(classes.select("node", "least"), "node").select("node", "root", "least"), "wanted")
     ids = wanted.select(F.col("least").alias("_id")).distinct()
 
     def number(batches):
-        seen: set = set()
-        for batch in batches:
-            nodes = [set_number(np.unique(shingle_hashes(t, shingle, seed))) for t in batch.column(0).to_pylist()]
-            fresh = [i for i, x in enumerate(nodes) if not (x in seen or seen.add(x))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, np.uint64).view(np.int64)), batch.column(0)], ["node", "text"]).take(pa.array(fresh, pa.int64()))
-
-    texts = doc_columns(docs).join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text").mapInArrow(number, "node long, text string")
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.struct(F.least(j, F.col("part")).alias("p"), F.greatest(j, F.col("part")).alias("q")))
-    dealt = placed.join(texts, "node").select("root", "part", "node", "text", F.explode(pairs).alias("x")).select("root", "x.p", "x.q", "part", "node", "text")
-    dealt = dealt.repartition(shuffle_partitions(spark), "root", "p", "q").sortWithinPartitions("root", "p", "q")
-
-    def compare(batches):
         fresh_worker()
-        key, held = None, {}
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, shingle, seed)) for t in batch.column(0).to_pylist()]
+            nodes = np.array([set_number(x) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "shingles"])
 
-        def out():
-            nodes = np.array(list(held), np.int64)
-            a, b = similar_pairs([x for _, x in held.values()], np.array([p for p, _ in held.values()]), least, total)
-            return pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], ["a", "b"])
+    sets = doc_columns(docs).join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text").mapInArrow(number, "node long, shingles binary")
+    rows = sets.join(wanted.select("node", "root"), "node").select(F.lit(0).alias("turn"), "root", "node", "shingles")
 
-        for batch in batches:
-            for root, p, q, part, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (root, p, q) != key:
-                    if len(held) > 1:
-                        yield out()
-                    key, held = (root, p, q), {}
-                held[node] = (part, np.unique(shingle_hashes(text, shingle, seed)))
-        if len(held) > 1:
-            yield out()
+    def spanning(turn: int, table: pa.Table):
+        first = np.unique(table["node"].to_numpy(), return_index=True)[1]  # rows that share an id come more than once
+        table = table.take(pa.array(first))
+        nodes, p, q = (table[x].to_numpy() for x in ("node", "p", "q"))
+        side = np.array([table["part"][i].as_py() for i in range(len(nodes))]) if len(p) and p[0] != q[0] else np.zeros(len(nodes), int)
+        roots, found = table["root"].to_numpy(), [[], []]
+        for r in np.unique(roots):
+            at = np.flatnonzero(roots == r)
+            a, b = similar_pairs([np.frombuffer(table["shingles"][int(i)].as_py(), np.uint64) for i in at], side[at], least)
+            found[0].append(nodes[at[a]])
+            found[1].append(nodes[at[b]])
+        return [np.concatenate([np.empty(0, np.int64), *x]) for x in found]
 
-    return dealt.mapInArrow(compare, "a long, b long")
+    return _joined(_dealt(rows, "node", most, with_part=True), spanning, held_rows=2 * most)
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, seed: int = 42, least: float = 0.8, k: int = 20, blocks: int = 10, total: int = 32, most: int = 512) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = 5, seed: int = 42, least: float = 0.8, most: int = 512) -> DataFrame:
     """One row per document row: doc_id, fp (the number of its set of shingles), component_id (the least doc_id that links reach), root.
 
-    A link joins two texts whose sets of shingles have a Jaccard similarity of `least`. Fingerprints only find candidates: tries over
-    each of two fingerprints, with `total` differing bits of the 128. Texts of equal sets are one node; one without words is alone with its like.
+    A link joins two texts whose sets of shingles have a Jaccard similarity of `least`. Fingerprints only find candidates, as Bands
+    says. Texts of equal sets are one node; one without words is alone with its like.
     """
-    made, _ = materialize(signatures(docs, shingle, seed), "signatures")
-    classes, _ = materialize(made.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("other").alias("other"), F.min("doc_id").alias("least")), "shingle-sets")
-    found = []
-    for fp, other in (("fp", "other"), ("other", "fp")):
-        turned_ = classes.where("n > 0").select(F.col(fp).alias("fp"), F.col(other).alias("other"), "node")
-        found.append(materialize(links(turned_, k, blocks, total=total).distinct(), "candidates")[0])
-        release_shuffles(docs.sparkSession)
-    groups, _ = materialize(components(found[0].unionByName(found[1]), "a", "b"), "candidate-groups")
-    edges, _ = materialize(verified(groups, docs, classes, shingle, seed, least, most, 48), "similar")
+    bands = Bands(docs.count(), least)
+    made, _ = materialize(signatures(docs, shingle, seed, bands.width), "signatures")
+    prints = [f"p{i}" for i in range(bands.width)]
+    classes, _ = materialize(made.groupBy("node").agg(F.first("n").alias("n"), *[F.first(p).alias(p) for p in prints], F.min("doc_id").alias("least")), "shingle-sets")
+    found, _ = materialize(candidates(classes.where("n > 0"), bands).distinct(), "candidates")
+    release_shuffles(docs.sparkSession)
+    groups, _ = materialize(components(found, "a", "b"), "candidate-groups")
+    edges, _ = materialize(verified(groups, docs, classes, shingle, seed, least, most), "similar")
     release_shuffles(docs.sparkSession)
-    roots = components(edges, "a", "b").select("node", "root")
-    joined = classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id", "root")
-    return made.select("doc_id", "node").join(named, "node").select("doc_id", F.col("node").alias("fp"), "component_id", "root")
+    names, _ = materialize(named(classes.select("node", "least"), edges, "node").select("node", "component_id", "root"), "similar-names")
+    return made.select("doc_id", "node").join(names, "node").select("doc_id", F.col("node").alias("fp"), "component_id", "root")
