@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import cache
+from itertools import chain
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space as the library understands it, which is wider than that of Java's or RE2's \s.
@@ -55,22 +57,41 @@ def has_terms(norm: Column, words: list[str]) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
-def hit(norm: Column, words: list[str]) -> Column:
-    """struct(start, end), from 0, of the first word's first place; null without a hit."""
-    start = F.instr(norm, words[0] if words else "") - 1
-    return F.when(has_terms(norm, words), F.struct(start.alias("start"), (start + len(words[0] if words else "")).alias("end")))
+def place(text: Column, at: Column) -> Column:
+    """Where the folded text's character `at` (from 0) stands in the text: folding drops combining marks, so it may be further on."""
+    whole = F.regexp_extract_all(text, F.lit(r"(\P{M}\p{M}*)"), F.lit(1))  # each letter with its marks
+    before = F.length(F.regexp_extract(text, r"^\p{M}+", 0)) + F.length(F.array_join(F.slice(whole, F.lit(1), at), ""))
+    return F.when(F.rlike(text, F.lit(r"\p{M}")), before).otherwise(at)
+
+
+def hit(text: Column, words: list[str]) -> Column:
+    """struct(start, end), from 0, of the first word's first place in the text itself; null unless all words are in it. The text is folded once."""
+    first = words[0] if words else ""
+
+    def found(norm: Column) -> Column:
+        start = F.instr(norm, first) - 1
+        end = place(text, start + len(first) - 1) + 1
+        return F.when(has_terms(norm, words), F.struct(place(text, start).alias("start"), end.alias("end")))
+
+    return F.get(F.transform(F.array(fold(text)), found), F.lit(0))
+
+
+def with_hits(rows: DataFrame, text: str, words: list[str], name: str = "hit") -> DataFrame:
+    """rows whose text column has all words, with their hit. A generator makes it, so filter and columns share one evaluation."""
+    return rows.select("*", F.explode(F.array_compact(F.array(hit(F.col(text), words)))).alias(name))
 
 
 def snippet(text: Column, start: Column, end: Column, around: int = 45, more: int = 15) -> Column:
     """struct(before, mark, after): about `around` characters on either side, on to the end of a word if near, on one line, with … where cut."""
-    left, right = F.substr(text, F.lit(1), start), F.substr(text, end + 1)
+    reach = F.lit(around + more)
+    left = F.substr(text, F.greatest(start - reach, F.lit(0)) + 1, F.least(start, reach))
     before = F.regexp_extract(left, rf"(?s)\S{{0,{more}}}.{{0,{around}}}\z", 0)
-    after = F.regexp_extract(right, rf"(?s)^.{{0,{around}}}\S{{0,{more}}}", 0)
+    after = F.regexp_extract(F.substr(text, end + 1, reach), rf"(?s)^.{{0,{around}}}\S{{0,{more}}}", 0)
     one = lambda c: F.regexp_replace(c, r"\s+", " ")
     return F.struct(
-        F.concat(F.when(F.length(before) < F.length(left), "…").otherwise(""), F.ltrim(one(before))).alias("before"),
+        F.concat(F.when(F.length(before) < start, "…").otherwise(""), F.ltrim(one(before))).alias("before"),
         one(F.substr(text, start + 1, end - start)).alias("mark"),
-        F.concat(F.rtrim(one(after)), F.when(F.length(after) < F.length(right), "…").otherwise("")).alias("after"),
+        F.concat(F.rtrim(one(after)), F.when(end + F.length(after) < F.length(text), "…").otherwise("")).alias("after"),
     )
 
 
@@ -98,46 +119,58 @@ def join_hyphens(text: Column) -> Column:
 LIST_MARK = r"(?iu)^(\(?\d{1,3}[.)°º-]|\(?[a-zñ][.)]|[•·▪◦\-–—])\s"
 
 
+#: Marks an end of a paragraph while texts are put together. It is no character, so texts that hold it lose nothing by ending a paragraph there.
+_END = "\uffff"
+
+
 def paragraphs(text: Column) -> Column:
-    """Paragraphs of read text: blocks between blank lines with their lines joined; entries of lists stand alone."""
-    trimmed = lambda x: F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")
-    blocks = F.split(F.coalesce(text, F.lit("")), r"\n\s*\n")
+    """Paragraphs of read text: blocks between blank lines with their lines joined; entries of lists stand alone.
+
+    Ends of paragraphs are marked by a few replacements over the whole text, which is split once.
+    """
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\n\s*\n", _END)
+    t = F.regexp_replace(t, f"{SPACE}*{_END}{SPACE}*", _END)
+    t = F.regexp_replace(t, f"{SPACE}*\n{SPACE}*", "\n")
+    # The same pattern as LIST_MARK, with its white space in one line: lines are trimmed by now.
+    t = F.regexp_replace(t, "(?iu)\n(?=(" + LIST_MARK.removeprefix("(?iu)^(").removesuffix(r")\s") + r")[^\S\n])", _END)
+    t = F.regexp_replace(F.regexp_replace(t, "(\\p{L})[-‐]\n(?=\\p{Ll})", "$1"), "\n", " ")
+    return F.filter(F.split(F.regexp_replace(t, f"^{SPACE}+|{SPACE}+$", ""), _END), lambda x: x != "")
+
+
+_CLOSE = re.compile(r"[.!?;:]+|\n+")
 
-    def joined(block: Column) -> Column:
-        lines = F.filter(F.transform(F.split(block, "\n"), trimmed), lambda x: x != "")
 
-        def add(out: Column, line: Column) -> Column:
-            last = F.element_at(out, -1)
-            cut = F.rlike(last, F.lit(r"\p{L}[-‐]$")) & F.rlike(line, F.lit(r"^\p{Ll}"))
-            longer = F.when(cut, F.concat(F.substr(last, F.lit(1), F.length(last) - 1), line)).otherwise(F.concat_ws(" ", last, line))
-            fresh = (F.size(out) == 0) | F.rlike(line, F.lit(LIST_MARK))
-            return F.when(fresh, F.concat(out, F.array(line))).otherwise(F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(longer)))
+def _sentence_spans(text: str):
+    """(start, end) of each stretch with the marks or line ends that close it; one of white space alone has none."""
+    at = 0
+    for stop, end in chain((m.span() for m in _CLOSE.finditer(text)), [(len(text), len(text))]):
+        if stop > at and not text[at:end].isspace():
+            yield at, end
+        at = end
 
-        return F.aggregate(lines, F.array().cast("array<string>"), add)
 
-    return F.flatten(F.transform(blocks, joined))
+def _breaks(text: str, start: int, end: int, most: int) -> list[int]:
+    """Places that cut text[start:end] into pieces of at most `most` characters: after the last space of a piece, if that is past its middle."""
+    out = [start]
+    while end - out[-1] > most:
+        space = text.rfind(" ", out[-1], out[-1] + most) - out[-1]
+        out.append(out[-1] + (space + 1 if 2 * space > most else most))
+    return out[1:]
 
 
 def sentences_here(text: str, most: int = 220, short: int = 60) -> list[tuple[int, int, str]]:
-    """(start, end, text) of pieces to read aloud: sentences, cut if long, joined to the next if short."""
-    import re
-
-    out: list[list[int]] = []
-    for m in re.finditer(r"[^.!?;:\n]+(?:[.!?;:]+|\n+|$)", text):
-        if not m[0].strip():
-            continue
-        start, end = m.span()
-        while end - start > most:
-            part = text[start : start + most]
-            cut = max(part.rfind(", "), part.rfind(" "))
-            stop = start + (cut + 1 if cut > most / 2 else most)
-            out.append([start, stop])
-            start = stop
-        if out and out[-1][1] - out[-1][0] < short and end - out[-1][0] <= most:
-            out[-1][1] = end
-        else:
-            out.append([start, end])
-    spoken = ((a, b, " ".join(re.sub("[—–]", " ", text[a:b]).split())) for a, b in out)
+    """(start, end, text) of pieces to read aloud: sentences, cut if long, joined to the next if short.
+
+    Pieces are kept as the places where they start and end; joining two drops the places between them.
+    """
+    starts, ends = [], []
+    for a, b in _sentence_spans(text):
+        cuts = _breaks(text, a, b, most)
+        starts += [a, *cuts]
+        ends += [*cuts, b]
+        if len(ends) > 1 and ends[-2] - starts[-2] < short and b - starts[-2] <= most:
+            del ends[-2], starts[-1]
+    spoken = ((a, b, " ".join(text[a:b].replace("—", " ").replace("–", " ").split())) for a, b in zip(starts, ends, strict=True))
     return [x for x in spoken if x[2]]
 
 

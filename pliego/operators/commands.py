@@ -32,8 +32,17 @@ def _has(docs: DataFrame, doc_id) -> bool:
 
 
 def upsert(rows: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """new over rows by key; of rows of new that share a key, one stays."""
-    return rows.join(new.select(key), key, "left_anti").unionByName(new.dropDuplicates([key]), allowMissingColumns=True)
+    """new over rows by key. Of rows of new that share a key the last stays, in the order of its partitions and of rows within them. A null key is a key like others."""
+    gone = new.select(F.col(key).alias("_key")).distinct()
+    nth = new.withColumn("_nth", F.monotonically_increasing_id())
+    last = nth.groupBy(F.col(key).alias("_key")).agg(F.max("_nth").alias("_last"))
+    chosen = nth.join(last, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_nth") == F.col("_last")), "left_semi").drop("_nth")
+    return rows.join(gone, F.col(key).eqNullSafe(F.col("_key")), "left_anti").unionByName(chosen, allowMissingColumns=True)
+
+
+def _is(column: str, value) -> F.Column:
+    """Whether a column has a value; a null is another value than any other."""
+    return F.col(column).eqNullSafe(F.lit(value))
 
 
 def _added(docs: DataFrame, pages: DataFrame, doc_id, page: DataFrame, now: int, place) -> Store:
@@ -71,16 +80,28 @@ def replace_document(docs: DataFrame, pages: DataFrame, doc: DataFrame, new_page
 
 def delete_pages(docs: DataFrame, pages: DataFrame, doc_id, ids: list, now: int) -> Store:
     items = _ids(pages, ids)
-    return _change(docs, doc_id, paginas=arrays.without(F.col("paginas"), items), modificado=F.lit(now)), pages.where(~F.array_contains(items, F.col("id")))
+    return _change(docs, doc_id, paginas=arrays.without(F.col("paginas"), items), modificado=F.lit(now)), pages.where(~F.coalesce(F.array_contains(items, F.col("id")), F.lit(False)))
 
 
 def delete_document(docs: DataFrame, pages: DataFrame, doc_id) -> Store:
     """The document and all pages of it, trashed ones included."""
-    return docs.where(F.col("id") != F.lit(doc_id)), pages.where(F.col("doc_id") != F.lit(doc_id))
+    return docs.where(~_is("id", doc_id)), pages.where(~_is("doc_id", doc_id))
+
+
+def delete_documents(docs: DataFrame, pages: DataFrame, gone: DataFrame) -> Store:
+    """delete_document for each id in gone (id)."""
+    ids = gone.select("id").distinct()
+    return docs.join(ids, "id", "left_anti"), pages.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_anti")
+
+
+def delete_database(*tables: DataFrame) -> tuple[DataFrame, ...]:
+    """Every table without its rows."""
+    return tuple(t.where(F.lit(False)) for t in tables)
 
 
 def delete_folder(folders: DataFrame, docs: DataFrame, folder_id) -> Store:
-    return folders.where(F.col("id") != F.lit(folder_id)), docs.withColumn("carpeta_id", F.when(F.col("carpeta_id") == F.lit(folder_id), None).otherwise(F.col("carpeta_id")))
+    """Its documents stay, without a folder."""
+    return folders.where(~_is("id", folder_id)), docs.withColumn("carpeta_id", F.when(F.col("carpeta_id") == F.lit(folder_id), None).otherwise(F.col("carpeta_id")))
 
 
 def move_pages(docs: DataFrame, pages: DataFrame, source, target, ids: list, now: int) -> Store:
@@ -145,7 +166,7 @@ def restore_page(docs: DataFrame, pages: DataFrame, page_id) -> Store:
 
 
 def delete_trashed_page(pages: DataFrame, page_id) -> DataFrame:
-    return pages.where((F.col("id") != F.lit(page_id)) | F.col("papelera").isNull())
+    return pages.where(~_is("id", page_id) | F.col("papelera").isNull())
 
 
 def _purged(docs: DataFrame, pages: DataFrame, now: int, everything: bool) -> Store:
@@ -196,17 +217,29 @@ def last_of_each(rows: DataFrame, key: str, at: str) -> DataFrame:
 
 
 def write_snapshot(root: str, name: str, **frames: DataFrame) -> str:
-    """All frames under root/name, then a pointer to it: a reader sees the old snapshot or the new one, whole."""
+    """All frames under root/name, then a pointer to it: a reader sees the old snapshot or the new one, whole.
+
+    Pointers are only ever added, each under a new number, and the highest that is finished counts; nothing that a reader may need is
+    deleted or overwritten.
+    """
     spark = next(iter(frames.values())).sparkSession
     for table, df in frames.items():
-        df.write.mode("overwrite").parquet(f"{root}/{name}/{table}")
-    spark.createDataFrame([(name,)], "snapshot string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
+        df.write.mode("errorifexists").parquet(f"{root}/{name}/{table}")
+    last = _pointer(spark, root)
+    spark.createDataFrame([(name,)], "snapshot string").coalesce(1).write.mode("errorifexists").json(f"{root}/pointers/n={(last.n if last else 0) + 1}")
     return f"{root}/{name}"
 
 
+def _pointer(spark, root: str):
+    """The highest number and its snapshot; None before the first. Unfinished pointers have no rows."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/pointers")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.schema("snapshot string, n long").json(f"{root}/pointers").orderBy(F.desc("n")).first()
+
+
 def read_snapshot(spark, root: str, table: str) -> DataFrame:
-    name = spark.read.schema("snapshot string").json(f"{root}/current").first().snapshot
-    return spark.read.parquet(f"{root}/{name}/{table}")
+    return spark.read.parquet(f"{root}/{_pointer(spark, root).snapshot}/{table}")
 
 
 def split_book(docs: DataFrame, pages: DataFrame, page_id, left: DataFrame, right: DataFrame, now: int) -> Store:

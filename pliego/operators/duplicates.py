@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,13 +64,11 @@ def similarity(a: dict, b: dict) -> float:
     if abs(a["aspect"] - b["aspect"]) / max(a["aspect"], b["aspect"]) > SHAPE or min(a["energy"], b["energy"]) < LEAST_ENERGY:
         return 0.0
     p, q = (np.asarray(x["v"], np.float64).reshape(HEIGHT, WIDTH) for x in (a, b))
-    best = -1.0
-    for dy in range(-SHIFT, SHIFT + 1):
-        for dx in range(-SHIFT, SHIFT + 1):
-            x = p[max(0, -dy) : HEIGHT - max(0, dy), max(0, -dx) : WIDTH - max(0, dx)]
-            y = q[max(0, dy) : HEIGHT - max(0, -dy), max(0, dx) : WIDTH - max(0, -dx)]
-            best = max(best, float((x * y).sum() / np.sqrt((x * x).sum() * (y * y).sum() or 1.0)))
-    return best
+    # All shifts at once: views of q, of its squares and of where it is, each moved by up to SHIFT rows and columns.
+    moved = lambda v: sliding_window_view(np.pad(v, SHIFT), (HEIGHT, WIDTH))
+    both = np.einsum("ij,abij->ab", p, moved(q))
+    weight = np.einsum("ij,abij->ab", p * p, moved(np.ones_like(q))) * moved(q * q).sum(axis=(2, 3))
+    return float((both / np.sqrt(np.where(weight > 0, weight, 1.0))).max())
 
 
 def fingerprint_alike(a: dict, b: dict) -> bool:
@@ -88,7 +87,8 @@ def fingerprints():
 
 def similarities():
     def of(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
-        return pd.Series([similarity(x, y) for x, y in zip(a.to_dict("records"), b.to_dict("records"), strict=True)])
+        # A function in Python sees every row, also those that a condition around it leaves out.
+        return pd.Series([similarity(x, y) if x["v"] is not None and y["v"] is not None else 0.0 for x, y in zip(a.to_dict("records"), b.to_dict("records"), strict=True)], dtype="float64")
 
     return F.pandas_udf(of, "double")
 

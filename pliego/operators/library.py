@@ -35,9 +35,9 @@ def page_keys(pages: DataFrame, doc_id) -> DataFrame:
     return pages.where(F.col("doc_id") == F.lit(doc_id)).select("id")
 
 
-def pages_of(docs: DataFrame, pages: DataFrame) -> DataFrame:
-    """Each document's pages that exist, in order: pos is the place in the array, n counts only those that exist."""
-    listed = docs.select(F.col("id").alias("_doc"), F.posexplode("paginas").alias("pos", "_page"))
+def pages_of(docs: DataFrame, pages: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Each document's pages that exist, in order: pos is the place in the array, n counts only those that exist. carry: columns of docs to keep."""
+    listed = docs.select(F.col("id").alias("_doc"), *carry, F.posexplode("paginas").alias("pos", "_page"))
     joined = listed.join(pages, F.col("_page") == pages["id"]).drop("_page")
     return joined.withColumn("n", F.row_number().over(Window.partitionBy("_doc").orderBy("pos"))).withColumnRenamed("_doc", "of")
 
@@ -80,11 +80,38 @@ def same_name(a: Column, b: Column) -> Column:
     return F.collate(a, COLLATION) == F.collate(b, COLLATION)
 
 
-def free_name(wanted: DataFrame, taken: DataFrame, scope: list[str], base: str, most: int = 1000) -> DataFrame:
-    """The first of base, base (2), base (3), … that taken (scope, name) doesn't hold, for each row of wanted (scope, base)."""
-    tried = wanted.withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(most))))
-    tried = tried.withColumn("name", F.when(F.col("_n") == 1, F.col(base)).otherwise(F.concat(base, F.lit(" ("), F.col("_n").cast("string"), F.lit(")"))))
-    return tried.join(taken.select(*scope, "name").distinct(), [*scope, "name"], "left_anti").groupBy(*wanted.columns).agg(F.min_by("name", "_n").alias("name"))
+def folders_numbered(folders: DataFrame) -> DataFrame:
+    """Folders with their place n in the order of folders_sorted. There are few folders."""
+    return folders.withColumn("n", F.row_number().over(Window.orderBy(F.collate("nombre", COLLATION), "id")).cast("long"))
+
+
+def folder_counts(folders: DataFrame, docs: DataFrame) -> DataFrame:
+    """Each folder with how many documents it has; they are counted before the join."""
+    n = docs.groupBy("carpeta_id").agg(F.count("*").alias("documents"))
+    return folders.join(n, F.col("id") == F.col("carpeta_id"), "left").drop("carpeta_id").withColumn("documents", F.coalesce("documents", F.lit(0).cast("long")))
+
+
+def trash_counts(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """One row: how many documents and how many pages are trashed."""
+    gone = docs.where("papelera IS NOT NULL").select(F.lit(1).alias("d")).unionByName(pages.where("papelera IS NOT NULL").select(F.lit(0).alias("d")))
+    return gone.agg(F.count_if(F.col("d") == 1).alias("documents"), F.count_if(F.col("d") == 0).alias("pages"))
+
+
+def free_name(wanted: DataFrame, taken: DataFrame, scope: list[str], base: str) -> DataFrame:
+    """The first of base, base (2), base (3), … that taken (scope, name) doesn't hold, for each row of wanted (scope, base).
+
+    Names with a number are taken apart; of a base's numbers, kept once each and in order, the first that isn't its own rank ends the run from 1.
+    """
+    numbered = r"(?s)^(.*) \(([1-9]\d{0,17})\)$"
+    whole = taken.select(*scope, F.col("name").alias("_base"), F.lit(1).cast("long").alias("_n"))
+    parted = taken.where(F.rlike("name", F.lit(numbered))).select(*scope, F.regexp_extract("name", numbered, 1).alias("_base"), F.regexp_extract("name", numbered, 2).cast("long").alias("_n")).where("_n > 1")
+    keys = wanted.select(*scope, F.col(base).alias("_base")).distinct()
+    used = whole.unionByName(parted).join(keys, [*scope, "_base"], "left_semi").distinct()
+    ranked = used.withColumn("_rank", F.row_number().over(Window.partitionBy(*scope, "_base").orderBy("_n")))
+    run = ranked.where("_n = _rank").groupBy(*scope, "_base").agg(F.max("_n").alias("_run"))
+    out = wanted.join(run.withColumnRenamed("_base", base), [*scope, base], "left")
+    n = F.coalesce("_run", F.lit(0)) + 1
+    return out.select(*wanted.columns, F.when(n == 1, F.col(base)).otherwise(F.concat(base, F.lit(" ("), n.cast("string"), F.lit(")"))).alias("name"))
 
 
 def recent_distinct(rows: DataFrame, key: str, value: str, at: str, most: int) -> DataFrame:
@@ -93,13 +120,27 @@ def recent_distinct(rows: DataFrame, key: str, value: str, at: str, most: int) -
     return last.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(at), value))).where(F.col("n") <= most)
 
 
-def nearest_previous(rows: DataFrame, group: str, place: str, key: str, item: str, alike: Callable[[Column, Column], Column], most: int) -> DataFrame:
-    """For each row the nearest earlier one of its group, at most `most` places before, that is alike: (key, twin). Rows that aren't comparable (item null) take up places."""
-    a = rows.select(F.col(group).alias("_g"), F.col(place).alias("_p"), F.col(key), F.col(item).alias("_a"))
-    steps = a.withColumn("_q", F.explode(F.sequence(F.col("_p") - most, F.col("_p") - 1)))
-    b = rows.select(F.col(group).alias("_g"), F.col(place).alias("_q"), F.col(key).alias("twin"), F.col(item).alias("_b"))
-    pairs = steps.join(b, ["_g", "_q"]).where(F.col("_a").isNotNull() & F.col("_b").isNotNull()).where(alike(F.col("_a"), F.col("_b")))
-    return pairs.groupBy(key).agg(F.max_by("twin", "_q").alias("twin"))
+def nearest_previous(rows: DataFrame, group: str, place: str, key: str, item: str, alike: Callable[[Column, Column], Column], most: int, stretch: int = 5000) -> DataFrame:
+    """For each row the nearest earlier one of its group, at most `most` places before, that is alike: (key, twin). Rows that aren't comparable (item null) take up places.
+
+    A group's places are dealt in stretches, each with the `most` rows before it, so a large group is many tasks' work; within a
+    stretch the earlier rows come from a window, and no pairs are made.
+    """
+    own = F.floor(F.col("_p") / stretch)
+    a = rows.select(F.col(group).alias("_g"), F.col(place).alias("_p"), F.col(key), F.col(item).alias("_item"))
+    a = a.withColumn("_s", F.explode(F.array_distinct(F.array(own, F.floor((F.col("_p") + most) / stretch)))))
+    w = Window.partitionBy("_g", "_s").orderBy("_p")
+    before = [F.lag(F.struct("_p", key, "_item"), k).over(w).alias(f"_b{k}") for k in range(1, most + 1)]
+    a = a.select("*", *before).where(own == F.col("_s"))
+    near = [F.when((F.col(f"_b{k}._p") >= F.col("_p") - most) & F.col(f"_b{k}._item").isNotNull() & alike(F.col("_item"), F.col(f"_b{k}._item")), F.col(f"_b{k}.{key}")) for k in range(1, most + 1)]
+    return a.where(F.col("_item").isNotNull()).select(key, F.coalesce(*near).alias("twin")).where("twin IS NOT NULL")
+
+
+def value_percentiles(rows: DataFrame, key: str, value: str, wanted: dict[str, float]) -> DataFrame:
+    """For each key and name the item floor(n p), from 0, of its sorted values, not interpolated: values are counted first, so what a window orders is distinct values."""
+    n = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n"))
+    upto = n.withColumn("_upto", F.sum("_n").over(Window.partitionBy(key).orderBy(value))).withColumn("_all", F.sum("_n").over(Window.partitionBy(key)))
+    return upto.groupBy(key).agg(*[F.min(F.when(F.col("_upto") > F.least(F.floor(F.col("_all") * F.lit(p)), F.col("_all") - 1), F.col(value))).alias(name) for name, p in wanted.items()])
 
 
 def bin_percentiles(bins: DataFrame, wanted: dict[str, float]) -> DataFrame:

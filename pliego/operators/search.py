@@ -25,7 +25,7 @@ def search(docs: DataFrame, pages: DataFrame, folders: DataFrame, query: str) ->
     """docs (id, nombre, modificado, carpeta_id, papelera, paginas), pages (id, texto), folders (id, nombre).
 
     One row per document found: in_name, its first hit page n (null if only the name hits), more, and the snippet; newest first,
-    ids break ties. A query without terms finds nothing. Offsets in texts that folding shortens are those of the folded text.
+    ids break ties. A query without terms finds nothing.
     """
     words = text.terms_here(query)
     live = docs.where("papelera IS NULL")
@@ -33,6 +33,5 @@ def search(docs: DataFrame, pages: DataFrame, folders: DataFrame, query: str) ->
     hits = first_hits(index(docs, pages), "doc_id", query)
     names = folders.select(F.col("id").alias("carpeta_id"), F.col("nombre").alias("carpeta"))
     out = named.join(hits, "doc_id", "left").where("in_name OR n IS NOT NULL").join(names, "carpeta_id", "left")
-    at = text.hit(text.fold(F.col("text")), words)
-    out = out.withColumn("hit", at).withColumn("snippet", F.when(F.col("hit").isNotNull(), text.snippet(F.col("text"), F.col("hit.start"), F.col("hit.end"))))
+    out = out.withColumn("hit", text.hit(F.col("text"), words)).withColumn("snippet", F.when(F.col("hit").isNotNull(), text.snippet(F.col("text"), F.col("hit.start"), F.col("hit.end"))))
     return out.select("doc_id", "nombre", "carpeta", "modificado", "in_name", "n", "more", "snippet").orderBy(F.desc("modificado"), "doc_id")

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import arrays, codes, dates, text
 from ..operators import commands, library, search
+from ..sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -73,12 +74,26 @@ rtrim(regexp_replace(a, '\s+', ' ', 'g')) || CASE WHEN length(a) < length(r) THE
 @query(_SNIPPET_SQL)
 def search_snippet(spark, d):
     """The library's search with the page's excerpt around the first term."""
-    docs = table(spark, d, "documents").select("doc_id", "text", text.fold(F.col("text")).alias("norm"))
-    words = text.terms_here("the")
-    hits = docs.withColumn("hit", text.hit(F.col("norm"), words)).where("hit IS NOT NULL")
+    hits = text.with_hits(table(spark, d, "documents").select("doc_id", "text"), "text", text.terms_here("the"))
     return hits.select("doc_id", text.snippet(F.col("text"), F.col("hit.start"), F.col("hit.end")).alias("s")).select("doc_id", "s.before", "s.mark", "s.after")
 
 
+_OFFSETS_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_replace(text, '([aeiouAEIOU])', '\1' || chr(769), 'g') AS marked FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')),
+h AS (SELECT *, position('the' || chr(769) IN lower(marked)) AS p FROM t)
+SELECT doc_id, CAST(p - 1 AS INTEGER) AS start, CAST(p + 2 AS INTEGER) AS end_ FROM h WHERE p > 0
+"""
+
+
+@query(_OFFSETS_SQL)
+def search_offsets_in_marked_text(spark, d):
+    """Places in texts whose vowels have combining accents: those of the text itself, not of the folded one. Texts that had other accents before are left out."""
+    plain = F.col("text")
+    docs = table(spark, d, "documents").where(~F.rlike(plain, F.lit(r"[^\x00-\x7F]"))).select("doc_id", F.regexp_replace(plain, "([aeiouAEIOU])", "$1́").alias("marked"))
+    hits = text.with_hits(docs, "marked", text.terms_here("the"))
+    return hits.select("doc_id", F.col("hit.start").alias("start"), F.col("hit.end").alias("end_"))
+
+
 @query("SELECT doc_id, lower(strip_accents(text)) AS norm FROM documents")
 def fold_text(spark, d):
     return table(spark, d, "documents").select("doc_id", text.fold(F.col("text")).alias("norm"))
@@ -96,9 +111,9 @@ def unread_count(spark, d):
     return table(spark, d, "documents").join(read, "doc_id", "left").agg(F.count_if(F.col("read").isNull()).alias("unread"), F.count("*").alias("pages"))
 
 
-@query(r"SELECT doc_id, len(list_filter(string_split_regex(lower(strip_accents(substr(text, 1, 200))), '\s+'), lambda x: x <> '')) AS n_terms FROM documents")
+@query(r"SELECT doc_id, len(list_filter(string_split_regex(lower(strip_accents(text)), '\s+'), lambda x: x <> '')) AS n_terms FROM documents")
 def query_terms(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(text.terms(F.substr("text", F.lit(1), F.lit(200)))).cast("long").alias("n_terms"))
+    return table(spark, d, "documents").select("doc_id", F.size(text.terms(F.col("text"))).cast("long").alias("n_terms"))
 
 
 # Listings and joins
@@ -112,14 +127,18 @@ def list_documents_newest(spark, d):
 
 @query("SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n, l_partkey, o_orderdate FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def ordered_children_join(spark, d):
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    joined = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    return joined.select("l_orderkey", F.row_number().over(order).cast("long").alias("n"), "l_partkey", "o_orderdate")
+    lines = table(spark, d, "lineitem")
+    lines = lines.withColumn("id", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    listed = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_set("id")).alias("paginas"))
+    docs = table(spark, d, "orders").join(listed, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("id"), "paginas", "o_orderdate")
+    pages = library.pages_of(docs, lines.select("id", "l_partkey"), carry=("o_orderdate",))
+    return pages.select(F.col("of").alias("l_orderkey"), F.col("n").cast("long").alias("n"), "l_partkey", "o_orderdate")
 
 
 @query("SELECT conv_id, arg_min(text, turn) AS first_page FROM conversations GROUP BY conv_id")
 def first_child(spark, d):
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("first_page"))
+    docs, pages = _store(spark, d)
+    return library.cover_page(docs, pages.withColumnRenamed("text", "miniatura")).select(F.col("id").alias("conv_id"), F.col("miniatura").alias("first_page"))
 
 
 @query("SELECT c_custkey, n_name AS folder FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
@@ -131,8 +150,8 @@ def folder_left_join(spark, d):
 
 @query("SELECT n_name AS folder, count(c_custkey) AS documents FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name")
 def folder_counts(spark, d):
-    joined = table(spark, d, "nation").join(table(spark, d, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    return joined.groupBy(F.col("n_name").alias("folder")).agg(F.count("c_custkey").alias("documents"))
+    folders = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("folder"))
+    return library.folder_counts(folders, table(spark, d, "customer").select(F.col("c_nationkey").alias("carpeta_id"))).select("folder", "documents")
 
 
 @query("SELECT n_nationkey, CASE WHEN r_regionkey IS NULL THEN NULL ELSE n_regionkey END AS folder_id FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON n_regionkey = r_regionkey")
@@ -151,8 +170,9 @@ def trash_listing(spark, d):
 
 @query("SELECT (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS documents, (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS pages")
 def trash_counts(spark, d):
-    docs = table(spark, d, "orders").where("o_orderstatus = 'F'").agg(F.count("*").alias("documents"))
-    return docs.crossJoin(table(spark, d, "lineitem").where("l_returnflag = 'R'").agg(F.count("*").alias("pages")))  # one row by one row
+    docs = table(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("papelera"))
+    pages = table(spark, d, "lineitem").select(F.when(F.col("l_returnflag") == "R", F.col("l_shipdate")).alias("papelera"))
+    return library.trash_counts(docs, pages)
 
 
 # Retention, names, labels
@@ -183,9 +203,9 @@ def backup_reminder(spark, d):
     return told.where("r IS NOT NULL").select("user_id", "r.never", "r.days")
 
 
-@query("SELECT user_id, CASE WHEN count(*) < 5 THEN 0 ELSE CAST(least(30000 * pow(2, least(count(*), 40) - 5), 900000) AS BIGINT) END AS wait FROM events WHERE event_type = 'error' OR user_id % 3 = 0 AND value > 90 GROUP BY user_id")
+@query("SELECT user_id, CASE WHEN count(*) < 5 THEN 0 ELSE CAST(least(30000 * pow(2, least(count(*), 40) - 5), 900000) AS BIGINT) END AS wait FROM events WHERE event_type = 'error' GROUP BY user_id")
 def backoff_wait(spark, d):
-    failed = table(spark, d, "events").where("event_type = 'error' OR user_id % 3 = 0 AND value > 90")
+    failed = table(spark, d, "events").where("event_type = 'error'")
     return failed.groupBy("user_id").agg(F.count("*").alias("n")).select("user_id", dates.backoff(F.least(F.col("n"), F.lit(40))).alias("wait"))
 
 
@@ -212,9 +232,9 @@ def plural_label(spark, d):
 
 
 _SUFFIX_SQL = """
-WITH names AS (SELECT DISTINCT source, CASE WHEN doc_id % 7 = 0 THEN lang ELSE lang || ' (' || CAST(doc_id % 7 + 1 AS VARCHAR) || ')' END AS name FROM documents),
+WITH names AS (SELECT DISTINCT source, CASE WHEN doc_id % 7 = 0 THEN lang ELSE lang || ' (' || CAST(doc_id % 7 + 1 AS VARCHAR) || ')' END AS name FROM documents WHERE source < 's' OR doc_id % 7 <> 3),
 bases AS (SELECT DISTINCT source, lang FROM documents),
-wanted AS (SELECT source, lang, n, CASE WHEN n = 1 THEN lang ELSE lang || ' (' || CAST(n AS VARCHAR) || ')' END AS name FROM bases, generate_series(1, 8) g(n))
+wanted AS (SELECT source, lang, n, CASE WHEN n = 1 THEN lang ELSE lang || ' (' || CAST(n AS VARCHAR) || ')' END AS name FROM bases, generate_series(1, (SELECT count(*) + 1 FROM documents)) g(n))
 SELECT w.source, w.lang, arg_min(w.name, w.n) AS name FROM wanted w LEFT JOIN names t ON w.source = t.source AND w.name = t.name WHERE t.name IS NULL GROUP BY w.source, w.lang
 """
 
@@ -222,8 +242,9 @@ SELECT w.source, w.lang, arg_min(w.name, w.n) AS name FROM wanted w LEFT JOIN na
 @query(_SUFFIX_SQL)
 def unique_name_suffix(spark, d):
     docs = table(spark, d, "documents")
-    taken = docs.select("source", F.when(F.col("doc_id") % 7 == 0, F.col("lang")).otherwise(F.concat("lang", F.lit(" ("), (F.col("doc_id") % 7 + 1).cast("string"), F.lit(")"))).alias("name"))
-    return library.free_name(docs.select("source", "lang").distinct(), taken, ["source"], "lang", most=8)
+    n = F.col("doc_id") % 7
+    taken = docs.where((F.col("source") < "s") | (n != 3)).select("source", F.when(n == 0, F.col("lang")).otherwise(F.concat("lang", F.lit(" ("), (n + 1).cast("string"), F.lit(")"))).alias("name"))
+    return library.free_name(docs.select("source", "lang").distinct(), taken, ["source"], "lang")
 
 
 # Text
@@ -239,7 +260,21 @@ def paragraph_split(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(F.split("text", r"\n\s*\n")).cast("long").alias("blocks"))
 
 
-@query()
+_WHITE = "[\\t-\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]".replace("\\\\", "\\")
+_ENTRY = "(\\(?[0-9]{1,3}[.)°º-]|\\(?[a-zñA-ZÑ][.)]|[•·▪◦\\-–—])[\\t\\x0b\\f\\r ]".replace("\\\\", "\\")
+#: Blocks, then lines, put together by a window: the number of entries and blocks so far names a line's paragraph.
+_PARAGRAPHS_SQL = rf"""
+WITH b AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '\n[\t-\r ]*\n')) AS block, generate_subscripts(string_split_regex(coalesce(text, ''), '\n[\t-\r ]*\n'), 1) AS k FROM documents),
+l AS (SELECT doc_id, k, unnest(string_split(block, chr(10))) AS line, generate_subscripts(string_split(block, chr(10)), 1) AS i FROM b),
+t AS (SELECT doc_id, k, i, regexp_replace(line, '^{_WHITE}+|{_WHITE}+$', '', 'g') AS line FROM l),
+s AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY i) = 1 OR regexp_matches(line, '^{_ENTRY}') AS fresh, lag(line) OVER (PARTITION BY doc_id, k ORDER BY i) AS before FROM t WHERE line <> ''),
+p AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY k, i) - 1 AS n, NOT fresh AND regexp_matches(before, '\pL[-‐]$') AND regexp_matches(line, '^\p{{Ll}}') AS cut, lead(line) OVER (PARTITION BY doc_id ORDER BY k, i) AS nxt FROM s),
+q AS (SELECT *, coalesce(lead(cut) OVER (PARTITION BY doc_id ORDER BY k, i), false) AS loses FROM p)
+SELECT doc_id, CAST(n AS INTEGER) AS n, string_agg(CASE WHEN fresh OR cut THEN '' ELSE ' ' END || CASE WHEN loses THEN left(line, length(line) - 1) ELSE line END, '' ORDER BY k, i) AS paragraph FROM q GROUP BY doc_id, n
+"""
+
+
+@query(_PARAGRAPHS_SQL)
 def paragraphs(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(text.paragraphs(F.col("text")))).select("doc_id", F.col("pos").alias("n"), F.col("col").alias("paragraph"))
 
@@ -274,6 +309,25 @@ def classify_code(spark, d):
     return table(spark, d, "pages").select("page_id", c.alias("c")).select("page_id", F.col("c.tipo").alias("kind"), F.col("c.seguro").alias("safe"))
 
 
+#: Codes of all kinds, written from the customers' names; the SQL states what each must say without reading it.
+_CODE = """CASE c_custkey % 8 WHEN 0 THEN 'WIFI:T:wpa;S:' || c_name || {wifi} || CAST(c_custkey AS {text}) || ';H:true;;' WHEN 1 THEN 'mailto:a' || CAST(c_custkey AS {text}) || '@e.com?subject=Hi'
+WHEN 2 THEN 'MATMSG:TO:b@e.com;SUB:' || c_name || ';;' WHEN 3 THEN 'tel:+504' || CAST(c_custkey AS {text})
+WHEN 4 THEN 'BEGIN:VCARD' || {line} || 'VERSION:3.0' || {line} || 'FN:' || c_name || {line} || 'TEL;TYPE=cell:+1' || CAST(c_custkey AS {text}) || {line} || 'EMAIL:c@e.com' || {line} || 'END:VCARD'
+WHEN 5 THEN 'MECARD:N:Paz,' || c_name || ';TEL:+2' || CAST(c_custkey AS {text}) || ';EMAIL:d@e.com;;' WHEN 6 THEN 'www.Site' || CAST(c_custkey AS {text}) || '.com/x?y=1' ELSE '  ' || c_name || ' ' END"""
+
+
+@query(r"""SELECT c_custkey, k[1] AS kind, nullif(k[2], '') AS url, nullif(k[3], '') AS host, nullif(k[4], '') AS network, nullif(k[5], '') AS secret, nullif(k[6], '') AS mail, nullif(k[7], '') AS phone, nullif(k[8], '') AS name FROM (
+SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN ['wifi', '', '', c_name, 'a;b' || c_custkey, '', '', ''] WHEN 1 THEN ['correo', 'mailto:a' || c_custkey || '@e.com?subject=Hi', '', '', '', 'a' || c_custkey || '@e.com', '', '']
+WHEN 2 THEN ['correo', 'mailto:b@e.com', '', '', '', 'b@e.com', '', ''] WHEN 3 THEN ['telefono', 'tel:+504' || c_custkey, '', '', '', '', '+504' || c_custkey, '']
+WHEN 4 THEN ['contacto', '', '', '', '', 'c@e.com', '+1' || c_custkey, c_name] WHEN 5 THEN ['contacto', '', '', '', '', 'd@e.com', '+2' || c_custkey, c_name || ' Paz']
+WHEN 6 THEN ['enlace', 'https://www.Site' || c_custkey || '.com/x?y=1', 'site' || c_custkey || '.com', '', '', '', '', ''] ELSE ['texto', '', '', '', '', '', '', ''] END AS k FROM customer)""")
+def code_fields(spark, d):
+    written = F.expr(_CODE.format(text="STRING", line="chr(10)", wifi=r"';P:a\\\;b'"))
+    c = codes.classify(written)
+    names = {"tipo": "kind", "url": "url", "sitio": "host", "red": "network", "clave": "secret", "correo": "mail", "telefono": "phone", "nombre": "name"}
+    return table(spark, d, "customer").select("c_custkey", c.alias("c")).select("c_custkey", *[F.col(f"c.{f}").alias(n) for f, n in names.items()])
+
+
 @query(r"SELECT page_id, regexp_replace(lower(regexp_extract(url, '(?i)^https?://([^/:?#]+)', 1)), '^www\.', '') AS host FROM pages")
 def link_host(spark, d):
     return table(spark, d, "pages").select("page_id", codes.host(F.col("url")).alias("host"))
@@ -331,7 +385,7 @@ def merge_documents(spark, d):
 
 
 def _store(spark, d):
-    pages = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("doc_id"), F.lit(None).cast("struct<cuando:bigint,lugar:int>").alias("papelera"))
+    pages = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("doc_id"), "text", F.lit(None).cast("struct<cuando:bigint,lugar:int>").alias("papelera"))
     docs = pages.groupBy(F.col("doc_id").alias("id")).agg(F.sort_array(F.collect_list("id")).alias("paginas")).withColumn("modificado", F.col("id") * 1000)
     return docs.withColumn("papelera", F.when(F.col("id") % 5 == 0, F.lit(NOW_MS - 31 * dates.DAY) + F.col("id") * dates.DAY % (40 * dates.DAY))), pages
 
@@ -373,8 +427,9 @@ def upsert_by_key(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 4 = 0)")
 def cascade_delete(spark, d):
-    gone = table(spark, d, "orders").where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("l_orderkey"))
-    return table(spark, d, "lineitem").join(gone, "l_orderkey", "left_anti").select("l_orderkey", "l_linenumber")
+    gone = table(spark, d, "orders").where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("id"))
+    docs, pages = table(spark, d, "orders").withColumnRenamed("o_orderkey", "id"), table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "doc_id")
+    return commands.delete_documents(docs, pages, gone)[1].select(F.col("doc_id").alias("l_orderkey"), "l_linenumber")
 
 
 @query("WITH l AS (SELECT user_id, event_type, max(ts) AS ts FROM events GROUP BY user_id, event_type) SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type) AS n FROM l QUALIFY n <= 3")
@@ -384,8 +439,8 @@ def top_k_recent_distinct(spark, d):
 
 @query("SELECT n_name AS folder, row_number() OVER (ORDER BY lower(n_name), n_name) AS n FROM nation")
 def collation_sort(spark, d):
-    order = Window.orderBy(F.collate("n_name", "es_CI_AI"), "n_name")
-    return table(spark, d, "nation").select(F.col("n_name").alias("folder"), F.row_number().over(order).cast("long").alias("n"))
+    folders = table(spark, d, "nation").select(F.col("n_name").alias("nombre"), F.col("n_name").alias("id"))
+    return library.folders_numbered(folders).select(F.col("nombre").alias("folder"), "n")
 
 
 _NEAREST_SQL = """
@@ -412,12 +467,11 @@ SELECT lang, a[CAST(floor(len(a) * 0.9) AS BIGINT) + 1] AS p90, a[len(a) // 2 +
 
 @query(_PERCENTILE_SQL)
 def exact_percentile(spark, d):
-    lists = table(spark, d, "documents").groupBy("lang").agg(F.collect_list("n_chars").alias("a"))
-    return lists.select("lang", arrays.exact_percentile(F.col("a"), 0.9).alias("p90"), arrays.upper_median(F.col("a")).cast("long").alias("middle"))
+    return library.value_percentiles(table(spark, d, "documents"), "lang", "n_chars", {"p90": 0.9, "middle": 0.5})
 
 
 _HIST_SQL = """
-WITH h AS (SELECT least(n_chars // 100, 255) AS bin, count(*) AS n FROM documents GROUP BY 1),
+WITH h AS (SELECT n_chars // 100 AS bin, count(*) AS n FROM documents GROUP BY 1),
 c AS (SELECT bin, n, sum(n) OVER (ORDER BY bin) AS upto, sum(n) OVER () AS total FROM h)
 SELECT CAST(min(bin) FILTER (WHERE upto >= 0.5 * total) AS BIGINT) AS p50, CAST(min(bin) FILTER (WHERE upto >= 0.95 * total) AS BIGINT) AS p95 FROM c
 """
@@ -425,7 +479,7 @@ SELECT CAST(min(bin) FILTER (WHERE upto >= 0.5 * total) AS BIGINT) AS p50, CAST(
 
 @query(_HIST_SQL)
 def histogram_percentile(spark, d):
-    bins = table(spark, d, "documents").groupBy(F.least(F.floor(F.col("n_chars") / 100), F.lit(255)).alias("bin")).agg(F.count("*").alias("n"))
+    bins = table(spark, d, "documents").groupBy(F.floor(F.col("n_chars") / 100).alias("bin")).agg(F.count("*").alias("n"))
     return library.bin_percentiles(bins, {"p50": 0.5, "p95": 0.95})
 
 
@@ -456,7 +510,7 @@ def luma_lut(spark, d):
 
 @query()
 def crc32_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc"))
+    return table(spark, d, "documents").select("doc_id", files.crc32(F.col("text").cast("binary")).alias("crc"))
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
@@ -465,12 +519,20 @@ def runs_with_tolerance(spark, d):
     return library.runs(table(spark, d, "events"), "user_id", "ts", F.expr("INTERVAL 6 HOURS")).select("user_id", "run", "first", "last", "n")
 
 
-@query()
+_CODES_SQL = """
+WITH RECURSIVE e AS (SELECT user_id, event_type AS code, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
+s AS (SELECT user_id, n, code, ms, true AS told, code AS last, ms AS seen FROM e WHERE n = 1
+UNION ALL SELECT e.user_id, e.n, e.code, e.ms, NOT (e.code = s.last AND e.ms - s.seen < 3000), e.code, CASE WHEN e.code = s.last AND e.ms - s.seen < 3000 THEN s.seen ELSE e.ms END FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
+SELECT CAST(user_id AS VARCHAR) AS camera, code, ms AS "at" FROM s WHERE told
+"""
+
+
+@query(_CODES_SQL)
 def code_dedup_3s(spark, d):
     from ..streaming import capture
 
-    scans = table(spark, d, "events").select(F.col("event_type").alias("code"), ms(F.col("ts")).alias("at"))
-    return capture.accepted_codes_batch(scans, quiet_ms=3_600_000)
+    scans = table(spark, d, "events").select(F.col("user_id").cast("string").alias("camera"), F.col("event_type").alias("code"), ms(F.col("ts")).alias("at"), "event_id")
+    return capture.accepted_codes_batch(scans, order=("at", "event_id"))
 
 
 @query("SELECT max((epoch_us(ts) // 1000)) AS changed, min((epoch_us(ts) // 1000)) AS created, count(*) AS documents FROM events")

@@ -13,10 +13,18 @@ from pyspark.sql import functions as F
 ENTRIES = "path string, name string, content binary"
 MOST_BYTES = 300 << 20
 
+#: What a backup keeps of a page, with its type and what stands for it where it is missing. Read text, marks and covers are kept as they are, whatever they hold.
+PAGE_FIELDS: dict[str, tuple[str, object]] = {
+    "ancho": ("int", None), "alto": ("int", None), "esquinas": ("array<struct<x:double,y:double>>", None), "filtro": ("string", None), "rotacion": ("int", 0),
+    "procAncho": ("int", None), "procAlto": ("int", None), "creada": ("bigint", None), "ocr": ("variant", None), "nitidez": ("double", None),
+    "aplanar": ("boolean", True), "aplanada": ("boolean", False), "dedos": ("boolean", True), "sinDedos": ("boolean", False), "brillo": ("int", 0), "contraste": ("int", 0),
+    "marcas": ("variant", None), "modo": ("string", None), "portada": ("variant", None),
+}
+_PAGE = ",".join(["id:string", *(f"{n}:{t}" for n, (t, _) in PAGE_FIELDS.items()), "original:string", "procesada:string"])
+_DOCUMENT = f"struct<id:string,nombre:string,creado:bigint,modificado:bigint,carpetaId:string,paginas:array<struct<{_PAGE}>>>"
+
 #: The manifest of a backup; keys that it doesn't name are never read.
-MANIFEST = """app string, version int, carpetas array<struct<id:string,nombre:string,creada:bigint>>,
-documentos array<struct<id:string,nombre:string,creado:bigint,modificado:bigint,carpetaId:string,
-paginas:array<struct<id:string,filtro:string,rotacion:int,aplanar:boolean,dedos:boolean,brillo:int,contraste:int,creada:bigint,original:string,procesada:string>>>>"""
+MANIFEST = f"app string, version int, carpetas array<struct<id:string,nombre:string,creada:bigint>>, documentos array<{_DOCUMENT}>"
 
 
 def files(spark: SparkSession, *paths: str) -> DataFrame:
@@ -57,19 +65,21 @@ def entries(archives: DataFrame, most: int = MOST_BYTES) -> DataFrame:
     return archives.select("path", "content").mapInPandas(read, ENTRIES)
 
 
-def restore(unpacked: DataFrame, app: str, version: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Folders, documents and pages of a backup's entries. Pages without both their images go; folder ids that don't exist become null; what is missing gets its default."""
-    text = F.col("content").cast("string")
-    manifest = unpacked.where("name = 'respaldo.json'").select("path", F.from_json(text, MANIFEST).alias("m")).where((F.col("m.app") == app) & (F.col("m.version") == version) & F.col("m.documentos").isNotNull())
-    folders = manifest.select("path", F.inline("m.carpetas"))
+def restore(unpacked: DataFrame, app: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Folders, documents and pages of a backup's entries. Pages without both their images go; folder ids that don't exist become null; what is missing gets its default.
+
+    The manifest is one JSON object, or one JSON object to a line, each with some of the documents or folders. Columns ocr, marcas and portada are variants.
+    """
+    lines = unpacked.where("name = 'respaldo.json'").select("path", F.explode(F.split(F.col("content").cast("string"), "\n(?=\\{)")).alias("line"))
+    manifest = lines.select("path", F.from_json("line", MANIFEST).alias("m")).where(F.col("m.app") == app)
+    folders = manifest.select("path", F.inline("m.carpetas")).where("coalesce(id, '') <> '' AND coalesce(nombre, '') <> ''")
     docs = manifest.select("path", F.inline("m.documentos"))
     listed = docs.select("path", F.col("id").alias("doc_id"), F.posexplode("paginas").alias("pos", "p")).select("path", "doc_id", "pos", "p.*")
     blobs = unpacked.select("path", "name", "content")
     image = lambda c: blobs.select("path", F.col("name").alias(c), F.col("content").alias(f"{c}_bytes"))
     pages = listed.join(image("original"), ["path", "original"]).join(image("procesada"), ["path", "procesada"])
-    defaults = {"rotacion": 0, "aplanar": True, "dedos": True, "brillo": 0, "contraste": 0}
-    pages = pages.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
-    there = folders.select("path", F.col("id").alias("_folder"))
+    pages = pages.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, (_, v) in PAGE_FIELDS.items() if v is not None})
+    there = folders.select("path", F.col("id").alias("_folder")).distinct()
     kept = pages.groupBy("path", F.col("doc_id").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.col("id").alias("page")))), lambda x: x["page"]).alias("paginas"))
     out = docs.drop("paginas").join(there, (docs["path"] == there["path"]) & (docs["carpetaId"] == F.col("_folder")), "left").select(docs["path"], "id", "nombre", "creado", "modificado", F.col("_folder").alias("carpeta_id"))
     return folders, out.join(kept, ["path", "id"], "left").withColumn("paginas", F.coalesce("paginas", F.array().cast("array<string>"))), pages

@@ -1,7 +1,7 @@
 """Streams of scans, frames and pages, in processing time: state per key, in Structured Streaming or over a finished batch.
 
 Each machine is a plain class with step(row) -> emitted row or None and a JSON-able state, so the batch form
-(applyInPandas, rows in order) and the stream (applyInPandasWithState) run the same steps.
+(sorted batches) and the stream (applyInPandasWithState) run the same steps.
 """
 
 from __future__ import annotations
@@ -15,21 +15,24 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 class CodeFilter:
-    """The same code is told again only once it was quiet since it was last accepted."""
+    """A camera tells a code unless it is the one told last and was put away less than `quiet` ago; while one is shown, none is told.
 
-    schema = "code string, at long"
+    Only the last code counts: of A, B, A in a row all are told. Rows: camera, code, at, and shown (ms that the code was shown once told), 0 if absent.
+    """
+
+    schema = "camera string, code string, at long"
 
     def __init__(self, quiet_ms: int = 3000, state: dict | None = None):
-        self.quiet, self.last = quiet_ms, (state or {}).get("last")
+        self.quiet, self.last, self.away = quiet_ms, *(state or {}).get("last", (None, None))
 
     def state(self) -> dict:
-        return {"last": self.last}
+        return {"last": [self.last, self.away]}
 
     def step(self, row: dict) -> dict | None:
-        if self.last is not None and row["at"] - self.last < self.quiet:
+        if self.away is not None and (row["at"] < self.away or row["code"] == self.last and row["at"] - self.away < self.quiet):
             return None
-        self.last = row["at"]
-        return {"code": row["code"], "at": row["at"]}
+        self.last, self.away = row["code"], row["at"] + int(row.get("shown") or 0)
+        return {"camera": row.get("camera"), "code": row["code"], "at": row["at"]}
 
 
 class AutoCapture:
@@ -189,15 +192,24 @@ class Motion:
         return {"camera": row["camera"], "at": row["at"], "motion": change * 130 / gap}
 
 
-def over_batch(rows: DataFrame, key: str, machine: Callable[..., object], order: str = "at", **options) -> DataFrame:
-    """The machine's output over finished rows, each key's in order."""
+def over_batch(rows: DataFrame, key: str, machine: Callable[..., object], order: str | tuple[str, ...] = "at", **options) -> DataFrame:
+    """The machine's output over finished rows, each key's in order. Rows are sorted by Spark and pass in batches, so a key's history is never held whole."""
+    columns = [c.split()[0] for c in machine.schema.split(", ")]
+    orders = (order,) if isinstance(order, str) else order
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = machine(**options)
-        out = [e for r in pdf.sort_values(order, kind="stable").to_dict("records") if (e := m.step(r))]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in machine.schema.split(", ")])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, now = None, None
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                k = None if r[key] is None or r[key] != r[key] else r[key]
+                if m is None or k != now:
+                    m, now = machine(**options), k
+                if e := m.step(r):
+                    out.append(e)
+            yield pd.DataFrame(out, columns=columns)
 
-    return rows.groupBy(key).applyInPandas(run, machine.schema)
+    return rows.repartition(key).sortWithinPartitions(key, *orders).mapInPandas(run, machine.schema)
 
 
 def over_stream(rows: DataFrame, key: str, machine: Callable[..., object], order: str = "at", **options) -> DataFrame:
@@ -213,8 +225,9 @@ def over_stream(rows: DataFrame, key: str, machine: Callable[..., object], order
     return rows.groupBy(key).applyInPandasWithState(run, machine.schema, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
-def accepted_codes_batch(scans: DataFrame, quiet_ms: int = 3000) -> DataFrame:
-    return over_batch(scans, "code", CodeFilter, quiet_ms=quiet_ms)
+def accepted_codes_batch(scans: DataFrame, quiet_ms: int = 3000, order: str | tuple[str, ...] = "at") -> DataFrame:
+    """scans (camera, code, at): those that are told."""
+    return over_batch(scans, "camera", CodeFilter, order, quiet_ms=quiet_ms)
 
 
 class Latest:

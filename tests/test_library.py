@@ -33,7 +33,7 @@ def test_search_functions(spark):
     body = "El procedimiento de determinación de los tributos"
     assert found(body, "tributos determinacion") and not found(body, "tributos aduana") and not found("", "x") and not found(body, "")
     full = lit("El señor, con un Oficio\nlargo y  más palabras que siguen aquí todavía")
-    hit = text.hit(text.fold(full), ["oficio"])
+    hit = text.hit(full, ["oficio"])
     s = one(spark, text.snippet(full, hit["start"], hit["end"], around=10))
     assert (s.before, s.mark, s.after) == ("…señor, con un ", "Oficio", " largo y más…")
 
@@ -161,10 +161,10 @@ def test_snapshots_flip_whole(spark, tmp_path):
 
 def test_reading_order(spark):
     chunk = lambda s, x, y, h, w: {"str": s, "x": x, "y": y, "h": h, "w": w}
-    said, lines = layout.lines_of_chunks([chunk("mundo", 160, 100, 20, 60), chunk("Hola ", 100, 101, 20, 55), chunk("Segundo renglón", 100, 125, 20, 180), chunk("Otro párrafo", 100, 200, 20, 140), chunk("  ", 0, 0, 20, 5)])
+    said, lines = layout.lines_of_chunks(pd.DataFrame([chunk("mundo", 160, 100, 20, 60), chunk("Hola ", 100, 101, 20, 55), chunk("Segundo renglón", 100, 125, 20, 180), chunk("Otro párrafo", 100, 200, 20, 140), chunk("  ", 0, 0, 20, 5)]))
     assert said == "Hola mundo\nSegundo renglón\n\nOtro párrafo" and len(lines) == 3
     assert (lines[0]["palabras"][0]["x0"], lines[0]["palabras"][0]["x1"]) == (100, 144)
-    assert layout.lines_of_chunks([chunk("Mate", 100, 50, 12, 28), chunk("mática básica", 128, 50, 12, 78)])[0] == "Matemática básica"
+    assert layout.lines_of_chunks(pd.DataFrame([chunk("Mate", 100, 50, 12, 28), chunk("mática básica", 128, 50, 12, 78)]))[0] == "Matemática básica"
     word = "struct<text:string,confidence:double,bbox:struct<x0:int,y0:int,x1:int,y1:int>>"
     schema = f"blocks array<struct<paragraphs:array<struct<lines:array<struct<bbox:struct<y0:int,y1:int>,baseline:struct<x0:int,y0:int,x1:int,y1:int>,confidence:double,words:array<{word}>>>>>>>"
     line = lambda words, sure=90.0: ((0, 10), None, sure, [(w, float(c), (0, 0, 5, 5)) for w, c in words])
@@ -271,7 +271,7 @@ def test_backup_round_trip(spark):
     manifest = sinks.backup_manifest(docs.withColumn("carpeta_id", F.coalesce("carpeta_id", F.lit("gone"))), full, folders, "pliego").first().manifest
     listed = json.loads(manifest)
     assert [d["id"] for d in listed["documentos"]] == ["d2", "d1"] and [p["id"] for p in listed["documentos"][1]["paginas"]] == ["p1", "p2"]
-    blobs = [(n, b"x") for i in ("p1", "p3") for n in (f"paginas/{i}-original.jpg", f"paginas/{i}.jpg")] + [("paginas/p2.jpg", b"x")]
+    blobs = [(n, b"x") for i in ("p1", "p3") for n in (f"paginas/{i}-original.jpg", f"paginas/{i}-pagina.jpg")] + [("paginas/p2-pagina.jpg", b"x")]
     archive = spark.createDataFrame([("a.zip", sinks.zip_bytes([("respaldo.json", manifest.encode()), *blobs]))], "path string, content binary")
     unpacked = files.entries(archive)
     f, d, p = files.restore(unpacked, "pliego")
@@ -280,6 +280,28 @@ def test_backup_round_trip(spark):
     assert files.restore(unpacked, "other")[1].count() == 0
 
 
+def test_backup_keeps_every_field_of_a_page(spark):
+    """Marks, read text, corners, sizes and the rest come back as they were, as one manifest and as lines; numbers of versions don't matter."""
+    marks = '[{"tipo":"resaltador","color":"verde","puntos":[[0.1,0.2],[0.5,0.2]]},{"tipo":"nota","texto":"¡Ojo!\\n{"}]'
+    ocr = '{"idioma":"spa","texto":"Hola\\nmundo","lineas":[{"y0":1,"palabras":[]}]}'
+    pages = spark.sql(f"""SELECT 'p1' AS id, 'd1' AS doc_id, 800 AS ancho, 600 AS alto, array(named_struct('x', 0.0D, 'y', 0.5D)) AS esquinas, 'bn' AS filtro, 90 AS rotacion, 700 AS procAncho, 500 AS procAlto,
+        5L AS creada, r'{ocr}' AS ocr, 0.31D AS nitidez, false AS aplanar, true AS aplanada, CAST(NULL AS BOOLEAN) AS dedos, true AS sinDedos, 3 AS brillo, CAST(NULL AS INT) AS contraste, parse_json(r'{marks}') AS marcas,
+        'portada' AS modo, named_struct('titulo', 'Tesis') AS portada, CAST(NULL AS STRUCT<cuando:BIGINT,lugar:INT>) AS papelera""")
+    docs = spark.sql("SELECT 'd1' AS id, 'Uno' AS nombre, 1L AS creado, 2L AS modificado, 'f' AS carpeta_id, array('p1', 'gone') AS paginas, CAST(NULL AS BIGINT) AS papelera")
+    folders = spark.sql("SELECT 'f' AS id, 'Carpeta' AS nombre, 9L AS creada")
+    whole = sinks.backup_manifest(docs, pages, folders, "pliego").first().manifest
+    lines = "\n".join(r.manifest for r in sinks.backup_lines(docs, pages, folders, "pliego").collect())
+    for manifest in (whole, lines, whole.replace('"version":1', '"version":7')):
+        names = [("respaldo.json", manifest.encode()), ("paginas/p1-original.jpg", b"o"), ("paginas/p1-pagina.jpg", b"p")]
+        f, d, p = files.restore(spark.createDataFrame([("x", n, c) for n, c in names], files.ENTRIES), "pliego")
+        r = p.select("*", *[F.to_json(c).alias(f"{c}_json") for c in ("marcas", "ocr", "portada")]).first()
+        assert (r.ancho, r.alto, r.filtro, r.rotacion, r.procAncho, r.procAlto, r.creada, r.nitidez, r.modo) == (800, 600, "bn", 90, 700, 500, 5, 0.31, "portada")
+        assert (r.aplanar, r.aplanada, r.dedos, r.sinDedos, r.brillo, r.contraste) == (False, True, True, True, 3, 0)
+        assert [(c.x, c.y) for c in r.esquinas] == [(0.0, 0.5)] and (bytes(r.original_bytes), bytes(r.procesada_bytes)) == (b"o", b"p")
+        assert (json.loads(r.marcas_json), json.loads(r.ocr_json), json.loads(r.portada_json)) == (json.loads(marks), json.loads(ocr), {"titulo": "Tesis"})
+        assert [tuple(x) for x in d.select("id", "nombre", "creado", "modificado", "carpeta_id", "paginas").collect()] == [("d1", "Uno", 1, 2, "f", ["p1"])] and f.count() == 1
+
+
 def test_settings(spark):
     got = one(spark, library.settings(lit('{"filtro":"bn","nube":"x"}'), {"filtro": "mejorada", "lado": "3000"}, ("nube",)))
     assert got == {"filtro": "bn", "lado": "3000"} and one(spark, library.settings(lit("no json"), {"a": "1"})) == {"a": "1"}
@@ -288,6 +310,8 @@ def test_settings(spark):
 def test_machines(spark):
     m = capture.CodeFilter(3000)
     assert [t for t in (0, 1000, 2999, 3000, 5000, 6100) if m.step({"code": "x", "at": t})] == [0, 3000, 6100]
+    m = capture.CodeFilter(3000)
+    assert [bool(m.step({"code": c, "at": t, "shown": 500})) for c, t in (("a", 0), ("b", 400), ("b", 600), ("a", 1200), ("a", 2000), ("a", 4600), ("a", 4700), ("a", 8200))] == [True, False, True, True, False, False, True, True]
     m = capture.Backoff()
     assert [m.step({"user": "u", "at": 0, "ok": k == 7})["until"] for k in range(8)] == [0, 0, 0, 0, 30_000, 60_000, 120_000, 0]
     m, fired = capture.AutoCapture(), []
@@ -300,19 +324,19 @@ def test_machines(spark):
     assert m.step({"camera": "c", "at": 0, "frame": [1, 2]}) is None and m.step({"camera": "c", "at": 130, "frame": [2, 4]})["motion"] == pytest.approx(0) and m.step({"camera": "c", "at": 2000, "frame": [9, 9]}) is None
     m = capture.Throttle()
     assert [t for t in (0, 100, 130, 200, 400) if m.step({"camera": "c", "at": t, "takes": 250 if t == 130 else 0})] == [0, 130, 400]
-    rows = [("a", 0), ("a", 1000), ("b", 500), ("a", 4000)]
-    df = spark.createDataFrame(rows, "code string, at long")
-    want = {("a", 0), ("b", 500), ("a", 4000)}
+    rows = [("c", "a", 0), ("c", "a", 400), ("c", "b", 500), ("c", "a", 1000), ("d", "a", 1000), ("d", "a", 3999), ("d", "a", 4000), (None, "a", 5), (None, "a", 6)]
+    df = spark.createDataFrame(rows, "camera string, code string, at long").repartition(3)
+    want = {("c", "a", 0), ("c", "b", 500), ("c", "a", 1000), ("d", "a", 1000), ("d", "a", 4000), (None, "a", 5)}
     assert {tuple(r) for r in capture.accepted_codes_batch(df).collect()} == want
 
 
 def test_stream_keeps_its_state(spark, tmp_path):
-    source, schema = tmp_path / "in", "code string, at long"
+    source, schema = tmp_path / "in", "camera string, code string, at long"
     source.mkdir()
-    q = capture.over_stream(spark.readStream.schema(schema).json(str(source)), "code", capture.CodeFilter).writeStream.format("memory").queryName("codes").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q = capture.over_stream(spark.readStream.schema(schema).json(str(source)), "camera", capture.CodeFilter).writeStream.format("memory").queryName("codes").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
     try:
         for n, at in enumerate((0, 1000, 4000)):
-            (source / f"{n}.json").write_text(json.dumps({"code": "a", "at": at}) + "\n")
+            (source / f"{n}.json").write_text(json.dumps({"camera": "c", "code": "a", "at": at}) + "\n")
             q.processAllAvailable()
         assert sorted(r.at for r in spark.table("codes").collect()) == [0, 4000]
     finally:
