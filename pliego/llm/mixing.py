@@ -2,13 +2,15 @@
 
 Each source's documents, in an order by hash bucket and id, make one stream of words, which is packed into blocks of
 `block` words (the last may be shorter). Sources get shares of budget * all words by weight; a share stops at cap *
-the source's size and its excess goes to the others by weight. The output consists of shards of equally many slots; the
-number of slots that a shard takes from each source is drawn: the whole part of the expected count is certain, the rest
-is a multinomial draw by hash, so the totals stay within a few blocks of the targets. A source's slots are numbered
-through all shards; slot j asks for block perm_e(j mod blocks) with e = j div blocks, where perm_e is a swap-or-not
-shuffle keyed by source and e. No block is drawn more than `cap` times, as slots beyond cap * blocks are void. Slots and
+the source's size and its excess goes to the others by weight. The output consists of shards of `shard_slots` slots, each for one block. What
+slots take is drawn by lot: a source has as many lots as its target has blocks, and a swap-or-not shuffle of all lots deals them to slots, so a
+shard's counts of the sources are a multinomial draw without replacement (with replacement, sources of small tables would end some
+per cent off their targets). A source's lots are numbered; lot j asks for block perm_e(j mod blocks) with e = j div blocks, where perm_e is a
+shuffle of the same kind keyed by source and e. So no block is drawn more than `cap` times. Slots and
 blocks are joined by block number, which is unique on either side: no key is hot, whatever the sizes of sources.
 
+Only ids and sizes are laid out; texts are joined at the end, by row. All numbers of partitions, buckets and lots follow from the data's size.
+
 Defined results: null texts have size 0 and are never taken; null sources are one source, last in order; null ids and
 repeated rows are rows like others, each with its own stretch of the stream; an empty table gives no rows. Everything is a
 function of the rows and the seed, so reruns agree. Other columns are ignored by mix(), kept by mixed_texts().
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import WORD, materialize, prepare, shuffle_partitions
+from ._common import WORD, materialize, prepare
 
 ROUNDS = 8
 
@@ -59,69 +61,69 @@ def permuted(x: Column, size: Column, key: list[str], seed: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x, round_)
 
 
-def slots(sources: DataFrame, block: int, cap: int, shard_slots: int, most_shards: int, seed: int) -> DataFrame:
-    """(sidx, blocks, slot) for all slots of the output, by shards' draws."""
-    s = sources.where("source_size > 0").select("sidx", F.ceil(F.col("source_size") / block).cast("long").alias("blocks"), (F.col("target") / block).alias("want"))
-    one = Window.partitionBy()
-    s = s.withColumn("shards", F.greatest(F.lit(1), F.least(F.lit(most_shards), F.floor(F.sum("want").over(one) / shard_slots))).cast("long"))
-    s = s.withColumn("sure", F.floor(F.col("want") / F.col("shards")).cast("long")).withColumn("rest", F.col("want") / F.col("shards") - F.col("sure"))
-    sure = s.select("sidx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"), F.col("sure").alias("n"))
-    # One row with the rests of all sources, exploded to shards and their draws: no join finds the drawn source.
-    row = s.groupBy("shards").agg(F.sort_array(F.collect_list(F.struct("sidx", "rest"))).alias("a"))
-    row = row.select("shards", F.transform("a", lambda x: x["sidx"]).alias("who"), F.transform(F.sequence(F.lit(1), F.size("a")), lambda i: F.aggregate(F.slice("a", 1, i), F.lit(0.0), lambda t, x: t + x["rest"])).alias("upto"))
-    row = row.withColumn("all", F.element_at("upto", -1))
-    drawn = row.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
-    count = F.floor((F.col("shard") + 1) * F.col("all") + 0.5) - F.floor(F.col("shard") * F.col("all") + 0.5)
-    drawn = drawn.select("*", F.explode(F.when(count > 0, F.sequence(F.lit(1).cast("long"), count)).otherwise(F.array().cast("array<bigint>"))).alias("draw"))
-    unit = (F.xxhash64(F.lit(seed), F.lit("draw"), "shard", "draw") / F.lit(2.0**64) + 0.5) * F.col("all")
-    drawn = drawn.select("who", "shard", F.size(F.filter("upto", lambda u: u <= unit)).alias("at"))
-    drawn = drawn.select(F.element_at("who", F.least(F.col("at") + 1, F.size("who"))).alias("sidx"), "shard", F.lit(1).cast("long").alias("n"))
-    counts = sure.unionByName(drawn).groupBy("sidx", "shard").agg(F.sum("n").alias("n"))
-    counts = counts.withColumn("first", F.sum("n").over(Window.partitionBy("sidx").orderBy("shard")) - F.col("n"))
-    counts = counts.join(s.select("sidx", "blocks"), "sidx")
-    end = F.least(F.col("first") + F.col("n"), F.col("blocks") * cap)
-    counts = counts.withColumn("end", end).where(F.col("first") < F.col("end"))
-    # A few rows become all slots: they are dealt out first, or one task would make them all.
-    counts = counts.repartition(shuffle_partitions(sources.sparkSession), "sidx", "shard")
-    return counts.select("sidx", "blocks", F.explode(F.sequence(F.col("first"), F.col("end") - 1)).alias("slot"))
+def lots(sources: DataFrame, block: int) -> DataFrame:
+    """sources with blocks, their number of lots and the first of their lots; a source's lots take its mean words to a block each."""
+    s = sources.where("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
+    s = s.withColumn("lots", F.floor(F.col("target") * F.col("blocks") / F.col("source_size") + 0.5).cast("long"))
+    return s.withColumn("first", F.sum("lots").over(Window.orderBy("sidx")) - F.col("lots"))
+
+
+def slots(sources: DataFrame, block: int, shard_slots: int, seed: int, width: int = 1 << 14) -> DataFrame:
+    """(shard, slot, sidx, block) of the whole output."""
+    spark = sources.sparkSession
+    s, _ = materialize(lots(sources, block).select("sidx", "blocks", "lots", "first"), "lots")
+    n = s.agg(F.coalesce(F.sum("lots"), F.lit(0))).first()[0]
+    drawn = spark.range(0, n, 1, max(1, -(-n // (1 << 18)))).withColumnRenamed("id", "slot")
+    drawn = drawn.withColumn("lot", permuted(F.col("slot"), F.lit(n), [], seed)) if n else drawn.withColumn("lot", F.col("slot"))
+    # Which source a lot is of: sources' ranges of lots, cut where lots have the same number div width, in two steps so that no array is long.
+    coarse = width << 12
+    last = F.col("first") + F.col("lots") - 1
+    cut = s.where("lots > 0").select("*", F.explode(F.sequence(F.floor(F.col("first") / coarse), F.floor(last / coarse))).alias("_c"))
+    low, high = F.greatest(F.col("first"), F.col("_c") * coarse), F.least(last, (F.col("_c") + 1) * coarse - 1)
+    cut = cut.select("sidx", "blocks", "lots", "first", F.explode(F.sequence(F.floor(low / width), F.floor(high / width))).alias("_w"))
+    drawn = drawn.withColumn("_w", F.floor(F.col("lot") / width)).join(cut, "_w").where((F.col("lot") >= F.col("first")) & (F.col("lot") < F.col("first") + F.col("lots")))
+    drawn = drawn.withColumn("_j", F.col("lot") - F.col("first")).withColumn("epoch", F.floor(F.col("_j") / F.col("blocks")))
+    taken = permuted(F.pmod("_j", "blocks"), F.col("blocks"), ["sidx", "epoch"], seed)
+    return drawn.select(F.floor(F.col("slot") / shard_slots).alias("shard"), "slot", "sidx", taken.alias("block"))
 
 
 def laid_out(rows: DataFrame, buckets: int) -> DataFrame:
-    """rows (sidx, doc_id, size, tie and payload) with at, the first word's place in the source's stream, and row, unique with sidx and bucket."""
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    """rows (row, sidx, doc_id, size, tie) with at, the first word's place in the source's stream."""
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(buckets)))
     sums = rows.groupBy("sidx", "bucket").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("sidx").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("sidx", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("sidx", "bucket").orderBy("doc_id", "size", "tie")
-    rows = rows.withColumn("row", F.row_number().over(within)).withColumn("before", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    return rows.join(base, ["sidx", "bucket"]).select("sidx", "bucket", "row", "doc_id", "size", (F.col("base") + F.col("before")).alias("at"), "payload")
+    within = Window.partitionBy("sidx", "bucket").orderBy("doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("before", F.sum("size").over(within) - F.col("size"))
+    return rows.join(base, ["sidx", "bucket"]).select("row", "sidx", "size", (F.col("base") + F.col("before")).alias("at"))
 
 
 class Mix:
-    """sources: one row per source; rows: one per document row, in streams; drawn: (sidx, bucket, row, block, words, times)."""
+    """sources: one row per source; rows: one per document row, with its payload; placed: their places in streams; drawn: (row, block, skip, words, times)."""
 
-    def __init__(self, docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float = 1.5, cap: int = 2, block: int = 32, shard_slots: int = 1024, most_shards: int = 256, buckets: int = 1024, seed: int = 7, payload: tuple[str, ...] = ()):
+    def __init__(self, docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float = 1.5, cap: int = 2, block: int = 32, shard_slots: int = 1024, bucket_rows: int = 2000, seed: int = 7, payload: tuple[str, ...] = ()):
         prepare(docs.sparkSession)
-        rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].alias("source"), word_count(docs["text"]).alias("size"), F.xxhash64(docs["text"], docs["source"]).alias("tie"), F.struct(*[docs[c] for c in payload] or [F.lit(0)]).alias("payload"))
-        rows, _ = materialize(rows, "mix-sizes")
-        sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-        self.sources, _ = materialize(targets(sizes, weights, budget, cap), "mix-sources")
-        numbered = rows.join(self.sources.select(F.col("source").alias("_s"), "sidx"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-        self.rows = laid_out(numbered, buckets)
-        drawn = slots(self.sources, block, cap, shard_slots, most_shards, seed)
-        drawn = drawn.withColumn("epoch", F.floor(F.col("slot") / F.col("blocks")).cast("long"))
-        drawn = drawn.withColumn("block", permuted(F.pmod("slot", "blocks"), F.col("blocks"), ["sidx", "epoch"], seed))
-        drawn = drawn.groupBy("sidx", "block").agg(F.count("*").alias("times"))
-        filled = self.rows.where("size > 0")
-        parts = filled.select("*", F.explode(F.sequence(F.floor(F.col("at") / block).cast("long"), F.floor((F.col("at") + F.col("size") - 1) / block).cast("long"))).alias("block"))
-        first, last = F.greatest(F.col("at"), F.col("block") * block), F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block)
-        parts = parts.select("sidx", "bucket", "row", "block", (first - F.col("at")).alias("skip"), (last - first).alias("words"))
-        # Slots come from a few exploded rows, so the planner takes them for few and would broadcast them all.
-        self.drawn = parts.join(drawn.hint("merge"), ["sidx", "block"])
+        rows = docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["source"].alias("source"), word_count(docs["text"]).alias("size"), F.xxhash64(docs["text"], docs["source"]).alias("tie"), *([F.struct(*[docs[c] for c in payload]).alias("payload")] if payload else []))
+        self.rows, _ = materialize(rows, "mix-rows")
+        sizes = self.rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+        self.sources, _ = materialize(targets(sizes.drop("n"), weights, budget, cap), "mix-sources")
+        n = self.rows.count()  # of a written table
+        sources = self.sources.select(F.col("source").alias("_s"), "sidx")
+        numbered = self.rows.where("size > 0").select("row", "doc_id", "source", "size", "tie").join(sources, F.col("source").eqNullSafe(F.col("_s")))
+        self.placed, _ = materialize(laid_out(numbered, max(1, n // bucket_rows)), "mix-places")
+        self.slots = slots(self.sources, block, shard_slots, seed)
+        times = self.slots.groupBy("sidx", "block").agg(F.count("*").alias("times"))
+        at, end = F.col("at"), F.col("at") + F.col("size")
+        parts = self.placed.select("*", F.explode(F.sequence(F.floor(at / block), F.floor((end - 1) / block))).alias("block"))
+        first, last = F.greatest(at, F.col("block") * block), F.least(end, (F.col("block") + 1) * block)
+        parts = parts.select("sidx", "row", "block", (first - at).alias("skip"), (last - first).alias("words"))
+        # Slots come from a range, whose size the planner knows, but not that of the blocks; both are too many to broadcast.
+        self.drawn = parts.join(times.hint("merge"), ["sidx", "block"]).select("row", "skip", "words", "times")
 
     def taken(self) -> DataFrame:
-        got = self.drawn.groupBy("sidx", "bucket", "row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-        out = self.rows.join(got, ["sidx", "bucket", "row"], "left").join(self.sources, "sidx")
+        got = self.drawn.groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+        sources = self.sources.withColumnRenamed("source", "_s")
+        out = self.rows.join(got, "row", "left").join(sources, F.col("source").eqNullSafe(F.col("_s")))
         return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -138,9 +140,9 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     """
     keep = [c for c in docs.columns if c not in ("doc_id", "source", "n_chars")]
     m = Mix(docs, payload=tuple(keep), **options)
-    copies = m.drawn.select("sidx", "bucket", "row", "skip", "words", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy"))
-    copies = copies.groupBy("sidx", "bucket", "row", "copy").agg(F.sort_array(F.collect_list(F.struct("skip", "words"))).alias("parts"), F.sum("words").alias("got"))
-    out = copies.join(m.rows, ["sidx", "bucket", "row"]).join(m.sources.select("sidx", "source"), "sidx")
+    copies = m.drawn.select("row", "skip", "words", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy"))
+    copies = copies.groupBy("row", "copy").agg(F.sort_array(F.collect_list(F.struct("skip", "words"))).alias("parts"), F.sum("words").alias("got"))
+    out = copies.join(m.rows, "row")
     text = F.col("payload").getField("text")
     words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
     some = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(F.col("_words"), (p["skip"] + 1).cast("int"), p["words"].cast("int")))), " ")
