@@ -7,8 +7,9 @@ with the square root of the number of vectors, so a filter holds about `per_filt
 fitted on at most `sample` vectors so that a vector has about `filters` filters; one with fewer than `least` lowers its own.
 All vectors are filed, and all pairs within a filter are verified by their cosine in double precision.
 
-Equal vectors are merged first and count with their number. Filters that share their first direction are dealt to one
-task; directions with more than `most` vectors are cut into parts by hash, every two of which meet in a task. A pair is
+Equal vectors are merged first and count with their number. Filters that share their first direction, and their second one's range of
+`seconds` neighbours, are a cell, which one task gets: it holds some seconds * per_filter vectors at any size of the table, and a vector goes to no more
+cells than it has filters. Cells with more than `most` vectors, as a crowd of alike vectors makes them, are cut into parts by hash, every two of which meet in a task. A pair is
 counted in the least filter that holds both, so it counts once without being written anywhere: tasks return each
 vector's number of links and a spanning forest of the links, never the pairs of a group.
 
@@ -28,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import materialize, prepare, shuffle_partitions
-from .components import components
-from .simhash import merge_labels
+from .components import named
+from .simhash import dealt, merge_labels
 
 VECTORS = "key long, n long, least long, dim int, body binary"
 
@@ -125,26 +126,36 @@ class Group:
             first = np.fromiter((np.intersect1d(self.lists[u], self.lists[v], assume_unique=True)[0] == w for u, v, w in zip(x, y, f, strict=True)), bool, len(x))
             self.add(x[first], y[first])
 
-    def large(self, f: int, members: np.ndarray, step: int = 1024):
-        """All pairs of a filter with many vectors, a block of the product at a time."""
-        before = [x[: np.searchsorted(x, f)] for x in (self.lists[m] for m in members)]
-        names, at = np.unique(np.concatenate(before), return_inverse=True)
-        inside = np.zeros((len(members), len(names)), np.float32)
-        inside[np.repeat(np.arange(len(members)), [len(x) for x in before]), at] = 1
-        for a in range(0, len(members), step):
-            for b in range(a, len(members), step):
-                x, y = members[a : a + step], members[b : b + step]
+    def large(self, f: int, members: np.ndarray, step: int = 512, wide: int = 4096):
+        """All pairs of a filter with many vectors, a block of the product at a time; whether a pair shares a lesser filter, for `wide` filters at a time."""
+        blocks = [members[a : a + step] for a in range(0, len(members), step)]
+        before = [[x[: np.searchsorted(x, f)] for x in (self.lists[m] for m in block)] for block in blocks]
+        names = [np.unique(np.concatenate(x)) for x in before]
+
+        def inside(k: int, chosen: np.ndarray) -> np.ndarray:
+            out = np.zeros((len(blocks[k]), len(chosen)), np.float32)
+            for row, x in zip(out, before[k], strict=True):
+                at = np.searchsorted(chosen, x)
+                row[at[(at < len(chosen)) & (chosen[np.minimum(at, len(chosen) - 1)] == x)]] = 1
+            return out
+
+        for a, x in enumerate(blocks):
+            for b in range(a, len(blocks)):
+                y = blocks[b]
                 near = (self.unit[x] @ self.unit[y].T >= self.cosine) & self.wanted(x[:, None], y[None, :])
-                near &= inside[a : a + step] @ inside[b : b + step].T == 0
                 if a == b:
                     near = np.triu(near, 1)
+                common = np.intersect1d(names[a], names[b], assume_unique=True) if near.any() else ()
+                for c in range(0, len(common), wide):
+                    near &= inside(a, common[c : c + wide]) @ inside(b, common[c : c + wide]).T == 0
                 self.count[x] += near @ self.weight[y]
                 self.count[y] += self.weight[x] @ near
                 i, j = np.nonzero(near)
                 self.labels = merge_labels(self.labels, x[i], y[j])
 
-    def run(self, first: int, size: int, few: int = 64):
-        lists = [x[np.searchsorted(x, first * size) : np.searchsorted(x, (first + 1) * size)] for x in self.lists]
+    def run(self, low: int, high: int, few: int = 64):
+        """The filters from low up to high."""
+        lists = [x[np.searchsorted(x, low) : np.searchsorted(x, high)] for x in self.lists]
         filters = np.concatenate(lists)
         owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
         order = np.argsort(filters, kind="stable")
@@ -162,7 +173,7 @@ class Group:
         return self
 
 
-def linked(distinct: DataFrame, cosine: float, filters: int, least: int, per_filter: int, sample: int, most: int, seed: int) -> DataFrame:
+def linked(distinct: DataFrame, cosine: float, filters: int, least: int, per_filter: int, sample: int, most: int, seed: int, seconds: int) -> DataFrame:
     """(a, b, n): links found. b null: vector a has n links to rows of other vectors in some task; else a and b are connected."""
     spark = distinct.sparkSession
     made: list[ProductCode] = []
@@ -181,36 +192,30 @@ def linked(distinct: DataFrame, cosine: float, filters: int, least: int, per_fil
                 rows = batch.filter(pa.array(dims == d))
                 yield rows, int(d), codes.value[d].decode(unit_rows(rows.column("body").to_pylist(), int(d)), least)
 
-    def directions(batches):
-        for rows, d, lists in filed(batches):
-            c = np.unique(np.concatenate([np.unique(x // codes.value[d].size) for x in lists]), return_counts=False)
-            n = np.bincount(np.concatenate([np.unique(x // codes.value[d].size) for x in lists]))[c]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), d), pa.int32()), pa.array(c), pa.array(n)], ["dim", "first", "n"])
-
-    n = distinct.mapInArrow(directions, "dim int, first long, n long").groupBy("dim", "first").agg(F.sum("n").alias("n"))
-    parts = {(r.dim, r.first): -(-r.n // most) for r in n.where(F.col("n") > most).collect()}  # B rows at most
+    def cells(x: np.ndarray, size: int) -> np.ndarray:
+        """The cells of sorted filters: first direction, then the range of the second."""
+        return np.unique(x // size * -(-size // seconds) + x % size // seconds)
 
     def deal(batches):
         for rows, d, lists in filed(batches):
-            size, out = codes.value[d].size, []
-            for key, weight, body, x in zip(rows.column("key").to_pylist(), rows.column("n").to_pylist(), rows.column("body").to_pylist(), lists, strict=True):
-                for first in np.unique(x // size).tolist():
-                    k = parts.get((d, first), 1)
-                    part = key * 0x9E3779B1 % 0xFFFFFFFB % k
-                    for other in range(k):
-                        out.append((d, first, min(part, other), max(part, other), key, weight, part, body, x.tobytes()))
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            for a in range(0, len(out), 2000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[a : a + 2000], strict=True), kinds, strict=True)], ["dim", "first", "p", "q", "key", "n", "part", "body", "filters"])
+            found = [cells(x, codes.value[d].size) for x in lists]
+            again = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            bodies = pa.array([x.tobytes() for x in lists], pa.binary())
+            for a in range(0, len(again), 2000):
+                at = again.slice(a, 2000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), d), pa.int32()), pa.array(np.concatenate(found)[a : a + 2000]), *[rows.column(c).take(at) for c in ("key", "n", "body")], bodies.take(at)], ["turn", "root", "key", "n", "body", "filters"])
 
     def verify(batches):
         held: list[pa.RecordBatch] = []
 
         def out(key):
             t = pa.Table.from_batches(held)
-            d, first, p, q = key
+            d, cell, p, q = key
+            size, each = codes.value[d].size, -(-codes.value[d].size // seconds)
+            low = cell // each * size + cell % each * seconds
+            high = min(low + seconds, (cell // each + 1) * size)
             lists = [np.frombuffer(x, np.int64) for x in t["filters"].to_pylist()]
-            g = Group(unit_rows(t["body"].to_pylist(), d), t["n"].to_numpy(), t["part"].to_numpy(), lists, p, q, cosine).run(first, codes.value[d].size)
+            g = Group(unit_rows(t["body"].to_pylist(), d), t["n"].to_numpy(), t["part"].to_numpy(), lists, p, q, cosine).run(low, high)
             keys = t["key"].to_numpy()
             some, other = np.flatnonzero(g.count), np.flatnonzero(g.labels != np.arange(len(keys)))
             a, b = np.r_[keys[some], keys[other]], np.r_[np.zeros(len(some), np.int64), keys[g.labels[other]]]
@@ -218,7 +223,7 @@ def linked(distinct: DataFrame, cosine: float, filters: int, least: int, per_fil
 
         now = None
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in ("dim", "first", "p", "q")], axis=1).astype(np.int64)
+            keys = np.stack([batch.column(c).to_numpy() for c in ("turn", "root", "p", "q")], axis=1).astype(np.int64)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
@@ -231,27 +236,24 @@ def linked(distinct: DataFrame, cosine: float, filters: int, least: int, per_fil
         if held:
             yield out(now)
 
-    dealt = distinct.mapInArrow(deal, "dim int, first long, p long, q long, key long, n long, part long, body binary, filters binary")
-    dealt = dealt.repartition(shuffle_partitions(spark), "dim", "first", "p", "q").sortWithinPartitions("dim", "first", "p", "q")
-    return dealt.mapInArrow(verify, "a long, b long, n long")
+    filed_ = distinct.mapInArrow(deal, "turn int, root long, key long, n long, body binary, filters binary")
+    return dealt(filed_, "key", most, with_part=True).mapInArrow(verify, "a long, b long, n long")
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.95, filters: int = 32, least: int = 16, per_filter: int = 16, sample: int = 1000, most: int = 20_000, seed: int = 11) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.95, filters: int = 32, least: int = 16, per_filter: int = 16, sample: int = 1000, most: int = 20_000, seed: int = 11, seconds: int = 1024) -> DataFrame:
     """One row per vector row: vec_id, n_links, component_id, kept."""
     prepare(vectors.sparkSession)
     vectors = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast("array<double>").alias("embedding"))
     distinct, _ = materialize(distinct_vectors(vectors), "vectors")
-    found, _ = materialize(linked(distinct, cosine, filters, least, per_filter, sample, most, seed), "vector-links")
+    found, _ = materialize(linked(distinct, cosine, filters, least, per_filter, sample, most, seed, seconds), "vector-links")
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("others"))
-    roots = components(found.where("b IS NOT NULL"), "a", "b").select(F.col("node").alias("key"), "root")
-    d = distinct.drop("dim").join(counts, "key", "left").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    d = d.join(d.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+    d = named(distinct.drop("dim"), found.where("b IS NOT NULL"), "key").join(counts, "key", "left")
 
     def unpack(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([np.frombuffer(x, "<f8").tolist() for x in batch.column("body").to_pylist()], pa.list_(pa.float64())), batch.column("links"), batch.column("component_id")], ["_v", "links", "component_id"])
 
-    named = d.select("body", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"), "component_id").mapInArrow(unpack, "_v array<double>, links long, component_id long")
-    out = vectors.join(named, F.col("embedding") == F.col("_v"), "left")
+    placed = d.select("body", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"), "component_id").mapInArrow(unpack, "_v array<double>, links long, component_id long")
+    out = vectors.join(placed, F.col("embedding") == F.col("_v"), "left")
     component = F.when(F.col("links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -163,18 +163,18 @@ def blocks_for(n: int, k: int, per_root: int = 1024) -> int:
     return blocks
 
 
-def _dealt(rooted: DataFrame, key: str, most: int, with_part: bool = False) -> DataFrame:
+def dealt(rooted: DataFrame, key: str, most: int, with_part: bool = False) -> DataFrame:
     """Rows with turn and root, dealt by pairs of parts (p, q) of a root: one part for up to `most` rows. A part goes by the hash of key."""
     others = [c for c in rooted.columns if c not in ("turn", "root")]
     large, _ = materialize(rooted.groupBy("turn", "root").agg(F.count("*").alias("n")).where(F.col("n") > most).select("turn", "root", F.ceil(F.col("n") / most).alias("parts")), "large-roots")
     parts = F.coalesce("parts", F.lit(1)).cast("long")
     rooted = rooted.join(large, ["turn", "root"], "left").withColumn("part", F.pmod(F.xxhash64(key), parts))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda j: F.struct(F.least(j, F.col("part")).alias("p"), F.greatest(j, F.col("part")).alias("q")))
-    dealt = rooted.select("turn", "root", *others, "part", F.explode(pairs).alias("x")).select("turn", "root", "x.p", "x.q", *others, *["part"] * with_part)
-    return dealt.repartition(shuffle_partitions(rooted.sparkSession), "turn", "root", "p", "q").sortWithinPartitions("turn", "root", "p", "q")
+    out = rooted.select("turn", "root", *others, "part", F.explode(pairs).alias("x")).select("turn", "root", "x.p", "x.q", *others, *["part"] * with_part)
+    return out.repartition(shuffle_partitions(rooted.sparkSession), "turn", "root", "p", "q").sortWithinPartitions("turn", "root", "p", "q")
 
 
-def _joined(dealt: DataFrame, spanning, held_rows: int = 200_000) -> DataFrame:
+def _joined(given: DataFrame, spanning, held_rows: int = 200_000) -> DataFrame:
     """Edges (a, b) that spanning(turn, table) gives for the rows of each turn and pair of parts, which a task takes in runs of about held_rows."""
     keys = ("turn", "root", "p", "q")
 
@@ -210,7 +210,7 @@ def _joined(dealt: DataFrame, spanning, held_rows: int = 200_000) -> DataFrame:
         if held:
             yield from out()
 
-    return dealt.mapInArrow(join, "a long, b long")
+    return given.mapInArrow(join, "a long, b long")
 
 
 def links(distinct: DataFrame, k: int = 3, blocks: int | None = None, most: int = 20_000) -> DataFrame:
@@ -239,7 +239,7 @@ def links(distinct: DataFrame, k: int = 3, blocks: int | None = None, most: int
         other = np.flatnonzero(labels != np.arange(len(labels)))
         return fps[order[other]].view(np.int64), fps[order[labels[other]]].view(np.int64)
 
-    return _joined(_dealt(rooted, "fp", most), spanning)
+    return _joined(dealt(rooted, "fp", most), spanning)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, k: int = 3, blocks: int | None = None) -> DataFrame:
@@ -387,7 +387,7 @@ def candidates(classes: DataFrame, bands: Bands, most: int = 20_000) -> DataFram
         return node[order[found]], node[order[labels[found]]]
 
     rooted = classes.select("node", *names).mapInArrow(root, "turn int, root long, node long" + "".join(f", {x} long" for x in names))
-    return _joined(_dealt(rooted, "node", most), spanning)
+    return _joined(dealt(rooted, "node", most), spanning)
 
 
 def similar_pairs(sets: list[np.ndarray], side: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -447,7 +447,7 @@ def verified(groups: DataFrame, docs: DataFrame, classes: DataFrame, shingle: in
             found[1].append(nodes[at[b]])
         return [np.concatenate([np.empty(0, np.int64), *x]) for x in found]
 
-    return _joined(_dealt(rows, "node", most, with_part=True), spanning, held_rows=2 * most)
+    return _joined(dealt(rows, "node", most, with_part=True), spanning, held_rows=2 * most)
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, seed: int = 42, least: float = 0.8, most: int = 512) -> DataFrame:
