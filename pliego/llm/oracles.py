@@ -16,13 +16,13 @@ windows AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n
 repeated AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest([k, k + 1, k + 2]) AS place FROM windows WHERE n > 1) GROUP BY doc_id),
 lines AS (SELECT doc_id, source, t, unnest(list_filter(string_split(t, chr(10)), lambda x: len(regexp_extract_all(x, {WORD})) > 0)) AS line FROM d),
 normal AS (SELECT *, array_to_string(regexp_extract_all(regexp_replace(lower(line), '[0-9]', '0', 'g'), {WORD}), ' ') AS key, len(regexp_extract_all(line, {WORD})) AS n FROM lines),
-hosts AS (SELECT source, greatest(50, 0.01 * count(DISTINCT t)) AS most FROM d GROUP BY source),
+hosts AS (SELECT source, greatest(3, 0.02 * count(DISTINCT t)) AS most FROM d GROUP BY source),
 above AS (SELECT n.source, key FROM normal n JOIN hosts h ON n.source IS NOT DISTINCT FROM h.source GROUP BY n.source, key, most HAVING count(DISTINCT t) > most),
 lost AS (SELECT doc_id, sum(n) AS n FROM normal x JOIN above a ON x.source IS NOT DISTINCT FROM a.source AND x.key = a.key GROUP BY doc_id),
 twice AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
 f AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
 CAST(coalesce(twice.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(repeated.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS frequent_words FROM d LEFT JOIN twice USING (doc_id) LEFT JOIN repeated USING (doc_id) LEFT JOIN lost USING (doc_id))
-SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND frequent_words <= 0.5 * n_words AS kept FROM f
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND frequent_words <= 0.3 * n_words AS kept FROM f
 """
 
 OP8 = """

@@ -2,8 +2,8 @@
 
 Lines are normalised (lower case, ASCII white space collapsed, digits as 0) and hashed; for each host (source) the distinct
 documents that hold a line are counted, where documents of equal text count once, so exact copies alone make no line
-frequent. A line in more documents of its host than the limit, the larger of `min_docs` and `share` of the host's
-documents, is removed; a document that loses more than `max_lost` of its words that way is rejected, as one that
+frequent. A line in more documents of its host than the limit, the larger of `min_docs` (so few that it only says what repeats at all) and
+`share` of the host's documents, is removed; a document that loses more than `max_lost` of its words that way is rejected, as one that
 fails the base rules is. Only hashes and counts are shuffled, and all counts combine before their shuffle, so neither a
 hot host nor a hot line gathers in one task.
 
@@ -93,10 +93,12 @@ def frequent_lines(measured: DataFrame, min_docs: int, share: float) -> DataFram
     return counts.join(limits, F.col("source").eqNullSafe(F.col("_host"))).where("_n > _limit").select("source", "line")
 
 
-def judge(docs: DataFrame, min_docs: int = 50, share: float = 0.01, max_lost: float = 0.5, min_words: int = 50, max_repeat: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, min_docs: int = 3, share: float = 0.02, max_lost: float = 0.3, min_words: int = 50, max_repeat: float = 0.5) -> DataFrame:
     """One row per document row: the base figures, frequent_words (words of the lines removed), base_failed, kept."""
     measured, _ = materialize(features(docs), "quality")
-    above = frequent_lines(measured, min_docs, share).select(F.col("source").alias("_host"), F.col("line").alias("_line"))
+    # Written first: the join below then has plain exchanges, which adaptive execution splits where a line is very common.
+    above, _ = materialize(frequent_lines(measured, min_docs, share), "frequent-lines")
+    above = above.select(F.col("source").alias("_host"), F.col("line").alias("_line"))
     held = measured.select("row", "source", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", "source", F.col("x.lines").alias("line"), F.col("x.line_words").alias("n"))
     lost = held.join(above, F.col("source").eqNullSafe(F.col("_host")) & (F.col("line") == F.col("_line"))).groupBy("row").agg(F.sum("n").alias("frequent_words"))
     out = measured.drop("lines", "line_words", "content").join(lost, "row", "left").withColumn("frequent_words", F.coalesce("frequent_words", F.lit(0)))
