@@ -1,22 +1,29 @@
 """Removal of repeated substrings by prefix-free parsing.
 
-A byte position is a trigger where the rolling hash of the `k` bytes from it is the least (leftmost on ties) of some
-span of `length` bytes; so every string of `length` bytes holds its own trigger, at the same place wherever it occurs. Triggers
-cut texts into phrases: from one trigger to the next, the next included.
+A byte position is a trigger where the rolling hash of the `k` bytes from it is 0 mod `modulus`. Triggers cut a document into phrases: from one
+trigger to the end of the next one's k bytes, so neighbours share a trigger. The distinct phrases, sorted, are the dictionary; the documents
+as sequences of phrase ranks are the parse (`parse` gives both for some texts, `parse_sizes` their sizes for a corpus). A stretch of `length`
+bytes without a trigger, inside one long phrase, is cut once more, at the least hash of each such string; so every string of `length` bytes has
+one trigger that is its own, the first in it or the least hash, which depends on the string alone.
+
+A string is then j bytes of a phrase, the beginning of a suffix of the dictionary that ends with the string's own trigger, and length - j bytes from the trigger on,
+the beginning of a suffix of the parse. The corpus is spread by triggers: a bucket has all dictionary suffixes that end with its triggers and all
+parse suffixes that begin with them.
 
 1. Each chunk of documents sends its triggers' hashes to buckets, which answer which of them other documents hold too.
    A string with a trigger that occurs in one document only can't be repeated: most of a corpus ends here.
-2. For triggers that do repeat, a chunk sends its distinct phrases, each with its least document id: what stands before
-   the trigger in its phrase, and what follows from the trigger on, as far as a string reaches. A bucket sorts both sides: the
-   dictionary's suffixes before triggers, read backwards, and the parse's suffixes from triggers on, each with the common
-   prefixes of neighbours. Of strings with j bytes before the trigger, those are equal whose ranks agree on both sides at j and
-   length - j bytes: the two orders combine to the corpus's order of the strings, without any string being written out.
-   Each equal run has a least document; a bit for each phrase and j says that it is less than the chunk's own.
+2. For triggers that do repeat, a chunk sends its distinct pairs of a phrase and what the parse goes on with, as far as a string reaches, each with its
+   least document id. A bucket keeps pairs once each, however many chunks send them, and makes two suffix arrays: of the dictionary's phrases, read
+   backwards from the trigger, and of the parse's suffixes, each with the common prefixes of neighbours. Of strings with j bytes before the trigger, those
+   are equal whose ranks agree in both arrays at j and length - j bytes: the two combine to the corpus's order of the strings
+   (`corpus_order` writes it out for some texts), without any string being formed. Each equal run has a least document; a bit for each pair and
+   j says that it is less than the chunk's own.
 3. The chunk marks the strings so found, and those that repeat one of its own earlier documents.
 
 Nothing is decided by hashes alone: they pick triggers and buckets, and what is equal is compared byte by byte. A chunk sends
-a phrase once, however many copies it holds, so long passages shared by very many documents stay small. What moves are compressed chunks
-(twice), three bytes or so per trigger, and the phrases of repeated triggers.
+a pair once, however many copies it holds, and a bucket holds 12 bytes for each time that it gets one again, so passages shared by very many
+documents stay small. There are as many buckets as chunks, so a bucket's share doesn't grow with the corpus. What moves are compressed chunks
+(twice), three bytes or so per trigger, and the pairs of repeated triggers.
 
 Defined results: a null text is empty; a text shorter than `length` loses nothing; of rows that share an id none
 counts as earlier; rows without an id come after all others; an empty table gives no rows; other columns are ignored.
@@ -33,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ._common import carried, fresh_worker, id_column, materialize, pack_chunks, prepare, release_shuffles, shuffle_partitions, unpack_chunk
 
-LENGTH, K = 50, 18
+LENGTH, K, MODULUS = 50, 18, 16
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -64,32 +71,62 @@ def rolling_hashes(raw: np.ndarray, k: int) -> np.ndarray:
     return _mixed(h)
 
 
+def cuts(h: np.ndarray, offsets: np.ndarray, k: int, modulus: int) -> tuple[np.ndarray, np.ndarray]:
+    """The triggers of documents, by the hashes of their bytes: places in order, and their documents."""
+    at = np.flatnonzero(h % np.uint64(modulus) == 0)
+    doc = np.searchsorted(offsets, at, side="right") - 1
+    inside = at + k <= offsets[doc + 1]
+    return at[inside], doc[inside]
+
+
+def _least(h: np.ndarray, window: int) -> np.ndarray:
+    """Where the least of each window of values is, leftmost on ties."""
+    least, at = (h >> np.uint64(32)).astype(np.uint32), np.arange(len(h), dtype=np.int64)
+    width = 1
+    while width < window:
+        s = min(width, window - width)
+        take = least[s:] < least[:-s]
+        at = np.where(take, at[s:], at[:-s])
+        least = np.where(take, least[s:], least[:-s])
+        width += s
+    return at
+
+
 class Triggers:
-    """The triggers of some documents of a chunk: place, hash, and the strings that are theirs, jmin to jmax bytes before them."""
-
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, length: int, k: int):
-        starts = np.arange(max(0, len(raw) - length + 1))
-        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        if not len(starts):
-            self.place = self.doc = self.jmin = self.jmax = np.empty(0, np.int64)
-            self.hash = np.empty(0, np.uint64)
+    """The strings' own triggers in some documents of a chunk: place, hash, and the strings that are theirs, jmin to jmax bytes before them."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, length: int, k: int, modulus: int = MODULUS):
+        none = np.empty(0, np.int64)
+        self.place = self.doc = self.jmin = self.jmax = none
+        self.hash = np.empty(0, np.uint64)
+        if len(raw) < length:
             return
-        h = rolling_hashes(raw, k)
-        least, at = (h >> np.uint64(32)).astype(np.uint32), np.arange(len(h), dtype=np.int32)
-        width, window = 1, length - k + 1
-        while width < window:
-            s = min(width, window - width)
-            take = least[s:] < least[:-s]
-            at = np.where(take, at[s:], at[:-s])
-            least = np.where(take, least[s:], least[:-s])
-            width += s
-        whole = doc[: len(starts)] == doc[length - 1 :]
-        first, at = starts[whole], at[: len(starts)][whole].astype(np.int64)
-        d = doc[first]
-        heads = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (d[1:] != d[:-1])]) if len(at) else np.empty(0, np.int64)
-        last = np.r_[heads[1:], len(at)] - 1 if len(at) else heads
-        self.place, self.doc = at[heads], d[heads]
-        self.jmax, self.jmin = self.place - first[heads], self.place - first[last]
+        h, reach = rolling_hashes(raw, k), length - k
+        at, doc = cuts(h, offsets, k, modulus)
+        begin, stop = offsets[:-1], offsets[1:] - length  # a document's first and last string
+        first = np.r_[True, doc[1:] != doc[:-1]] if len(at) else np.empty(0, bool)
+        after = np.where(first, begin[doc], np.r_[0, at[:-1] + 1]) if len(at) else none  # behind the trigger before
+        low, high = np.maximum(after, at - reach), np.minimum(at, stop[doc])
+        some = low <= high
+        # Strings without a trigger: between triggers, behind a document's last one, in documents without any.
+        tail = np.full(len(begin), 0) + begin
+        tail[doc] = at + 1  # the last of a document's triggers stays
+        a, b = np.r_[after, tail], np.r_[np.minimum(at - reach - 1, stop[doc]), stop]
+        d = np.r_[doc, np.arange(len(begin))]
+        a, b, d = (x[a <= b] for x in (a, b, d))
+        order = np.argsort(a, kind="stable")
+        a, n, d = a[order], (b - a + 1)[order], d[order]
+        size = n + reach
+        heads = np.cumsum(size) - size
+        where = np.repeat(a - heads, size) + np.arange(int(size.sum()))
+        own = where[_least(h[where], reach + 1)] if len(where) else none
+        chosen = np.repeat(heads, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        own, start, owner = own[chosen] if len(chosen) else none, where[chosen], np.repeat(d, n)
+        new = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (owner[1:] != owner[:-1])]) if len(own) else none
+        last = np.r_[new[1:], len(own)] - 1 if len(own) else none
+        self.place, self.doc = np.r_[at[some], own[new]], np.r_[doc[some], owner[new]]
+        self.jmax = np.r_[(at - low)[some], own[new] - start[new]]
+        self.jmin = np.r_[(at - high)[some], own[new] - start[last]]
         self.hash = h[self.place]
 
     def take(self, chosen: np.ndarray) -> Triggers:
@@ -175,6 +212,38 @@ class Phrases:
         self.of[order] = np.cumsum(new) - 1
 
 
+class Gathered:
+    """Rows that come piece by piece, kept once each with their least key; of each piece it keeps the places of its rows. What is held grows with distinct rows."""
+
+    def __init__(self, width: int, most: int = 8 << 20):
+        self.rows, self.least, self.pieces = np.empty((0, width), np.uint8), np.empty(0, np.int64), []
+        self.new, self.bytes, self.most = [], 0, most
+
+    def add(self, rows: np.ndarray, least: np.ndarray) -> None:
+        self.new.append((rows, least))
+        self.bytes += rows.nbytes
+        if self.bytes > max(self.most, self.rows.nbytes):
+            self.merge()
+
+    def merge(self) -> None:
+        if not self.new:
+            return
+        rows = np.ascontiguousarray(np.concatenate([self.rows, *(r for r, _ in self.new)]))
+        least = np.concatenate([self.least, *(x for _, x in self.new)])
+        order = np.argsort(rows.view(f"V{rows.shape[1]}").reshape(-1), kind="stable")
+        s = rows[order]
+        heads = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]).any(axis=1)]) if len(s) else np.empty(0, np.int64)
+        at = np.empty(len(rows), np.int32)
+        at[order] = np.repeat(np.arange(len(heads), dtype=np.int32), np.diff(np.r_[heads, len(rows)]))
+        self.pieces = [at[p] for p in self.pieces]
+        done = len(self.rows)
+        for r, _ in self.new:
+            self.pieces.append(at[done : done + len(r)])
+            done += len(r)
+        self.rows, self.least = s[heads], np.minimum.reduceat(least[order], heads) if len(heads) else least
+        self.new, self.bytes = [], 0
+
+
 def _orders(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The rows' sorted order, and how many bytes each shares with the one before it there."""
     rows = np.ascontiguousarray(rows)
@@ -185,28 +254,40 @@ def _orders(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.r_[-1, common]
 
 
-def earlier(rows: np.ndarray, least: np.ndarray, length: int, k: int) -> np.ndarray:
-    """For each phrase the bits j of the strings that a document with a key less than its own holds."""
-    before, masks = length - k, np.zeros(len(rows), np.uint64)
-    if not len(rows):
-        return masks
+def _runs_of_strings(rows: np.ndarray, length: int, k: int):
+    """For each j the pairs that have strings with j bytes before their trigger, in the corpus's order, and where runs of equal strings begin among them.
+
+    A pair is a phrase's last bytes before its trigger and the parse's first bytes from it: two suffix arrays give ranks, which combine.
+    """
+    before = length - k
     jmin, jmax = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64)
-    forward, common = _orders(rows[:, before : before + length])
-    backward, shared = _orders(rows[:, before - 1 :: -1] if before else rows[:, :0])
+    parse, common = _orders(rows[:, before : before + length])
+    phrases, shared = _orders(rows[:, before - 1 :: -1] if before else rows[:, :0])
     right, left = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
     for j in range(before + 1):
         chosen = np.flatnonzero((jmin <= j) & (j <= jmax))
         if not len(chosen):
             continue
-        right[forward] = np.cumsum(common < length - j)
-        left[backward] = np.cumsum(shared < j) if j else 0
-        key = right[chosen] * (len(rows) + 1) + left[chosen]
+        right[parse] = np.cumsum(common < length - j)
+        left[phrases] = np.cumsum(shared < j) if j else 0
+        key = left[chosen] * (len(rows) + 1) + right[chosen]
         order = np.argsort(key, kind="stable")
         key = key[order]
-        heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        lowest = np.repeat(np.minimum.reduceat(least[chosen[order]], heads), np.diff(np.r_[heads, len(key)]))
-        masks[chosen[order]] |= (lowest < least[chosen[order]]).astype(np.uint64) << np.uint64(j)
-    return masks
+        yield j, chosen[order], np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+
+
+def lowest_keys(rows: np.ndarray, least: np.ndarray, length: int, k: int) -> np.ndarray:
+    """For each pair and j the least key of a document that holds the string; a pair's own where it has no string with that j."""
+    out = np.repeat(least[:, None], length - k + 1, axis=1)
+    for j, chosen, heads in _runs_of_strings(rows, length, k) if len(rows) else ():
+        out[chosen, j] = np.repeat(np.minimum.reduceat(least[chosen], heads), np.diff(np.r_[heads, len(chosen)]))
+    return out
+
+
+def earlier(lowest: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For each pair the bits j of the strings that a document with a key less than its own holds."""
+    bits = np.uint64(1) << np.arange(lowest.shape[1], dtype=np.uint64)
+    return ((lowest < least[:, None]) * bits).sum(axis=1, dtype=np.uint64)
 
 
 def removed_spans(t: Triggers, p: Phrases, masks: np.ndarray, keys: np.ndarray, size: int, length: int) -> np.ndarray:
@@ -240,8 +321,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, chunk_byte
     spark = docs.sparkSession
     prepare(spark)
     n = shuffle_partitions(spark)
-    buckets = 2 * n
     chunks, _ = materialize(pack_chunks(docs, chunk_bytes, carry, level=5), "repeat-chunks")
+    buckets = max(2 * n, chunks.count())  # of a written table
 
     def send(batches):
         fresh_worker()
@@ -338,17 +419,36 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, chunk_byte
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 16], strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "chunk_id", "rows", "least"])
 
     def combine(batches):
+        fresh_worker()
         width = 2 * length - k + 2
+        now, who, keys, held = None, [], [], None
+
+        def out():
+            held.merge()
+            lowest, rows = lowest_keys(held.rows, held.least, length, k), []
+            for chunk, key, at in zip(who, keys, held.pieces, strict=True):
+                own = unpacked(key, "<i8")
+                rows.append((chunk, now, packed(np.concatenate([earlier(lowest[at[a : a + 65_536]], own[a : a + 65_536]) for a in range(0, len(own), 65_536)]))))
+                if len(rows) == 64:
+                    yield rows
+                    rows = []
+            if rows:
+                yield rows
+
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["chunk_id", "bucket", "data"])
 
-        def work(b, rows):
-            parts = [unpacked(r, np.uint8).reshape(-1, width) for _, r, _ in rows]
-            masks = earlier(np.concatenate(parts), np.concatenate([unpacked(x, "<i8") for _, _, x in rows]), length, k)
-            at = np.cumsum([0, *map(len, parts)])
-            out = [(chunk, b, packed(masks[s:e])) for (chunk, _, _), s, e in zip(rows, at[:-1], at[1:], strict=True)]
-            for a in range(0, len(out), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[a : a + 64], strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["chunk_id", "bucket", "data"])
-
-        return grouped(batches, work)
+        for batch in batches:
+            for b, chunk, rows, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != now:
+                    if held:
+                        yield from map(batch_of, out())
+                    now, who, keys, held = b, [], [], Gathered(width)
+                who.append(chunk)
+                keys.append(key)
+                held.add(unpacked(rows, np.uint8).reshape(-1, width), unpacked(key, "<i8"))
+        if held:
+            yield from map(batch_of, out())
 
     dealt = with_bodies((0, repeated)).mapInArrow(phrases, "bucket int, chunk_id long, rows binary, least binary").repartition(n, "bucket").sortWithinPartitions("bucket")
     masks, _ = materialize(dealt.mapInArrow(combine, "chunk_id long, bucket int, data binary"), "repeat-masks")
@@ -382,3 +482,51 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, chunk_byte
                 yield pa.RecordBatch.from_arrays([id_column(np.array(columns[0], np.int64)), *[pa.array(c, t) for c, t in zip(columns[1:], kinds[1:], strict=True)], *([x.combine_chunks() for x in rest.slice(a, 500).columns] if carry else [])], names + list(carry))
 
     return with_bodies((0, repeated), (1, masks)).mapInArrow(finish, schema)
+
+
+# The parse itself
+
+
+def parse(texts: list[bytes], k: int = K, modulus: int = MODULUS) -> tuple[list[bytes], list[np.ndarray]]:
+    """The dictionary, distinct phrases in order, and the parse, each text's phrases by rank. Texts come back by joining phrases without the k bytes shared with the one before."""
+    split = []
+    for t in texts:
+        raw = np.frombuffer(t, np.uint8)
+        at = cuts(rolling_hashes(raw, k), np.array([0, len(t)]), k, modulus)[0] if len(t) >= k else np.empty(0, np.int64)
+        inner = at[at > 0].tolist()
+        split.append([t[a : b + k] for a, b in zip([0, *inner], [*inner, len(t)], strict=True)])
+    dictionary = sorted({p for phrases in split for p in phrases})
+    rank = {p: r for r, p in enumerate(dictionary)}
+    return dictionary, [np.array([rank[p] for p in phrases], np.int64) for phrases in split]
+
+
+def corpus_order(texts: list[bytes], length: int = LENGTH, k: int = K) -> list[list[tuple[int, int]]]:
+    """The strings of `length` bytes of some texts as runs of equal ones, each a list of (text, place): what buckets derive, for as much as one call holds."""
+    offsets = np.cumsum([0, *map(len, texts)])
+    t = all_triggers(b"".join(texts), offsets, length, k)
+    p = Phrases(t, b"".join(texts), np.arange(len(texts)), length, k, 1)
+    holders: dict[int, list[int]] = {}
+    for i, row in enumerate(p.of.tolist()):
+        holders.setdefault(row, []).append(i)
+    out = []
+    for j, chosen, heads in _runs_of_strings(p.rows, length, k):
+        for run in np.split(chosen, heads[1:]):
+            out.append(sorted((int(t.doc[i]), int(t.place[i] - j - offsets[t.doc[i]])) for row in run.tolist() for i in holders[row]))
+    return out
+
+
+def parse_sizes(docs: DataFrame, k: int = K, modulus: int = MODULUS) -> DataFrame:
+    """One row: phrases (distinct ones of the whole corpus, by 64-bit hash) and parse_length (all of them)."""
+    prepare(docs.sparkSession)
+
+    def count(batches):
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            dictionary, ranks = parse([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist()], k, modulus)
+            times = np.bincount(np.concatenate([np.empty(0, np.int64), *ranks]), minlength=len(dictionary))
+            names = np.array([xxh64_intdigest(p) for p in dictionary], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(times)], ["phrase", "times"])
+
+    rows = docs.select(docs["text"].cast("string").alias("text")).mapInArrow(count, "phrase long, times long")
+    return rows.groupBy("phrase").agg(F.sum("times").alias("times")).agg(F.count("*").alias("phrases"), F.coalesce(F.sum("times"), F.lit(0)).alias("parse_length"))
