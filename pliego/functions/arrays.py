@@ -86,3 +86,28 @@ def light_curve(value: Column, brightness: float, contrast: float) -> Column:
     x = F.pow(value / 255.0, F.lit(2.0 ** (-brightness / 50)))
     x = (x - 0.5) * (2.0 ** (contrast / 50)) + 0.5
     return F.greatest(F.lit(0), F.least(F.lit(255), F.floor(255 * x + 0.5))).cast("int")
+
+
+def hue(r: Column, g: Column, b: Column) -> Column:
+    """struct(hue, saturation) of a colour: hue in degrees, 0 for greys."""
+    high, low = F.greatest(r, g, b), F.least(r, g, b)
+    span = (high - low).cast("double")
+    sixth = F.when(high == r, (g - b) / span).when(high == g, (b - r) / span + 2).otherwise((r - g) / span + 4)
+    grey = span < 1e-6
+    return F.struct(F.when(grey, 0.0).otherwise(F.pmod(sixth * 60, F.lit(360.0))).alias("hue"), F.when(grey, 0.0).otherwise(span / high).alias("saturation"))
+
+
+#: How saturated and how light ink of a hue is (fixed values).
+INK_SATURATION, INK_LIGHTNESS = 0.85, 0.4
+
+
+def ink_of_hue(degrees: Column) -> Column:
+    """struct(r, g, b), 0 to 255: a dark, saturated colour of that hue. A channel falls off with its distance from the hue around the circle."""
+    chroma = (1 - abs(2 * INK_LIGHTNESS - 1)) * INK_SATURATION
+    base = INK_LIGHTNESS - chroma / 2
+
+    def channel(peak: int) -> Column:
+        far = F.abs(F.pmod(degrees - peak + 180, F.lit(360.0)) - 180) / 60
+        return (F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 - far)) * chroma + base) * 255
+
+    return F.struct(channel(0).alias("r"), channel(120).alias("g"), channel(240).alias("b"))

@@ -57,3 +57,8 @@ def classify(text: Column) -> Column:
         .when(is_("(?i)^MECARD:"), made("contacto", nombre=name(field(me, "N"), ","), telefono=field(me, "TEL"), correo=field(me, "EMAIL")))
         .otherwise(made("texto"))
     )
+
+
+def pin_format(pin: Column) -> Column:
+    """Whether a PIN is four to twelve digits and nothing else; null is none."""
+    return F.coalesce(F.rlike(pin, F.lit(r"\A[0-9]{4,12}\z")), F.lit(False))

@@ -87,3 +87,8 @@ def normal_signature(strokes: Column, thickness: Column) -> Column:
     moved = F.transform(strokes, lambda s: F.transform(s, lambda v, i: part(F.when(i % 2 == 0, (v - x0) / w).otherwise((v - y0) / h))))
     enough = (F.size(F.flatten(strokes)) >= 4) & ((w >= 8) | (h >= 8))
     return F.when(enough, F.struct(moved.alias("strokes"), (h / w).alias("aspect"), (thickness / w).alias("thickness")))
+
+
+def colours(parts: DataFrame, key: str, colour: str) -> DataFrame:
+    """For each key how many highlighted parts it has and in how many colours."""
+    return parts.groupBy(key).agg(F.count("*").alias("parts"), F.count_distinct(colour).alias("colours"))

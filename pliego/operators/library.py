@@ -149,6 +149,12 @@ def bin_percentiles(bins: DataFrame, wanted: dict[str, float]) -> DataFrame:
     return upto.agg(*[F.min(F.when(F.col("_upto") >= p * F.col("_all"), F.col("bin"))).cast("long").alias(name) for name, p in wanted.items()])
 
 
+def dominant_sign(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """For each key the sign (-1 or 1) that most of its values have, by their total strength where as many have either; positive where that is equal too. Zeros don't count."""
+    sides = rows.where(F.col(value) != 0).groupBy(key, F.signum(value).cast("int").alias("sign")).agg(F.count("*").alias("n"), F.sum(F.abs(value)).alias("strength"))
+    return sides.groupBy(key).agg(F.max(F.struct("n", "strength", "sign"))["sign"].alias("sign"))
+
+
 def otsu(bins: DataFrame) -> DataFrame:
     """The bin that best parts a histogram (bin, n) in two classes; the first of equals."""
     w, everything = Window.orderBy("bin"), Window.partitionBy()

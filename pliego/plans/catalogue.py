@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import arrays, codes, dates, text
-from ..operators import commands, library, search
+from ..operators import commands, highlights, library, search
 from ..sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -340,6 +340,42 @@ def version_key(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", key.alias("version"))
 
 
+@query(r"SELECT c_custkey, len(p) BETWEEN 4 AND 12 AND p SIMILAR TO '[0-9]+' AS valid FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_phone WHEN 1 THEN replace(c_phone, '-', '') WHEN 2 THEN right(c_phone, 4) ELSE right(c_phone, 3) || chr(10) END AS p FROM (SELECT c_custkey, '1' || CAST(c_custkey AS VARCHAR) || '-222-3333' AS c_phone FROM customer))")
+def pin_format(spark, d):
+    phone = F.concat(F.lit("1"), F.col("c_custkey").cast("string"), F.lit("-222-3333"))
+    k = F.col("c_custkey") % 4
+    pin = F.when(k == 0, phone).when(k == 1, F.replace(phone, F.lit("-"), F.lit(""))).when(k == 2, F.right(phone, F.lit(4))).otherwise(F.concat(F.right(phone, F.lit(3)), F.lit("\n")))
+    return table(spark, d, "customer").select("c_custkey", codes.pin_format(pin).alias("valid"))
+
+
+@query("SELECT l_orderkey, count(*) AS parts, count(DISTINCT l_returnflag) AS colours FROM lineitem WHERE l_linestatus = 'F' GROUP BY l_orderkey")
+def highlight_colours(spark, d):
+    return highlights.colours(table(spark, d, "lineitem").where("l_linestatus = 'F'"), "l_orderkey", "l_returnflag")
+
+
+@query("""WITH s AS (SELECT user_id, CASE WHEN round(value) - 50 > 0 THEN 1 ELSE -1 END AS sign, count(*) AS n, sum(abs(round(value) - 50)) AS strength FROM events WHERE round(value) <> 50 GROUP BY user_id, sign)
+SELECT user_id, CAST(sign AS INTEGER) AS sign FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, strength DESC, sign DESC) = 1""")
+def dominant_sign(spark, d):
+    return library.dominant_sign(table(spark, d, "events").select("user_id", (F.round("value") - 50).alias("v")), "user_id", "v")
+
+
+_HUE_SQL = """
+WITH c AS (SELECT l_orderkey, l_linenumber, CAST(l_partkey % 256 AS INTEGER) AS r, CAST(l_suppkey % 256 AS INTEGER) AS g, CAST(l_orderkey % 256 AS INTEGER) AS b FROM lineitem),
+m AS (SELECT *, greatest(r, g, b) AS hi, greatest(r, g, b) - least(r, g, b) AS d FROM c),
+h AS (SELECT *, CASE WHEN d = 0 THEN 0 WHEN hi = r THEN CASE WHEN g >= b THEN 60.0 * (g - b) / d ELSE 360 + 60.0 * (g - b) / d END WHEN hi = g THEN 120 + 60.0 * (b - r) / d ELSE 240 + 60.0 * (r - g) / d END AS hue FROM m)
+SELECT l_orderkey, l_linenumber, r, g, b, round(hue, 6) AS hue, round(CASE WHEN d = 0 THEN 0 ELSE CAST(d AS DOUBLE) / hi END, 6) AS saturation,
+round(255 * (0.06 + 0.68 * CASE WHEN hue < 60 OR hue >= 300 THEN 1 WHEN hue < 120 THEN 2 - hue / 60 WHEN hue < 240 THEN 0 ELSE hue / 60 - 4 END), 6) AS ink_red FROM h
+"""
+
+
+@query(_HUE_SQL)
+def hue_and_ink(spark, d):
+    byte = lambda c: (F.col(c) % 256).cast("int")
+    c = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", byte("l_partkey").alias("r"), byte("l_suppkey").alias("g"), byte("l_orderkey").alias("b"))
+    h = c.withColumn("h", arrays.hue(F.col("r"), F.col("g"), F.col("b")))
+    return h.select("l_orderkey", "l_linenumber", "r", "g", "b", F.round("h.hue", 6).alias("hue"), F.round("h.saturation", 6).alias("saturation"), F.round(arrays.ink_of_hue(F.col("h.hue"))["r"], 6).alias("ink_red"))
+
+
 # Ordered arrays and commands
 
 

@@ -437,3 +437,37 @@ def test_filters_of_pages(spark):
     covers = spark.createDataFrame([("t", {"tema": "", "clase": "Mate"}, {"tema": "x", "clase": ""}, None)], "id string, clase struct<tema:string,clase:string>, perfil struct<tema:string,clase:string>, actual struct<tema:string,clase:string>")
     assert tuple(library.cover_defaults(covers, ["tema", "clase"]).first().portada) == ("x", "Mate")
     assert one(spark, highlights.normal_signature(F.array(F.array(*map(F.lit, (10.0, 10.0, 60.0, 30.0)))), F.lit(2.0))).aspect == pytest.approx(24 / 54)
+
+
+def test_colours_and_frames(spark):
+    h = one(spark, arrays.hue(lit(200), lit(100), lit(100)))
+    assert (h.hue, h.saturation) == (0.0, 0.5) and one(spark, arrays.hue(lit(9), lit(9), lit(9))).hue == 0.0 and one(spark, arrays.hue(lit(255), lit(0), lit(128))).hue == pytest.approx(329.88, abs=0.01)
+    ink = one(spark, arrays.ink_of_hue(lit(120.0)))
+    assert (ink.r, ink.g, ink.b) == (pytest.approx(15.3), pytest.approx(188.7), pytest.approx(15.3))
+    assert [one(spark, codes.pin_format(lit(p))) for p in ("1234", "123", "1234567890123", "12a4", "1234\n", None)] == [True, False, False, False, False, False]
+    frame = np.zeros((80, 60, 4), np.uint8)
+    frame[:10, :10, :3] = 255
+    s = images.frame_signature(frame)
+    assert s.shape == (48,) and s.sum() == pytest.approx(1) and s.argmax() == 0 and images.frame_signature(np.zeros((8, 8, 4))).sum() == 0
+    assert images.light_base(np.zeros((2800, 1400, 4), np.uint8)).shape[:2] == (1400, 700)
+
+
+def test_book_pages_and_blur(spark):
+    book = np.full((300, 440, 4), 235, np.uint8)
+    rng = np.random.default_rng(2)
+    for y in range(30, 270, 9):
+        for a, b in ((30, 200), (240, 410)):
+            book[y : y + 4, a:b, :3] = np.where(rng.random(b - a) < 0.5, 40, 235)[:, None]
+    corners = [0.0, 0.0, 439.0, 0.0, 439.0, 299.0, 0.0, 299.0]
+    sheet = book.copy()
+    sheet[30:270, 195:245, :3] = np.where(rng.random((240, 50)) < 0.5, 40, 235)[..., None]
+    rows = [(k, {"width": 440, "height": 300, "data": i.tobytes()}, corners) for k, i in enumerate((book, sheet))]
+    out = images.book_pages(spark.createDataFrame(rows, "id int, image struct<width:int,height:int,data:binary>, corners array<double>")).collect()
+    assert [(r.id, r.side) for r in sorted(out, key=lambda r: (r.id, r.side or ""))] == [(0, "left"), (0, "right"), (1, None)]
+    left, right = (next(r for r in out if r.side == side).corners for side in ("left", "right"))
+    assert left[2] == pytest.approx(right[0]) == pytest.approx(220, abs=15) and right[2] == 439
+    soft = book.copy()
+    for _ in range(6):
+        soft[1:-1, 1:-1] = ((soft[:-2, 1:-1].astype(int) + soft[2:, 1:-1] + soft[1:-1, :-2] + soft[1:-1, 2:] + soft[1:-1, 1:-1]) // 5).astype(np.uint8)
+    q = np.array(corners).reshape(4, 2)
+    assert images.blurry_sheet(soft, q) and not images.blurry_sheet(np.full((50, 50, 4), 200, np.uint8), np.array([[0, 0], [49, 0], [49, 49], [0, 49]], float))
