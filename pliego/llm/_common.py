@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -41,9 +42,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where none is set, as in tests, a temporary folder becomes it."""
+    """The cluster's spark.checkpoint.dir. Where none is set, a temporary folder becomes it, if all work is in one process; else that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='pliego-shared-')}"
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -58,6 +61,7 @@ def workdir(spark: SparkSession, tag: str) -> str:
 
 
 def remove(spark: SparkSession, path: str) -> None:
+    """Delete a working folder whose content nothing reads any more."""
     try:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)

@@ -39,15 +39,18 @@ def committed(uri: str):
         raise
 
 
-def numbers(uri: str, dtype: str) -> np.ndarray:
-    """A flat file of numbers, mapped where it is local."""
+def numbers(uri: str, dtype: str, start: int = 0, count: int | None = None) -> np.ndarray:
+    """count numbers of a flat file from the start-th on, all by default: mapped where the file is local, else this range of it is read."""
     from pyarrow import fs
 
     system, path = _open(uri)
+    size = np.dtype(dtype).itemsize
+    n = system.get_file_info(path).size // size - start if count is None else count
+    if n <= 0:
+        return np.empty(0, dtype)
     if isinstance(system, fs.LocalFileSystem):
-        return np.memmap(path, dtype=dtype, mode="r") if system.get_file_info(path).size else np.empty(0, dtype)
-    with system.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype)
+        return np.memmap(path, dtype=dtype, mode="r", offset=start * size, shape=(n,))
+    return np.frombuffer(read_range(uri, start * size, n * size), dtype)
 
 
 def read_range(uri: str, start: int, size: int) -> bytes:
