@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import doc_columns, fresh_worker, materialize, prepare, release_shuffles, shuffle_partitions
+from ._common import doc_columns, fresh_worker, materialize, prepare, release_shuffles, remove, shuffle_partitions
 from .components import components, named
 
 
@@ -390,8 +390,14 @@ def candidates(classes: DataFrame, bands: Bands, most: int = 20_000) -> DataFram
     return _joined(dealt(rooted, "node", most), spanning)
 
 
-def similar_pairs(sets: list[np.ndarray], side: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that span the pairs of sets with a Jaccard similarity of `least`; of sets on two sides, those between the sides.
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """The Jaccard similarity of two sets of shingles, as sorted distinct hashes; not both empty."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common)
+
+
+def similar_pairs(sets: list[np.ndarray], side: np.ndarray, least: float, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that span the pairs of sets with a Jaccard similarity of `least`; of sets on two sides, those between the sides. Sets that are known are connected already.
 
     A pair whose ends are connected already is passed over; others are compared exactly, in order of how far their fingerprints are apart.
     """
@@ -399,6 +405,8 @@ def similar_pairs(sets: list[np.ndarray], side: np.ndarray, least: float) -> tup
     prints = np.array([prints_of(x, spread, 1) for x in sets], np.uint64).reshape(-1)
     sizes = np.array([len(x) for x in sets])
     labels, a, b, two = np.arange(len(sets)), [], [], len(np.unique(side)) > 1
+    if known is not None and known.any():
+        labels[known] = np.flatnonzero(known)[0]
     for i in range(1, len(sets)):
         near = np.minimum(sizes[:i], sizes[i]) >= least * np.maximum(sizes[:i], sizes[i]) - 1e-9
         if two:
@@ -408,8 +416,7 @@ def similar_pairs(sets: list[np.ndarray], side: np.ndarray, least: float) -> tup
         for j in at[np.argsort(np.bitwise_count(prints[at] ^ prints[i]), kind="stable")]:
             if labels[i] == labels[j]:
                 continue
-            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if common >= least * (len(sets[i]) + len(sets[j]) - common) - 1e-9:
+            if similarity(sets[i], sets[j]) >= least - 1e-12:
                 a.append(j)
                 b.append(i)
                 labels[labels == labels[i]] = labels[j]
@@ -419,8 +426,11 @@ def similar_pairs(sets: list[np.ndarray], side: np.ndarray, least: float) -> tup
 def verified(groups: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, seed: int, least: float, most: int) -> DataFrame:
     """Edges (a, b) that span the similar pairs within each group of candidates (node, root), by the shingles themselves.
 
-    A group of more than `most` nodes is cut into parts, and every two parts meet in a task of their own.
+    Each node is compared with its group's root first, which is all that most groups of copies need. Nodes that aren't similar to it are
+    then compared with each other and with the rest of the group: both are cut in parts of `most` nodes, and a task has two parts. What
+    is sent grows with the group's size times the number of parts of such nodes.
     """
+    spark = docs.sparkSession
     wanted, _ = materialize(groups.join(classes.select("node", "least"), "node").select("node", "root", "least"), "wanted")
     ids = wanted.select(F.col("least").alias("_id")).distinct()
 
@@ -432,22 +442,42 @@ def verified(groups: DataFrame, docs: DataFrame, classes: DataFrame, shingle: in
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "shingles"])
 
     sets = doc_columns(docs).join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text").mapInArrow(number, "node long, shingles binary")
-    rows = sets.join(wanted.select("node", "root"), "node").select(F.lit(0).alias("turn"), "root", "node", "shingles")
+    sets = sets.join(wanted.select("node"), "node", "left_semi")
+    sets, sets_path = materialize(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
+    members = wanted.where("node <> root").select("node", "root").join(sets, "node")
+    pivots = wanted.where("node = root").select("node").join(sets, "node").select(F.col("node").alias("root"), F.col("shingles").alias("others"))
+
+    def star(batches):
+        for batch in batches:
+            like = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least - 1e-12 for x, y in zip(batch["shingles"].to_pylist(), batch["others"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["root"], pa.array(like, pa.bool_())], ["node", "root", "like"])
+
+    seen, seen_path = materialize(members.join(pivots, "root").select("node", "root", "shingles", "others").mapInArrow(star, "node long, root long, like boolean"), "star")
+    rows = seen.unionByName(wanted.where("node = root").select("node", "root", F.lit(True).alias("like")))
+    open_, _ = materialize(seen.groupBy("root").agg(F.count_if(~F.col("like")).alias("apart"), (F.count_if("like") + 1).alias("alike")).where("apart > 0"), "open-groups")
+    open_ = open_.select("root", F.ceil(F.col("apart") / most).alias("r"), F.ceil(F.col("alike") / most).alias("v"))
+    # Parts of nodes apart from the root come first; every pair of parts has one of these.
+    part = F.when(F.col("like"), F.col("r") + F.pmod(F.xxhash64("node"), F.col("v"))).otherwise(F.pmod(F.xxhash64("node"), F.col("r")))
+    placed = rows.join(open_, "root").withColumn("part", part)
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.when(F.col("like"), F.col("r") - 1).otherwise(F.col("r") + F.col("v") - 1)), lambda j: F.struct(F.least(j, F.col("part")).alias("p"), F.greatest(j, F.col("part")).alias("q")))
+    placed = placed.select(F.lit(0).alias("turn"), "root", "node", "like", "part", F.explode(pairs).alias("x")).select("turn", "root", "x.p", "x.q", "node", "like", "part").join(sets, "node")
 
     def spanning(turn: int, table: pa.Table):
-        first = np.unique(table["node"].to_numpy(), return_index=True)[1]  # rows that share an id come more than once
-        table = table.take(pa.array(first))
-        nodes, p, q = (table[x].to_numpy() for x in ("node", "p", "q"))
-        side = np.array([table["part"][i].as_py() for i in range(len(nodes))]) if len(p) and p[0] != q[0] else np.zeros(len(nodes), int)
-        roots, found = table["root"].to_numpy(), [[], []]
+        nodes, roots, part, like = (np.asarray(table[x].to_numpy()) for x in ("node", "root", "part", "like"))
+        found = [[], []]
         for r in np.unique(roots):
             at = np.flatnonzero(roots == r)
-            a, b = similar_pairs([np.frombuffer(table["shingles"][int(i)].as_py(), np.uint64) for i in at], side[at], least)
+            a, b = similar_pairs([np.frombuffer(table["shingles"][int(i)].as_py(), np.uint64) for i in at], part[at], least, like[at].astype(bool))
             found[0].append(nodes[at[a]])
             found[1].append(nodes[at[b]])
         return [np.concatenate([np.empty(0, np.int64), *x]) for x in found]
 
-    return _joined(dealt(rows, "node", most, with_part=True), spanning, held_rows=2 * most)
+    keys = ("turn", "root", "p", "q")
+    met = placed.repartition(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys)
+    edges, _ = materialize(_joined(met, spanning, held_rows=2 * most).unionByName(seen.where("like").select(F.col("node").alias("a"), F.col("root").alias("b"))), "similar")
+    remove(spark, sets_path)
+    remove(spark, seen_path)
+    return edges
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, seed: int = 42, least: float = 0.8, most: int = 512) -> DataFrame:
@@ -460,10 +490,11 @@ def similar_groups(docs: DataFrame, shingle: int = 5, seed: int = 42, least: flo
     made, _ = materialize(signatures(docs, shingle, seed, bands.width), "signatures")
     prints = [f"p{i}" for i in range(bands.width)]
     classes, _ = materialize(made.groupBy("node").agg(F.first("n").alias("n"), *[F.first(p).alias(p) for p in prints], F.min("doc_id").alias("least")), "shingle-sets")
-    found, _ = materialize(candidates(classes.where("n > 0"), bands).distinct(), "candidates")
-    release_shuffles(docs.sparkSession)
+    found, found_path = materialize(candidates(classes.where("n > 0"), bands).distinct(), "candidates")
     groups, _ = materialize(components(found, "a", "b"), "candidate-groups")
-    edges, _ = materialize(verified(groups, docs, classes, shingle, seed, least, most), "similar")
+    remove(docs.sparkSession, found_path)
+    release_shuffles(docs.sparkSession)
+    edges = verified(groups, docs, classes, shingle, seed, least, most)
     release_shuffles(docs.sparkSession)
     names, _ = materialize(named(classes.select("node", "least"), edges, "node").select("node", "component_id", "root"), "similar-names")
     return made.select("doc_id", "node").join(names, "node").select("doc_id", F.col("node").alias("fp"), "component_id", "root")
