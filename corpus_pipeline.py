@@ -1,7 +1,12 @@
 """From documents to packed training sequences: five stages, each of them an operator of pliego.llm.
 
-A stage takes the documents that the one before it kept and returns documents; the last returns pieces with their
+A stage takes the documents that the one before it kept and returns documents; the last returns pieces with their token ids and their
 places in sequences. What a stage returns is written as Parquet and read again as the next one's documents.
+
+Defined results, for all stages: columns besides those of documents are dropped; a null or empty text is kept by the first stage if no features score
+below 0.5, is like all other texts without words to the second, loses nothing in the third, is never taken by the mix, and would make a piece of the
+end id alone; rows without an id, or that share one, are each judged, and where one row of a group stays, it is the first by id, then by text, with ids
+before none; repeated rows are one group; an empty table gives no rows in every stage.
 """
 
 from __future__ import annotations
@@ -41,8 +46,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens with their sequence and offset."""
-    return packing.pack(docs.select(*COLUMNS), tokenizer_path("word_bpe_49k.json"), end_id=1, capacity=4096)
+    """Pieces of at most 4096 tokens with their sequence, offset and ids (little-endian unsigned 32-bit integers): what training reads."""
+    return packing.pack(docs.select(*COLUMNS), tokenizer_path("word_bpe_49k.json"), end_id=1, capacity=4096, with_ids=True)
 
 
 STAGES = [
