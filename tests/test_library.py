@@ -249,13 +249,13 @@ def test_files(spark, tmp_path):
         files.unzip(sinks.zip_bytes([("big", b"x" * 100)]), most=50)
     assert sinks.pack_bits(np.array([[0] + [255] * 9, [255] * 9 + [0]], np.uint8)) == bytes([0b01111111, 0b11000000, 0b11111111, 0b10000000])
     assert [sinks.pdf_string(s) for s in ("Cálculo", "¿Año (ñ)?", "“x” – …", "日本")] == ["(C\\341lculo)", "(\\277A\\361o \\(\\361\\)?)", "(\\223x\\224 \\226 \\205)", "(??)"]
-    bits = {"kind": "bits", "bytes": sinks.pack_bits(np.full((16, 8), 255)), "width": 8, "height": 16, "words": [{"t": "Año", "x0": 1, "y0": 2, "x1": 5, "y1": 4}]}
+    bits = {"kind": "bits", "bytes": sinks.pack_bits(np.full((16, 8), 255)), "width": 8, "height": 16, "lines": [{"y0": 2, "y1": 4, "words": [{"t": "Año", "x0": 1, "x1": 5, "y1": 4}]}]}
     pdf = sinks.pdf_bytes("Tarea", [bits] * 5, "a4", 4)
     assert pdf.startswith(b"%PDF-1.5") and pdf.count(b"/Type /Page ") == 2 and b"/Count 2" in pdf
     at = int(pdf.rsplit(b"startxref\n", 1)[1].split()[0])
     assert pdf[at : at + 4] == b"xref"
     assert b"/MediaBox [0 0 792 612]" in sinks.pdf_bytes("t", [bits] * 3, "carta", 2)
-    document = zipfile.ZipFile(io.BytesIO(sinks.docx_bytes("T", ["a < b", [("x", "verde")]]))).read("word/document.xml").decode()
+    document = zipfile.ZipFile(io.BytesIO(sinks.docx_bytes("T", [{"n": 1, "paragraphs": ["a < b"]}, {"n": 2, "parts": [("x", "verde")]}]))).read("word/document.xml").decode()
     assert "a &lt; b" in document and 'w:highlight w:val="green"' in document
     rung, data = sinks.fit_budget(lambda side, quality: b"x" * int(side * side * (0.28 + 0.9 * quality * quality)), [(100, 0.9), (90, 0.8), (50, 0.5), (20, 0.4)], 2000)
     assert rung == 2 and len(data) <= 2000
@@ -417,7 +417,7 @@ def test_pages_from_pieces_and_files_per_document(spark, tmp_path):
     read = layout.read_chunks(df).orderBy("page_id").collect()
     assert [r.texto for r in read] == ["Hola mundo\n\nFin"] * 2 and len(read[0].lineas) == 2
     pages = spark.createDataFrame([("d", 1, "dos"), ("d", 0, "uno"), ("e", 0, "tres")], "doc string, pos int, texto string")
-    made = sinks.files_per_document(pages, "doc", lambda rows: (f"{rows[0]['doc']}.docx", sinks.docx_bytes(rows[0]["doc"], [r["texto"] for r in rows])))
+    made = sinks.files_per_document(pages, "doc", lambda rows: (f"{rows[0]['doc']}.docx", sinks.docx_bytes(rows[0]["doc"], [{"n": k, "paragraphs": [r["texto"]]} for k, r in enumerate(rows, 1)])))
     body = {r.name: zipfile.ZipFile(io.BytesIO(r.content)).read("word/document.xml").decode() for r in made.collect()}
     assert body["d.docx"].index("uno") < body["d.docx"].index("dos") and "tres" in body["e.docx"]
     (tmp_path / "a.zip").write_bytes(sinks.zip_bytes([("x", b"1")]))
@@ -471,3 +471,22 @@ def test_book_pages_and_blur(spark):
         soft[1:-1, 1:-1] = ((soft[:-2, 1:-1].astype(int) + soft[2:, 1:-1] + soft[1:-1, :-2] + soft[1:-1, 2:] + soft[1:-1, 1:-1]) // 5).astype(np.uint8)
     q = np.array(corners).reshape(4, 2)
     assert images.blurry_sheet(soft, q) and not images.blurry_sheet(np.full((50, 50, 4), 200, np.uint8), np.array([[0, 0], [49, 0], [49, 49], [0, 49]], float))
+
+
+def test_sheets_and_word_pages():
+    sheets = sinks.sheets_of([(600, 800), (800, 600)], "carta", 1)
+    assert [(w, h) for w, h, _ in sheets] == [(612, 792), (792, 612)] and sheets[0][2][0][3] == pytest.approx(0.99)
+    assert sinks.sheets_of([(396, 198)], "foto", 1) == [(792.0, 396.0, [(0, 0.0, 0.0, 2.0)])]
+    (w, h, spots), more = sinks.sheets_of([(300, 400)] * 3, "carta", 2)
+    assert (w, h, len(spots), len(more[2])) == (792, 612, 2, 1)
+    cell = (792 - 36 - 14) / 2
+    assert spots[0][3] == pytest.approx(min(cell / 300, 576 / 400)) and spots[1][1] - spots[0][1] == pytest.approx(cell + 14) and spots[0][2] == pytest.approx(18 + (576 - 400 * spots[0][3]) / 2)
+    w, h, spots = sinks.sheets_of([(400, 300)] * 4, "a4", 4)[0]
+    assert (w, h) == (841.89, 595.28) and spots[0][2] > spots[2][2] and spots[0][1] < spots[1][1]
+    layer = sinks.text_layer([{"y0": 0, "y1": 10, "base": [0, 9, 100, 19], "words": [{"t": "Hola", "x0": 0, "x1": 40, "y1": 10}, {"t": "tú", "x0": 50, "x1": 70, "y1": 12}]}], 100, 100, 1, 0, 0)
+    assert "1 0 0 1 0 89 Tm (Hola ) Tj" in layer and "1 0 0 1 50 85 Tm (t\\372) Tj" in layer
+    z = zipfile.ZipFile(io.BytesIO(sinks.docx_bytes("Tarea <1> & más", [{"n": 1, "paragraphs": ["uno", "dos"]}, {"n": 2, "paragraphs": []}])))
+    doc = z.read("word/document.xml").decode()
+    assert sorted(z.namelist()) == ["[Content_Types].xml", "_rels/.rels", "docProps/core.xml", "word/document.xml"] and doc.count("<w:p>") == 6 and ">Página 2<" in doc and "(Sin texto)" in doc and "w:pgMar" in doc
+    assert "<dc:title>Tarea &lt;1&gt; &amp; más</dc:title>" in z.read("docProps/core.xml").decode()
+    assert "Página" not in zipfile.ZipFile(io.BytesIO(sinks.docx_bytes("T", [{"n": 1, "paragraphs": ["x"]}]))).read("word/document.xml").decode()
