@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 #: A word of the contracts: what lies between the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Order key of a document without an id: after all others.
+#: Order key of a document without an id: after all others. So the largest of all longs can't be an id; where it is one, it counts as none.
 NO_ID = np.iinfo(np.int64).max
 
 _shipped: dict[str, bool] = {}

@@ -1,8 +1,8 @@
 """Connected components of an edge table, by large-star and small-star rounds; nothing gathers on the driver.
 
 Each round writes its edges to the shared folder, so the lineage stays short and a lost executor costs one round at most.
-A node's least neighbour comes from an aggregate that combines before its shuffle, and goes back by a join that adaptive
-execution may split, so a node with very many links is no single task's work. Rounds grow with the logarithm of a
+A node's least neighbour comes from an aggregate that combines before its shuffle. It is written, then goes back by a join of two plain
+exchanges, which adaptive execution splits for a node with very many links, so that node is no single task's work. Rounds grow with the logarithm of a
 component's size.
 """
 
@@ -18,16 +18,16 @@ def _down(edges: DataFrame) -> DataFrame:
     return edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> tuple[DataFrame, str]:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return _down(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+    least, path = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+    return _down(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))), path
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+def _small_star(edges: DataFrame) -> tuple[DataFrame, str]:
+    least, path = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return _down(moved.unionByName(least.select("u", F.col("m").alias("v"))))
+    return _down(moved.unionByName(least.select("u", F.col("m").alias("v")))), path
 
 
 def components(edges: DataFrame, u: str, v: str) -> DataFrame:
@@ -40,10 +40,12 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
         if seen == before or not seen[0]:
             break
         before = seen
-        e, new = materialize(_small_star(_large_star(e)), "edges")
-        e.first()
-        remove(spark, path)
-        path = new
+        for star in (_large_star, _small_star):
+            turned, least = star(e)
+            e, new = materialize(turned, "edges")
+            remove(spark, path)
+            remove(spark, least)
+            path = new
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 

@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ._common import doc_columns, fresh_worker, materialize, prepare, release_shuffles, remove, shuffle_partitions
 from .components import components, named
@@ -287,8 +286,9 @@ def _first_of_each(docs: DataFrame, found: DataFrame, number) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _fp long"
     groups = held.select(F.col("fp").alias("_fp"), "root").distinct().withColumnRenamed("root", "_root")
     again = rows.mapInArrow(marked, schema).join(groups, "_fp")
-    again = again.withColumn("_nth", F.row_number().over(Window.partitionBy("_root").orderBy("doc_id", "text"))).where("_nth = 1")
-    return out.unionByName(again.select(*columns))
+    # A combining minimum, so that a group of very many rows is no single task's work.
+    least = again.groupBy("_root").agg(F.min_by(F.struct(*columns), F.struct(F.col("doc_id").isNull().alias("a"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))).alias("row"))
+    return out.unionByName(least.select("row.*"))
 
 
 # Groups by the shingles themselves
