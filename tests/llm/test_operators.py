@@ -667,3 +667,86 @@ def test_reach_spares_only_what_gives_no_feature():
         assert some(t) == {keep[f] for f in every(t) if f in keep}, t
     for t in ("\u0455tup\u0456d", "\uff53\uff54\uff55\uff50\uff49\uff44", "stu\u0301pid"):
         assert keep["=stupid"] in some(t), t
+
+
+def pipeline_documents():
+    rng = np.random.default_rng(12)
+    make = lambda n: " ".join("".join(rng.choice(["the", "er", "on", "an", "re", "ti", "nu"], rng.integers(2, 5))) for _ in range(n))
+    base, shared = [make(140) for _ in range(30)], make(60)
+    out = [(k, t) for k, t in enumerate(base)]
+    out += [(100 + k, base[k].replace(base[k].split()[60], "changed", 1)) for k in range(10)]  # near copies
+    out += [(200 + k, base[k]) for k in range(5)] + [(300 + k, f"{make(50)} {shared} {make(50)}") for k in range(8)]
+    out += [(400 + k, f"{make(20)} you {w} {make(20)}") for k, w in enumerate(["idiot", "1d10t", "m.o.r.o.n", "moron", "scumbag", "sc\u0443mbag"])]
+    out += [(500 + k, t) for k, t in enumerate([None, "", " ", "one two", make(6000)])] + [(None, make(80)), (None, base[3]), (7, base[8]), (0, base[0])]
+    return out
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """Each stage on all that the one before kept: what brute force says, with null and shared ids, null, empty and long texts, and columns with clashing names."""
+    import corpus_pipeline
+
+    rows_ = [(i, t, "en", ["b", None, "a"][n % 3], len(t or ""), "x", 1) for n, (i, t) in enumerate(pipeline_documents())]
+    d = str(tmp_path / "sf")
+    spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long, root string, node int").write.parquet(f"{d}/documents.parquet")
+    labels = [(i, int(400 <= i < 406)) for i, _ in pipeline_documents() if i is not None and i < 500]
+    # Words that the fold's training rows hold: copies of the toxic rows' words under other ids.
+    more = [(1000 + k, f"you {w} there {k}", "en", "a", 9, "x", 1) for k in range(120) for w in [["idiot", "moron", "scumbag"][k % 3]]]
+    spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long, root string, node int").write.mode("append").parquet(f"{d}/documents.parquet")
+    labels += [(1000 + k, 1) for k in range(120)]
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
+    docs, kept = spark.read.parquet(f"{d}/documents.parquet"), []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, d)
+        out.write.parquet(f"{tmp_path}/stage{k}")
+        docs = spark.read.parquet(f"{tmp_path}/stage{k}")
+        assert k == 4 or docs.columns == list(corpus_pipeline.COLUMNS), name
+        kept.append(docs.collect())
+    pairs = lambda rows: Counter((r.doc_id, r.text) for r in rows)
+
+    clean = [(i, t) for i, t in pipeline_documents() if i is None or not 400 <= i < 406]
+    assert pairs(kept[0]) == Counter(clean)  # the disguised and plain words go, all others stay
+
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").lower().split()] if w for i in range(max(1, len(w) - 4))}
+    order = sorted(pairs(kept[0]).elements(), key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or ""))
+    sets, labels_ = [shingles(t) for _, t in order], np.arange(len(order))
+    i, j = np.triu_indices(len(order), 1)
+    near = [len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in zip(i, j, strict=True)]
+    labels_ = simhash.merge_labels(labels_, i[near], j[near])
+    assert pairs(kept[1]) == Counter(order[x] for x in np.unique(labels_))
+
+    spans = {(i, n): (removed, digest) for (i, n, removed, _, digest) in brute_repeats([(r.doc_id, r.text) for r in kept[1]], 50)}
+    for r in kept[2]:
+        assert r.n_chars == len(r.text)
+    cut = Counter((i, n - removed, digest) for (i, n), (removed, digest) in spans.items())
+    assert Counter((r.doc_id, len(r.text.encode()), hashlib.sha256(r.text.encode()).hexdigest()) for r in kept[2]) == cut
+    assert sum(removed for removed, _ in spans.values()) > 1000
+
+    words = lambda t: WORD.findall(t or "")
+    sizes, taken = Counter(), Counter()
+    for r in kept[2]:
+        sizes[r.doc_id] += len(words(r.text))
+    for r in kept[3]:
+        taken[r.doc_id] += len(words(r.text))
+        assert r.n_chars == len(r.text) and words(r.text)
+    assert all(taken[i] <= 2 * sizes[i] for i in taken) and abs(sum(taken.values()) - 1.5 * sum(sizes.values())) < 0.1 * sum(sizes.values())
+
+    plain, want = tokenizer("word_bpe_49k.json"), Counter()
+    for r in kept[3]:
+        ids = np.array([*plain.encode(r.text, add_special_tokens=False).ids, 1], "<u4")
+        want.update((r.doc_id, k, ids[a : a + 4096].tobytes()) for k, a in enumerate(range(0, len(ids), 4096)))
+    assert Counter((r.doc_id, r.piece, bytes(r.ids)) for r in kept[4]) == want
+    at = defaultdict(list)
+    for r in kept[4]:
+        at[r.sequence_id].append((r.offset, r.length))
+    for places in at.values():
+        assert [o for o, _ in sorted(places)] == np.cumsum([0, *[n for _, n in sorted(places)]])[:-1].tolist() and sum(n for _, n in places) <= 4096
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
