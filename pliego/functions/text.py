@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
+from collections.abc import Callable
 from functools import cache
 from itertools import chain
 
@@ -252,3 +254,28 @@ def version_key(version: str, filter_: Column, rotation: Column, flat: Column, f
     flag = lambda c: F.coalesce(c, F.lit(True)).cast("string")
     light = F.when((F.coalesce(brightness, F.lit(0)) != 0) | (F.coalesce(contrast, F.lit(0)) != 0), F.concat(F.lit("luz"), F.coalesce(brightness, F.lit(0)).cast("string"), F.lit(","), F.coalesce(contrast, F.lit(0)).cast("string")))
     return F.concat_ws("|", F.lit(version), filter_, F.coalesce(rotation, F.lit(0)).cast("string"), flag(flat), flag(fingers), size, corners, light)
+
+
+def wrap_note(text: str, room: float, width: Callable[[str], float]) -> list[str]:
+    """The lines of a note in `room` units, by the font's width of a text: line ends stay, words that don't fit alone are cut where they must be."""
+
+    def pieces(word: str):
+        while len(word) > 1 and width(word) > room:
+            fit = max(1, bisect_right(range(1, len(word)), room, key=lambda n: width(word[:n])))
+            yield word[:fit], True
+            word = word[fit:]
+        yield word, False
+
+    lines: list[str] = []
+    for paragraph in text.split("\n"):
+        now: list[str] = []
+        for piece, full in (p for word in paragraph.split() for p in pieces(word)):
+            if now and (full or width(" ".join([*now, piece])) > room):
+                lines.append(" ".join(now))
+                now = []
+            if full:
+                lines.append(piece)
+            else:
+                now.append(piece)
+        lines.append(" ".join(now))
+    return lines

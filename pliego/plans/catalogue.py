@@ -571,6 +571,24 @@ def code_dedup_3s(spark, d):
     return capture.accepted_codes_batch(scans, order=("at", "event_id"))
 
 
+_STILL_SQL = """
+WITH f AS (SELECT CAST(user_id AS VARCHAR) AS shot, epoch_us(ts) // 3600000000 AS "at", max(value) AS motion FROM events GROUP BY 1, 2), p AS (SELECT shot, min("at") AS pressed FROM f GROUP BY shot),
+m AS (SELECT f.*, p.pressed, motion <= 60 * (1 + (f."at" - p.pressed) / 500.0) AS still FROM f JOIN p USING (shot) WHERE f."at" - p.pressed < 500),
+g AS (SELECT a.shot, min(a."at") AS done FROM m a JOIN m b ON a.shot = b.shot AND b."at" <= a."at" - 5 WHERE a.still AND b.still AND NOT EXISTS (SELECT 1 FROM m c WHERE c.shot = a.shot AND NOT c.still AND c."at" BETWEEN b."at" AND a."at") GROUP BY a.shot)
+SELECT shot, pressed, coalesce(done, pressed + 500) AS taken FROM p LEFT JOIN g USING (shot)
+"""
+
+
+@query(_STILL_SQL)
+def wait_for_stillness(spark, d):
+    """Frames of hours rather than milliseconds: still for five of them, at most five hundred."""
+    from ..streaming import capture
+
+    f = table(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("shot"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000).alias("at")).agg(F.max("value").alias("motion"))
+    f = f.withColumn("pressed", F.min("at").over(Window.partitionBy("shot")))
+    return capture.stillness(f, 60, 5, 500)
+
+
 @query("SELECT max((epoch_us(ts) // 1000)) AS changed, min((epoch_us(ts) // 1000)) AS created, count(*) AS documents FROM events")
 def library_span(spark, d):
     t = ms(F.col("ts"))

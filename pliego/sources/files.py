@@ -6,6 +6,7 @@ import io
 import struct
 import zipfile
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,58 @@ def images(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.format("image").load(list(paths))
 
 
+def exif_orientation(data: bytes) -> int:
+    """The orientation (1 to 8) that a JPEG's EXIF block tells; 1 without one."""
+    at = 2
+    while data[:2] == b"\xff\xd8" and at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] not in (0xDA, 0xD9):
+        kind, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
+        block = data[at + 4 : at + 2 + size]
+        if kind == 0xE1 and block[:6] == b"Exif\0\0":
+            tiff, order = block[6:], {b"II": "little", b"MM": "big"}.get(block[6:8])
+            number = lambda i, n: int.from_bytes(tiff[i : i + n], order)  # noqa: E731, B023
+            if order and number(2, 2) == 42:
+                first = number(4, 4)
+                for e in range(first + 2, first + 2 + 12 * number(first, 2), 12):
+                    if number(e, 2) == 0x0112 and number(e + 2, 2) == 3:
+                        return value if 1 <= (value := number(e + 8, 2)) <= 8 else 1
+            return 1
+        at += 2 + size
+    return 1
+
+
+def upright(img: np.ndarray, orientation: int) -> np.ndarray:
+    """An image turned and mirrored as its orientation asks."""
+    img = img.swapaxes(0, 1) if orientation >= 5 else img
+    rows, columns = {1: (1, 1), 2: (1, -1), 3: (-1, -1), 4: (-1, 1), 5: (1, 1), 6: (1, -1), 7: (-1, -1), 8: (-1, 1)}[orientation]
+    return img[::rows, ::columns]
+
+
+def photos(spark: SparkSession, *paths: str, side: int = 4000) -> DataFrame:
+    """(path, image: width, height, data in RGBA) of photos as they should be seen: decoded by Spark, turned by their EXIF orientation, no longer than `side`."""
+    from ..operators.images import shrink
+
+    def orient(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"path": pdf["path"], "orientation": [exif_orientation(bytes(c)) for c in pdf["head"]]})
+
+    path = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    # The EXIF block stands before the picture; a segment has 64 KB at most, and what cameras put before it is short.
+    heads = files(spark, *paths).select(path("path").alias("path"), F.substring("content", 1, 1 << 18).alias("head")).mapInPandas(orient, "path string, orientation int")
+    decoded = images(spark, *paths).select(path("image.origin").alias("path"), F.col("image.width").alias("w"), F.col("image.height").alias("h"), F.col("image.nChannels").alias("n"), F.col("image.data").alias("data"))
+
+    def show(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                bgr = np.frombuffer(bytes(r.data), np.uint8).reshape(r.h, r.w, r.n)
+                rgba = np.dstack([*([bgr[..., 0]] * 3 if r.n == 1 else [bgr[..., k] for k in (2, 1, 0)]), bgr[..., 3] if r.n == 4 else np.full((r.h, r.w), 255, np.uint8)])
+                img = np.ascontiguousarray(shrink(upright(rgba, int(r.orientation)), side)).astype(np.uint8)
+                out.append({"width": img.shape[1], "height": img.shape[0], "data": img.tobytes()})
+            yield pd.DataFrame({"path": pdf["path"], "image": out})
+
+    return decoded.join(heads, "path").mapInPandas(show, "path string, image struct<width:int,height:int,data:binary>")
+
+
 def unzip(content: bytes, most: int = MOST_BYTES) -> list[tuple[str, bytes]]:
     """The entries of an archive: stored or deflated ones, each of `most` bytes unpacked at most, whatever its header says."""
     out = []

@@ -11,7 +11,9 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 
 class CodeFilter:
@@ -81,6 +83,22 @@ class AutoCapture:
         return {"camera": row["camera"], "at": t, "corners": s["corners"]}
 
 
+def stillness(frames: DataFrame, tolerance: float, still_ms: int = 200, most_ms: int = 1500) -> DataFrame:
+    """frames (shot, pressed, at, motion): (shot, pressed, taken), when each photo may be taken.
+
+    That is once the camera was still for still_ms, or after most_ms. What counts as still loosens evenly, to twice the tolerance at the end.
+    """
+    waited = F.col("at") - F.col("pressed")
+    seen = frames.where((waited >= 0) & (waited < most_ms)).withColumn("_moves", (F.col("motion") > tolerance * (1 + waited / most_ms)).cast("int"))
+    order = Window.partitionBy("shot").orderBy("at")
+    run = Window.partitionBy("shot", "_run")
+    seen = seen.withColumn("_run", F.sum("_moves").over(order)).withColumn("_since", F.min(F.when(F.col("_moves") == 0, F.col("at"))).over(run))
+    done = F.min(F.when((F.col("_moves") == 0) & (F.col("at") - F.col("_since") >= still_ms), F.col("at")))
+    pressed = frames.groupBy("shot").agg(F.min("pressed").alias("pressed"))
+    found = seen.groupBy("shot").agg(done.alias("_done"))
+    return pressed.join(found, "shot", "left").select("shot", "pressed", F.coalesce("_done", F.col("pressed") + most_ms).alias("taken"))
+
+
 class RepeatWatch:
     """A page that repeats one of its document's last pages, by fingerprint, nearest first."""
 

@@ -490,3 +490,37 @@ def test_sheets_and_word_pages():
     assert sorted(z.namelist()) == ["[Content_Types].xml", "_rels/.rels", "docProps/core.xml", "word/document.xml"] and doc.count("<w:p>") == 6 and ">Página 2<" in doc and "(Sin texto)" in doc and "w:pgMar" in doc
     assert "<dc:title>Tarea &lt;1&gt; &amp; más</dc:title>" in z.read("docProps/core.xml").decode()
     assert "Página" not in zipfile.ZipFile(io.BytesIO(sinks.docx_bytes("T", [{"n": 1, "paragraphs": ["x"]}]))).read("word/document.xml").decode()
+
+
+def test_photos_are_turned_and_shrunk(spark, tmp_path):
+    import base64
+    import struct
+
+    def exif(order, value):
+        e = "<" if order == b"II" else ">"
+        tiff = order + struct.pack(f"{e}HIH", 42, 8, 2) + struct.pack(f"{e}HHIHH", 0x010F, 3, 1, 9, 0) + struct.pack(f"{e}HHIHH", 0x0112, 3, 1, value, 0) + bytes(4)
+        return b"\xff\xe1" + struct.pack(">H", len(tiff) + 8) + b"Exif\0\0" + tiff
+
+    for order in (b"II", b"MM"):
+        assert [files.exif_orientation(b"\xff\xd8\xff\xe0\x00\x04ab" + exif(order, v) + b"\xff\xda") for v in (1, 6, 8, 9)] == [1, 6, 8, 1]
+    assert files.exif_orientation(b"\xff\xd8\xff\xda") == files.exif_orientation(b"") == 1
+    img = np.arange(6, dtype=np.uint8).reshape(2, 3, 1)
+    want = {1: [[0, 1, 2], [3, 4, 5]], 2: [[2, 1, 0], [5, 4, 3]], 3: [[5, 4, 3], [2, 1, 0]], 4: [[3, 4, 5], [0, 1, 2]], 5: [[0, 3], [1, 4], [2, 5]], 6: [[3, 0], [4, 1], [5, 2]], 7: [[5, 2], [4, 1], [3, 0]], 8: [[2, 5], [1, 4], [0, 3]]}
+    assert {k: files.upright(img, k)[..., 0].tolist() for k in want} == want
+    picture = np.random.default_rng(0).integers(0, 256, (40, 60, 3)).astype(np.uint8)
+    (tmp_path / "a.png").write_bytes(sinks.png_bytes(picture))
+    (tmp_path / "b.png").write_bytes(sinks.png_bytes(picture[..., 0] > 127))
+    got = {r.path.rsplit("/", 1)[1]: r.image for r in files.photos(spark, str(tmp_path), side=4000).collect()}
+    a = np.frombuffer(bytes(got["a.png"].data), np.uint8).reshape(40, 60, 4)
+    assert (a[..., :3] == picture).all() and (got["b.png"].width, got["b.png"].height) == (60, 40)
+    b = np.frombuffer(bytes(got["b.png"].data), np.uint8).reshape(40, 60, 4)
+    assert ((b[..., 0] > 127) == (picture[..., 0] > 127)).all()
+    assert max(files.photos(spark, str(tmp_path / "a.png"), side=30).first().image[:2]) == 30
+
+
+def test_notes_and_stillness(spark):
+    assert text.wrap_note("uno dos tres\n\ncuatrocientos", 7, len) == ["uno dos", "tres", "", "cuatroc", "ientos"]
+    assert text.wrap_note("a abcdefghij b", 4, len) == ["a", "abcd", "efgh", "ij b"] and text.wrap_note("", 4, len) == [""]
+    rows = [("a", 0, t, m) for t, m in ((70, 30), (140, 5), (210, 5), (280, 5), (360, 5))] + [("b", 0, t, 90) for t in range(0, 1600, 70)] + [("c", 100, 150, 12), ("c", 100, 1000, 12), ("c", 100, 1220, 12)]
+    got = {r.shot: r.taken for r in capture.stillness(spark.createDataFrame(rows, "shot string, pressed long, at long, motion int"), 10).collect()}
+    assert got == {"a": 360, "b": 1500, "c": 1220}
