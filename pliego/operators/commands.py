@@ -242,6 +242,25 @@ def read_snapshot(spark, root: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{_pointer(spark, root).snapshot}/{table}")
 
 
+def append_changes(root: str, table: str, rows: DataFrame, gone: DataFrame | None = None) -> None:
+    """Add upserts (and ids that go) to a table's log: an edit writes its own rows, not the table. Later batches count over earlier ones."""
+    spark = rows.sparkSession
+    path = f"{root}/{table}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    batch = 1 + (spark.read.parquet(path).agg(F.max("_batch")).first()[0] or 0 if there else 0)
+    out = rows.select(F.struct(*rows.columns).alias("row"), F.col("id").alias("_id"))
+    if gone is not None:
+        out = out.unionByName(gone.select(F.lit(None).cast(out.schema["row"].dataType).alias("row"), F.col("id").alias("_id")))
+    out.withColumns({"_batch": F.lit(batch).cast("long"), "_nth": F.monotonically_increasing_id()}).write.mode("append").parquet(path)
+
+
+def read_changes(spark, root: str, table: str) -> DataFrame:
+    """The table that a log makes: of each id the last row, unless it went. One aggregate, which combines before its shuffle."""
+    last = spark.read.parquet(f"{root}/{table}").groupBy("_id").agg(F.max_by("row", F.struct("_batch", "_nth")).alias("row"))
+    return last.where("row IS NOT NULL").select("row.*")
+
+
 def split_book(docs: DataFrame, pages: DataFrame, page_id, left: DataFrame, right: DataFrame, now: int) -> Store:
     """A page that shows an open book becomes two: left takes its place, right follows it; neither keeps marks, read text or rotation."""
     doc_id = pages.where(F.col("id") == F.lit(page_id)).select("doc_id").first()

@@ -524,3 +524,11 @@ def test_notes_and_stillness(spark):
     rows = [("a", 0, t, m) for t, m in ((70, 30), (140, 5), (210, 5), (280, 5), (360, 5))] + [("b", 0, t, 90) for t in range(0, 1600, 70)] + [("c", 100, 150, 12), ("c", 100, 1000, 12), ("c", 100, 1220, 12)]
     got = {r.shot: r.taken for r in capture.stillness(spark.createDataFrame(rows, "shot string, pressed long, at long, motion int"), 10).collect()}
     assert got == {"a": 360, "b": 1500, "c": 1220}
+
+
+def test_log_of_changes(spark, tmp_path):
+    root, made = str(tmp_path / "log"), lambda rows: spark.createDataFrame(rows, "id string, n int, items array<int>")
+    commands.append_changes(root, "docs", made([("a", 1, [1]), ("b", 2, None), ("c", 3, [])]))
+    commands.append_changes(root, "docs", made([("b", 20, [2]), ("b", 21, [3])]).coalesce(1), made([("c", 0, None)]))
+    commands.append_changes(root, "docs", made([("d", None, None)]))
+    assert sorted(tuple(r) for r in commands.read_changes(spark, root, "docs").collect()) == [("a", 1, [1]), ("b", 21, [3]), ("d", None, None)]
