@@ -30,16 +30,17 @@ def _small_star(edges: DataFrame) -> tuple[DataFrame, str]:
     return _down(moved.unionByName(least.select("u", F.col("m").alias("v")))), path
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node points to one other that points to none: then roots are found."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("a"), F.lit(1).alias("b")))
+    return ends.groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a > 1 OR a > 0 AND b > 0").isEmpty()
+
+
 def components(edges: DataFrame, u: str, v: str) -> DataFrame:
     """(node, root) for every node of an edge; root is the least node of its component. Both columns are longs."""
     spark = edges.sparkSession
     e, path = materialize(_down(edges.select(F.col(u).alias("u"), F.col(v).alias("v"))), "edges")
-    before = None
-    while True:
-        seen = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == before or not seen[0]:
-            break
-        before = seen
+    while not _stars(e):
         for star in (_large_star, _small_star):
             turned, least = star(e)
             e, new = materialize(turned, "edges")

@@ -750,3 +750,49 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, str(tmp_path)).count() == 0
+
+
+def test_toxicity_ignores_columns_of_its_own_names(spark):
+    """Clashing columns change no score; very long texts are scored whole, at whatever place the word stands."""
+    rng = np.random.default_rng(5)
+    clean = ["".join(rng.choice(["the", "er", "on", "an"], rng.integers(1, 4))) for _ in range(80)]
+    long = " ".join(rng.choice(clean, 60_000))
+    rows_ = [(k, " ".join([*rng.choice(clean, 20), *(["idiot"] if k % 3 == 0 else [])])) for k in range(150)] + [(900, long), (901, f"{long} 1d10t"), (902, None)]
+    lab = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(150)], "doc_id long, toxic int")
+    df = spark.createDataFrame(rows_, "doc_id long, text string")
+    clash = df.selectExpr("7 AS score", "'x' AS feature", "1 AS toxic", "2 AS n1", "3 AS code", "text", "doc_id", "4 AS predicted", "false AS held_out")
+    got = rows(toxicity.score(clash, lab.selectExpr("doc_id", "toxic", "9 AS text", "8 AS score")))
+    assert got == rows(toxicity.score(df, lab))
+    by = {r[0]: r[3] for r in got}
+    assert (by[900], by[901], by[902]) == (0, 1, 0)
+    assert toxicity.without_toxic(clash, lab).columns == clash.columns
+
+
+def test_very_long_texts_are_encoded_whole():
+    rng = np.random.default_rng(7)
+    parts = np.array(["the", "Straße,", "ñu.", "İ", "a\nb", "  x", "'S", "12", "\u3000q", "日本語"])
+    text = " ".join(rng.choice(parts, 150_000))
+    for name, space in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        assert encoding.SegmentEncoder(registry.tokenizer_path(name), space).encode(text).tolist() == tokenizer(name).encode(text, add_special_tokens=False).ids
+
+
+def test_components(spark):
+    """Paths, stars, rings, hubs, loops and repeated edges against brute force."""
+    from pliego.llm.components import components
+
+    rng = np.random.default_rng(8)
+    edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(200 + k, 200 + (k + 1) % 9) for k in range(9)] + [(300, 300), (5, 4)] + [tuple(map(int, rng.integers(400, 460, 2))) for _ in range(40)] + [(-5, 7)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    alone = {x for x in parent if all(x not in e or e == (x, x) for e in edges)}
+    assert got == {x: find(x) for x in parent if x not in alone}
+    assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
