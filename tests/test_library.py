@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pliego.functions import arrays, codes, dates, text
 from pliego.operators import commands, duplicates, highlights, images, layout, library, search
 from pliego.sources import files, sinks
+from pliego.sources.encryption import Lock
 from pliego.streaming import capture
 
 DAY = dates.DAY
@@ -532,3 +533,15 @@ def test_log_of_changes(spark, tmp_path):
     commands.append_changes(root, "docs", made([("b", 20, [2]), ("b", 21, [3])]).coalesce(1), made([("c", 0, None)]))
     commands.append_changes(root, "docs", made([("d", None, None)]))
     assert sorted(tuple(r) for r in commands.read_changes(spark, root, "docs").collect()) == [("a", 1, [1]), ("b", 21, [3]), ("d", None, None)]
+
+
+def test_files_are_encrypted_by_spark(spark):
+    """A lock made once for all files; each file's image streams, encrypted as rows, open under its key to what went in."""
+    lock = Lock("clave")
+    rows = [("a", 0, "bits", bytes(range(20)), 16, 10), ("a", 1, "jpeg", b"\xff\xd8 no picture " * 99, 30, 20), ("b", 0, "bits", bytes(2), 8, 2)]
+    sealed = sinks.sealed_images(spark.createDataFrame(rows, "doc string, pos int, kind string, bytes binary, width int, height int"), lock)
+    made = {r.doc: bytes(r.content) for r in sinks.files_per_document(sealed, "doc", lambda images: (f"{images[0]['doc']}.pdf", sinks.pdf_bytes("Uno", images, lock=lock))).collect()}
+    assert set(made) == {"a", "b"} and all(lock.dictionary.encode() in pdf for pdf in made.values())
+    streams = [p.split(b">>\nstream\n", 1)[1].split(b"\nendstream")[0] for p in made["a"].split(b"/Subtype /Image")[1:]]
+    opened = [bytes(r[0]) for r in spark.createDataFrame([(s, lock.key) for s in streams], "data binary, key binary").select(F.aes_decrypt("data", "key", F.lit("CBC"))).collect()]
+    assert sorted([zlib.decompress(opened[0]), opened[1]] if opened[0][:1] == b"x" else [opened[0], zlib.decompress(opened[1])]) == sorted([rows[0][3], rows[1][3]])
