@@ -279,7 +279,23 @@ def paragraphs(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(text.paragraphs(F.col("text")))).select("doc_id", F.col("pos").alias("n"), F.col("col").alias("paragraph"))
 
 
-@query()
+#: Boundaries from one expression; cuts of long pieces and joins of short ones each by recursion over a document's pieces.
+_SENTENCES_SQL = r"""
+WITH RECURSIVE a AS (SELECT doc_id, unnest(regexp_extract_all(text, '[.!?;:\n]*[^.!?;:\n]+(?:[.!?;:]+|\n+|$)')) AS s, generate_subscripts(regexp_extract_all(text, '[.!?;:\n]*[^.!?;:\n]+(?:[.!?;:]+|\n+|$)'), 1) AS k FROM documents),
+b AS (SELECT *, length(regexp_extract(s, '^[.!?;:\n]*')) AS skip, coalesce(sum(length(s)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM a),
+c AS (SELECT doc_id, k, place + skip AS st, place + length(s) AS en, substr(s, skip + 1) AS s FROM b WHERE regexp_matches(substr(s, skip + 1), '[^\s\x0b]')),
+cut AS (SELECT doc_id, k, 0 AS j, st, en, s FROM c UNION ALL
+SELECT doc_id, k, j + 1, st + n, en, substr(s, CAST(n AS BIGINT) + 1) FROM (SELECT *, CASE WHEN position(' ' IN reverse(substr(s, 1, 220))) BETWEEN 1 AND 109 THEN 221 - position(' ' IN reverse(substr(s, 1, 220))) ELSE 220 END AS n FROM cut WHERE en - st > 220)),
+p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) AS n, st, coalesce(lead(st) OVER (PARTITION BY doc_id, k ORDER BY j), en) AS en, lead(st) OVER (PARTITION BY doc_id, k ORDER BY j) IS NULL AS last FROM cut),
+m AS (SELECT doc_id, n, st, en, 1 AS g FROM p WHERE n = 1 UNION ALL
+SELECT p.doc_id, p.n, CASE WHEN p.last AND m.en - m.st < 60 AND p.en - m.st <= 220 THEN m.st ELSE p.st END, p.en, CASE WHEN p.last AND m.en - m.st < 60 AND p.en - m.st <= 220 THEN m.g ELSE m.g + 1 END FROM m JOIN p ON p.doc_id = m.doc_id AND p.n = m.n + 1),
+f AS (SELECT doc_id, min(st) AS st, max(en) AS en FROM m GROUP BY doc_id, g)
+SELECT f.doc_id, CAST(st AS INTEGER) AS start, CAST(en AS INTEGER) AS "end", trim(regexp_replace(substr(text, CAST(st AS BIGINT) + 1, CAST(en - st AS BIGINT)), '[\s\x0b—–]+', ' ', 'g')) AS text FROM f JOIN documents d ON f.doc_id = d.doc_id
+WHERE trim(regexp_replace(substr(text, CAST(st AS BIGINT) + 1, CAST(en - st AS BIGINT)), '[\s\x0b—–]+', ' ', 'g')) <> ''
+"""
+
+
+@query(_SENTENCES_SQL)
 def sentence_chunks(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(text.sentences()("text")).alias("s")).select("doc_id", "s.start", "s.end", "s.text")
 
@@ -544,7 +560,15 @@ def luma_lut(spark, d):
     return spark.range(256).select(F.col("id").alias("v"), arrays.light_curve(F.col("id"), 20, 10).alias("lit"))
 
 
-@query()
+_CRC_SQL = """
+WITH t AS (SELECT list(list_reduce(list_prepend(CAST(i AS UBIGINT), list_transform(range(8), lambda x: CAST(x AS UBIGINT))), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) r(i)),
+h AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS hx FROM documents),
+b AS (SELECT doc_id, list_transform(hx, lambda x: CAST('0x' || x AS UBIGINT)) AS bytes FROM h)
+SELECT doc_id, CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), bytes), lambda c, x: xor(tab[CAST(xor(c, x) & 255 AS BIGINT) + 1], c >> 8)), CAST(4294967295 AS UBIGINT)) AS BIGINT) AS crc FROM b, t
+"""
+
+
+@query(_CRC_SQL)
 def crc32_text(spark, d):
     return table(spark, d, "documents").select("doc_id", files.crc32(F.col("text").cast("binary")).alias("crc"))
 
