@@ -87,12 +87,15 @@ def slots(sources: DataFrame, block: int, shard_slots: int, seed: int, width: in
     return drawn.select(F.floor(F.col("slot") / shard_slots).alias("shard"), "slot", "sidx", taken.alias("block"))
 
 
-def laid_out(rows: DataFrame, buckets: int) -> DataFrame:
+def laid_out(rows: DataFrame, buckets: int, stretch: int = 4096) -> DataFrame:
     """rows (row, sidx, doc_id, size, tie) with at, the first word's place in the source's stream."""
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(buckets)))
-    sums = rows.groupBy("sidx", "bucket").agg(F.sum("size").alias("n"))
-    before = Window.partitionBy("sidx").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("sidx", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # Prefix sums in two steps, so that no window is long: over the buckets of a stretch, and over stretches.
+    sums = rows.groupBy("sidx", "bucket").agg(F.sum("size").alias("n")).withColumn("stretch", F.floor(F.col("bucket") / stretch))
+    upto = lambda *key, by: F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = sums.groupBy("sidx", "stretch").agg(F.sum("n").alias("n")).select("sidx", "stretch", upto("sidx", by="stretch").alias("before"))
+    base = sums.select("sidx", "stretch", "bucket", upto("sidx", "stretch", by="bucket").alias("inner")).join(whole, ["sidx", "stretch"])
+    base = base.select("sidx", "bucket", (F.col("before") + F.col("inner")).alias("base"))
     within = Window.partitionBy("sidx", "bucket").orderBy("doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("before", F.sum("size").over(within) - F.col("size"))
     return rows.join(base, ["sidx", "bucket"]).select("row", "sidx", "size", (F.col("base") + F.col("before")).alias("at"))
@@ -101,7 +104,7 @@ def laid_out(rows: DataFrame, buckets: int) -> DataFrame:
 class Mix:
     """sources: one row per source; rows: one per document row, with its payload; placed: their places in streams; drawn: (row, block, skip, words, times)."""
 
-    def __init__(self, docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float = 1.5, cap: int = 2, block: int = 32, shard_slots: int = 1024, bucket_rows: int = 2000, seed: int = 7, payload: tuple[str, ...] = ()):
+    def __init__(self, docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float = 1.5, cap: int = 2, block: int = 32, shard_slots: int = 1024, bucket_rows: int = 200, seed: int = 7, payload: tuple[str, ...] = ()):
         prepare(docs.sparkSession)
         rows = docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["source"].alias("source"), word_count(docs["text"]).alias("size"), F.xxhash64(docs["text"], docs["source"]).alias("tie"), *([F.struct(*[docs[c] for c in payload]).alias("payload")] if payload else []))
         self.rows, _ = materialize(rows, "mix-rows")

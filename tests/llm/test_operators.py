@@ -349,6 +349,15 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_streams_are_gapless(spark):
+    """Each source's documents follow each other without a gap, over several buckets and stretches of them."""
+    df = spark.range(300).select(F.col("id").alias("row"), (F.col("id") % 3).alias("sidx"), F.col("id").alias("doc_id"), (F.col("id") % 7 + 1).alias("size"), F.lit(0).cast("long").alias("tie"))
+    got = mixing.laid_out(df, buckets=40, stretch=3).toPandas().sort_values(["sidx", "at"])
+    assert len(got) == 300
+    for _, g in got.groupby("sidx"):
+        assert g["at"].tolist() == np.cumsum([0, *g["size"]])[:-1].tolist()
+
+
 def test_shards_draw_sources_without_replacement(spark):
     """Totals are the targets' lots; a shard's counts spread as a multinomial draw's do; no block is drawn more often than its source's lots allow."""
     sources = spark.createDataFrame([(0, 64_000, 48_000.0), (1, 6_400, 12_800.0), (2, 320_000, 67_200.0), (3, 0, 0.0), (4, 10, 20.0)], "sidx long, source_size long, target double")
