@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pliego.functions import arrays, codes, dates, text
 from pliego.operators import commands, duplicates, highlights, images, layout, library, search
-from pliego.sources import files, sinks
+from pliego.sources import files, pdf, sinks
 from pliego.sources.encryption import Lock
 from pliego.streaming import capture
 
@@ -545,3 +545,39 @@ def test_files_are_encrypted_by_spark(spark):
     streams = [p.split(b">>\nstream\n", 1)[1].split(b"\nendstream")[0] for p in made["a"].split(b"/Subtype /Image")[1:]]
     opened = [bytes(r[0]) for r in spark.createDataFrame([(s, lock.key) for s in streams], "data binary, key binary").select(F.aes_decrypt("data", "key", F.lit("CBC"))).collect()]
     assert sorted([zlib.decompress(opened[0]), opened[1]] if opened[0][:1] == b"x" else [opened[0], zlib.decompress(opened[1])]) == sorted([rows[0][3], rows[1][3]])
+
+
+def test_text_of_pdf_files(spark):
+    """What the PDF writer wrote comes back as words in their places; other operators, font tables and object streams; nothing from what is no PDF."""
+    lines = [{"y0": 10, "y1": 20, "base": [0, 18, 100, 18], "words": [{"t": "Año", "x0": 10, "x1": 40, "y1": 20}, {"t": "(2)", "x0": 46, "x1": 70, "y1": 20}]}, {"y0": 60, "y1": 70, "words": [{"t": "fin", "x0": 10, "x1": 30, "y1": 70}]}]
+    bits = {"kind": "bits", "bytes": sinks.pack_bits(np.full((100, 100), 255)), "width": 100, "height": 100, "lines": lines}
+    own = sinks.pdf_bytes("Uno", [bits, {**bits, "lines": lines[1:]}], "foto")
+    table = b"/CIDInit begincmap 1 beginbfchar <0001> <00F1> endbfchar 1 beginbfrange <0002> <0004> <0061> endbfrange endcmap"
+    content = zlib.compress(b"q 2 0 0 2 0 0 cm BT /F1 10 Tf 14 TL 50 300 Td (uno \\050x\\051) Tj T* [(do) -2000 (s)] TJ ET Q BT /F2 8 Tf 1 0 0 1 20 40 Tm <000200010004> Tj ET")
+    first, stream = len(b"5 0 "), b"5 0 << /Type /Page /Parent 2 0 R /Contents 8 0 R >>"
+    parts = {
+        1: b"<< /Type /Catalog /Pages 2 0 R >>",
+        2: b"<< /Type /Pages /Kids [5 0 R] /Count 1 /MediaBox [0 0 612 792] /Resources << /Font << /F1 3 0 R /F2 4 0 R >> >> >>",
+        3: b"<< /Type /Font /Subtype /TrueType /FirstChar 100 /Widths [500 500 500 500 500 500 500 500 500 500 500 500] >>",
+        4: b"<< /Type /Font /Subtype /Type0 /ToUnicode 9 0 R >>",
+        7: b"<< /Type /ObjStm /N 1 /First %d /Length %d >>\nstream\n" % (first, len(stream)) + stream + b"\nendstream",
+        8: b"<< /Filter /FlateDecode /Length %d >>\nstream\n" % len(content) + content + b"\nendstream",
+        9: b"<< /Length %d >>\nstream\n" % len(table) + table + b"\nendstream",
+    }
+    made = b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n" % k + v + b"\nendobj\n" for k, v in parts.items()) + b"trailer << /Root 1 0 R >>"
+    rows = [("own", own), ("made", made), ("none", b"no pdf"), ("locked", sinks.pdf_bytes("x", [bits], lock=Lock("k"))), ("empty", b"")]
+    got = pdf.text_pieces(spark.createDataFrame(rows, "path string, content binary"))
+    by = {}
+    for r in got.collect():
+        by.setdefault((r.path, r.page), []).append(r)
+    assert set(by) == {("own", 1), ("own", 2), ("made", 1)}
+    assert [r.str for r in by["own", 1]] == ["Año ", "(2)", "fin"] and [r.str for r in by["own", 2]] == ["fin"]
+    k, word = 7.92, by["own", 1][0]
+    assert (word.x, word.y, word.h) == (pytest.approx(10 * k, abs=0.1), pytest.approx(18 * k, abs=0.1), pytest.approx(10 * k, abs=0.1))
+    assert by["own", 1][1].x == pytest.approx(46 * k, abs=0.1) and by["own", 1][1].w == pytest.approx(24 * k, rel=0.01)
+    one_, two, three, four = by["made", 1]
+    assert (one_.str, one_.x, one_.y, one_.h) == ("uno (x)", 100, 192, 20) and (two.str, three.str, four.str) == ("do", "s", "añc")
+    assert two.y == 220 and three.x == pytest.approx(two.x + two.w + 40) and two.w == pytest.approx(20 * (0.5 + 0.5)) and (four.x, four.y, four.h) == (20, 752, 8)
+    pages = got.selectExpr("concat(path, ' ', page) AS page_id", "str", "x", "y", "h", "w")
+    texts = {r.page_id: r.texto for r in layout.read_chunks(pages).collect()}
+    assert texts["own 1"] == "Año (2)\n\nfin" and texts["own 2"] == "fin"
