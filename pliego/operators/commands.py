@@ -242,6 +242,27 @@ def read_snapshot(spark, root: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{_pointer(spark, root).snapshot}/{table}")
 
 
+#: The tables of a store, by what commands need of them; rows may hold more.
+TABLES = {
+    "docs": "id string, nombre string, creado long, modificado long, carpeta_id string, paginas array<string>, papelera long",
+    "pages": f"id string, doc_id string, creada long, papelera {TRASHED}",
+    "folders": "id string, nombre string, creada long",
+    "settings": "clave string, valor string",
+}
+
+
+def open_store(spark, root: str) -> dict[str, DataFrame]:
+    """The tables of the current snapshot; those that it lacks are empty, with their declared columns, as is a store without a snapshot."""
+    now = _pointer(spark, root)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def there(table: str) -> bool:
+        path = jvm.org.apache.hadoop.fs.Path(f"{root}/{now.snapshot}/{table}")
+        return path.getFileSystem(conf).exists(path)
+
+    return {t: read_snapshot(spark, root, t) if now and there(t) else spark.createDataFrame([], schema) for t, schema in TABLES.items()}
+
+
 def append_changes(root: str, table: str, rows: DataFrame, gone: DataFrame | None = None) -> None:
     """Add upserts (and ids that go) to a table's log: an edit writes its own rows, not the table. Later batches count over earlier ones."""
     spark = rows.sparkSession

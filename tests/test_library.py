@@ -581,3 +581,31 @@ def test_text_of_pdf_files(spark):
     pages = got.selectExpr("concat(path, ' ', page) AS page_id", "str", "x", "y", "h", "w")
     texts = {r.page_id: r.texto for r in layout.read_chunks(pages).collect()}
     assert texts["own 1"] == "Año (2)\n\nfin" and texts["own 2"] == "fin"
+
+
+def test_store_opens_with_declared_tables(spark, tmp_path):
+    root = f"file://{tmp_path}/store"
+    made = commands.open_store(spark, root)
+    assert {t: df.count() for t, df in made.items()} == {"docs": 0, "pages": 0, "folders": 0, "settings": 0} and "paginas" in made["docs"].columns
+    commands.write_snapshot(root, "one", folders=spark.createDataFrame([("f", "Uno", 1)], commands.TABLES["folders"]))
+    opened = commands.open_store(spark, root)
+    assert opened["folders"].first().nombre == "Uno" and opened["docs"].count() == 0
+
+
+def test_ready_photos_and_marked_pages(spark):
+    img = np.full((400, 300, 4), 70, np.uint8)
+    img[60:340, 60:240, :3] = 230
+    plain = np.full((50, 40, 4), 200, np.uint8)
+    rows = [(k, {"width": i.shape[1], "height": i.shape[0], "data": i.tobytes()}) for k, i in enumerate((img, plain))]
+    got = {r.id: r for r in images.ready_photos(spark.createDataFrame(rows, "id int, image struct<width:int,height:int,data:binary>"), side=200).collect()}
+    assert (got[0].preview.width, got[0].preview.height) == (150, 200) and np.abs(np.array(got[0].corners).reshape(4, 2) * [300, 400] - [[60, 60], [240, 60], [240, 340], [60, 340]]).max() < 6
+    assert got[0].blurry is False and got[1].corners is None and got[1].blurry is None
+    page_ = np.full((100, 200, 4), 240, np.uint8)
+    pen, marker = {"points": [0.1, 0.5, 0.9, 0.5], "thickness": 0.02, "colour": [200, 0, 0], "highlighter": False}, {"points": [0.5, 0.2], "thickness": 0.1, "colour": [255, 255, 0], "highlighter": True}
+    out = images.with_strokes(page_, [pen, marker])
+    assert out[50, 100, :3].tolist() == [200, 0, 0] and out[20, 100, :3].tolist() == [240, 240, 0] and out[80, 100, :3].tolist() == [240, 240, 240] and out[50, 10, :3].tolist() == [240, 240, 240]
+    strokes = "array<struct<points:array<double>,thickness:double,colour:array<int>,highlighter:boolean>>"
+    data = {"width": 200, "height": 100, "data": page_.tobytes()}
+    df = spark.createDataFrame([(1, "bn", data, None), (2, "bn", data, [pen]), (3, "gris", data, [])], f"id int, filtro string, image struct<width:int,height:int,data:binary>, strokes {strokes}")
+    made = {r.id: bytes(r.png) for r in sinks.page_pngs(df).collect()}
+    assert [made[k][24:26] for k in (1, 2, 3)] == [b"\x01\x00", b"\x08\x02", b"\x08\x02"] and all(m[:4] == b"\x89PNG" for m in made.values())
