@@ -609,3 +609,27 @@ def test_ready_photos_and_marked_pages(spark):
     df = spark.createDataFrame([(1, "bn", data, None), (2, "bn", data, [pen]), (3, "gris", data, [])], f"id int, filtro string, image struct<width:int,height:int,data:binary>, strokes {strokes}")
     made = {r.id: bytes(r.png) for r in sinks.page_pngs(df).collect()}
     assert [made[k][24:26] for k in (1, 2, 3)] == [b"\x01\x00", b"\x08\x02", b"\x08\x02"] and all(m[:4] == b"\x89PNG" for m in made.values())
+
+
+def test_sheets_on_light_uneven_and_cluttered_desks():
+    """Corners within 2 % of the diagonal where the desk is nearly as light as the sheet, gets lighter to one side, or is full of things; lines are those drawn."""
+    for kind in ("light", "uneven", "clutter"):
+        for seed in range(3):
+            rng, h, w = np.random.default_rng(seed), 400, 300
+            q = np.array([[60, 70], [240, 60], [250, 330], [50, 340]], float) + rng.uniform(-15, 15, (4, 2))
+            y, x = np.mgrid[:h, :w]
+            inside = np.all([(b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) >= 0 for a, b in zip(q, np.roll(q, -1, axis=0), strict=True)], axis=0)
+            desk = np.full((h, w), 205.0) if kind == "light" else 90 + 120.0 * x / w if kind == "uneven" else np.full((h, w), 110.0)
+            for cx, cy, a, b, v in rng.integers([0, 0, 8, 8, 30], [w, h, 40, 40, 240], (14, 5)) if kind == "clutter" else ():
+                desk[max(0, cy - b) : cy + b, max(0, cx - a) : cx + a] = v
+            g = np.where(inside, 240, desk) + rng.normal(0, 2, (h, w))
+            for r in range(100, 310, 12):
+                g[r : r + 4, 90:210] = np.where(inside[r : r + 4, 90:210] & (rng.random((4, 120)) < 0.5), 70, g[r : r + 4, 90:210])
+            img = np.dstack([g, g, g, np.full((h, w), 255)]).clip(0, 255).astype(np.uint8)
+            found = images.find_sheet(img)
+            assert found is not None and np.abs(found[0] * [w, h] - q).max() < 0.02 * 500, (kind, seed)
+    plain = np.full((120, 160), 100.0)
+    plain[30:] += 60
+    plain[:, 100:] += 50
+    lines = images.edge_lines(plain, 2)
+    assert sorted(np.round(np.degrees(lines[:, 0])).tolist()) == [0, 90] and sorted(np.abs(np.round(lines[:, 1])).tolist()) == [20, 30]
