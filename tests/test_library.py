@@ -632,4 +632,4 @@ def test_sheets_on_light_uneven_and_cluttered_desks():
     plain[30:] += 60
     plain[:, 100:] += 50
     lines = images.edge_lines(plain, 2)
-    assert sorted(np.round(np.degrees(lines[:, 0])).tolist()) == [0, 90] and sorted(np.abs(np.round(lines[:, 1])).tolist()) == [20, 30]
+    assert sorted(np.round(np.degrees(lines[:, 0])).tolist()) == [0, 90] and np.abs(np.sort(np.abs(lines[:, 1])) - [19.5, 30.5]).max() <= 1
