@@ -16,7 +16,7 @@ from array import array
 
 import numpy as np
 
-from ._common import WORKER_CACHES
+from ._common import WORKER_CACHES, fresh_worker
 
 #: A space after white space is no sure cut.
 _AFTER_SPACE = [c + " " for c in map(chr, range(0x3001)) if c.isspace()]
@@ -168,5 +168,6 @@ WORKER_CACHES.append(_encoders)
 def shared_encoder(path: str, keep_space: bool) -> SegmentEncoder:
     """This process's encoder: a worker's later tasks go on with its cache."""
     if (path, keep_space) not in _encoders:
+        fresh_worker()  # what stages before this one left would stand beside the encoder's cache
         _encoders[path, keep_space] = SegmentEncoder(path, keep_space)
     return _encoders[path, keep_space]
