@@ -78,8 +78,20 @@ def op10_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(read_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import digests, periodic_runs, repeat_tail
+
+    return digests(periodic_runs(read_table(spark, sf_dir, "documents"), words_of=repeat_tail))
+
+
+def op13_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import labels
+
+    return labels(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_spherical_caps, op3_line_frequency, op4_prefix_free_parsing, op5_best_fit_packing, op6_mix_sources, op7_noisy_channel_toxicity, op8_warc, op9_simhash_trie, op10_context_tree_weighting)}
+    return {f.__name__: f for f in (op1_token_files, op2_spherical_caps, op3_line_frequency, op4_prefix_free_parsing, op5_best_fit_packing, op6_mix_sources, op7_noisy_channel_toxicity, op8_warc, op9_simhash_trie, op10_context_tree_weighting, op11_periodic_runs, op13_license_diagonals)}
 
 
 def oracle_sql() -> dict[str, str]:
