@@ -84,6 +84,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(periodic_runs(read_table(spark, sf_dir, "documents"), words_of=repeat_tail))
 
 
+def op12_striped_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .alignment import align
+
+    out = align(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    return out.withColumn("groups_sha256", F.coalesce("groups_sha256", F.lit("")))
+
+
 def op13_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import labels
 
@@ -91,7 +100,7 @@ def op13_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_spherical_caps, op3_line_frequency, op4_prefix_free_parsing, op5_best_fit_packing, op6_mix_sources, op7_noisy_channel_toxicity, op8_warc, op9_simhash_trie, op10_context_tree_weighting, op11_periodic_runs, op13_license_diagonals)}
+    return {f.__name__: f for f in (op1_token_files, op2_spherical_caps, op3_line_frequency, op4_prefix_free_parsing, op5_best_fit_packing, op6_mix_sources, op7_noisy_channel_toxicity, op8_warc, op9_simhash_trie, op10_context_tree_weighting, op11_periodic_runs, op12_striped_alignment, op13_license_diagonals)}
 
 
 def oracle_sql() -> dict[str, str]:
