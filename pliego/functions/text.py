@@ -17,28 +17,51 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
+#: Hangul syllables, first and last, and of how many vowels and final letters (none included) each first letter has one (fixed values).
+HANGUL, VOWELS, FINALS = "가힣", 21, 28
+
+
 @cache
 def fold_tables() -> tuple[str, str]:
-    """Characters that lose their accents to one other character, and these characters."""
-    pairs = []
-    for c in map(chr, range(0x80, 0x10000)):
-        if not 0xD800 <= ord(c) < 0xE000:
-            bare = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.category(x).startswith("M"))
-            if len(bare) == 1 and bare != c:
+    """Characters that fold to one other, then those that fold to nothing; and what the first fold to. Hangul syllables, which fold to several letters, aren't among them.
+
+    A character folds by itself: its canonical decomposition without marks, in lower case. Those from U+10000 on are what they are.
+    """
+    pairs, marks = [], []
+    for c in map(chr, range(0x10000)):
+        if not 0xD800 <= ord(c) < 0xE000 and not HANGUL[0] <= c <= HANGUL[1]:
+            bare = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.category(x).startswith("M")).lower()
+            if not bare:
+                marks.append(c)
+            elif bare != c:
                 pairs.append((c, bare))
-    return "".join(c for c, _ in pairs if c < "　"), "".join(b for c, b in pairs if c < "　")
+    return "".join(c for c, _ in pairs) + "".join(marks), "".join(b for _, b in pairs)
+
+
+def _jamo(syllable: Column) -> Column:
+    """The letters of a Hangul syllable, by its number."""
+    n = F.ascii(syllable) - ord(HANGUL[0])
+    letter = lambda first, k: F.substr(F.lit("".join(chr(first + j) for j in range(FINALS))), (k + 1).cast("int"), F.lit(1))
+    final = n % FINALS
+    return F.concat(letter(0x1100, F.floor(n / (VOWELS * FINALS))), letter(0x1161, F.floor(n / FINALS) % VOWELS), F.when(final > 0, letter(0x11A7, final)).otherwise(""))
+
+
+def _is_hangul(c: Column) -> Column:
+    return F.ascii(c).between(ord(HANGUL[0]), ord(HANGUL[1]))
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents or combining marks; what has no accent, like ß, stays."""
-    source, target = fold_tables()
-    return F.lower(F.regexp_replace(F.translate(text, source, target), r"\p{M}", ""))
+    """Lower case without accents or combining marks, character by character; what has no accent, like ß, stays."""
+    flat = F.translate(text, *fold_tables())
+    apart = F.array_join(F.transform(F.split(flat, ""), lambda c: F.when(_is_hangul(c), _jamo(c)).otherwise(c)), "")
+    return F.when(F.rlike(text, F.lit(f"[{HANGUL[0]}-{HANGUL[1]}]")), apart).otherwise(flat)
 
 
 def fold_here(text: str) -> str:
     """fold for a query on the driver."""
     source, target = fold_tables()
-    return "".join(c for c in text.translate(str.maketrans(source, target)) if not unicodedata.category(c).startswith("M")).lower()
+    flat = text.translate(str.maketrans(source[: len(target)], target, source[len(target) :]))
+    return "".join(unicodedata.normalize("NFD", c) if HANGUL[0] <= c <= HANGUL[1] else c for c in flat)
 
 
 def terms_here(query: str) -> list[str]:
@@ -60,10 +83,13 @@ def has_terms(norm: Column, words: list[str]) -> Column:
 
 
 def place(text: Column, at: Column) -> Column:
-    """Where the folded text's character `at` (from 0) stands in the text: folding drops combining marks, so it may be further on."""
-    whole = F.regexp_extract_all(text, F.lit(r"(\P{M}\p{M}*)"), F.lit(1))  # each letter with its marks
-    before = F.length(F.regexp_extract(text, r"^\p{M}+", 0)) + F.length(F.array_join(F.slice(whole, F.lit(1), at), ""))
-    return F.when(F.rlike(text, F.lit(r"\p{M}")), before).otherwise(at)
+    """Where the folded text's character `at` (from 0) stands in the text: folding drops combining marks and parts Hangul syllables."""
+    letters = F.regexp_extract_all(text, F.lit(r"(\P{M}\p{M}*)"), F.lit(1))  # each with its marks
+    width = lambda c: F.when(_is_hangul(c), F.when((F.ascii(c) - ord(HANGUL[0])) % FINALS == 0, 2).otherwise(3)).otherwise(1)
+    origins = F.flatten(F.transform(letters, lambda c, i: F.array_repeat(i, width(c))))
+    nth = F.when(F.rlike(text, F.lit(f"[{HANGUL[0]}-{HANGUL[1]}]")), F.get(origins, at.cast("int"))).otherwise(at)
+    before = F.length(F.regexp_extract(text, r"^\p{M}+", 0)) + F.length(F.array_join(F.slice(letters, F.lit(1), nth), ""))
+    return F.when(F.rlike(text, F.lit(rf"[\p{{M}}{HANGUL[0]}-{HANGUL[1]}]")), before).otherwise(at)
 
 
 def hit(text: Column, words: list[str]) -> Column:
@@ -118,25 +144,25 @@ def join_hyphens(text: Column) -> Column:
 
 
 #: What starts an entry of a list: a number, a letter or a bullet (fixed pattern).
-LIST_MARK = r"(?iu)^(\(?\d{1,3}[.)°º-]|\(?[a-zñ][.)]|[•·▪◦\-–—])\s"
+LIST_ENTRY = r"(?iu)\n(?=(\(?\d{1,3}[.)°º-]|\(?[a-zñ][.)]|[•·▪◦\-–—])[^\S\n])"
+#: White space but for the line end.
+_BLANK = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}&&[^\n]]"
 
 
-#: Marks an end of a paragraph while texts are put together. It is no character, so texts that hold it lose nothing by ending a paragraph there.
-_END = "\uffff"
+def trimmed(text: Column) -> Column:
+    """Without white space, as the library understands it, at either end. No pattern starts inside a run of white space, so long runs cost what they measure."""
+    return F.regexp_replace(text, rf"\A{SPACE}++|(?<!{SPACE}){SPACE}++\z", "")
 
 
 def paragraphs(text: Column) -> Column:
-    """Paragraphs of read text: blocks between blank lines with their lines joined; entries of lists stand alone.
+    """Paragraphs of read text: blocks between blank lines with their lines joined; entries of lists stand alone."""
 
-    Ends of paragraphs are marked by a few replacements over the whole text, which is split once.
-    """
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\n\s*\n", _END)
-    t = F.regexp_replace(t, f"{SPACE}*{_END}{SPACE}*", _END)
-    t = F.regexp_replace(t, f"{SPACE}*\n{SPACE}*", "\n")
-    # The same pattern as LIST_MARK, with its white space in one line: lines are trimmed by now.
-    t = F.regexp_replace(t, "(?iu)\n(?=(" + LIST_MARK.removeprefix("(?iu)^(").removesuffix(r")\s") + r")[^\S\n])", _END)
-    t = F.regexp_replace(F.regexp_replace(t, "(\\p{L})[-‐]\n(?=\\p{Ll})", "$1"), "\n", " ")
-    return F.filter(F.split(F.regexp_replace(t, f"^{SPACE}+|{SPACE}+$", ""), _END), lambda x: x != "")
+    def of(block: Column) -> Column:
+        lines = F.regexp_replace(trimmed(block), rf"(?<!{SPACE}){_BLANK}*+\n{SPACE}*+", "\n")
+        whole = F.transform(F.split(lines, LIST_ENTRY), lambda x: F.replace(join_hyphens(x), F.lit("\n"), F.lit(" ")))
+        return F.filter(whole, lambda x: x != "")
+
+    return F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n"), of))
 
 
 _CLOSE = re.compile(r"[.!?;:]+|\n+")

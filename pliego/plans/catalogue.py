@@ -8,14 +8,15 @@ embeddings. The current time is a constant.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import arrays, codes, dates, text
-from ..operators import commands, highlights, library, search
-from ..sources import files
+from ..operators import commands, highlights, library, search, textindex
+from ..sources import files, shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -78,22 +79,41 @@ def search_snippet(spark, d):
     return hits.select("doc_id", text.snippet(F.col("text"), F.col("hit.start"), F.col("hit.end")).alias("s")).select("doc_id", "s.before", "s.mark", "s.after")
 
 
+#: Where the folded text's character stands: the prefix of letters with their marks that is so many letters long.
 _OFFSETS_SQL = r"""
-WITH t AS (SELECT doc_id, regexp_replace(text, '([aeiouAEIOU])', '\1' || chr(769), 'g') AS marked FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')),
-h AS (SELECT *, position('the' || chr(769) IN lower(marked)) AS p FROM t)
-SELECT doc_id, CAST(p - 1 AS INTEGER) AS start, CAST(p + 2 AS INTEGER) AS end_ FROM h WHERE p > 0
+WITH t AS (SELECT doc_id, regexp_replace(text, '([aeiouAEIOU])', '\1' || chr(769), 'g') AS marked FROM documents),
+h AS (SELECT *, position('the' IN lower(strip_accents(marked))) AS p FROM t),
+w AS (SELECT doc_id, p, regexp_extract_all(marked, '\PM\pM*') AS letters, length(regexp_extract(marked, '^\pM+')) AS lead FROM h WHERE p > 0)
+SELECT doc_id, CAST(lead + length(array_to_string(letters[:p - 1], '')) AS INTEGER) AS start, CAST(lead + length(array_to_string(letters[:p + 1], '')) + 1 AS INTEGER) AS end_ FROM w
 """
 
 
 @query(_OFFSETS_SQL)
 def search_offsets_in_marked_text(spark, d):
-    """Places in texts whose vowels have combining accents: those of the text itself, not of the folded one. Texts that had other accents before are left out."""
-    plain = F.col("text")
-    docs = table(spark, d, "documents").where(~F.rlike(plain, F.lit(r"[^\x00-\x7F]"))).select("doc_id", F.regexp_replace(plain, "([aeiouAEIOU])", "$1́").alias("marked"))
+    """Places in texts whose vowels have combining accents: those of the text itself, not of the folded one."""
+    docs = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "([aeiouAEIOU])", "$1́").alias("marked"))
     hits = text.with_hits(docs, "marked", text.terms_here("the"))
     return hits.select("doc_id", F.col("hit.start").alias("start"), F.col("hit.end").alias("end_"))
 
 
+#: Small letters become a voiced kana, two Hangul syllables, a Greek capital sigma and a Georgian capital.
+_SCRIPTS = "translate(text, 'aeiou', 'が가각ΣᲐ')"
+
+
+@query(f"SELECT doc_id, replace(replace(translate(lower(strip_accents(translate(text, 'aeiou', '\x01\x02\x03\x04\x05'))), '\x01\x04\x05', 'かσა'), '\x02', chr(4352) || chr(4449)), '\x03', chr(4352) || chr(4449) || chr(4520)) AS norm FROM documents")
+def fold_scripts(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.fold(F.expr(_SCRIPTS)).alias("norm"))
+
+
+@query("""WITH h AS (SELECT doc_id, position('th' || '\x02' IN lower(strip_accents(translate(text, 'aeiou', '\x01\x02\x02\x03\x04')))) AS p FROM documents)
+SELECT doc_id, CAST(p - 1 AS INTEGER) AS start, CAST(p + 2 AS INTEGER) AS end_ FROM h WHERE p > 0""")
+def search_offsets_in_syllables(spark, d):
+    """Places in texts with Hangul syllables, which fold to several letters each: those of the syllables."""
+    docs = table(spark, d, "documents").select("doc_id", F.expr(_SCRIPTS).alias("written"))
+    hits = text.with_hits(docs, "written", text.terms_here("TH가"))
+    return hits.select("doc_id", F.col("hit.start").alias("start"), F.col("hit.end").alias("end_"))
+
+
 @query("SELECT doc_id, lower(strip_accents(text)) AS norm FROM documents")
 def fold_text(spark, d):
     return table(spark, d, "documents").select("doc_id", text.fold(F.col("text")).alias("norm"))
@@ -116,6 +136,43 @@ def query_terms(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(text.terms(F.col("text"))).cast("long").alias("n_terms"))
 
 
+#: Sets of terms that the index is asked for: rare and common ones, accents and capitals, several terms, terms of one and two letters, and some that nothing has.
+TERM_SETS = ("CIÓN que", "the AND of", "straße", "un", "q", "x ñ", "el qu er", "copyright licencia", "zqxj", "a zqxj", "licensed apache")
+
+
+def _folded(query: str) -> str:
+    return " AND ".join(f"contains(norm, '{w}')" for w in text.terms_here(query))
+
+
+def _indexed(spark, d) -> str:
+    """An index of all documents, in two segments."""
+    root = shared.workdir(spark, "textindex")
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    for part in (docs.where("lang = 'en'"), docs.where("lang IS DISTINCT FROM 'en'")):
+        textindex.write_segment(part, root)
+    return root
+
+
+@query("WITH t AS (SELECT doc_id, lower(strip_accents(text)) AS norm FROM documents) " + " UNION ALL ".join(
+    f"SELECT '{q}' AS query, doc_id, CAST(position('{text.terms_here(q)[0]}' IN norm) - 1 AS INTEGER) AS start FROM t WHERE {_folded(q)}" for q in TERM_SETS))
+def search_by_index(spark, d):
+    """All-terms search through posting lists, for several sets of terms."""
+    root = _indexed(spark, d)
+    found = [textindex.find(spark, root, q).select(F.lit(q).alias("query"), "doc_id", F.col("hit.start").alias("start")) for q in TERM_SETS]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("WITH t AS (SELECT lower(strip_accents(text)) AS norm, lang = 'en' AS english FROM documents), g AS (SELECT unnest([" + ", ".join(f"'{g}'" for g, _ in textindex.needs(text.terms_here(" ".join(TERM_SETS))) if len(g) == 3) + """]) AS gram)
+SELECT gram, count(*) FILTER (WHERE contains(norm, gram)) AS texts FROM g, t GROUP BY gram""")
+def index_postings(spark, d):
+    """How many texts have each gram of the terms, as the index's segments count them together; 0 where none does."""
+    root = _indexed(spark, d)
+    grams = [g for g, _ in textindex.needs(text.terms_here(" ".join(TERM_SETS))) if len(g) == 3]
+    wanted = spark.range(1).select(F.explode(F.array(*map(F.lit, grams))).alias("gram"))
+    counted = reduce(DataFrame.unionByName, [spark.read.parquet(f"{root}/{s}/grams") for s in textindex.segments(spark, root)])
+    return wanted.join(counted, "gram", "left").groupBy("gram").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("texts"))
+
+
 # Listings and joins
 
 
@@ -250,7 +307,7 @@ def unique_name_suffix(spark, d):
 # Text
 
 
-@query("SELECT doc_id, regexp_replace(text, '(\\p{L})[-‐]\n(\\p{Ll})', '\\1\\2', 'g') AS joined FROM documents".replace("\\\\", "\\"))
+@query(r"SELECT doc_id, regexp_replace(text, '(\p{L})[-‐]\n(\p{Ll})', '\1\2', 'g') AS joined FROM documents")
 def dehyphenate_text(spark, d):
     return table(spark, d, "documents").select("doc_id", text.join_hyphens(F.col("text")).alias("joined"))
 
@@ -260,8 +317,8 @@ def paragraph_split(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(F.split("text", r"\n\s*\n")).cast("long").alias("blocks"))
 
 
-_WHITE = "[\\t-\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]".replace("\\\\", "\\")
-_ENTRY = "(\\(?[0-9]{1,3}[.)°º-]|\\(?[a-zñA-ZÑ][.)]|[•·▪◦\\-–—])[\\t\\x0b\\f\\r ]".replace("\\\\", "\\")
+_WHITE = r"[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+_ENTRY = r"(\(?[0-9]{1,3}[.)°º-]|\(?[a-zñA-ZÑ][.)]|[•·▪◦\-–—])[\t\x0b\f\r ]"
 #: Blocks, then lines, put together by a window: the number of entries and blocks so far names a line's paragraph.
 _PARAGRAPHS_SQL = rf"""
 WITH b AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '\n[\t-\r ]*\n')) AS block, generate_subscripts(string_split_regex(coalesce(text, ''), '\n[\t-\r ]*\n'), 1) AS k FROM documents),
@@ -549,7 +606,7 @@ def otsu_threshold(spark, d):
     return library.otsu(bins)
 
 
-@query("SELECT event_id, avg(value) OVER w AS mean, max(value) OVER w AS top, min(value) OVER w AS low FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)".replace("avg(value) OVER w", "round(avg(value) OVER w, 6)"))
+@query("SELECT event_id, round(avg(value) OVER w, 6) AS mean, max(value) OVER w AS top, min(value) OVER w AS low FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)")
 def sliding_mean(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-2, 2)
     return table(spark, d, "events").select("event_id", F.round(F.avg("value").over(w), 6).alias("mean"), F.max("value").over(w).alias("top"), F.min("value").over(w).alias("low"))
