@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import catalogue
+def _catalogue():
+    from . import catalogue, edits  # noqa: F401 - each adds its queries to the catalogue
 
-    return dict(catalogue.QUERIES)
+    return catalogue
 
 
-def oracle_sql() -> dict[str, str]:
-    from . import catalogue
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_catalogue().QUERIES)
 
-    return dict(catalogue.SQL)
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_catalogue().SQL)
