@@ -58,10 +58,16 @@ def children(spark: SparkSession, name: str) -> list[str]:
 
 
 def rename(spark: SparkSession, old: str, new: str) -> bool:
-    """Whether old became new; a new name that is taken stays as it is."""
+    """Whether the folder old became new; a new name that is taken stays as it is. File systems move a folder into one that came between: then it is taken out again."""
     path, system = _path(spark, old)
     to, _ = _path(spark, new)
-    return not system.exists(to) and system.rename(path, to)
+    if system.exists(to) or not system.rename(path, to):
+        return False
+    inside, _ = _path(spark, f"{new}/{path.getName()}")
+    if system.exists(inside):
+        system.delete(inside, True)
+        return False
+    return True
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
