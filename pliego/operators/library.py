@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import written
+
 COLLATION = "es_CI_AI"
 
 
@@ -136,11 +138,49 @@ def nearest_previous(rows: DataFrame, group: str, place: str, key: str, item: st
     return a.where(F.col("_item").isNotNull()).select(key, F.coalesce(*near).alias("twin")).where("twin IS NOT NULL")
 
 
+def numbered(rows: DataFrame, group: str, order: str, name: str = "n", stretches: int = 64) -> DataFrame:
+    """rows with their place within their group (from 1) by a column, in which a group may be most of the rows.
+
+    Ranges of (group, order), which Spark cuts evenly, are numbered each by itself; a group's rows in the ranges before come from their counts.
+    """
+    ranged = rows.repartitionByRange(stretches, F.col(group).asc_nulls_first(), F.col(order).asc_nulls_first()).withColumn("_r", F.spark_partition_id())
+    ranged = written(ranged, "ranges")
+    counts = ranged.groupBy(F.col(group).alias("_g"), F.col("_r").alias("_s")).agg(F.count("*").alias("_n"))
+    before = counts.select("_g", "_s", (F.sum("_n").over(Window.partitionBy("_g").orderBy("_s")) - F.col("_n")).alias("_before"))  # a row for each group and range
+    nth = F.row_number().over(Window.partitionBy(group, "_r").orderBy(F.col(order).asc_nulls_first()))
+    out = ranged.withColumn(name, nth).join(before, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_r") == F.col("_s")))
+    return out.select(*rows.columns, (F.col(name) + F.col("_before")).alias(name))
+
+
 def value_percentiles(rows: DataFrame, key: str, value: str, wanted: dict[str, float]) -> DataFrame:
-    """For each key and name the item floor(n p), from 0, of its sorted values, not interpolated: values are counted first, so what a window orders is distinct values."""
-    n = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n"))
-    upto = n.withColumn("_upto", F.sum("_n").over(Window.partitionBy(key).orderBy(value))).withColumn("_all", F.sum("_n").over(Window.partitionBy(key)))
-    return upto.groupBy(key).agg(*[F.min(F.when(F.col("_upto") > F.least(F.floor(F.col("_all") * F.lit(p)), F.col("_all") - 1), F.col(value))).alias(name) for name, p in wanted.items()])
+    """For each key and name the item floor(n p), from 0, of its sorted values, not interpolated. Nulls don't count; NaN is the greatest, as for Spark.
+
+    Each pass counts what is left of an item's range in 256 bins of equal width and goes on with the bin that has the item, from its least to its greatest value, until these
+    are one. So nothing is sorted, and no window or task has more than an item's bins. Values are counted once first; most items take three or four passes.
+    """
+    held = written(rows.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("_key"), F.col(value).alias("_v")).agg(F.count("*").alias("_n")), "values")
+    real = rows.schema[value].dataType.typeName() in ("double", "float")
+    v, low, high = F.col("_v"), F.col("low"), F.col("high")
+    finite = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v) if real else v
+    names = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("p")) for n, p in wanted.items()]))
+    ends = held.groupBy("_key").agg(F.sum("_n").alias("_all"), F.min(v).alias("least"), F.max(v).alias("most"), F.min(finite).alias("low"), F.max(finite).alias("high"))
+    items = ends.select("*", names.alias("x")).select(F.col("_key").alias("_k"), "x.name", F.least(F.floor(F.col("_all") * F.col("x.p")), F.col("_all") - 1).alias("rank"), "least", "most", "low", "high")
+    if real:  # halves, as a difference may be out of range; where it is below what is one, the least value is parted from the rest
+        width = high / 2 - low / 2
+        nth = F.when(width > 0, F.least(F.floor((v / 2 - low / 2) / width * 256), F.lit(255))).otherwise(F.when(v == low, 0).otherwise(255))
+        bin_ = F.when(F.isnan(v), 257).when(v == float("inf"), 256).when(v == float("-inf"), -1).otherwise(nth)
+    else:
+        exact = lambda c: c.cast("decimal(38,6)")
+        width = exact(high) - exact(low)
+        bin_ = F.when(width == 0, 0).otherwise(F.least(F.floor((exact(v) - exact(low)) * 256 / width), F.lit(255)))
+    items = written(items, "items")
+    while not items.where(~F.col("least").eqNullSafe(F.col("most"))).isEmpty():
+        near = items.join(held, F.col("_k").eqNullSafe(F.col("_key")) & (v >= F.col("least")) & (v <= F.col("most")))
+        bins = near.groupBy("_k", "name", "rank", bin_.cast("int").alias("bin")).agg(F.sum("_n").alias("_n"), F.min(v).alias("least"), F.max(v).alias("most"), F.min(finite).alias("low"), F.max(finite).alias("high"))
+        upto = bins.withColumn("_upto", F.sum("_n").over(Window.partitionBy("_k", "name").orderBy("bin")))  # 259 rows at most
+        here = upto.where("_upto > rank AND _upto - _n <= rank").withColumn("rank", F.col("rank") - F.col("_upto") + F.col("_n"))
+        items = written(here.select("_k", "name", "rank", "least", "most", "low", "high"), "items")
+    return items.groupBy(F.col("_k").alias(key)).agg(*[F.max(F.when(F.col("name") == n, F.col("least"))).alias(n) for n in wanted])
 
 
 def bin_percentiles(bins: DataFrame, wanted: dict[str, float]) -> DataFrame:

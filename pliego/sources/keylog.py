@@ -42,19 +42,35 @@ class KeyLog:
         names = [n for n in shared.children(self.spark, f"{self.root}/versions") if n.isdigit()]
         return max(map(int, names), default=0)
 
-    def _runs(self, version: int) -> DataFrame:
-        schema = f"run string, level int, number long, bucket int, low {self.kind}, high {self.kind}, nulls boolean, rows long"
+    def _lines(self, version: int) -> DataFrame:
+        """The runs of a version; and for each writer with numbered batches (tag) a line with the last number that it wrote."""
+        schema = f"run string, level int, number long, bucket int, low {self.kind}, high {self.kind}, nulls boolean, rows long, tag string"
         if not version:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.root}/versions/{version}")
 
-    def _commit(self, make) -> int:
-        """Adds the version that make(rows of the newest) gives; again if another came between. None from make adds nothing."""
+    def _runs(self, version: int) -> DataFrame:
+        return self._lines(version).where("tag IS NULL").drop("tag")
+
+    def done(self, tag: str, version: int | None = None) -> int:
+        """The last batch that a writer committed; -1 before the first."""
+        lines = self._lines(self.version() if version is None else version).where(F.col("tag") == tag)
+        found = lines.agg(F.max("number")).first()[0]
+        return -1 if found is None else found
+
+    def _commit(self, make, batch: tuple[str, int] | None = None) -> int:
+        """Adds the version that make(runs of the newest) gives; again if another came between. None from make adds nothing, nor does a batch that is in already."""
         while True:
             now = self.version()
-            new = make(self._runs(now))
+            new = make(self._runs(now)) if batch is None or self.done(batch[0], now) < batch[1] else None
             if new is None:
                 return now
+            tags = self._lines(now).where("tag IS NOT NULL")
+            if batch is not None:
+                one = self._lines(0).schema
+                told = self.spark.createDataFrame([(None, None, batch[1], None, None, None, None, None, batch[0])], one)
+                tags = tags.where(F.col("tag") != batch[0]).unionByName(told)
+            new = new.withColumn("tag", F.lit(None).cast("string")).unionByName(tags)
             part = f"{self.root}/versions/_{uuid.uuid4().hex}"
             new.coalesce(1).write.parquet(part)
             if shared.rename(self.spark, part, f"{self.root}/versions/{now + 1}"):
@@ -78,8 +94,13 @@ class KeyLog:
         lines = written.groupBy(F.col(BUCKET).cast("int").alias("bucket")).agg(F.min(key).alias("low"), F.max(key).alias("high"), F.bool_or(key.isNull()).alias("nulls"), F.count("*").alias("rows"))
         return run, lines.select(F.lit(run).alias("run"), F.lit(level).alias("level"), F.lit(0).cast("long").alias("number"), "bucket", "low", "high", "nulls", "rows")
 
-    def write(self, rows: DataFrame | None = None, gone: DataFrame | None = None) -> int:
-        """Upserts rows, and removes the keys of gone (one column of the key's name); of a key in both the row stays. Of rows that share a key one stays, the greatest. Returns the version."""
+    def write(self, rows: DataFrame | None = None, gone: DataFrame | None = None, batch: tuple[str, int] | None = None) -> int:
+        """Upserts rows, and removes the keys of gone (one column of the key's name); of a key in both the row stays. Of rows that share a key one stays, the greatest. Returns the version.
+
+        batch: a writer's name and its batch's number: a batch that is written again, or one before it, changes nothing.
+        """
+        if batch is not None and self.done(batch[0]) >= batch[1]:
+            return self.version()
         names = [f.name for f in self.schema]
         parts = []
         if gone is not None:
@@ -87,9 +108,9 @@ class KeyLog:
             parts.append(marks.withColumn(GONE, F.lit(True)))
         if rows is not None:
             parts.append(rows.select(*[F.col(n).cast(self.schema[n].dataType).alias(n) for n in names]).withColumn(GONE, F.lit(False)))
-        batch = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        together = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         order = F.struct(~F.col(GONE), *[F.col(n) for n in names])
-        one = batch.groupBy(*self.by).agg(F.max_by(F.struct(*names, GONE), order).alias("r")).select("r.*").withColumn(NUMBER, F.lit(0).cast("long"))
+        one = together.groupBy(*self.by).agg(F.max_by(F.struct(*names, GONE), order).alias("r")).select("r.*").withColumn(NUMBER, F.lit(0).cast("long"))
         for column, index in self.indexes.items():  # before the rows, so that a reader of the rows finds their entries
             if rows is not None:
                 index.write(rows.select(F.col(column).alias("value"), F.col(self.key).alias("key")))
@@ -100,7 +121,7 @@ class KeyLog:
             number = (runs.agg(F.max("number")).first()[0] or 0) + 1
             return runs.unionByName(lines.withColumn("number", F.lit(number).cast("long")))
 
-        return self._commit(add)
+        return self._commit(add, batch)
 
     def _read(self, runs: list, where: Column | None = None, buckets: list[int] | None = None) -> DataFrame:
         """Rows of runs [(run, number)], each with its run's number."""
