@@ -561,8 +561,7 @@ SELECT vec_id, arg_min(twin, back) AS twin FROM p GROUP BY vec_id
 
 @query(_NEAREST_SQL)
 def nearest_previous_duplicate(spark, d):
-    order = Window.partitionBy("label").orderBy("vec_id")
-    e = table(spark, d, "embeddings").withColumn("n", F.row_number().over(order))
+    e = library.numbered(table(spark, d, "embeddings"), "label", "vec_id")
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
     alike = lambda x, y: dot(x, y) / F.sqrt(dot(x, x) * dot(y, y)) >= 0.3
     return library.nearest_previous(e, "label", "n", "vec_id", "embedding", alike, 5).select("vec_id", "twin")
@@ -579,6 +578,13 @@ def exact_percentile(spark, d):
     return library.value_percentiles(table(spark, d, "documents"), "lang", "n_chars", {"p90": 0.9, "middle": 0.5})
 
 
+@query("""WITH s AS (SELECT l_returnflag, list(l_extendedprice ORDER BY l_extendedprice) AS a FROM lineitem GROUP BY l_returnflag)
+SELECT l_returnflag, a[1] AS low, a[len(a) // 4 + 1] AS quarter, a[len(a) // 2 + 1] AS middle, a[CAST(floor(len(a) * 0.99) AS BIGINT) + 1] AS p99, a[len(a)] AS top FROM s""")
+def price_percentiles(spark, d):
+    """Order statistics of three large groups."""
+    return library.value_percentiles(table(spark, d, "lineitem"), "l_returnflag", "l_extendedprice", {"low": 0.0, "quarter": 0.25, "middle": 0.5, "p99": 0.99, "top": 1.0})
+
+
 _HIST_SQL = """
 WITH h AS (SELECT n_chars // 100 AS bin, count(*) AS n FROM documents GROUP BY 1),
 c AS (SELECT bin, n, sum(n) OVER (ORDER BY bin) AS upto, sum(n) OVER () AS total FROM h)
