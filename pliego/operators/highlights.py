@@ -12,13 +12,45 @@ from ..functions import arrays
 COLOURS = {"#ffe84a": "amarillo", "#a8f07c": "verde", "#ffa0d8": "rosado", "#96dcff": "celeste"}
 
 
-def stroke_distance(points: Column, x: Column, y: Column, width: Column, height: Column) -> Column:
-    """The distance from (x, y) to a polyline of fractions x, y, x, y, … of the page."""
-    at = lambda i, size: F.get(points, i) * size
-    alone = F.hypot(x - at(F.lit(0), width), y - at(F.lit(1), height))
-    legs = F.sequence(F.lit(0), F.floor(F.size(points) / 2).cast("int") - 2)
-    each = F.transform(legs, lambda k: arrays.segment_distance(x, y, at(2 * k, width), at(2 * k + 1, height), at(2 * k + 2, width), at(2 * k + 3, height)))
-    return F.when(F.size(points) == 2, alone).when(F.size(points) >= 4, F.array_min(each)).otherwise(F.lit(float("inf")))
+#: Side of the squares of a page, in pixels, in which what is near each other is looked for.
+CELL = 64.0
+
+
+def _squares(rows: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, cell: float) -> DataFrame:
+    """rows, once for each square (_x, _y) that a box meets."""
+    span = lambda low, high: F.explode(F.sequence(F.floor(low / cell).cast("long"), F.floor(high / cell).cast("long")))
+    return rows.withColumn("_x", span(x0, x1)).withColumn("_y", span(y0, y1))
+
+
+def legs(strokes: DataFrame, points: str = "points") -> DataFrame:
+    """strokes, once for each leg (ax, ay) to (bx, by) in pixels, without their points; a stroke of one point is a leg of none."""
+    n = F.floor(F.size(points) / 2).cast("int")
+    each = strokes.where(n > 0).withColumn("_k", F.explode(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0)))))
+    at = lambda k, size: F.get(points, k) * F.col(size)
+    k, b = F.col("_k"), F.least(F.col("_k") + 1, n - 1)
+    return each.withColumns({"ax": at(2 * k, "width"), "ay": at(2 * k + 1, "height"), "bx": at(2 * b, "width"), "by": at(2 * b + 1, "height")}).drop(points, "_k")
+
+
+def leg_squares(found: DataFrame, reach: Column, cell: float = CELL) -> DataFrame:
+    """Legs, once for each square within reach: of the leg's box those whose centre is near enough."""
+    a, b = (F.col("ax"), F.col("ay")), (F.col("bx"), F.col("by"))
+    out = _squares(found, F.least(a[0], b[0]) - reach, F.least(a[1], b[1]) - reach, F.greatest(a[0], b[0]) + reach, F.greatest(a[1], b[1]) + reach, cell)
+    return out.where(arrays.segment_distance((F.col("_x") + 0.5) * cell, (F.col("_y") + 0.5) * cell, *a, *b) <= reach + 0.75 * cell)
+
+
+def touching(strokes: DataFrame, words: DataFrame, cell: float = CELL) -> DataFrame:
+    """(page_id, line, word, stroke, color, t): each word with the first stroke that touches it (see highlighted).
+
+    Strokes cover the squares of their page that they reach, a word those within its own reach; they meet by page and square, so a page with very many of either is many
+    tasks' work, and only what meets is measured.
+    """
+    w = words.withColumns({"cx": (F.col("x0") + F.col("x1")) / 2, "cy": (F.col("y0") + F.col("y1")) / 2, "half": (F.col("y1") - F.col("y0")) / 2})
+    own, wide = 0.9 * F.col("half"), F.col("thickness") * F.col("width") / 2
+    w = _squares(w, F.col("cx") - own, F.col("cy") - own, F.col("cx") + own, F.col("cy") + own, cell)
+    parts = legs(strokes.select("page_id", "stroke", "color", "thickness", "points", "width", "height").withColumn("wide", wide))
+    met = leg_squares(parts.drop("thickness", "width", "height"), F.col("wide"), cell).join(w, ["page_id", "_x", "_y"])
+    touched = met.where(arrays.segment_distance(F.col("cx"), F.col("cy"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= F.greatest(F.col("wide"), own))
+    return touched.groupBy("page_id", "line", "word").agg(F.min(F.struct("stroke", "color", "t")).alias("s")).select("page_id", "line", "word", "s.*")
 
 
 def highlighted(strokes: DataFrame, words: DataFrame) -> DataFrame:
@@ -28,10 +60,7 @@ def highlighted(strokes: DataFrame, words: DataFrame) -> DataFrame:
     x0, y0, x1, y1) in the page's pixels. A word counts if its centre lies in the stroke, and goes to the first stroke that touches it;
     a stroke that goes on at the next line in the same colour is the same part; hyphenated words are made whole.
     """
-    w = words.withColumns({"cx": (F.col("x0") + F.col("x1")) / 2, "cy": (F.col("y0") + F.col("y1")) / 2, "half": (F.col("y1") - F.col("y0")) / 2})
-    reach = F.greatest(F.col("thickness") * F.col("width") / 2, 0.9 * F.col("half"))
-    touched = strokes.join(w, "page_id").where(stroke_distance(F.col("points"), F.col("cx"), F.col("cy"), F.col("width"), F.col("height")) <= reach)
-    first = touched.groupBy("page_id", "line", "word").agg(F.min(F.struct("stroke", "color", "t")).alias("s")).select("page_id", "line", "word", "s.*")
+    first = touching(strokes, words)
     runs = first.groupBy("page_id", "stroke", "color").agg(F.sort_array(F.collect_list(F.struct("line", "word", "t"))).alias("words"))
     order = Window.partitionBy("page_id").orderBy(F.col("words")[0]["line"], F.col("words")[0]["word"])
     before = lambda c: F.lag(c).over(order)
@@ -50,10 +79,15 @@ def highlighted(strokes: DataFrame, words: DataFrame) -> DataFrame:
 
 def mark_at(marks: DataFrame, points: DataFrame, margin: float = 0.0) -> DataFrame:
     """(point_id, mark): the topmost mark at each point. marks (page_id, mark, kind, box struct(x, y, w, h), thickness, points, width, height); points (page_id, point_id, x, y)."""
-    inside = F.col("x").between(F.col("box.x") - margin, F.col("box.x") + F.col("box.w") + margin) & F.col("y").between(F.col("box.y") - margin, F.col("box.y") + F.col("box.h") + margin)
-    near = stroke_distance(F.col("points"), F.col("x"), F.col("y"), F.col("width"), F.col("height")) <= F.col("thickness") * F.col("width") / 2 + margin
-    hit = F.when(F.col("kind").isin("nota", "firma"), inside).otherwise(near)
-    return marks.join(points, "page_id").where(hit).groupBy("point_id").agg(F.max("mark").alias("mark"))
+    box = F.col("kind").isin("nota", "firma")
+    spots = points.select("page_id", "point_id", "x", "y", F.floor(F.col("x") / CELL).cast("long").alias("_x"), F.floor(F.col("y") / CELL).cast("long").alias("_y"))
+    edges = [F.col("box.x") - margin, F.col("box.y") - margin, F.col("box.x") + F.col("box.w") + margin, F.col("box.y") + F.col("box.h") + margin]
+    in_box = _squares(marks.where(box).select("page_id", "mark", "box"), *edges, CELL).join(spots, ["page_id", "_x", "_y"])
+    in_box = in_box.where(F.col("x").between(edges[0], edges[2]) & F.col("y").between(edges[1], edges[3]))
+    lines = marks.where(~F.coalesce(box, F.lit(False))).select("page_id", "mark", "points", "width", "height", (F.col("thickness") * F.col("width") / 2 + margin).alias("wide"))
+    near = leg_squares(legs(lines).drop("width", "height"), F.col("wide")).join(spots, ["page_id", "_x", "_y"])
+    near = near.where(arrays.segment_distance(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= F.col("wide"))
+    return in_box.select("point_id", "mark").unionByName(near.select("point_id", "mark")).groupBy("point_id").agg(F.max("mark").alias("mark"))
 
 
 def nearest_corner(corners: Column, x: Column, y: Column, reach: float = 44.0) -> Column:

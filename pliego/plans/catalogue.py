@@ -432,6 +432,41 @@ def dominant_sign(spark, d):
     return library.dominant_sign(table(spark, d, "events").select("user_id", (F.round("value") - 50).alias("v")), "user_id", "v")
 
 
+#: Pages of 1024 by 1024 pixels: an order line is a word, an order a stroke of three points and of one of two widths.
+_DRAWN_SQL = """WITH w AS (SELECT l_orderkey // 200 AS page_id, l_orderkey AS line, l_linenumber AS word, l_partkey * 37 % 1000 + 12 AS cx, l_suppkey * 91 % 1000 + 12 AS cy, 6 + l_quantity % 5 * 4 AS half FROM lineitem),
+o AS (SELECT o_orderkey // 200 AS page_id, o_orderkey AS stroke, CASE WHEN o_custkey % 3 = 0 THEN 0.031 ELSE 0.0137 END * 512 AS g, [o_custkey * 53 % 1024, o_orderkey * 29 % 1024, (o_custkey * 53 + 200) % 1024, (o_orderkey * 29 + o_custkey % 40) % 1024, o_custkey * 11 % 1024, o_orderkey * 17 % 1024] AS p FROM orders),
+leg AS (SELECT page_id, stroke, g, p[1] AS ax, p[2] AS ay, p[3] - p[1] AS dx, p[4] - p[2] AS dy FROM o UNION ALL SELECT page_id, stroke, g, p[3], p[4], p[5] - p[3], p[6] - p[4] FROM o),
+m AS (SELECT w.page_id, line, word, cx, cy, half, stroke, g, ax, ay, dx, dy, CASE WHEN dx = 0 AND dy = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, CAST((cx - ax) * dx + (cy - ay) * dy AS DOUBLE) / (dx * dx + dy * dy))) END AS t FROM w JOIN leg USING (page_id)) """
+
+
+def _drawn(spark, d) -> tuple[DataFrame, DataFrame]:
+    lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
+    cx, cy = F.col("l_partkey") * 37 % 1000 + 12, F.col("l_suppkey") * 91 % 1000 + 12
+    half = 6 + F.col("l_quantity") % 5 * 4
+    words = lines.select(F.expr("l_orderkey DIV 200").alias("page_id"), F.col("l_orderkey").alias("line"), F.col("l_linenumber").alias("word"), F.col("l_comment" if "l_comment" in lines.columns else "l_returnflag").alias("t"), (cx - 10).alias("x0"), (cy - half).alias("y0"), (cx + 10).alias("x1"), (cy + half).alias("y1"))
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    points = [c * 53 % 1024, k * 29 % 1024, (c * 53 + 200) % 1024, (k * 29 + c % 40) % 1024, c * 11 % 1024, k * 17 % 1024]
+    strokes = orders.select(F.expr("o_orderkey DIV 200").alias("page_id"), k.alias("stroke"), F.col("o_orderpriority").alias("color"), F.when(c % 3 == 0, 0.031).otherwise(0.0137).alias("thickness"), F.array(*[p / 1024 for p in points]).alias("points"), F.lit(1024.0).alias("width"), F.lit(1024.0).alias("height"))
+    return strokes, words
+
+
+@query(_DRAWN_SQL + "SELECT page_id, line, word, min(stroke) AS stroke FROM m WHERE sqrt(pow(cx - ax - t * dx, 2) + pow(cy - ay - t * dy, 2)) <= greatest(g, 0.9 * half) GROUP BY page_id, line, word")
+def highlight_claims(spark, d):
+    """Each word with the first stroke that touches it, by a join of squares; the SQL measures every stroke against every word of a page."""
+    strokes, words = _drawn(spark, d)
+    return highlights.touching(strokes, words).select("page_id", "line", "word", "stroke")
+
+
+@query(_DRAWN_SQL + "SELECT line * 10 + word AS point_id, max(stroke) AS mark FROM m WHERE CASE WHEN stroke % 4 = 0 THEN cx BETWEEN ax - 2 AND ax + 42 AND cy BETWEEN ay - 2 AND ay + 22 AND (page_id, stroke, ax, ay) IN (SELECT page_id, stroke, p[1], p[2] FROM o) ELSE sqrt(pow(cx - ax - t * dx, 2) + pow(cy - ay - t * dy, 2)) <= g + 2 END GROUP BY line, word")
+def mark_hits(spark, d):
+    """The topmost mark under each point; every fourth mark is a note's box."""
+    strokes, words = _drawn(spark, d)
+    note, at = F.col("stroke") % 4 == 0, lambda k: F.get("points", F.lit(k)) * 1024
+    marks = strokes.select("page_id", F.col("stroke").alias("mark"), F.when(note, "nota").otherwise("resaltador").alias("kind"), F.struct(at(0).alias("x"), at(1).alias("y"), F.lit(40.0).alias("w"), F.lit(20.0).alias("h")).alias("box"), "thickness", "points", "width", "height")
+    points = words.select("page_id", (F.col("line") * 10 + F.col("word")).alias("point_id"), ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
+    return highlights.mark_at(marks, points, margin=2.0)
+
+
 _HUE_SQL = """
 WITH c AS (SELECT l_orderkey, l_linenumber, CAST(l_partkey % 256 AS INTEGER) AS r, CAST(l_suppkey % 256 AS INTEGER) AS g, CAST(l_orderkey % 256 AS INTEGER) AS b FROM lineitem),
 m AS (SELECT *, greatest(r, g, b) AS hi, greatest(r, g, b) - least(r, g, b) AS d FROM c),
