@@ -149,6 +149,11 @@ LIST_ENTRY = r"(?iu)\n(?=(\(?\d{1,3}[.)°º-]|\(?[a-zñ][.)]|[•·▪◦\-–
 _BLANK = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}&&[^\n]]"
 
 
+def blocks(text: Column) -> Column:
+    """The parts of a text between blank lines."""
+    return F.split(text, r"\n\s*\n")
+
+
 def trimmed(text: Column) -> Column:
     """Without white space, as the library understands it, at either end. No pattern starts inside a run of white space, so long runs cost what they measure."""
     return F.regexp_replace(text, rf"\A{SPACE}++|(?<!{SPACE}){SPACE}++\z", "")
@@ -162,7 +167,7 @@ def paragraphs(text: Column) -> Column:
         whole = F.transform(F.split(lines, LIST_ENTRY), lambda x: F.replace(join_hyphens(x), F.lit("\n"), F.lit(" ")))
         return F.filter(whole, lambda x: x != "")
 
-    return F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n"), of))
+    return F.flatten(F.transform(blocks(F.coalesce(text, F.lit(""))), of))
 
 
 _CLOSE = re.compile(r"[.!?;:]+|\n+")
@@ -305,3 +310,12 @@ def wrap_note(text: str, room: float, width: Callable[[str], float]) -> list[str
                 now.append(piece)
         lines.append(" ".join(now))
     return lines
+
+
+def wrapped(room: float, widths: dict[str, float], other: float):
+    """A function from a text column to the lines of notes, by the widths of a font's characters; `other` is the width of those not named."""
+
+    def of(notes: pd.Series) -> pd.Series:
+        return notes.map(lambda t: None if t is None else wrap_note(t, room, lambda s: sum(widths.get(c, other) for c in s)))
+
+    return F.pandas_udf(of, "array<string>")

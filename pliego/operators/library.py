@@ -152,6 +152,30 @@ def numbered(rows: DataFrame, group: str, order: str, name: str = "n", stretches
     return out.select(*rows.columns, (F.col(name) + F.col("_before")).alias(name))
 
 
+def sliding(rows: DataFrame, key: str, order: list[str], value: str, reach: int) -> DataFrame:
+    """rows with mean, top and low of a value over `reach` rows before and after within their key, or what there is of them."""
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(-reach, reach)
+    return rows.select("*", F.avg(value).over(w).alias("mean"), F.max(value).over(w).alias("top"), F.min(value).over(w).alias("low"))
+
+
+def unread_count(pages: DataFrame, read: DataFrame, key: str) -> DataFrame:
+    """One row: how many pages have not been read, and how many there are."""
+    marked = pages.select(key).join(read.select(F.col(key).alias("_read")).distinct(), F.col(key) == F.col("_read"), "left")
+    return marked.agg(F.count_if(F.col("_read").isNull()).alias("unread"), F.count("*").alias("pages"))
+
+
+def distinct_in_order(rows: DataFrame, key: str, value: str, at: str, name: str = "values") -> DataFrame:
+    """For each key its distinct values in order of their first time; equal times in order of value. Values are first told apart, so a list holds each once."""
+    first = rows.groupBy(key, value).agg(F.min(at).alias("_at"))
+    lists = first.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_at", value))).alias("_l"))
+    return lists.select(key, F.transform("_l", lambda x: x[value]).alias(name))
+
+
+def span(docs: DataFrame, changed: Column) -> DataFrame:
+    """One row: the last and first change, and how many documents."""
+    return docs.agg(F.max(changed).alias("changed"), F.min(changed).alias("created"), F.count("*").alias("documents"))
+
+
 def value_percentiles(rows: DataFrame, key: str, value: str, wanted: dict[str, float]) -> DataFrame:
     """For each key and name the item floor(n p), from 0, of its sorted values, not interpolated. Nulls don't count; NaN is the greatest, as for Spark.
 

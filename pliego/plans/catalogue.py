@@ -127,8 +127,7 @@ def unread_pages(spark, d):
 
 @query("SELECT count(*) FILTER (WHERE l.doc_id IS NULL) AS unread, count(*) AS pages FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) l ON d.doc_id = l.doc_id")
 def unread_count(spark, d):
-    read = table(spark, d, "labels").where("quality = 1").select("doc_id").distinct().withColumn("read", F.lit(True))
-    return table(spark, d, "documents").join(read, "doc_id", "left").agg(F.count_if(F.col("read").isNull()).alias("unread"), F.count("*").alias("pages"))
+    return library.unread_count(table(spark, d, "documents"), table(spark, d, "labels").where("quality = 1"), "doc_id")
 
 
 @query(r"SELECT doc_id, len(list_filter(string_split_regex(lower(strip_accents(text)), '\s+'), lambda x: x <> '')) AS n_terms FROM documents")
@@ -242,7 +241,9 @@ def trash_days_left(spark, d):
 
 @query(f"SELECT count(*) AS purged FROM events WHERE (epoch_us(ts) // 1000) < {NOW_MS} - 2592000000")
 def ttl_purge_count(spark, d):
-    return table(spark, d, "events").where(dates.expired(ms(F.col("ts")), F.lit(NOW_MS))).agg(F.count("*").alias("purged"))
+    docs = table(spark, d, "events").select(F.col("event_id").alias("id"), ms(F.col("ts")).alias("papelera"))
+    pages = spark.createDataFrame([], "id long, doc_id long, papelera struct<cuando:bigint,lugar:int>")
+    return commands.purge_count(docs, pages, NOW_MS)
 
 
 _REMINDER_SQL = f"""
@@ -314,7 +315,7 @@ def dehyphenate_text(spark, d):
 
 @query(r"SELECT doc_id, len(string_split_regex(text, '\n\s*\n')) AS blocks FROM documents")
 def paragraph_split(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(F.split("text", r"\n\s*\n")).cast("long").alias("blocks"))
+    return table(spark, d, "documents").select("doc_id", F.size(text.blocks(F.col("text"))).cast("long").alias("blocks"))
 
 
 _WHITE = r"[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -515,17 +516,18 @@ def array_move(spark, d):
     return _lists(spark, d).select("conv_id", _shown(arrays.reorder(F.col("pages"), order)))
 
 
-@query(_LISTS + "SELECT conv_id, CAST(pages[:1] AS VARCHAR) AS kept, CAST(pages[2:] AS VARCHAR) AS pages FROM l")
+@query(_LISTS + "SELECT conv_id AS id, CAST(list_transform(CASE WHEN conv_id = 3 THEN pages[:1] ELSE pages END, lambda x: conv_id * 1000 + x) AS VARCHAR) AS pages FROM l UNION ALL SELECT -1, CAST(list_transform(pages[2:], lambda x: 3000 + x) AS VARCHAR) FROM l WHERE conv_id = 3")
 def split_at(spark, d):
-    lists = _lists(spark, d)
-    return lists.select("conv_id", _shown(arrays.prefix(F.col("pages"), F.lit(2))).alias("kept"), _shown(arrays.suffix(F.col("pages"), F.lit(2))))
+    """The third conversation from its second page on becomes another document."""
+    docs, pages = _store(spark, d)
+    new = docs.limit(0).select("id").unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("id"))).withColumns({"modificado": F.lit(0).cast("long"), "papelera": F.lit(None).cast("long")})
+    return commands.split_document(docs, pages, 3, 2, new, NOW_MS)[0].select("id", _shown(F.col("paginas")))
 
 
-@query("WITH l AS (SELECT conv_id // 2 AS doc, list(turn ORDER BY conv_id, turn) AS pages FROM conversations GROUP BY conv_id // 2) SELECT doc, CAST(pages AS VARCHAR) AS pages FROM l")
+@query(_LISTS + "SELECT a.conv_id AS id, CAST(CASE WHEN a.conv_id = 4 THEN list_concat(list_transform(a.pages, lambda x: 4000 + x), list_transform(b.pages, lambda x: 6000 + x)) ELSE list_transform(a.pages, lambda x: a.conv_id * 1000 + x) END AS VARCHAR) AS pages FROM l a, l b WHERE b.conv_id = 6 AND a.conv_id <> 6")
 def merge_documents(spark, d):
-    lists = _lists(spark, d).withColumn("doc", F.floor(F.col("conv_id") / 2).cast("long"))
-    merged = lists.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("conv_id", "pages"))).alias("a"))
-    return merged.select("doc", _shown(F.flatten(F.transform("a", lambda x: x["pages"]))))
+    docs, pages = _store(spark, d)
+    return commands.merge_documents(docs, pages, 4, 6, NOW_MS)[0].select("id", _shown(F.col("paginas")))
 
 
 def _store(spark, d):
@@ -649,13 +651,14 @@ def otsu_threshold(spark, d):
 
 @query("SELECT event_id, round(avg(value) OVER w, 6) AS mean, max(value) OVER w AS top, min(value) OVER w AS low FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)")
 def sliding_mean(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-2, 2)
-    return table(spark, d, "events").select("event_id", F.round(F.avg("value").over(w), 6).alias("mean"), F.max("value").over(w).alias("top"), F.min("value").over(w).alias("low"))
+    means = library.sliding(table(spark, d, "events"), "user_id", ["ts", "event_id"], "value", 2)
+    return means.select("event_id", F.round("mean", 6).alias("mean"), "top", "low")
 
 
-@query("SELECT v, CAST(greatest(0, least(255, floor(255 * ((pow(v / 255.0, pow(2, -0.4)) - 0.5) * pow(2, 0.2) + 0.5) + 0.5))) AS INTEGER) AS lit FROM generate_series(0, 255) g(v)")
+@query("SELECT DISTINCT v, CAST(greatest(0, least(255, floor(255 * ((pow(v / 255.0, pow(2, -0.4)) - 0.5) * pow(2, 0.2) + 0.5) + 0.5))) AS INTEGER) AS lit FROM (SELECT l_partkey % 256 AS v FROM lineitem)")
 def luma_lut(spark, d):
-    return spark.range(256).select(F.col("id").alias("v"), arrays.light_curve(F.col("id"), 20, 10).alias("lit"))
+    """The light curve of each byte that the lines have."""
+    return table(spark, d, "lineitem").select((F.col("l_partkey") % 256).alias("v")).distinct().select("v", arrays.light_curve(F.col("v"), 20, 10).alias("lit"))
 
 
 _CRC_SQL = """
@@ -713,8 +716,7 @@ def wait_for_stillness(spark, d):
 
 @query("SELECT max((epoch_us(ts) // 1000)) AS changed, min((epoch_us(ts) // 1000)) AS created, count(*) AS documents FROM events")
 def library_span(spark, d):
-    t = ms(F.col("ts"))
-    return table(spark, d, "events").agg(F.max(t).alias("changed"), F.min(t).alias("created"), F.count("*").alias("documents"))
+    return library.span(table(spark, d, "events"), ms(F.col("ts")))
 
 
 @query("SELECT p_partkey, replace(replace(replace(p_name || ' <' || p_brand || '> & co', '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS xml FROM part")
