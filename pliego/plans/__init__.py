@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _catalogue():
-    from . import catalogue, edits, logs, streams  # noqa: F401 - each adds its queries to the catalogue
+    from . import catalogue, edits, listed, logs, streams  # noqa: F401 - each adds its queries to the catalogue
 
     return catalogue
 

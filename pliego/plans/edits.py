@@ -17,12 +17,12 @@ SELECT e AS seq, d AS doc, e AS now, o AS other, CASE e % 11 WHEN 2 THEN 'insert
 WHEN 9 THEN CASE WHEN event_type = 'error' THEN 'trash' ELSE 'restore' END WHEN 10 THEN 'move' ELSE 'append' END AS kind,
 CASE e % 11 WHEN 4 THEN {{list}}(d * 1000 + e % 8, {ADDED} + e - 4) WHEN 5 THEN {{list}}(d * 1000 + e % 4, {ADDED} + e - 4) WHEN 6 THEN {{list}}(CASE WHEN e % 3 = 0 THEN {ADDED} + e - 5 ELSE d * 1000 + e % 4 END) WHEN 7 THEN {{list}}({ADDED} + e - 7, d * 1000 + 2, d * 1000)
 WHEN 8 THEN {{list}}({ADDED} + e - 8, d * 1000 + e % 6) WHEN 10 THEN {{list}}({ADDED} + e - 8, d * 1000 + 1) ELSE {{list}}({ADDED} + e) END AS pages,
-CAST(e % 7 AS INT) AS at, d * 1000 + e % 5 AS anchor FROM (SELECT event_id AS e, {{doc}} AS d, CASE WHEN {{doc}} % 2 = 0 THEN {{doc}} + 1 ELSE {{doc}} - 1 END AS o, event_type FROM events)
+CAST(e % 7 AS INT) AS at, d * 1000 + e % 5 AS anchor FROM (SELECT event_id AS e, {{doc}} AS d, CASE WHEN {{doc}} % 2 = 0 THEN {{doc}} + 1 ELSE {{doc}} - 1 END AS o, event_type FROM {{events}})
 """
 
 
 def commands(spark, d: str) -> DataFrame:
-    sql = _COMMANDS.format(list="array", doc="(event_id DIV 95)").replace("FROM events", "FROM {events}")
+    sql = _COMMANDS.format(list="array", doc="(event_id DIV 95)", events="{events}")
     return spark.sql(sql, events=spark.read.parquet(f"{d}/events.parquet"))
 
 
@@ -34,7 +34,7 @@ def store(spark, d: str) -> tuple[DataFrame, DataFrame]:
 
 #: Two documents are a row of the recursion: a is the command's document, b the other. Steps put their arrays into h.
 _STATE = f"""
-WITH RECURSIVE cmd AS (SELECT *, doc // 2 AS g, row_number() OVER (PARTITION BY doc // 2 ORDER BY seq) AS n FROM ({_COMMANDS.format(list="list_value", doc="(event_id // 95)")})),
+WITH RECURSIVE cmd AS (SELECT *, doc // 2 AS g, row_number() OVER (PARTITION BY doc // 2 ORDER BY seq) AS n FROM ({_COMMANDS.format(list="list_value", doc="(event_id // 95)", events="events")})),
 own AS (SELECT conv_id AS doc, list(conv_id * 1000 + turn ORDER BY turn) AS p FROM conversations GROUP BY conv_id),
 g AS (SELECT DISTINCT doc // 2 AS g FROM (SELECT doc FROM own UNION ALL SELECT doc FROM cmd)),
 s AS (SELECT g.g, CAST(0 AS BIGINT) AS n, x.p IS NOT NULL AS x0, y.p IS NOT NULL AS x1, coalesce(x.p, CAST([] AS BIGINT[])) AS p0, coalesce(y.p, CAST([] AS BIGINT[])) AS p1, CAST(-1 AS BIGINT) AS m0, CAST(-1 AS BIGINT) AS m1,
