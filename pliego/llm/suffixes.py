@@ -35,6 +35,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -149,7 +150,8 @@ def all_triggers(text: bytes, offsets: np.ndarray, length: int, k: int, keep=lam
     for a, b in document_blocks(offsets):
         t = Triggers(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length, k)
         t.take(keep(t.hash))
-        t.place, t.doc = t.place + offsets[a], t.doc + a
+        # What stays for each trigger is small: texts with one at every byte have as many as bytes.
+        t.place, t.doc, t.jmin, t.jmax = t.place + offsets[a], (t.doc + a).astype(np.int32), t.jmin.astype(np.int16), t.jmax.astype(np.int16)
         parts.append(t)
     out = parts[0] if parts else Triggers(raw, offsets, length, k)
     if len(parts) > 1:
@@ -191,25 +193,42 @@ def distinct_hashes(t: Triggers, keys: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return h[heads], many
 
 
+def _distinct(rows: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows once each, in order, with their least key; and for each row given which of them it is."""
+    rows = np.ascontiguousarray(rows)
+    order = np.argsort(rows.view(f"V{rows.shape[1]}").reshape(-1), kind="stable")
+    s = rows[order]
+    new = np.r_[True, (s[1:] != s[:-1]).any(axis=1)] if len(s) else np.empty(0, bool)
+    heads, of = np.flatnonzero(new), np.empty(len(s), np.int32)
+    of[order] = np.cumsum(new, dtype=np.int32) - 1
+    return s[heads], np.minimum.reduceat(least[order], heads) if len(heads) else least, of
+
+
 class Phrases:
-    """The distinct phrases around a chunk's repeated triggers, in order of bucket, with their least key; of holds each trigger's phrase."""
+    """The distinct phrases around a chunk's repeated triggers, in order of bucket, with their least key; of holds each trigger's phrase.
+
+    Some triggers at a time, whose phrases are kept once each, so a run of one character, every place of which may be a trigger, is as few rows as it has phrases.
+    """
 
-    def __init__(self, t: Triggers, text: bytes, keys: np.ndarray, length: int, k: int, n: int):
+    def __init__(self, t: Triggers, text: bytes, keys: np.ndarray, length: int, k: int, n: int, most: int = 1 << 17):
         before = length - k
-        raw = np.frombuffer(bytes(before) + text + bytes(length), np.uint8)
-        rows = raw[(t.place[:, None] + np.arange(before + length))] if len(t.place) else np.empty((0, before + length), np.uint8)
-        at = np.arange(before + length)
-        rows = np.where((at >= before - t.jmax[:, None]) & (at < before + length - t.jmin[:, None]), rows, 0).astype(np.uint8)
-        rows = np.concatenate([rows, t.jmin[:, None].astype(np.uint8), t.jmax[:, None].astype(np.uint8)], axis=1)
-        whole = np.ascontiguousarray(np.concatenate([bucket_of(t.hash, n).astype(">u4").view(np.uint8).reshape(-1, 4), rows], axis=1))
-        order = np.argsort(whole.view(f"V{whole.shape[1]}").reshape(-1), kind="stable")
-        rows, buckets = rows[order], bucket_of(t.hash, n)[order]
-        new = np.r_[True, (whole[order[1:]] != whole[order[:-1]]).any(axis=1)] if len(order) else np.empty(0, bool)
-        heads = np.flatnonzero(new)
-        self.rows, self.buckets = rows[heads], buckets[heads]
-        self.least = np.minimum.reduceat(keys[t.doc[order]], heads) if len(heads) else np.empty(0, np.int64)
-        self.of = np.empty(len(order), np.int64)
-        self.of[order] = np.cumsum(new) - 1
+        width = before + length
+        around = sliding_window_view(np.frombuffer(bytes(before) + text + bytes(length), np.uint8), width)
+        at, parts, done = np.arange(width), [], 0
+        self.of = np.empty(len(t.place), np.int32)
+        for a in range(0, len(t.place), most):
+            here = slice(a, a + most)
+            jmin, jmax = t.jmin[here, None], t.jmax[here, None]
+            rows = around[t.place[here]]
+            rows[(at < before - jmax) | (at >= width - jmin)] = 0
+            bucket = bucket_of(t.hash[here], n).astype(">u4").view(np.uint8).reshape(-1, 4)
+            rows, least, of = _distinct(np.concatenate([bucket, rows, jmin.astype(np.uint8), jmax.astype(np.uint8)], axis=1), keys[t.doc[here]])
+            parts.append((rows, least))
+            self.of[here] = of + done
+            done += len(rows)
+        rows, self.least, of = _distinct(np.concatenate([np.empty((0, width + 6), np.uint8), *(r for r, _ in parts)]), np.concatenate([np.empty(0, np.int64), *(x for _, x in parts)]))
+        self.of = of[self.of] if len(of) else self.of
+        self.rows, self.buckets = rows[:, 4:], np.ascontiguousarray(rows[:, :4]).view(">u4").reshape(-1).astype(np.int64)
 
 
 class Gathered:
