@@ -311,14 +311,19 @@ def held_out(doc_id) -> "F.Column":
     return F.coalesce(unsigned_crc32(doc_id) % FOLDS == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, costs: np.ndarray, rows: int, most_features: int) -> tuple[dict[str, int], np.ndarray, float]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """(text, toxic) of at most `rows` ids of either label that aren't held out. Of rows that share an id, however many, one stands for it: that of the least hash."""
     y = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).where("toxic IN (0, 1) AND doc_id IS NOT NULL")
     y = y.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     first = F.xxhash64(F.lit("sample"), "doc_id")
     sample = y.where("toxic = 1").orderBy(first).limit(rows).unionByName(y.where("toxic = 0").orderBy(first).limit(rows))
     # 2 * rows rows of two numbers at most: the documented bound of the sample.
-    chosen = docs.join(F.broadcast(sample), "doc_id").select("text", "toxic")
+    one = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "toxic")).alias("r"))
+    return one.select("r.text", "r.toxic")
+
 
+def fit(docs: DataFrame, labels: DataFrame, costs: np.ndarray, rows: int, most_features: int) -> tuple[dict[str, int], np.ndarray, float]:
+    chosen = labelled_sample(docs, labels, rows)
     names = {f: i for i, f in enumerate(select_features(chosen, costs, most_features))}
     if not names:
         return {}, np.empty(0), -np.inf

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from pliego.llm import alignment, licenses, periodic, registry
+from pliego.llm import alignment, licenses, periodic, registry, suffixes, toxicity
 
 SCHEMA = "doc_id long, text string, words string, runs int, row long, template int, stripe string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -263,3 +263,37 @@ def test_templates_must_have_words():
         licenses.template_grams(None, (("x", "two words"),), 3)
     with pytest.raises(ValueError):
         licenses.template_grams(None, (("x", "a few words more"),), 3, most=2)
+
+
+def test_toxicity_sample_has_one_row_of_an_id_on_many(spark):
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    ids = [i for i in range(60) if not held(i)]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids] + [(ids[0], f"copy {k}") for k in range(900)] + [(ids[1], None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    got = toxicity.labelled_sample(docs, labels, 20).collect()
+    assert len(got) == 2 * 20 and sum((r.text or "").startswith("copy") for r in got) <= 1
+    assert got and sorted(map(repr, got)) == sorted(map(repr, toxicity.labelled_sample(docs.repartition(7), labels, 20).collect()))
+    assert toxicity.labelled_sample(docs.where("false"), labels, 20).count() == 0
+
+
+@pytest.mark.parametrize("letters", ["a", "lol", '"', "ha"])
+def test_runs_of_triggers_are_few_phrases(letters):
+    import tracemalloc
+
+    np = periodic.np
+    body = (letters * 600_000)[:600_000].encode() * 2
+    offsets, ids = np.array([0, 600_000, 1_200_000]), np.array([4, 9])
+    tracemalloc.start()
+    t = suffixes.all_triggers(body, offsets, 50, 18)
+    p = suffixes.Phrases(t, body, ids, 50, 18, 8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(p.rows) < 500 and peak < 250 << 20
+    gone = suffixes.removed_spans(t, p, suffixes.earlier(suffixes.lowest_keys(p.rows, p.least, 50, 18), p.least), ids, len(body), 50)
+    assert gone[:600_000].sum() == 0 and gone[600_000:].all()
+
+
+def test_repeats_of_long_runs(spark):
+    docs = spark.createDataFrame([(1, "a" * 400_000), (2, "b " + "a" * 300_000), (3, "lol" * 100_000), (4, "x" + "lol" * 50_000 + "y")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.remove_repeats(docs).collect()}
+    assert got == {1: (400_000, 0, 0), 2: (300_002, 300_000, 1), 3: (300_000, 0, 0), 4: (150_002, 150_000, 1)}
