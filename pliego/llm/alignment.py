@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ MOST_DOCS = 1 << 16
 class SegmentAligner:
     """Aligns texts by two tokenizer files: a byte-level BPE of the tokenizers library (A), and a sentencepiece model (B)."""
 
-    def __init__(self, path_a: str, path_b: str, max_entries: int = 250_000, max_chars: int = 5_000_000):
+    def __init__(self, path_a: str, path_b: str, max_entries: int = 350_000, max_chars: int = 8_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
@@ -53,28 +54,33 @@ class SegmentAligner:
             raise ValueError("a piece of B goes over a space, so texts can't be cut there")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.sizes = len(self.bytes_a), len(self.bytes_b)
+        self.size_a, self.size_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
+        self.said_a, self.said_b = list(map(str, range(self.sizes[0]))), list(map(str, range(self.sizes[1])))
         self.max_entries, self.max_chars = max_entries, max_chars
         self.cache: dict[str, tuple | bool] = {}
         self.chars = 0
 
     def _aligned(self, segment: str, a: list[int], b: list[int]) -> tuple | bool:
         """(tokens of A, tokens of B, links, the links' codes, the groups as text); False where bytes differ."""
-        part_a, part_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
         whole = b" " + segment.encode("utf-8", "surrogatepass")
-        if b"".join(part_a) != whole or b"".join(part_b) != whole:
+        if b"".join(map(self.bytes_a.__getitem__, a)) != whole or b"".join(map(self.bytes_b.__getitem__, b)) != whole:
             return False
-        codes, groups, i, j, at_a, at_b, first_a, first_b, width = [], [], 0, 0, 0, 0, 0, 0, self.sizes[0]
-        while i < len(a):
-            at_a += len(part_a[i])
-            i += 1
+        said_a, said_b, size_a, size_b, width = self.said_a, self.said_b, self.size_a, self.size_b, self.sizes[0]
+        codes, groups, j, at_a, at_b, first_a, first_b = array("q"), [], 0, 0, 0, 0, 0
+        for i, x in enumerate(a, 1):
+            at_a += size_a[x]
             while at_b < at_a:
-                at_b += len(part_b[j])
+                y = b[j]
+                at_b += size_b[y]
                 j += 1
             if at_a == at_b:
-                codes.append(b[j - 1] * width + a[i - 1])
-                groups.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
+                codes.append(y * width + x)
+                if i - first_a == 1 == j - first_b:
+                    groups.append(f"{said_a[x]}|{said_b[y]}")
+                else:
+                    groups.append(f"{','.join([said_a[k] for k in a[first_a:i]])}|{','.join([said_b[k] for k in b[first_b:j]])}")
                 first_a, first_b = i, j
-        return len(a), len(b), len(codes), np.array(codes, np.int64).tobytes(), ";".join(groups)
+        return len(a), len(b), len(codes), codes.tobytes(), ";".join(groups)
 
     def _learn(self, segments: list[str]) -> dict:
         found = self.a.encode_batch_fast([" " + s for s in segments], add_special_tokens=False)
