@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, dates, text
 from ..operators import commands, highlights, layout, library
-from ..sources import files
+from ..sources import files, shared, zips
 from .catalogue import NOW_MS, _shown, _store, ms, query, table
 
 # Filters and listings
@@ -367,3 +367,13 @@ def jpeg_headers(spark, d):
     size = lambda c: F.lpad(F.hex(c), 4, "0")
     made = F.unhex(F.concat(F.lit("FFD8FFE000040102FFC0000B08"), size(F.col("l_suppkey")), size(F.col("l_partkey") % 60000), F.lit("03011100FFD9")))
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", files.jpeg_sizes()(made).alias("s")).select("l_orderkey", "l_linenumber", "s.*")
+
+
+@query("SELECT 'pages/' || page_id || '.html' AS name, octet_length(encode(coalesce(html, ''))) AS bytes, sha256(coalesce(html, '')) AS digest FROM pages")
+def archived_pages(spark, d):
+    """Pages written to one archive by many tasks, and read back entry by entry."""
+    entries = table(spark, d, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("name"), F.coalesce("html", F.lit("")).cast("binary").alias("content"))
+    path = f"{shared.workdir(spark, 'archive')}.zip"
+    zips.write_zip(entries, path, part_bytes=1 << 20)
+    read = zips.read_zips(spark, path, task_bytes=1 << 20)
+    return read.select("name", F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("digest"))
