@@ -1,8 +1,4 @@
-"""Streams of scans, frames and pages, in processing time: state per key, in Structured Streaming or over a finished batch.
-
-Each machine is a plain class with step(row) -> emitted row or None and a JSON-able state, so the batch form
-(sorted batches) and the stream (applyInPandasWithState) run the same steps.
-"""
+"""The code filter over finished rows, in sorted batches, and over streams in order; stillness as windows. Rules with timers and rows out of order: timers.py."""
 
 from __future__ import annotations
 
@@ -37,52 +33,6 @@ class CodeFilter:
         return {"camera": row.get("camera"), "code": row["code"], "at": row["at"]}
 
 
-class AutoCapture:
-    """Fires when a sheet was in view and still for long enough; then waits for a pause and another scene.
-
-    Frames: at (ms), sheet (is one in view), corners (8 numbers or None), motion, signature (numbers that sum to 1).
-    """
-
-    WAIT, STILL, PAUSE, LOST, NEW_SCENE = 800, 600, 1500, 3, 0.12
-
-    schema = "camera string, at long, corners array<double>"
-
-    def __init__(self, tolerance: float = 10.0, state: dict | None = None):
-        self.tolerance = tolerance
-        self.s = {"lost": 0, "since": None, "still": None, "corners": None, "paused": 0, "taken": None} | (state or {})
-
-    def state(self) -> dict:
-        return self.s
-
-    def step(self, row: dict) -> dict | None:
-        s, t = self.s, row["at"]
-        if s["taken"] is not None:
-            changed = not row["sheet"] or sum(abs(a - b) for a, b in zip(row["signature"], s["taken"], strict=True)) > self.NEW_SCENE
-            if t < s["paused"] or not changed:
-                return None
-            s.update(taken=None, since=None, still=None)
-        if not row["sheet"]:
-            s["lost"] += 1
-            if s["lost"] > self.LOST:
-                s.update(since=None, still=None, corners=None)
-            return None
-        s["lost"] = 0
-        s["since"] = t if s["since"] is None else s["since"]
-        new, old = list(row["corners"]), s["corners"]
-        close = old is not None and max(abs(a - b) for a, b in zip(new, old, strict=True)) < 0.05
-        s["corners"] = [(a + b) / 2 for a, b in zip(new, old, strict=True)] if close else new
-        waited = t - s["since"]
-        allowed = self.tolerance * min(2.5, 1 + max(0, waited - self.WAIT) / 2000)  # the longer it waits, the less still it must be
-        if row["motion"] > allowed:
-            s["still"] = None
-            return None
-        s["still"] = t if s["still"] is None else s["still"]
-        if waited <= self.WAIT or t - s["still"] <= self.STILL:
-            return None
-        s.update(taken=list(row["signature"]), paused=t + self.PAUSE, since=None, still=None)
-        return {"camera": row["camera"], "at": t, "corners": s["corners"]}
-
-
 def stillness(frames: DataFrame, tolerance: float, still_ms: int = 200, most_ms: int = 1500) -> DataFrame:
     """frames (shot, pressed, at, motion): (shot, pressed, taken), when each photo may be taken.
 
@@ -99,117 +49,6 @@ def stillness(frames: DataFrame, tolerance: float, still_ms: int = 200, most_ms:
     return pressed.join(found, "shot", "left").select("shot", "pressed", F.coalesce("_done", F.col("pressed") + most_ms).alias("taken"))
 
 
-class RepeatWatch:
-    """A page that repeats one of its document's last pages, by fingerprint, nearest first."""
-
-    schema = "doc_id string, page_id string, repeats string"
-
-    def __init__(self, keep: int = 3, state: dict | None = None):
-        self.keep, self.last = keep, (state or {}).get("last", [])
-
-    def state(self) -> dict:
-        return {"last": self.last}
-
-    def step(self, row: dict) -> dict | None:
-        from ..operators.duplicates import fingerprint_alike
-
-        mark = json.loads(row["fingerprint"]) if row["fingerprint"] else None
-        twin = next((p for p, f in reversed(self.last) if mark and f and fingerprint_alike(mark, f)), None)
-        self.last = [*self.last, [row["page_id"], mark]][-self.keep :]
-        return {"doc_id": row["doc_id"], "page_id": row["page_id"], "repeats": twin} if twin else None
-
-
-class Backoff:
-    """Failed attempts: each tells when the next is allowed; a success starts anew."""
-
-    schema = "user string, at long, failures int, until long"
-
-    def __init__(self, state: dict | None = None):
-        self.failures = (state or {}).get("failures", 0)
-
-    def state(self) -> dict:
-        return {"failures": self.failures}
-
-    def step(self, row: dict) -> dict:
-        self.failures = 0 if row["ok"] else self.failures + 1
-        wait = 0 if self.failures < 5 else min(30_000 * 2 ** (self.failures - 5), 900_000)
-        return {"user": row["user"], "at": row["at"], "failures": self.failures, "until": row["at"] + wait}
-
-
-class Queue:
-    """Tasks of a document that were added and not yet finished; its count after each change."""
-
-    schema = "doc_id string, at long, pending int"
-
-    def __init__(self, state: dict | None = None):
-        self.pending = (state or {}).get("pending", 0)
-
-    def state(self) -> dict:
-        return {"pending": self.pending}
-
-    def step(self, row: dict) -> dict:
-        self.pending = max(0, self.pending + row["change"])
-        return {"doc_id": row["doc_id"], "at": row["at"], "pending": self.pending}
-
-
-class Throttle:
-    """A frame passes if the last that passed is long enough ago and nothing is in flight (until)."""
-
-    schema = "camera string, at long"
-
-    def __init__(self, every_ms: int = 130, state: dict | None = None):
-        self.every, self.last, self.busy = every_ms, (state or {}).get("last"), (state or {}).get("busy", 0)
-
-    def state(self) -> dict:
-        return {"last": self.last, "busy": self.busy}
-
-    def step(self, row: dict) -> dict | None:
-        if row["at"] < self.busy or (self.last is not None and row["at"] - self.last < self.every):
-            return None
-        self.last, self.busy = row["at"], row["at"] + row["takes"]
-        return {"camera": row["camera"], "at": row["at"]}
-
-
-class SlowDevice:
-    """One photo that takes too long makes the light mode permanent."""
-
-    schema = "device string, at long, light boolean"
-
-    def __init__(self, limit_ms: int = 3500, state: dict | None = None):
-        self.limit, self.light = limit_ms, (state or {}).get("light", False)
-
-    def state(self) -> dict:
-        return {"light": self.light}
-
-    def step(self, row: dict) -> dict:
-        self.light = self.light or row["took"] > self.limit
-        return {"device": row["device"], "at": row["at"], "light": self.light}
-
-
-class Motion:
-    """The difference from the frame before, normalised to 130 ms; a gap of a second starts anew."""
-
-    schema = "camera string, at long, motion double"
-
-    def __init__(self, state: dict | None = None):
-        self.frame, self.at = (state or {}).get("frame"), (state or {}).get("at")
-
-    def state(self) -> dict:
-        return {"frame": self.frame, "at": self.at}
-
-    def step(self, row: dict) -> dict | None:
-        frame, before = [float(x) for x in row["frame"]], self.frame
-        gap = None if self.at is None else row["at"] - self.at
-        self.frame, self.at = frame, row["at"]
-        if before is None or gap is None or not 0 < gap < 1000:
-            return None
-        if len(before) != len(frame):
-            return {"camera": row["camera"], "at": row["at"], "motion": float("inf")}
-        scale = sum(before) / sum(frame) if sum(frame) else 1.0
-        change = sum(abs(a - b * scale) for a, b in zip(before, frame, strict=True)) / max(1, len(frame))
-        return {"camera": row["camera"], "at": row["at"], "motion": change * 130 / gap}
-
-
 def over_batch(rows: DataFrame, key: str, machine: Callable[..., object], order: str | tuple[str, ...] = "at", **options) -> DataFrame:
     """The machine's output over finished rows, each key's in order. Rows are sorted by Spark and pass in batches, so a key's history is never held whole."""
     columns = [c.split()[0] for c in machine.schema.split(", ")]
@@ -246,55 +85,3 @@ def over_stream(rows: DataFrame, key: str, machine: Callable[..., object], order
 def accepted_codes_batch(scans: DataFrame, quiet_ms: int = 3000, order: str | tuple[str, ...] = "at") -> DataFrame:
     """scans (camera, code, at): those that are told."""
     return over_batch(scans, "camera", CodeFilter, order, quiet_ms=quiet_ms)
-
-
-class Latest:
-    """The last record of a key, as each arrives: diagnostics of the last capture."""
-
-    schema = "key string, at long, record string"
-
-    def __init__(self, state: dict | None = None):
-        self.record = (state or {}).get("record")
-
-    def state(self) -> dict:
-        return {"record": self.record}
-
-    def step(self, row: dict) -> dict:
-        self.record = row["record"]
-        return {"key": row["key"], "at": row["at"], "record": row["record"]}
-
-
-class InactivityLock:
-    """Locks once the library was hidden for as long as the wait. Rows: hidden or shown, at."""
-
-    schema = "user string, at long, locked boolean"
-
-    def __init__(self, wait_ms: int = 60_000, state: dict | None = None):
-        self.wait, self.hidden = wait_ms, (state or {}).get("hidden")
-
-    def state(self) -> dict:
-        return {"hidden": self.hidden}
-
-    def step(self, row: dict) -> dict | None:
-        if row["hidden"]:
-            self.hidden = row["at"] if self.hidden is None else self.hidden
-            return None
-        away, self.hidden = self.hidden, None
-        return {"user": row["user"], "at": row["at"], "locked": away is not None and row["at"] - away >= self.wait}
-
-
-class Retake:
-    """A blurry photo is taken again, twice at most; after that it is kept as it is."""
-
-    schema = "page string, at long, action string"
-
-    def __init__(self, most: int = 2, state: dict | None = None):
-        self.most, self.tried = most, (state or {}).get("tried", 0)
-
-    def state(self) -> dict:
-        return {"tried": self.tried}
-
-    def step(self, row: dict) -> dict:
-        again = row["blurry"] and self.tried < self.most
-        self.tried = self.tried + 1 if again else 0
-        return {"page": row["page"], "at": row["at"], "action": "again" if again else "keep"}
