@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import doc_columns, fresh_worker, prepare, unsigned_crc32
+from ._common import doc_columns, fresh_worker, materialize, prepare, shuffle_partitions, unsigned_crc32
 
 GAP = 26
 #: What signs stand for, besides noise.
@@ -323,7 +323,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, costs: np.ndarray, rows: int, most_features: int) -> tuple[dict[str, int], np.ndarray, float]:
-    chosen = labelled_sample(docs, labels, rows)
+    # Written, as it is read three times, and dealt evenly, as its few rows are dear.
+    chosen, _ = materialize(labelled_sample(docs, labels, rows).repartition(shuffle_partitions(docs.sparkSession)), "labelled")
     names = {f: i for i, f in enumerate(select_features(chosen, costs, most_features))}
     if not names:
         return {}, np.empty(0), -np.inf
