@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from pliego.llm import alignment, licenses, periodic, registry, suffixes, toxicity
+from pliego.llm import alignment, licenses, periodic, quality, registry, suffixes, toxicity
 
 SCHEMA = "doc_id long, text string, words string, runs int, row long, template int, stripe string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -297,3 +297,34 @@ def test_repeats_of_long_runs(spark):
     docs = spark.createDataFrame([(1, "a" * 400_000), (2, "b " + "a" * 300_000), (3, "lol" * 100_000), (4, "x" + "lol" * 50_000 + "y")], "doc_id long, text string")
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.remove_repeats(docs).collect()}
     assert got == {1: (400_000, 0, 0), 2: (300_002, 300_000, 1), 3: (300_000, 0, 0), 4: (150_002, 150_000, 1)}
+
+
+def test_texts_without_frequent_lines(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    foot, part = ["Contact us  at 555-0199", "", "  All   pages"], "shared line of six words here"
+    rows = []
+    for i in range(40):
+        lines = [" ".join(word() for _ in range(12)) for _ in range(6)]
+        rows.append((i, "\n".join(lines + (foot if i < 30 else []) + ([part] * 8 if i in (3, 4, 5, 6, 7) else [])), "h", 1, "clash", 3))
+    rows += [rows[0], (None, None, None, None, None, None), (99, "short", "h", 1, "clash", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, row string, gone int").repartition(3)
+    got = quality.cleaned(df)
+    assert got.columns == df.columns
+    normal = lambda x: " ".join(re.sub("[0-9]", "0", x).lower().split())
+    texts = {}
+    for r in rows:
+        texts.setdefault(r[2], set()).add(r[1] or "")
+    want = []
+    for r in rows:
+        text = r[1] or ""
+        held = lambda x: sum(normal(x) in {normal(y) for y in t.split("\n")} for t in texts[r[2]])  # noqa: B023, E731
+        frequent = [x for x in text.split("\n") if x.split() and held(x) > max(3, 0.02 * len(texts[r[2]]))]
+        n = len(text.split())
+        if n >= 50 and sum(len(x.split()) for x in frequent) <= 0.3 * n and not quality.repeated_words(text.split()) * 2 > n:
+            left = "\n".join(x for x in text.split("\n") if x not in frequent)
+            want.append((r[0], left, "h", len(left), "clash", 3))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and 30 < len(want) < 41 and any("Contact" in r[1] and "Contact" not in w[1] for r in rows for w in want if r[0] == w[0] and r[1])
+    judged = {(r.doc_id, r.kept) for r in quality.judge(df).collect()}
+    assert {w[0] for w in want} == {i for i, kept in judged if kept}
+    assert quality.cleaned(df.where("false")).count() == 0
