@@ -151,18 +151,19 @@ def trash_pages(docs: DataFrame, pages: DataFrame, doc_id, ids: list, now: int)
     pages = pages.join(place, F.col("id") == F.col("_page"), "left")
     stamp = F.struct(F.lit(now).cast("long").alias("cuando"), F.col("_at").cast("int").alias("lugar"))
     pages = pages.withColumn("papelera", F.when(F.col("_page").isNotNull(), stamp).otherwise(F.col("papelera"))).drop("_page", "_at")
-    return _change(docs, doc_id, paginas=arrays.without(F.col("paginas"), items)), pages
+    return _change(docs, doc_id, paginas=arrays.without(F.col("paginas"), items), modificado=F.lit(now)), pages
 
 
-def restore_page(docs: DataFrame, pages: DataFrame, page_id) -> Store:
-    """Back at its old place, or at the end of what is shorter now; it stays trashed if its document is gone."""
+def restore_page(docs: DataFrame, pages: DataFrame, page_id, now: int | None = None) -> Store:
+    """Back at its old place, or at the end of what is shorter now; it stays trashed if its document is gone. With a time, that is when the document changed."""
     page = pages.where((F.col("id") == F.lit(page_id)) & F.col("papelera").isNotNull()).select("doc_id", "papelera.lugar").first()
     if page is None or not _has(docs, page.doc_id):
         return docs, pages
     item = F.lit(page_id).cast(pages.schema["id"].dataType)
     at = F.lit(page.lugar) if page.lugar is not None else F.size("paginas")
     back = F.when(F.array_contains("paginas", item), F.col("paginas")).otherwise(arrays.insert_at(F.col("paginas"), item, at))
-    return _change(docs, page.doc_id, paginas=back), _change(pages, page_id, papelera=F.lit(None).cast(TRASHED))
+    changed = {} if now is None else {"modificado": F.lit(now)}
+    return _change(docs, page.doc_id, paginas=back, **changed), _change(pages, page_id, papelera=F.lit(None).cast(TRASHED))
 
 
 def delete_trashed_page(pages: DataFrame, page_id) -> DataFrame:
@@ -211,6 +212,13 @@ def save_marks(pages: DataFrame, page_id, marks) -> DataFrame:
     return _change(pages, page_id, marcas=marks)
 
 
+def touch_document_of(docs: DataFrame, pages: DataFrame, page_id, now: int) -> DataFrame:
+    """docs, of which the page's has now as its time of change: what goes with reprocess and save_marks. The page's row stays where it is."""
+    of = pages.where(F.col("id") == F.lit(page_id)).select(F.col("doc_id").alias("_touched")).distinct()
+    out = docs.join(F.broadcast(of), docs["id"] == F.col("_touched"), "left")  # one row
+    return out.withColumn("modificado", F.when(F.col("_touched").isNotNull(), F.lit(now).cast(docs.schema["modificado"].dataType)).otherwise(F.col("modificado"))).select(*docs.columns)
+
+
 def last_of_each(rows: DataFrame, key: str, at: str) -> DataFrame:
     """The latest row of each key: what a sequence of upserts leaves."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(at)))).where("_n = 1").drop("_n")

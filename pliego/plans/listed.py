@@ -342,6 +342,27 @@ def saved_covers(spark, d):
     return commands.save_cover(docs, pages, 4, cover, NOW_MS)[1].select("id", "doc_id", "text")
 
 
+@query(f"SELECT conv_id * 1000 + turn AS id, CASE WHEN conv_id = 3 AND turn = 1 THEN 90 ELSE 0 END AS rotacion, CASE WHEN conv_id = 3 AND turn = 1 THEN 12 WHEN turn = 1 THEN 5 ELSE 0 END AS brillo, NOT (conv_id = 3 AND turn = 1) AS read, CASE WHEN conv_id = 3 THEN {NOW_MS} ELSE conv_id * 1000 END AS changed FROM conversations")
+def reprocessed_pages(spark, d):
+    """One page turned and lightened: its read text goes, what isn't said stays, and its document has changed."""
+    docs, pages = _store(spark, d)
+    pages = pages.withColumns({"rotacion": F.lit(0), "brillo": F.when(F.col("id") % 1000 == 1, 5).otherwise(0), "ocr": F.struct(F.lit("spa").alias("idioma"))})
+    docs = commands.touch_document_of(docs, pages, 3001, NOW_MS)
+    pages = commands.reprocess(pages, 3001, {"rotacion": 90, "brillo": 12})
+    changed = docs.select(F.col("id").alias("doc_id"), F.col("modificado").alias("changed"))
+    return pages.join(changed, "doc_id").select("id", "rotacion", "brillo", F.col("ocr").isNotNull().alias("read"), "changed")
+
+
+@query(f"SELECT conv_id * 1000 + turn AS id, CASE WHEN conv_id = 4 AND turn = 0 THEN 'nota' END AS kind, CASE WHEN conv_id = 4 THEN {NOW_MS} ELSE conv_id * 1000 END AS changed FROM conversations")
+def saved_marks(spark, d):
+    """Marks on one page; its document has changed."""
+    docs, pages = _store(spark, d)
+    pages = pages.withColumn("marcas", F.lit(None).cast("array<struct<tipo:string>>"))
+    docs = commands.touch_document_of(docs, pages, 4000, NOW_MS)
+    pages = commands.save_marks(pages, 4000, F.array(F.struct(F.lit("nota").alias("tipo"))))
+    return pages.join(docs.select(F.col("id").alias("doc_id"), F.col("modificado").alias("changed")), "doc_id").select("id", F.get("marcas", F.lit(0))["tipo"].alias("kind"), "changed")
+
+
 @query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'espera=9,huella=h,otro=x,pin=p' WHEN 1 THEN 'espera=60000,fallos=2,otro=x,pin=' || c_custkey ELSE 'otro=x' END AS settings FROM customer")
 def lock_changes(spark, d):
     """A new PIN forgets failures; a new wait without the fingerprint; no lock at all."""
