@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from ..operators import library
+
 
 class CodeFilter:
     """A camera tells a code unless it is the one told last and was put away less than `quiet` ago; while one is shown, none is told.
@@ -49,24 +51,28 @@ def stillness(frames: DataFrame, tolerance: float, still_ms: int = 200, most_ms:
     return pressed.join(found, "shot", "left").select("shot", "pressed", F.coalesce("_done", F.col("pressed") + most_ms).alias("taken"))
 
 
-def over_batch(rows: DataFrame, key: str, machine: Callable[..., object], order: str | tuple[str, ...] = "at", **options) -> DataFrame:
-    """The machine's output over finished rows, each key's in order. Rows are sorted by Spark and pass in batches, so a key's history is never held whole."""
+def over_batch(rows: DataFrame, key: str, machine: Callable[..., object], order: str | tuple[str, ...] = "at", within: tuple[str, ...] = (), **options) -> DataFrame:
+    """The machine's output over finished rows, each key's in order. Rows are sorted by Spark and pass in batches, so a key's history is never held whole.
+
+    within: columns that part a key into stretches between which the machine's state doesn't matter.
+    """
     columns = [c.split()[0] for c in machine.schema.split(", ")]
     orders = (order,) if isinstance(order, str) else order
+    parts = (key, *within)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, now = None, None
         for pdf in batches:
             out = []
             for r in pdf.to_dict("records"):
-                k = None if r[key] is None or r[key] != r[key] else r[key]
+                k = tuple(None if r[c] is None or r[c] != r[c] else r[c] for c in parts)
                 if m is None or k != now:
                     m, now = machine(**options), k
                 if e := m.step(r):
                     out.append(e)
             yield pd.DataFrame(out, columns=columns)
 
-    return rows.repartition(key).sortWithinPartitions(key, *orders).mapInPandas(run, machine.schema)
+    return rows.repartition(*parts).sortWithinPartitions(*parts, *orders).mapInPandas(run, machine.schema)
 
 
 def over_stream(rows: DataFrame, key: str, machine: Callable[..., object], order: str = "at", **options) -> DataFrame:
@@ -82,6 +88,20 @@ def over_stream(rows: DataFrame, key: str, machine: Callable[..., object], order
     return rows.groupBy(key).applyInPandasWithState(run, machine.schema, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
+def quiet_stretches(scans: DataFrame, key: str, quiet_ms: int, name: str = "_stretch") -> DataFrame:
+    """scans (key, at, and perhaps shown) with a number that changes only after a pause longer than quiet_ms.
+
+    Time is cut into spans of that length; spans in use next to each other, up to one that isn't, are a stretch: a span's number less its place among those in use. Places come from
+    counts of ranges, so a key with most of the rows is many tasks' work.
+    """
+    first = F.floor(F.col("at") / quiet_ms)
+    shown = F.coalesce(F.col("shown"), F.lit(0)) if "shown" in scans.columns else F.lit(0)
+    used = scans.select(F.col(key).alias("_k"), F.explode(F.sequence(first, F.floor((F.col("at") + shown) / quiet_ms))).alias("_b")).distinct()
+    placed = library.numbered(used, "_k", "_b").select("_k", "_b", (F.col("_b") - F.col("n")).alias(name))
+    out = scans.withColumn("_first", first).join(placed, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_first") == F.col("_b")))
+    return out.select(*scans.columns, name)
+
+
 def accepted_codes_batch(scans: DataFrame, quiet_ms: int = 3000, order: str | tuple[str, ...] = "at") -> DataFrame:
-    """scans (camera, code, at): those that are told."""
-    return over_batch(scans, "camera", CodeFilter, order, quiet_ms=quiet_ms)
+    """scans (camera, code, at): those that are told. A camera's stretches between pauses are told apart by themselves, as after a pause any code is told."""
+    return over_batch(quiet_stretches(scans, "camera", quiet_ms), "camera", CodeFilter, order, within=("_stretch",), quiet_ms=quiet_ms)

@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from pliego.streaming import timers
+from pliego.streaming import capture, timers
 
 SCHEMA = "key string, time timestamp, tie long, code string, hidden boolean, ok boolean"
 
@@ -114,3 +114,16 @@ def test_late_rows_are_counted(spark, tmp_path):
     late = [(*rows[0][:2], 10_000 + k, *rows[0][3:]) for k in range(3)]
     got, q = streamed(spark, str(tmp_path), [rows[:150], rows[150:], late], "1 second", lambda s, d: timers.over_stream(s, timers.Codes(), d))
     assert got == sorted(codes(rows), key=repr) and timers.late_rows(q) == 3
+
+
+@pytest.mark.parametrize("shown", [0, 700])
+def test_codes_over_finished_rows_in_stretches(spark, shown):
+    rows = [(r[0] if r[0] != "c" else None, r[3], r[1], shown, r[2]) for r in events()]
+    df = spark.createDataFrame(rows, "camera string, code string, at long, shown long, tie long").repartition(3)
+    want = []
+    for camera in ("a", "b", None):
+        m = capture.CodeFilter(3000)
+        want += [(camera, e["code"], e["at"]) for r in rows if r[0] == camera and (e := m.step({"camera": camera, "code": r[1], "at": r[2], "shown": r[3]}))]
+    assert sorted(map(tuple, capture.accepted_codes_batch(df, order=("at", "tie")).collect()), key=repr) == sorted(want, key=repr)
+    stretches = capture.quiet_stretches(df, "camera", 3000)
+    assert stretches.select("camera", "_stretch").distinct().count() > 20 and stretches.count() == len(rows)
