@@ -185,7 +185,8 @@ def stretches(ids: np.ndarray, least: int, exponent: int) -> list[tuple[int, int
     """Parts [a, b) of a sequence that hold all its runs, each run whole in one part.
 
     A run's words after its first period all came at most that period before, and the run is `exponent` periods long. So such words lie between
-    two places whose last occurrence is farther back than the part between them allows; parts are cut at these again until none is left.
+    two places whose last occurrence is farther back than the part between them allows; parts are cut at these again until none is left, or until so little
+    goes that cutting on could cost the square of the length. What is cut too seldom is longer than need be, no more.
     """
     n = len(ids)
     if n < least:
@@ -204,7 +205,11 @@ def stretches(ids: np.ndarray, least: int, exponent: int) -> list[tuple[int, int
             continue
         starts, ends = np.concatenate([[a], cuts + 1]), np.concatenate([cuts, [b]])
         long = ends - starts >= shortest
-        todo += zip(starts[long].tolist(), ends[long].tolist(), strict=True)
+        for x, y in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
+            if 10 * (y - x) > 9 * (b - a):
+                parts.append((max(0, x - (y - x) // (exponent - 1)), y))
+            else:
+                todo.append((x, y))
     out: list[tuple[int, int]] = []
     for a, b in sorted(parts):
         if out and a < out[-1][1]:
