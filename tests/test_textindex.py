@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pliego.functions import text
-from pliego.operators import textindex
+from pliego.operators import search, textindex
 from pliego.plans import oracle_sql, queries
 
 
@@ -72,6 +72,17 @@ def test_first_hits_by_index(spark, tmp_path):
     assert [tuple(r) for r in textindex.first_hits(spark, str(tmp_path), "doc", "DÓS uno").collect()] == [("d", 2, "dos uno", 1)]
 
 
+def test_global_search_by_index(spark, tmp_path):
+    docs = spark.createDataFrame([("d", "Uno dos", 5, "f", None, ["p1", "gone", "p2", "p1"]), ("e", "Tres", 6, None, None, ["p3"]), ("t", "Uno", 7, None, 1, ["p4"])], "id string, nombre string, modificado long, carpeta_id string, papelera long, paginas array<string>")
+    pages = spark.createDataFrame([("p1", "uno ñandú"), ("p2", "dos uno"), ("p3", None), ("p4", "uno dos")], "id string, texto string")
+    folders = spark.createDataFrame([("f", "Carpeta")], "id string, nombre string")
+    textindex.write_segment(pages.select(F.col("id").alias("page_id"), F.col("texto").alias("text")), str(tmp_path))
+    for query in ["UNO", "dos uno", "nandu", "tres", "carpeta", "x", ""]:
+        scanned, found = (search.search(docs, pages, folders, query, root).collect() for root in (None, str(tmp_path)))
+        assert scanned == found, query
+    assert len(search.search(docs, pages, folders, "uno", str(tmp_path)).collect()) == 1
+
+
 def test_every_character_folds_by_itself(spark):
     texts = ["".join(map(chr, range(a, min(a + 4096, 0x10000)))) for a in range(0, 0x10000, 4096)]
     texts = [re.sub("[\ud800-\udfff]", "", t) for t in texts] + ["ΟΔΟΣ İ ß", "𐐀 𝅥", "각́ 힣"]
