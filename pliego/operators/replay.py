@@ -166,7 +166,7 @@ def _out_schema(doc: str, page: str) -> str:
     return f"what string, doc {doc}, seq long, paginas array<{page}>, modificado long, papelera long, history {history}, page {page}, event string, cuando long, lugar int, there boolean"
 
 
-def _arrow(spark, schema: str) -> pa.Schema:
+def _arrow(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return to_arrow_schema(T._parse_datatype_string(schema))
@@ -174,7 +174,8 @@ def _arrow(spark, schema: str) -> pa.Schema:
 
 def folded(rows: DataFrame, schema: str, keep: int) -> DataFrame:
     """rows (doc, seq, role, …) of many documents through Fold, each document's in order."""
-    arrow = _arrow(rows.sparkSession, schema)
+    shared.ship(rows.sparkSession)
+    arrow = _arrow(schema)
 
     def work(batches):
         now = None

@@ -6,11 +6,29 @@ import atexit
 import re
 import tempfile
 import uuid
+import zipfile
 from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable in executors' Python workers."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        to = Path(tempfile.mkdtemp(prefix="pliego-")) / "pliego_library.zip"
+        with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(package.rglob("*.py")):
+                z.write(p, p.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(to))
+        _shipped.add(app)
+
+
 @cache
 def _local_root(application: str) -> str:
     return f"file://{tempfile.mkdtemp(prefix='pliego-shared-')}"

@@ -125,6 +125,7 @@ def read_zips(spark: SparkSession, paths: list[str] | str, most: int = MOST_BYTE
             for uri, name, method, crc, packed, _, offset in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([name]), pa.array([content(uri, name, method, crc, packed, offset, most)], pa.binary())], ["path", "name", "content"])
 
+    shared.ship(spark)
     files = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"))
     listed = shared.written(files.repartition("path").mapInArrow(list_, DIRECTORY), "directory")
     parts = max(1, -(-(listed.agg(F.sum(F.col("packed") + 4096)).first()[0] or 0) // task_bytes))
@@ -169,6 +170,7 @@ def placed(entries: DataFrame, parts: int) -> DataFrame:
 
 def write_zip(entries: DataFrame, path: str, part_bytes: int = 64 << 20) -> int:
     """entries (name, content) as one archive of stored entries, in order of name; returns how many there are. A null content is empty."""
+    shared.ship(entries.sparkSession)
     entries = entries.select("name", F.coalesce("content", F.lit(b"")).alias("content"))
     total = entries.agg(F.count("*").alias("n"), F.sum(F.octet_length("content") + F.octet_length("name") + LOCAL_SIZE).alias("b")).first()
     n, start, local = total.n, int(total.b or 0), path.removeprefix("file://")

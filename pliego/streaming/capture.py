@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from ..operators import library
+from ..sources.shared import ship
 
 
 class CodeFilter:
@@ -59,6 +60,7 @@ def over_batch(rows: DataFrame, key: str, machine: Callable[..., object], order:
     columns = [c.split()[0] for c in machine.schema.split(", ")]
     orders = (order,) if isinstance(order, str) else order
     parts = (key, *within)
+    ship(rows.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, now = None, None
@@ -78,6 +80,7 @@ def over_batch(rows: DataFrame, key: str, machine: Callable[..., object], order:
 def over_stream(rows: DataFrame, key: str, machine: Callable[..., object], order: str = "at", **options) -> DataFrame:
     """The machine over a stream; its state lives in the query's state store."""
     columns = [c.split()[0] for c in machine.schema.split(", ")]
+    ship(rows.sparkSession)
 
     def run(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         m = machine(**options, state=json.loads(state.get[0]) if state.exists else None)

@@ -8,13 +8,18 @@ rule without state and a key without waiting rows leave nothing in the store. Ro
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+# A processor is also made in a worker on the driver, which has no files that a session ships: so this module travels with it, not by name.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: State with timers needs this store; a session has it as spark.sql.streaming.stateStore.providerClass.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
