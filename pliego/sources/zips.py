@@ -11,6 +11,7 @@ allow writing at places of a file, as local and mounted ones do.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -34,7 +35,7 @@ DIRECTORY = "path string, name string, method int, crc long, packed long, unpack
 def _open(uri: str):
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(uri)
+    system, path = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
     return system.open_input_file(path)
 
 
@@ -173,7 +174,7 @@ def write_zip(entries: DataFrame, path: str, part_bytes: int = 64 << 20) -> int:
     shared.ship(entries.sparkSession)
     entries = entries.select("name", F.coalesce("content", F.lit(b"")).alias("content"))
     total = entries.agg(F.count("*").alias("n"), F.sum(F.octet_length("content") + F.octet_length("name") + LOCAL_SIZE).alias("b")).first()
-    n, start, local = total.n, int(total.b or 0), path.removeprefix("file://")
+    n, start, local = total.n, int(total.b or 0), re.sub("^file:/+", "/", path)
     part = f"{local}.{uuid.uuid4().hex}.part"
     os.close(os.open(part, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
 

@@ -81,7 +81,7 @@ def test_archives_are_written_in_parts(spark, tmp_path, part):
     files = made(2)
     df = spark.createDataFrame([(n, bytearray(d)) for n, d in files.items()] + [("null", None)], "name string, content binary").repartition(5)
     path = tmp_path / "out.zip"
-    assert zips.write_zip(df, f"file://{path}", part) == len(files) + 1
+    assert zips.write_zip(df, f"file:{path}" if part == 3000 else f"file://{path}", part) == len(files) + 1
     with zipfile.ZipFile(path) as z:
         assert z.testzip() is None and z.namelist() == sorted([*files, "null"])
         assert {n: z.read(n) for n in z.namelist()} == files | {"null": b""}
