@@ -33,8 +33,12 @@ def _files(spark, d, *columns) -> tuple[str, str]:
 
 
 def _streamed(spark, folder, schema, make) -> DataFrame:
-    store = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", timers.STORE)
+    """What a stream over the files gives, run to their end. Its state is dealt to as many partitions as there are cores, at most: each is a store that every batch opens."""
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    own = {"spark.sql.streaming.stateStore.providerClass": timers.STORE, "spark.sql.shuffle.partitions": str(parts)}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(folder).withColumn("time", F.col("time").cast("timestamp"))
         made = make(stream)
@@ -42,7 +46,8 @@ def _streamed(spark, folder, schema, make) -> DataFrame:
         timers.run(made, out, shared.workdir(spark, "state"))
         return spark.read.schema(made.schema).parquet(out).where("key <> ''")
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", store)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 @query(_CODES_SQL)
