@@ -22,6 +22,11 @@ def _squares(rows: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, ce
     return rows.withColumn("_x", span(x0, x1)).withColumn("_y", span(y0, y1))
 
 
+def _met(squares: DataFrame, others: DataFrame) -> DataFrame:
+    """Rows of the same square of a page. Spark takes squares for no more than the rows they come from, and would send all of them through the driver to each executor: so they are sorted."""
+    return squares.hint("merge").join(others, ["page_id", "_x", "_y"])
+
+
 def legs(strokes: DataFrame, points: str = "points") -> DataFrame:
     """strokes, once for each leg (ax, ay) to (bx, by) in pixels, without their points; a stroke of one point is a leg of none."""
     n = F.floor(F.size(points) / 2).cast("int")
@@ -48,7 +53,7 @@ def touching(strokes: DataFrame, words: DataFrame, cell: float = CELL) -> DataFr
     own, wide = 0.9 * F.col("half"), F.col("thickness") * F.col("width") / 2
     w = _squares(w, F.col("cx") - own, F.col("cy") - own, F.col("cx") + own, F.col("cy") + own, cell)
     parts = legs(strokes.select("page_id", "stroke", "color", "thickness", "points", "width", "height").withColumn("wide", wide))
-    met = leg_squares(parts.drop("thickness", "width", "height"), F.col("wide"), cell).join(w, ["page_id", "_x", "_y"])
+    met = _met(leg_squares(parts.drop("thickness", "width", "height"), F.col("wide"), cell), w)
     touched = met.where(arrays.segment_distance(F.col("cx"), F.col("cy"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= F.greatest(F.col("wide"), own))
     return touched.groupBy("page_id", "line", "word").agg(F.min(F.struct("stroke", "color", "t")).alias("s")).select("page_id", "line", "word", "s.*")
 
@@ -82,10 +87,10 @@ def mark_at(marks: DataFrame, points: DataFrame, margin: float = 0.0) -> DataFra
     box = F.col("kind").isin("nota", "firma")
     spots = points.select("page_id", "point_id", "x", "y", F.floor(F.col("x") / CELL).cast("long").alias("_x"), F.floor(F.col("y") / CELL).cast("long").alias("_y"))
     edges = [F.col("box.x") - margin, F.col("box.y") - margin, F.col("box.x") + F.col("box.w") + margin, F.col("box.y") + F.col("box.h") + margin]
-    in_box = _squares(marks.where(box).select("page_id", "mark", "box"), *edges, CELL).join(spots, ["page_id", "_x", "_y"])
+    in_box = _met(_squares(marks.where(box).select("page_id", "mark", "box"), *edges, CELL), spots)
     in_box = in_box.where(F.col("x").between(edges[0], edges[2]) & F.col("y").between(edges[1], edges[3]))
     lines = marks.where(~F.coalesce(box, F.lit(False))).select("page_id", "mark", "points", "width", "height", (F.col("thickness") * F.col("width") / 2 + margin).alias("wide"))
-    near = leg_squares(legs(lines).drop("width", "height"), F.col("wide")).join(spots, ["page_id", "_x", "_y"])
+    near = _met(leg_squares(legs(lines).drop("width", "height"), F.col("wide")), spots)
     near = near.where(arrays.segment_distance(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= F.col("wide"))
     return in_box.select("point_id", "mark").unionByName(near.select("point_id", "mark")).groupBy("point_id").agg(F.max("mark").alias("mark"))
 

@@ -190,6 +190,32 @@ def test_highlights(spark):
     assert turned.points == pytest.approx([0.7, 0.2, 0.7, 0.4])
 
 
+STROKE = "page_id string, stroke int, color string, thickness double, points array<double>, width double, height double"
+
+
+@pytest.mark.parametrize("half, px, py, ax, ay, dx, dy, touched", [(10, 392, 696, 377, 701, 720, 210, True), (10, 553, 1002, 541, 993, 63, 216, True), (14, 527, 760, 518, 769, 32, 24, False), (18, 79, 504, 52, 504, 56, 42, False)])
+def test_words_as_far_as_their_reach_are_touched_as_in_sql(spark, half, px, py, ax, ay, dx, dy, touched):
+    s = spark.createDataFrame([("p", 0, "verde", 0.001, [ax / 1024, ay / 1024, (ax + dx) / 1024, (ay + dy) / 1024], 1024.0, 1024.0)], STROKE)
+    w = spark.createDataFrame([("p", 0, 0, "a", px - 10, py - half, px + 10, py + half)], "page_id string, line int, word int, t string, x0 int, y0 int, x1 int, y1 int")
+    assert (highlights.touching(s, w).count() == 1) == touched
+
+
+def test_squares_stay_off_the_driver(spark, tmp_path):
+    def stored(df, name):
+        df.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    strokes = spark.createDataFrame([("p", 0, "verde", 0.01, [0.1, 0.1, 0.9, 0.9], 1024.0, 1024.0)], STROKE)
+    words = spark.createDataFrame([("p", 0, 0, "a", 500, 500, 520, 520)], "page_id string, line int, word int, t string, x0 int, y0 int, x1 int, y1 int")
+    box = F.struct(*[F.lit(500.0).alias(c) for c in "xywh"])
+    marks = strokes.select("page_id", F.col("stroke").alias("mark"), F.lit("resaltador").alias("kind"), box.alias("box"), "thickness", "points", "width", "height")
+    marks = marks.unionByName(marks.withColumns({"mark": F.col("mark") + 1, "kind": F.lit("nota")}))
+    spots = words.select("page_id", F.lit(1).alias("point_id"), F.lit(510.0).alias("x"), F.lit(510.0).alias("y"))
+    strokes, words, marks, spots = (stored(df, k) for k, df in {"s": strokes, "w": words, "m": marks, "p": spots}.items())
+    for found in (highlights.touching(strokes, words), highlights.mark_at(marks, spots)):
+        assert found.count() == 1 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def page(k, shift=(0, 0), lit=1.0, noise=0, size=(480, 360)):
     rng, img = np.random.default_rng(k), np.full((*size, 4), 235.0)
     for row in range(26):
