@@ -78,7 +78,8 @@ def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column,
     dx, dy = bx - ax, by - ay
     length = dx * dx + dy * dy
     t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * dx + (py - ay) * dy) / length))).otherwise(0.0)
-    return F.hypot(px - ax - t * dx, py - ay - t * dy)
+    x, y = px - ax - t * dx, py - ay - t * dy
+    return F.sqrt(x * x + y * y)  # as SQL has it; hypot rounds otherwise, which decides what lies at a reach exactly
 
 
 def light_curve(value: Column, brightness: float, contrast: float) -> Column:
