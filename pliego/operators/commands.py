@@ -34,9 +34,9 @@ def _has(docs: DataFrame, doc_id) -> bool:
 def upsert(rows: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """new over rows by key. Of rows of new that share a key the last stays, in the order of its partitions and of rows within them. A null key is a key like others."""
     gone = new.select(F.col(key).alias("_key")).distinct()
+    # new is numbered and read once: a second reading may come in another order, so with other numbers.
     nth = new.withColumn("_nth", F.monotonically_increasing_id())
-    last = nth.groupBy(F.col(key).alias("_key")).agg(F.max("_nth").alias("_last"))
-    chosen = nth.join(last, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_nth") == F.col("_last")), "left_semi").drop("_nth")
+    chosen = nth.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*new.columns), "_nth").alias("_row")).select("_row.*")
     return rows.join(gone, F.col(key).eqNullSafe(F.col("_key")), "left_anti").unionByName(chosen, allowMissingColumns=True)
 
 

@@ -287,9 +287,10 @@ def _few(spark, d):
 @query("SELECT conv_id * 1000 + turn AS id, conv_id AS doc_id, conv_id * 1000 + turn + 5 AS creada, CASE WHEN turn = 1 THEN 'new' ELSE text END AS text FROM conversations")
 def replaced_pages(spark, d):
     """New content for every second page; its document and time stay."""
-    _, pages = _few(spark, d)
-    new = pages.where("id % 1000 = 1").select("id", F.lit(-1).cast("long").alias("doc_id"), F.lit("new").alias("text"), "papelera", F.lit(None).cast("long").alias("creada"))
-    return commands.replace_page(pages, new).select("id", "doc_id", "creada", "text")
+    number = F.col("conv_id") * 1000 + F.col("turn")  # not a key: a conversation may have more turns than that
+    pages = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("id"), F.col("conv_id").alias("doc_id"), "text", (number + 5).alias("creada"))
+    new = pages.where("id.turn = 1").select("id", F.lit(-1).cast("long").alias("doc_id"), F.lit("new").alias("text"), F.lit(None).cast("long").alias("creada"))
+    return commands.replace_page(pages, new).select((F.col("id.conv_id") * 1000 + F.col("id.turn")).alias("id"), "doc_id", "creada", "text")
 
 
 @query("SELECT id, doc_id FROM (SELECT conv_id * 1000 + turn AS id, conv_id AS doc_id FROM conversations WHERE conv_id % 2 = 0 UNION ALL SELECT DISTINCT conv_id * 1000 + 500, conv_id FROM conversations WHERE conv_id % 2 = 1)")

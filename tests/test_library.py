@@ -216,6 +216,21 @@ def test_squares_stay_off_the_driver(spark, tmp_path):
         assert found.count() == 1 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_new_rows_come_whole_when_each_reading_has_another_order(spark):
+    chance = F.udf(lambda i: __import__("os").urandom(8).hex(), "string").asNondeterministic()
+    rows = spark.range(300).withColumn("text", F.lit("old"))
+    new = spark.range(300).select("id", F.concat(F.lit("new"), "id").alias("text"), chance("id").alias("r")).orderBy("r").drop("r")
+    got = commands.upsert(rows, new)
+    assert sorted(tuple(r) for r in got.collect()) == [(k, f"new{k}") for k in range(300)]
+
+
+def test_replaced_pages_of_a_long_conversation(spark, tmp_path):
+    turns = [(c, t, "user", f"{c} {t}") for c in (0, 1) for t in range(1003)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = plans.queries()["replaced_pages"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == sorted((c * 1000 + t, c, c * 1000 + t + 5, "new" if t == 1 else x) for c, t, _, x in turns)
+
+
 def page(k, shift=(0, 0), lit=1.0, noise=0, size=(480, 360)):
     rng, img = np.random.default_rng(k), np.full((*size, 4), 235.0)
     for row in range(26):
