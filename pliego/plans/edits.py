@@ -75,10 +75,12 @@ def replay_documents(spark, d):
 
 @query(_STATE + "SELECT x.page AS id, id AS doc_id, x.cuando AS went, x.lugar AS place FROM (SELECT id, unnest(k) AS x FROM z)")
 def replay_trash(spark, d):
-    """Pages in the trash after a command for each event, with the documents that they are of, when they went and where they stood."""
+    """Pages in the trash after a command for each event, with the documents that they are of, when they went and where they stood.
+
+    From document 10,000 on pages that events add have the numbers of other documents' turns; the trash of each document is its own.
+    """
     docs, pages = store(spark, d)
-    _, pages = replay.replay(docs, pages, commands(spark, d))
-    return pages.where("papelera IS NOT NULL").select("id", "doc_id", F.col("papelera.cuando").alias("went"), F.col("papelera.lugar").cast("long").alias("place"))
+    return replay.trashed(docs, pages, commands(spark, d)).select("id", "doc_id", F.col("cuando").alias("went"), F.col("lugar").cast("long").alias("place"))
 
 
 @query(_STATE + "SELECT id, CAST(CASE WHEN len(h) = 0 THEN p ELSE h[greatest(1, len(h) - 2)] END AS VARCHAR) AS pages FROM z")
