@@ -87,45 +87,42 @@ class Ordered(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long, tie long", "row string")
+        self.waiting = handle.getListState("waiting", "rows string")  # a batch's rows are one entry
         self.state = handle.getValueState("state", "state string, due long")
 
     def _now(self) -> tuple:
         got = self.state.get() if self.state.exists() else None
         return (None, None) if got is None else (None if got[0] is None else json.loads(got[0]), got[1])
 
-    def _timer(self, times: list[int]) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if times:
-            self.handle.registerTimer(min(times))
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        plain = lambda x: x.item() if hasattr(x, "item") else x
         for pdf in rows:
-            for at, tie, *row in zip(pdf["at"], pdf["tie"], *[pdf[c] for c in self.rule.fields], strict=True):
-                self.waiting.updateValue((int(at), int(tie)), (json.dumps([x.item() if hasattr(x, "item") else x for x in row]),))
-                first = int(at) if first is None else min(first, int(at))
-        due = self._now()[1]
-        waits = [k[0] for k in self.waiting.keys()]
-        self._timer([*waits, *([due] if due is not None else [])])
+            new = [[int(at), int(tie), *map(plain, row)] for at, tie, *row in zip(pdf["at"], pdf["tie"], *[pdf[c] for c in self.rule.fields], strict=True)]
+            if not new:
+                continue
+            self.waiting.appendValue((json.dumps(new),))
+            first, timers = min(r[0] for r in new), list(self.handle.listTimers())
+            if not timers or first < min(timers):  # the one there is, is that of all before
+                for t in timers:
+                    self.handle.deleteTimer(t)
+                self.handle.registerTimer(first)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         end = timerValues.getCurrentWatermarkInMs() - 1  # no row of that time or before is still to come
         state, due = self._now()
-        out, rest = [], []
-        for at, tie in sorted((k[0], k[1]) for k in self.waiting.keys()):
-            if at > end:
-                rest.append(at)
-                continue
+        rows = {(at, tie): row for (entry,) in self.waiting.get() for at, tie, *row in json.loads(entry)} if self.waiting.exists() else {}
+        out, rest = [], [[*k, *row] for k, row in rows.items() if k[0] > end]
+        for at, tie in sorted(k for k in rows if k[0] <= end):
             while due is not None and due <= at:
                 state, due, told = self.rule.due(state, due)
                 out += told
-            row = json.loads(self.waiting.getValue((at, tie))[0])
-            state, due, told = self.rule.row(tuple(state) if isinstance(state, list) else state, at, tuple(row))
+            state, due, told = self.rule.row(tuple(state) if isinstance(state, list) else state, at, tuple(rows[at, tie]))
             out += told
-            self.waiting.removeKey((at, tie))
+        if not rest:
+            self.waiting.clear()
+        elif len(rest) < len(rows):
+            self.waiting.put([(json.dumps(rest),)])
         while due is not None and due <= end:
             state, due, told = self.rule.due(state, due)
             out += told
@@ -133,7 +130,10 @@ class Ordered(StatefulProcessor):
             self.state.clear()
         else:
             self.state.update((None if state is None else json.dumps(state), due))
-        self._timer([*rest, *([due] if due is not None else [])])
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if times := [*(r[0] for r in rest), *([due] if due is not None else [])]:
+            self.handle.registerTimer(min(times))
         names = [c.split()[0] for c in self.rule.schema.split(", ")]
         yield pd.DataFrame([(key[0], *x) for x in out], columns=names)
 

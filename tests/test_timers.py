@@ -127,3 +127,36 @@ def test_codes_over_finished_rows_in_stretches(spark, shown):
     assert sorted(map(tuple, capture.accepted_codes_batch(df, order=("at", "tie")).collect()), key=repr) == sorted(want, key=repr)
     stretches = capture.quiet_stretches(df, "camera", 3000)
     assert stretches.select("camera", "_stretch").distinct().count() > 20 and stretches.count() == len(rows)
+
+
+def test_waiting_rows_of_a_batch_are_one_entry():
+    import pandas as pd
+
+    class Handle:
+        def __init__(self):
+            self.entries, self.timers = [], []
+
+        def getListState(self, *_):  # noqa: N802
+            return self
+
+        def getValueState(self, *_):  # noqa: N802
+            return self
+
+        def appendValue(self, value):  # noqa: N802
+            self.entries.append(value)
+
+        def listTimers(self):  # noqa: N802
+            return iter(self.timers)
+
+        def registerTimer(self, t):  # noqa: N802
+            self.timers.append(t)
+
+        def deleteTimer(self, t):  # noqa: N802
+            self.timers.remove(t)
+
+    handle, job = Handle(), timers.Ordered(timers.Codes(3000))
+    job.init(handle)
+    for first in (5000, 1000, 9000):
+        batch = pd.DataFrame({"at": range(first, first + 500), "tie": range(500), "code": ["x"] * 500})
+        list(job.handleInputRows(("k",), iter([batch]), None))
+    assert len(handle.entries) == 3 and handle.timers == [1000]
