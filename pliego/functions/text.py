@@ -38,12 +38,10 @@ def fold_tables() -> tuple[str, str]:
     return "".join(c for c, _ in pairs) + "".join(marks), "".join(b for _, b in pairs)
 
 
-def _jamo(syllable: Column) -> Column:
-    """The letters of a Hangul syllable, by its number."""
-    n = F.ascii(syllable) - ord(HANGUL[0])
-    letter = lambda first, k: F.substr(F.lit("".join(chr(first + j) for j in range(FINALS))), (k + 1).cast("int"), F.lit(1))
-    final = n % FINALS
-    return F.concat(letter(0x1100, F.floor(n / (VOWELS * FINALS))), letter(0x1161, F.floor(n / FINALS) % VOWELS), F.when(final > 0, letter(0x11A7, final)).otherwise(""))
+@cache
+def _jamo() -> str:
+    """The letters of each Hangul syllable, in the syllables' order, parted by spaces."""
+    return " ".join(unicodedata.normalize("NFD", chr(c)) for c in range(ord(HANGUL[0]), ord(HANGUL[1]) + 1))
 
 
 def _is_hangul(c: Column) -> Column:
@@ -53,7 +51,10 @@ def _is_hangul(c: Column) -> Column:
 def fold(text: Column) -> Column:
     """Lower case without accents or combining marks, character by character; what has no accent, like ß, stays."""
     flat = F.translate(text, *fold_tables())
-    apart = F.array_join(F.transform(F.split(flat, ""), lambda c: F.when(_is_hangul(c), _jamo(c)).otherwise(c)), "")
+    # Taken apart next to syllables only; the table of their letters is a constant.
+    pieces = F.split(flat, f"(?<=[{HANGUL[0]}-{HANGUL[1]}])|(?=[{HANGUL[0]}-{HANGUL[1]}])")
+    letters = lambda c: F.get(F.split(F.lit(_jamo()), " "), F.ascii(c) - ord(HANGUL[0]))
+    apart = F.array_join(F.transform(pieces, lambda c: F.when(_is_hangul(c), letters(c)).otherwise(c)), "")
     return F.when(F.rlike(text, F.lit(f"[{HANGUL[0]}-{HANGUL[1]}]")), apart).otherwise(flat)
 
 
@@ -82,24 +83,40 @@ def has_terms(norm: Column, words: list[str]) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
+#: Marks that folding drops.
+MARK = r"[\p{M}&&[\x{0}-\x{FFFF}]]"
+
+
 def place(text: Column, at: Column) -> Column:
-    """Where the folded text's character `at` (from 0) stands in the text: folding drops combining marks and parts Hangul syllables."""
-    letters = F.regexp_extract_all(text, F.lit(r"(\P{M}\p{M}*)"), F.lit(1))  # each with its marks
-    width = lambda c: F.when(_is_hangul(c), F.when((F.ascii(c) - ord(HANGUL[0])) % FINALS == 0, 2).otherwise(3)).otherwise(1)
-    origins = F.flatten(F.transform(letters, lambda c, i: F.array_repeat(i, width(c))))
-    nth = F.when(F.rlike(text, F.lit(f"[{HANGUL[0]}-{HANGUL[1]}]")), F.get(origins, at.cast("int"))).otherwise(at)
-    before = F.length(F.regexp_extract(text, r"^\p{M}+", 0)) + F.length(F.array_join(F.slice(letters, F.lit(1), nth), ""))
-    return F.when(F.rlike(text, F.lit(rf"[\p{{M}}{HANGUL[0]}-{HANGUL[1]}]")), before).otherwise(at)
+    """Where the folded text's character `at` (from 0) stands in the text: folding drops combining marks and parts Hangul syllables.
+
+    The text is taken apart behind marks and syllables, as far as `at` may reach. So a piece is letters of which the last alone may be a syllable, and then marks.
+    """
+    hangul = f"[{HANGUL[0]}-{HANGUL[1]}]"
+    n = at.cast("int") + 2  # each piece has a letter, but for marks that the text may begin with
+    pieces = F.slice(F.split(text, f"(?<={hangul}|{MARK})(?!{MARK})", n + 1), F.lit(1), n)
+
+    def after(s: Column, piece: Column) -> Column:
+        letters = F.regexp_replace(piece, f"{MARK}+", "")
+        last = F.ascii(F.substr(letters, F.lit(-1), F.lit(1)))
+        more = F.when(last.between(ord(HANGUL[0]), ord(HANGUL[1])), F.when((last - ord(HANGUL[0])) % FINALS == 0, 1).otherwise(2)).otherwise(0)
+        here = s["left"] < F.length(letters) + more
+        found = F.when(here, s["raw"] + F.least(s["left"], F.length(letters) - 1))
+        return F.when(s["found"].isNotNull(), s).otherwise(F.struct((s["left"] - F.length(letters) - more).alias("left"), (s["raw"] + F.length(piece)).alias("raw"), found.alias("found")))
+
+    zero = F.struct(at.cast("int").alias("left"), F.lit(0).alias("raw"), F.lit(None).cast("int").alias("found"))
+    return F.when(F.rlike(text, F.lit(f"{hangul}|{MARK}")), F.aggregate(pieces, zero, after, lambda s: s["found"])).otherwise(at)
 
 
 def hit(text: Column, words: list[str]) -> Column:
-    """struct(start, end), from 0, of the first word's first place in the text itself; null unless all words are in it. The text is folded once."""
+    """struct(start, end), from 0, of the first word's first place in the text itself; null unless all words are in it. The text is folded once, and the word looked for once."""
     first = words[0] if words else ""
 
+    def placed(start: Column) -> Column:
+        return F.struct(place(text, start).alias("start"), (place(text, start + len(first) - 1) + 1).alias("end"))
+
     def found(norm: Column) -> Column:
-        start = F.instr(norm, first) - 1
-        end = place(text, start + len(first) - 1) + 1
-        return F.when(has_terms(norm, words), F.struct(place(text, start).alias("start"), end.alias("end")))
+        return F.when(has_terms(norm, words), F.get(F.transform(F.array(F.instr(norm, first) - 1), placed), F.lit(0)))
 
     return F.get(F.transform(F.array(fold(text)), found), F.lit(0))
 

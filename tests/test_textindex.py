@@ -101,6 +101,14 @@ def test_places_are_those_of_the_text(spark):
         assert (h.start, h.end) == (origin[at], origin[at + len(word) - 1] + 1), query
 
 
+@pytest.mark.parametrize("t", ["𝅥the", "𐐀𝅥 é가각 the", "́̈각́각́ 가the", "thé" * 3 + "x" * 50])
+def test_places_behind_marks_and_syllables(spark, t):
+    origin = [i for i, c in enumerate(t) for _ in fold(c)]
+    at = fold(t).find("the")
+    h = spark.range(1).select(text.hit(F.lit(t), ["the"]).alias("h")).first().h
+    assert (h.start, h.end) == (origin[at], origin[at + 2] + 1)
+
+
 def paragraphs_by_lines(t):
     """The rule line by line."""
     white = " \t\n\x0b\x0c\r\xa0     　﻿" + "".join(map(chr, range(0x2000, 0x200B)))
